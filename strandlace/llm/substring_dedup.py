@@ -180,10 +180,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < 8:
         raise ValueError("window must be 8 words or more")
     rows = identified(docs, id_col, text_col)
-    picked = rows.select("did", "th", "text").mapInArrow(_claim_picks(window), CLAIMS)
-    marks = materialize(later_holders(picked, 1, True), "repeated-picks")
-    near = rows.select("did", "th", "text").join(marks, ["did", "th"]).mapInArrow(_claim_windows(window), CLAIMS)
-    gone = materialize(later_holders(near, 1, False), "repeated-windows")
+    texts = rows.select("did", "th", "text")
+    # Each phase is named nowhere else, so that its shuffle files go when its table is written.
+    marks = materialize(later_holders(texts.mapInArrow(_claim_picks(window), CLAIMS), 1, True), "repeated-picks")
+    gone = materialize(later_holders(texts.join(marks, ["did", "th"]).mapInArrow(_claim_windows(window), CLAIMS), 1, False), "repeated-windows")
     return rows.join(gone, ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
