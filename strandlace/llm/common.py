@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -61,19 +62,22 @@ def scratch(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs restart from there when executors are lost.
 
-    The finished phase's shuffle files go once the driver drops its references,
-    so both collectors are asked to run here.
+    After a ``large`` phase its shuffle files should go; they do once the driver drops its references,
+    so both collectors are asked to run here: Python's releases the handles of
+    frames, and only then can the JVM's find the shuffles unused.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.3, 0.3) if large else ():
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
     return spark.read.schema(schema).parquet(path)
 
 

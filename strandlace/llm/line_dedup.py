@@ -68,7 +68,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lose the same lines; a null or empty text is one empty line.
     """
     rows = identified(docs, id_col, text_col)
-    gone = materialize(later_holders(rows.select("did", "th", "text").mapInArrow(_claim_lines(window), CLAIMS), window), "repeated-lines")
+    gone = materialize(later_holders(rows.select("did", "th", "text").mapInArrow(_claim_lines(window), CLAIMS), window), "repeated-lines", True)
     joined = rows.join(gone, ["did", "th"], "left").select("doc_id", "th", "text", "spans")
     return joined.mapInArrow(_drop_lines, "doc_id long, th long, n_lines long, n_removed long, kept_text string")
 
