@@ -8,6 +8,7 @@ slot of its rank within its length.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -23,17 +24,33 @@ _RANK_BITS = 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Characters from here on take the tokenizer's whole way.
+LATIN_END = "\u0250"
+
+
+def byte_chars() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: visible Latin-1 characters stand for themselves, the others count on from U+0100."""
+    hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTE_CHARS = byte_chars()
+
+
 class WordIds(dict):
     """Ids of space-free words as little-endian uint32 bytes, for a tokenizer that never merges across white space.
 
-    At most ``limit`` words are kept, none over 64 bytes.
+    At most ``limit`` words are kept, none over 64 bytes.  A word of Latin
+    letters is one piece to the pre-tokenizer, so its normal form goes to the
+    tokenizer's merges directly; any other word takes the whole way.
     """
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 1 << 20) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.merges = self.tokenizer.model.tokenize
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -45,7 +62,12 @@ class WordIds(dict):
         elif len(word) > 1 and word[-1:] in (b".", b",") and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
         else:
-            ids = self.encode(word.decode("utf-8", "replace"))
+            text = word.decode("utf-8", "replace")
+            low = unicodedata.normalize("NFC", text).lower()
+            if low.isalpha() and max(low) < LATIN_END:
+                ids = np.array([t.id for t in self.merges(low.encode().decode("latin-1").translate(BYTE_CHARS))], "<u4").tobytes()
+            else:
+                ids = self.encode(text)
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.clear()
