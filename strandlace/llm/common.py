@@ -81,11 +81,17 @@ def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def carried(docs: DataFrame, keep: list[str] | None) -> tuple[list, str]:
+    """Columns to pass on under ``_sl_`` names, and their part of a schema string."""
+    keep = keep or []
+    return [F.col(f"`{c}`").alias(f"_sl_{c}") for c in keep], "".join(f", `_sl_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str, passed: list | None = None) -> DataFrame:
     """``doc_id, did, th, text``: the columns that the document operators work on (a null text is empty)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.col(id_col).cast("long")
-    return docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    return docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"), *(passed or []))
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

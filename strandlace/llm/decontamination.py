@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, steps
+from .common import carried, column, steps
 
 _WORD = frozenset(range(0x30, 0x3A)) | frozenset(range(0x41, 0x5B)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
 #: Lower-cases A-Z and turns ASCII characters outside words into spaces, in UTF-8.
@@ -174,9 +174,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(x) for x in blocks_of(benchmark, item_col, item_text_col, width, block_windows)]
-    passed = [F.col(f"`{c}`").alias(f"_sl_{c}") for c in keep or []]
+    passed, more = carried(docs, keep)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *passed)
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name.startswith("_sl_"))
     return rows.mapInArrow(_search(blocks, slack), f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, n_near long{more}")
 
 

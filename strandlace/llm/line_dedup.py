@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CLAIMS, column, covered, identified, ints, later_holders, local_claims, materialize, steps, window_hash
+from .common import CLAIMS, carried, column, covered, identified, ints, later_holders, local_claims, materialize, steps, window_hash
 
 
 def _claim_lines(window: int):
@@ -57,20 +57,22 @@ def _drop_lines(batches):
         yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([t.decode("utf-8", "replace") for t in kept], pa.string())], names=[*names, "n_lines", "n_removed", "kept_text"])
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Remove the lines of every ``window``-line window that also occurs earlier.
 
-    Returns ``doc_id, th, n_lines, n_removed, kept_text``, one row for each
-    input row; ``th`` is XXH64 of the text and with the id names the document.
+    Returns ``doc_id, n_lines, n_removed, kept_text``, one row for each input
+    row; ``keep`` passes columns on under ``_sl_`` names.
     Earlier means a smaller id (null before all), then a smaller text hash, then
     a smaller line number.  Windows without a word in any line and documents of
     fewer lines than the window stay whole; identical rows are one document and
     lose the same lines; a null or empty text is one empty line.
     """
-    rows = identified(docs, id_col, text_col)
+    passed, more = carried(docs, keep)
+    rows = identified(docs, id_col, text_col, passed)
     gone = materialize(later_holders(rows.select("did", "th", "text").mapInArrow(_claim_lines(window), CLAIMS), window), "repeated-lines", True)
-    joined = rows.join(gone, ["did", "th"], "left").select("doc_id", "th", "text", "spans")
-    return joined.mapInArrow(_drop_lines, "doc_id long, th long, n_lines long, n_removed long, kept_text string")
+    # The same plan at every size: removals grow with the documents.
+    joined = rows.join(gone.hint("merge"), ["did", "th"], "left").drop("did", "th")
+    return joined.mapInArrow(_drop_lines, f"doc_id long{more}, n_lines long, n_removed long, kept_text string")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
     return hosts.withColumn("rate", (F.col("failures") + F.lit(m * weight)) / (F.col("docs") + F.lit(weight)))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, reject_rate: float = 0.5, keep: list[Column] | None = None) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, reject_rate: float = 0.5, broadcast_hosts: int = 10_000, keep: list[Column] | None = None) -> DataFrame:
     """The measures of each row with ``host_rate``, ``base_failed`` and ``kept``.
 
     A document goes if it fails the base rules or if its host's shrunk failure
@@ -78,6 +78,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host:
     """
     measured = materialize(measure(docs, id_col, text_col, host, keep), "measures")
     bad = host_rates(measured).where((F.col("rate") > reject_rate) & F.col("host").isNotNull()).select("host", F.col("rate").alias("host_rate"))
+    if bad.limit(broadcast_hosts + 1).count() <= broadcast_hosts:  # rejected hosts are few; the documents then stay in place
+        bad = F.broadcast(bad)
     return measured.join(bad, "host", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("host_rate").isNull())
 
 

@@ -26,13 +26,14 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated three-line windows; those left without a word go."""
-    cleaned = remove_repeated_lines(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_sl_did"), F.col("th").alias("_sl_th"), F.col("kept_text").alias("_sl_text"), F.col("n_removed").alias("_sl_removed")).where("_sl_removed > 0").dropDuplicates(["_sl_did", "_sl_th"])
-    joined = _named(docs).join(cleaned, ["_sl_did", "_sl_th"], "left")
-    text = F.coalesce("_sl_text", "text")
-    out = joined.where(F.col("_sl_text").isNull() | F.col("_sl_text").rlike(r"[^\x20\x09-\x0D]"))
-    n = {"n_chars": F.when(F.col("_sl_text").isNotNull(), F.length("_sl_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return out.withColumns({"text": text} | n).select(*docs.columns)
+    """Documents without repeated three-line windows (a null text becomes empty); those that lose their last word go."""
+    kept = [c for c in docs.columns if c != "text"]
+    cleaned = remove_repeated_lines(docs, keep=kept)
+    cut = F.col("n_removed") > 0
+    out = {c: F.col(f"_sl_{c}") for c in kept} | {"text": F.col("kept_text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return cleaned.where(~cut | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select(*(out[c].alias(c) for c in docs.columns))
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

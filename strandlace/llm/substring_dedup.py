@@ -183,8 +183,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.select("did", "th", "text")
     # Each phase is named nowhere else, so that its shuffle files go when its table is written.
     marks = materialize(later_holders(texts.mapInArrow(_claim_picks(window), CLAIMS), 1, True), "repeated-picks", True)
-    gone = materialize(later_holders(texts.join(marks, ["did", "th"]).mapInArrow(_claim_windows(window), CLAIMS), 1, False), "repeated-windows", True)
-    return rows.join(gone, ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    gone = materialize(later_holders(texts.join(marks.hint("merge"), ["did", "th"]).mapInArrow(_claim_windows(window), CLAIMS), 1, False), "repeated-windows", True)
+    return rows.join(gone.hint("merge"), ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
