@@ -56,21 +56,27 @@ def complement_code(code: Column) -> Column:
     return F.when(code < 4, 3 - code).otherwise(code)
 
 
+#: All codons in the order of ``CODONS``, four characters each.
+_CODON_LIST = "".join(f"{a}{b}{c} " for a in "TCAG" for b in "TCAG" for c in "TCAG")
+
+
+def _amino_acid(codon: Column) -> Column:
+    at = F.instr(F.lit(_CODON_LIST), codon)
+    return F.when((at > 0) & (F.length(codon) == 3), F.substr(F.lit(CODONS), F.shiftright(at - 1, 2) + 1, F.lit(1))).otherwise("X")
+
+
 def translate_codon(codon: Column) -> Column:
     """One amino acid: U reads as T, a stop is ``*``, any unknown base gives X."""
-    c = F.translate(ascii_upper(codon), "U", "T")
-    digit = lambda i: F.instr(F.lit("TCAG"), F.substring(c, i, 1)) - 1
-    index = digit(1) * 16 + digit(2) * 4 + digit(3)
-    return F.when(c.rlike("^[ACGT]{3}$"), F.substr(F.lit(CODONS), (index + 1).cast("int"), F.lit(1))).otherwise("X")
+    return _amino_acid(F.translate(ascii_upper(codon), "U ", "T."))
 
 
 def translate_frame(s: Column, frame: int) -> Column:
     """The codons from ``frame`` (0 to 2) on as a protein string; empty if too short or beyond 2."""
     if frame > 2:
         return F.lit("")
-    n = F.floor((F.length(s) - frame) / 3).cast("int")
-    codons = F.transform(F.sequence(F.lit(0), n - 1), lambda i: translate_codon(F.substr(s, i * 3 + (frame + 1), F.lit(3))))
-    return F.when(n >= 1, F.array_join(codons, "")).otherwise("")
+    letters = F.translate(ascii_upper(s), "U ", "T.")
+    codons = F.regexp_extract_all(F.substring(letters, frame + 1, 2**31 - 1), F.lit("(?s).{3}"), 0)
+    return F.array_join(F.transform(codons, _amino_acid), "")
 
 
 def detect_alphabet(s: Column) -> Column:

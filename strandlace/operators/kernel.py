@@ -87,51 +87,74 @@ def lit_pixels(hits: DataFrame, sizes: DataFrame, key: list[str], window: int, z
 _BAND = 1 << 21
 
 
+def window_sums(m: np.ndarray, window: int) -> np.ndarray:
+    """Sums of ``window`` consecutive cells of every diagonal of ``m``, by doubling; entry (i, j) is the window that starts there."""
+    rows, cols = m.shape[0] - window + 1, m.shape[1] - window + 1
+    total, done, power, size = None, 0, m, 1
+    while True:
+        if window & size:
+            part = power[done : done + rows, done : done + cols]
+            total = part if total is None else total + part
+            done += size
+        if done == window:
+            return total
+        power = power[:-size, :-size] + power[size:, size:]
+        size *= 2
+
+
 def block_pixels(q: np.ndarray, s: np.ndarray, table: np.ndarray, window: int, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(px, py, value) of the lit pixels of two coded sequences."""
+    """(px, py, value) of the lit pixels of two coded sequences.
+
+    The reverse strand is the forward plot of the complemented query against
+    the subject read backwards.  Self plots stop each band at its last row.
+    """
     n, m = len(q), len(s)
-    width, height = -(-n // zoom), -(-m // zoom)
-    best = np.zeros(width * height, np.int16) if width * height <= 1 << 24 else None
-    got: list[np.ndarray] = []
     if n <= window or m <= window:
         return (np.zeros(0, np.int64),) * 3
-    last = table.shape[0] - 1
-    qc = np.where(q < 4, 3 - q, q) if reverse else q
-    scores = np.ascontiguousarray(table[:, np.where(qc > last, last, qc)])
-    half = window // 2
+    width, height, half = -(-n // zoom), -(-m // zoom), window // 2
+    kind = np.int16 if int(np.abs(table).max()) * window < 2**15 else np.int64
+    known = np.minimum(q, table.shape[0] - 1)
+    scores = np.ascontiguousarray(table[:, np.where(known < 4, 3 - known, known) if reverse else known], dtype=kind)
     rows = max(1, _BAND // n)
-    lo_s, hi_s = (0, m - window) if reverse else (window, m)
-    for a in range(lo_s, hi_s, rows):
-        b = min(hi_s, a + rows)
-        v = np.zeros((b - a, n - window), np.int32)
-        for k in range(window):
-            part = s[a + k : b + k] if reverse else s[a - k : b - k]
-            v += scores[part, window - k : n - k]
+    codes, values = [], []
+    subject = s[::-1] if reverse else s
+    for a in range(window, m, rows):
+        b = min(m, a + rows)
+        cols = min(n, b) if self_plot and not reverse else n
+        if cols <= window:
+            continue
+        v = window_sums(scores[subject[a - window + 1 : b], 1:cols], window)
         r, c = np.nonzero(v > 0)
-        sq, ss = c + window, r + a
-        val = np.minimum(255, v[r, c].astype(np.int64) * factor // window)
-        if self_plot:
-            ok = sq <= ss
-            sq, ss, val = sq[ok], ss[ok], val[ok]
-        cq, cs = sq - half, (ss + half if reverse else ss - half)
+        value = np.minimum(255, v[r, c].astype(np.int64) * factor // window)
+        at_q, at_s = c + window, m - 1 - (r + a) if reverse else r + a
+        cq, cs = at_q - half, at_s + half if reverse else at_s - half
         ok = (zoom - 1 - cs % zoom >= cq % zoom) if reverse else (cs % zoom >= cq % zoom)
-        px, py, val = cq[ok] // zoom, cs[ok] // zoom, val[ok]
-        ok = (px < width) & (py < height)
-        code = py[ok] * width + px[ok]
-        if best is not None:
-            np.maximum.at(best, code, val[ok].astype(np.int16) + 1)
-        else:
-            got.append(np.column_stack((code, val[ok])))
-    if best is not None:
-        code = np.flatnonzero(best)
-        value = best[code].astype(np.int64) - 1
-    else:
-        both = np.concatenate(got)
-        order = np.lexsort((both[:, 1], both[:, 0]))
-        both = both[order]
-        end = np.append(both[1:, 0] != both[:-1, 0], True)[: len(both)]
-        code, value = both[end, 0], both[end, 1]
-    return code % width, code // width, value
+        if self_plot:
+            ok &= at_q <= at_s
+        px, py = cq[ok] // zoom, cs[ok] // zoom
+        inside = (px < width) & (py < height)
+        code, value = (py * width + px)[inside], value[ok][inside]
+        if len(code):
+            # The band's brightest hit of each pixel.
+            order = np.argsort(code * 256 + value, kind="stable")
+            code, value = code[order], value[order]
+            end = np.append(code[1:] != code[:-1], True)
+            codes.append(code[end])
+            values.append(value[end])
+    if not codes:
+        return (np.zeros(0, np.int64),) * 3
+    code, value = np.concatenate(codes), np.concatenate(values)
+    order = np.argsort(code * 256 + value, kind="stable")
+    code, value = code[order], value[order]
+    end = np.append(code[1:] != code[:-1], True)
+    return code[end] % width, code[end] // width, value[end]
+
+
+def spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """Rows dealt out by key over enough tasks for work that grows with the square of a row; sequences are small beside it."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *key)
 
 
 def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False) -> DataFrame:
@@ -149,4 +172,4 @@ def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, sc
 
     types = dict(pairs.select(*key).dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", px long, py long, value long"
-    return pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s")).mapInArrow(run, schema)
+    return spread(pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s")), key).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import pixel_scale, ramp
-from .kernel import Scoring
+from .kernel import Scoring, spread
 
 
 @dataclass(frozen=True)
@@ -31,25 +31,28 @@ def diagonal_sums(codes: np.ndarray, cfg: PeriodogramConfig) -> tuple[np.ndarray
     top = n // 2 if cfg.max_offset is None else cfg.max_offset
     ks = np.arange(cfg.min_offset, top + 1)
     raw, signal = np.zeros(len(ks), np.int64), np.zeros(len(ks), np.int64)
-    table = cfg.scoring.padded()
     levels = np.arange(256)
     lut = np.where(levels <= cfg.white, 0, np.where(levels >= cfg.black, 255, (levels - cfg.white) * 255 // max(1, cfg.black - cfg.white)))
+    plain = cfg.scoring.table is None and (n == 0 or codes.max() < len(cfg.scoring.alphabet))
+    # Without unknown letters a window's score follows from its number of matches.
+    level = np.clip(np.maximum(0, (cfg.scoring.match - cfg.scoring.mismatch) * np.arange(w + 1) + cfg.scoring.mismatch * w) * cfg.factor // w, 0, 255)
+    table, codes = cfg.scoring.padded(), codes.astype(np.int8) if plain else codes
     for i, k in enumerate(ks):
         if n - w - k <= 0:
             break
-        total = np.cumsum(table[codes[k:], codes[: n - k]])
+        cells = codes[k:] == codes[: n - k] if plain else table[codes[k:], codes[: n - k]]
+        total = np.cumsum(cells, dtype=np.int32)
         v = total[w:] - total[:-w]  # ends at s = k + w and later: a diagonal's first window is left out
-        v = v[v > 0]
-        p = np.minimum(255, v * cfg.factor // w)
-        raw[i], signal[i] = p.sum(), lut[p].sum()
+        p, times = (level, np.bincount(v, minlength=w + 1)) if plain else (np.minimum(255, np.maximum(v, 0).astype(np.int64) * cfg.factor // w), 1)
+        raw[i], signal[i] = (p * times).sum(), (lut[p] * times).sum()
     return ks, raw, signal, np.maximum(0, n - w - ks)
 
 
 def periodogram(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig = PeriodogramConfig()) -> DataFrame:
     """``key, k, raw_sum, signal_sum, n_pairs``: dense over offsets; records without an offset in range give none.
 
-    One row of input is a record; a record's sums never leave its task
-    unaggregated, and nothing is shuffled.
+    One row of input is a record; its sums never leave its task unaggregated.
+    Only wide offset ranges deal the records out over more tasks first.
     """
 
     def run(batches):
@@ -61,7 +64,10 @@ def periodogram(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig =
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(k), ids.type), *(pa.array(x, pa.int64()) for x in (k, raw, signal, n))], names=[key, "k", "raw_sum", "signal_sum", "n_pairs"])
 
     kind = dict(records.dtypes)[key]
-    return records.select(key, F.col(seq).alias("_seq")).mapInArrow(run, f"`{key}` {kind}, k long, raw_sum long, signal_sum long, n_pairs long")
+    rows = records.select(key, F.col(seq).alias("_seq"))
+    if cfg.max_offset is None or cfg.max_offset > 100:
+        rows = spread(rows, [key])
+    return rows.mapInArrow(run, f"`{key}` {kind}, k long, raw_sum long, signal_sum long, n_pairs long")
 
 
 def periodogram_relational(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig) -> DataFrame:
