@@ -1,3 +1,72 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others: SimHash groups are connected components, the language model is
+trained by exchange, licence rules and the tokenizer are code, proximity needs
+nearest postings, and DuckDB has no XXH64 with a seed of 42 for the shards.
+They are tested against brute force in ``tests/llm``.
+"""
+
+from __future__ import annotations
+
+from .quality import WINDOW
+from .secrets import BASE, RULES
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _secrets() -> str:
+    parts = []
+    for k, r in enumerate(RULES):
+        p = r.pattern.replace("'", "''")
+        ok = f"length(regexp_extract(m[i], '{p}', {r.group})) >= {r.least}"
+        parts.append(f"""
+SELECT rid, {k} AS rank, '{r.kind}' AS kind, CAST(stop - length(m[i]) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM (
+  SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS stop FROM (
+    SELECT rid, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d))) WHERE {ok}""")
+    span = "kind || ':' || start || ':' || stop"
+    counts = ", ".join(f"count(s.rid) FILTER (rank = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, {counts}, sha256(coalesce(string_agg({span}, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg({span}, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN s USING (rid) GROUP BY rid, doc_id"""
+
+
+def _lines() -> str:
+    return r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, i, ls[i:i + 2] AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM w WHERE regexp_matches(array_to_string(w, ''), '[^\x20\x09-\x0D]')),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1),
+l AS (SELECT d.doc_id, len(ls) AS n_lines, x.i, ls[x.i] AS line FROM d, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i) x)
+SELECT doc_id, CAST(any_value(n_lines) AS BIGINT) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
+FROM l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id"""
+
+
+def _substrings() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 19], ' ')) AS h, array_to_string(ws[i:i + 19], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h, w ORDER BY doc_id, i) AS n FROM w),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest(range(0, 20)) AS k) WHERE n > 1),
+t AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+k AS (SELECT doc_id, count(*) AS n_words, count(g.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY t.i) FILTER (g.i IS NULL), '') AS kept FROM t LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def _quality() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d WHERE len(ws) >= {WINDOW}))),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest(range(0, {WINDOW})) AS k) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d) LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY host),
+p AS (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS mu, var_pop(f / n) AS v FROM h),
+q AS (SELECT mu, CASE WHEN v > 0 AND mu * (1 - mu) / v - 1 > 0 AND mu * (1 - mu) / v - 1 < 1e9 THEN mu * (1 - mu) / v - 1 ELSE 2.0 END AS s FROM p),
+bad AS (SELECT host FROM h, q WHERE (f + mu * s) / (n + s) > 0.5 AND host IS NOT NULL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (host IS NULL OR host NOT IN (SELECT host FROM bad)) AS kept FROM b"""
+
+
+ORACLES: dict[str, str] = {"op1_secret_ledger": _secrets(), "op3_line_windows": _lines(), "op6_recompression": _substrings(), "op7_host_quality": _quality()}
