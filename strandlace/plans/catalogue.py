@@ -460,12 +460,12 @@ def _(spark, d):
 # --- spectra and peaks -------------------------------------------------------------------------
 
 
-def _dft_sql(values: str, padded: int) -> str:
-    """SQL amplitudes of ``values`` (key, i, n, x): mean removed, Hann window, padded to ``padded``."""
+def _dft_sql(values: str) -> str:
+    """SQL amplitudes of ``values`` (key, i, n, x): mean removed, Hann window, padded to a power of two."""
     return f"""
 WITH v AS ({values}), w AS (SELECT key, i, (x - avg(x) OVER (PARTITION BY key)) * 0.5 * (1 - cos(2 * pi() * i / (n - 1))) AS y FROM v),
-b AS (SELECT unnest(range(0, {padded // 2 + 1})) AS bin),
-amp AS (SELECT key, bin, sqrt(pow(sum(y * cos(2 * pi() * ((bin * i) % {padded}) / {padded})), 2) + pow(sum(y * sin(2 * pi() * ((bin * i) % {padded}) / {padded})), 2)) AS amplitude FROM w, b GROUP BY ALL)"""
+l AS (SELECT key, greatest(2, CAST(pow(2, ceil(log2(any_value(n)))) AS BIGINT)) AS p FROM v GROUP BY key), b AS (SELECT key, p, unnest(range(0, p // 2 + 1)) AS bin FROM l),
+amp AS (SELECT key, bin, sqrt(pow(sum(y * cos(2 * pi() * ((bin * i) % p) / p)), 2) + pow(sum(y * sin(2 * pi() * ((bin * i) % p) / p)), 2)) AS amplitude FROM w JOIN b USING (key) GROUP BY ALL)"""
 
 
 HOURLY_SQL = "SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY h) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, CAST(c AS DOUBLE) AS x FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS c FROM events GROUP BY ALL)"
@@ -478,18 +478,18 @@ def _hourly(spark, d) -> DataFrame:
     return spectrum(series.select(F.col("event_type").alias("key"), F.transform("s", lambda x: x["c"]).alias("v")), "key", "v")
 
 
-@query("fft_hourly_events", _dft_sql(HOURLY_SQL, 1024) + " SELECT key, CAST(bin AS BIGINT) AS bin, round(amplitude, 4) AS amplitude FROM amp")
+@query("fft_hourly_events", _dft_sql(HOURLY_SQL) + " SELECT key, CAST(bin AS BIGINT) AS bin, round(amplitude, 4) AS amplitude FROM amp")
 def _(spark, d):
     return _hourly(spark, d).select("key", "bin", F.round("amplitude", 4).alias("amplitude"))
 
 
-@query("fft_embedding", _dft_sql(VECTOR_SQL, 64) + " SELECT key, CAST(bin AS BIGINT) AS bin, bin / 64 AS frequency, CASE WHEN bin > 0 THEN 64 / bin END AS period, round(amplitude, 5) AS amplitude FROM amp")
+@query("fft_embedding", _dft_sql(VECTOR_SQL) + " SELECT key, CAST(bin AS BIGINT) AS bin, bin / 64 AS frequency, CASE WHEN bin > 0 THEN 64 / bin END AS period, round(amplitude, 5) AS amplitude FROM amp")
 def _(spark, d):
     out = spectrum(_read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), "key", "embedding")
     return out.select("key", "bin", "frequency", F.when(F.col("bin") > 0, F.col("period")).alias("period"), F.round("amplitude", 5).alias("amplitude"))
 
 
-@query("fft_rank_peaks", _dft_sql(HOURLY_SQL, 1024) + """, f AS (SELECT *, lag(amplitude) OVER o AS p, lead(amplitude) OVER o AS n FROM amp WINDOW o AS (PARTITION BY key ORDER BY bin)),
+@query("fft_rank_peaks", _dft_sql(HOURLY_SQL) + """, f AS (SELECT *, lag(amplitude) OVER o AS p, lead(amplitude) OVER o AS n FROM amp WINDOW o AS (PARTITION BY key ORDER BY bin)),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY amplitude DESC, bin) AS peak_rank FROM f WHERE amplitude > p AND amplitude > n)
 SELECT key, CAST(bin AS BIGINT) AS bin, CAST(peak_rank AS INT) AS peak_rank FROM r WHERE peak_rank <= 10""")
 def _(spark, d):
