@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that ends a word: U+0020 and U+0009 to U+000D.
@@ -81,6 +81,23 @@ def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, spread: Column, total: int, how: str = "inner", sizes: DataFrame | None = None, share: int = 1000, least: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once with the number ``n`` of its rows (dropped here).
+
+    A key that over ``total / share`` of the ``total`` rows hold (and over
+    ``least``) is dealt out: its rows by ``spread`` into parts of about that size, its
+    table row to every part.  Such keys are fewer than ``share``, so their
+    broadcast is bounded.  ``sizes`` names a cheaper source of ``key, n``.
+    """
+    limit = max(least, -(-total // share))
+    parts = F.ceil(F.col("n") / limit)
+    hot = (table if sizes is None else sizes).where(F.col("n") > limit).select(key, parts.alias("_sl_parts"))
+    into = F.when(F.col(key).isNull(), F.lit(1 << 16)).otherwise(F.coalesce("_sl_parts", F.lit(1)))  # null keys match nothing and go anywhere
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_sl_part", F.pmod(spread, into)).drop("_sl_parts")
+    copies = table.withColumn("_sl_part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1))).drop("n")
+    return dealt.join(copies, [key, "_sl_part"], how).drop("_sl_part")
+
+
 def carried(docs: DataFrame, keep: list[str] | None) -> tuple[list, str]:
     """Columns to pass on under ``_sl_`` names, and their part of a schema string."""
     keep = keep or []

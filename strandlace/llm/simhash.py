@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, identified, ints, materialize, steps
+from .common import column, identified, ints, join_hot, materialize, steps
 from .components import components
 
 _U = np.uint64
@@ -227,12 +227,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share an id link by their texts alone.
     """
     prints = materialize(identified(docs, id_col, text_col).mapInArrow(_prints(shingle), "doc_id long, did long, th long, fp long"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    # Copies share a fingerprint and a group its root; either may hold a large part of all rows.
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(link_fingerprints(nodes.select("fp"), radius, shard_limit), "a", "b")
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(member, "fp").select("doc_id", "did", "th", "fp", "component_id")
+    rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", F.col("n").alias("rows")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    member = join_hot(rooted, least, "root", F.xxhash64("fp"), nodes.count()).select("fp", "component_id", F.col("rows").alias("n"))
+    return join_hot(prints, member, "fp", F.xxhash64("did", "th"), prints.count(), sizes=nodes).select("doc_id", "did", "th", "fp", "component_id")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
