@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 # Keyword, separator and value patterns of the scan contract; letters of keywords in either case.
 ASSIGN_KEYS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -61,8 +61,12 @@ def _may_match(rule: Rule):
 
 
 def scan(unseen: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob, rule, version, start, stop``: counting matches (leftmost, non-overlapping for each rule) in the blobs of ``unseen``."""
-    tasks = F.filter(F.array(*(F.when(_may_match(r), _lengths(r)) for r in rules)), lambda x: x.isNotNull())
+    """``blob, rule, version, start, stop``: counting matches (leftmost, non-overlapping for each rule) in the blobs of ``unseen``.
+
+    ``unseen`` has ``blob, text, missing``; a rule runs on a blob only if ``missing``, an array of ``(rule, version)``, names it.
+    """
+    wanted = lambda r: F.exists("missing", lambda m: (m["rule"] == r.kind) & (m["version"] == r.version))
+    tasks = F.filter(F.array(*(F.when(wanted(r) & _may_match(r), _lengths(r)) for r in rules)), lambda x: x.isNotNull())
     hit = unseen.select("blob", F.explode(tasks).alias("r"))
     each = hit.select("blob", "r.rule", "r.version", F.posexplode(F.arrays_zip(F.col("r.found").alias("m"), F.slice(F.col("r.gaps"), F.lit(1), F.size("r.found")).alias("gap"))).alias("i", "x"))
     flat = each.select("blob", "rule", "version", "i", F.col("x.m.size").alias("size"), F.col("x.m.ok").alias("ok"), F.col("x.gap").alias("gap"))
@@ -72,22 +76,21 @@ def scan(unseen: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def update_ledger(docs: DataFrame, seen: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Scan what the ledger ``seen`` (``blob, rule, version``) lacks.
+    """Scan what the ledger ``seen`` (``blob, rule, version``) lacks, and nothing else.
 
     Returns the new ledger rows and the new findings, to be appended to the
     stored tables.  A pair's row appears whether or not anything was found.
+    Copies of a blob are dropped before the shuffle, which moves each text once for each map task at most.
     """
     history = blobs(docs, text_col)
     names = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
-    if seen is None:
-        todo = history.groupBy("blob").agg(F.first("text").alias("text"))
-        new = materialize(scan(todo, rules), "findings")
-        return history.select("blob").distinct().select("blob", F.inline(names)), new
+    once = history.groupBy("blob").agg(F.first("text").alias("text"))
     pairs = history.select("blob").distinct().select("blob", F.inline(names))
+    if seen is None:
+        return pairs, materialize(scan(once.withColumn("missing", names), rules), "findings")
     new = materialize(pairs.join(seen.select("blob", "rule", "version").distinct(), ["blob", "rule", "version"], "left_anti"), "ledger")
-    todo = history.join(new.select("blob").distinct(), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
-    found = scan(todo, rules).join(new, ["blob", "rule", "version"], "left_semi")
-    return new, found
+    missing = new.groupBy("blob").agg(F.collect_list(F.struct("rule", "version")).alias("missing"))  # one entry for each rule at most
+    return new, materialize(scan(once.join(missing, "blob"), rules), "findings")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -104,8 +107,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = F.element_at(F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i)))), F.col("rule"))
     item = F.struct(F.col("start").cast("long").alias("start"), rank.alias("rank"), F.concat_ws(":", "rule", F.col("start").cast("string"), F.col("stop").cast("string")).alias("span"))
     by_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias("blob"))
-    joined = rows.join(by_blob, "blob", "left")
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias("blob")), "paths")
+    # A blob may have a third of all paths: they are dealt out.
+    paths = rows.groupBy("blob").agg(F.count("*").alias("n"))
+    joined = join_hot(rows, by_blob.join(paths, "blob"), "blob", F.xxhash64("doc_id"), rows.count(), "left")
     items = F.coalesce("items", F.array().cast("array<struct<start:bigint,rank:int,span:string>>"))
     spans = lambda keep: F.array_join(F.transform(F.filter(items, keep) if keep else items, lambda x: x["span"]), ",")
     count = lambda k: F.size(F.filter(items, lambda x: x["rank"] == k)).cast("long")
