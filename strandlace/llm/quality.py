@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, join_hot, materialize
 
 WINDOW = 5
 
@@ -77,10 +77,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host:
     null ids keep a row each; an empty table gives none.
     """
     measured = materialize(measure(docs, id_col, text_col, host, keep), "measures")
-    bad = host_rates(measured).where((F.col("rate") > reject_rate) & F.col("host").isNotNull()).select("host", F.col("rate").alias("host_rate"))
+    bad = host_rates(measured).where((F.col("rate") > reject_rate) & F.col("host").isNotNull()).select("host", F.col("rate").alias("host_rate"), F.col("docs").alias("n"))
     if bad.limit(broadcast_hosts + 1).count() <= broadcast_hosts:  # rejected hosts are few; the documents then stay in place
-        bad = F.broadcast(bad)
-    return measured.join(bad, "host", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("host_rate").isNull())
+        told = measured.join(F.broadcast(bad.drop("n")), "host", "left")
+    else:
+        told = join_hot(measured, bad, "host", F.xxhash64("doc_id", "n_words", "word_chars"), measured.count(), "left")
+    return told.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("host_rate").isNull())
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

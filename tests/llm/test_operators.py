@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from strandlace.llm import decontamination, licenses, line_dedup, packing, quality, scoring, secrets, sharding, simhash, substring_dedup
+from strandlace.llm.common import join_hot
 from strandlace.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, key long, spans string, th string, word string, shard int"
@@ -86,6 +87,25 @@ def test_secret_ledger_is_incremental(spark, docs):
     assert {(r["rule"], r["version"]) for r in again.collect()} == {("hex", 2)}
 
 
+def test_secret_scan_runs_missing_pairs_only(spark, docs):
+    ledger, found = secrets.update_ledger(docs)
+    part = ledger.where("rule <> 'hex' and rule <> 'jwt'")
+    new, later = secrets.update_ledger(docs, part)
+    assert {r["rule"] for r in new.collect()} == {"hex", "jwt"}
+    assert got(later, "blob", "rule", "start", "stop") == got(found.where("rule in ('hex', 'jwt')"), "blob", "rule", "start", "stop") != []
+    none, nothing = secrets.update_ledger(docs, ledger)
+    assert none.count() == nothing.count() == 0
+
+
+def test_join_hot_deals_out_keys(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 9 + [3] + [None] * 30 + [4] * 10)], "k long, i long")
+    right = rows.where("k is not null and k <> 4").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)
+    for how, lost in (("inner", False), ("left", True)):
+        out = join_hot(rows, right, "k", F.xxhash64("i"), 100, how, share=50, least=3)
+        want = [(r["k"], r["i"], None if r["k"] in (None, 4) else r["k"] * 10) for r in rows.collect() if lost or r["k"] in (1, 2, 3)]
+        assert out.columns == ["k", "i", "v"] and got(out, "k", "i", "v") == sorted(want, key=repr)
+
+
 def test_simhash(docs, rows):
     want = sorted(brute.near_components([(d, t) for d, t, _ in rows]), key=repr)
     for limit in (2048, 3):
@@ -185,6 +205,8 @@ def test_host_verdict(spark):
     rows = [(i, "bad", "junk") for i in range(30)] + [(100, good, "junk"), (101, good, "fine"), (102, "bad", "fine"), (103, good, None)] + [(200 + i, good, "fine") for i in range(5)]
     kept = {r["doc_id"] for r in quality.judge(table(spark, rows)).where("kept").collect()}
     assert kept == {101, 103, *range(200, 205)}
+    shuffled = {r["doc_id"] for r in quality.judge(table(spark, rows), broadcast_hosts=0).where("kept").collect()}
+    assert shuffled == kept
 
 
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog again and again"), (2, "tiny item"), (3, None), (4, "..."), (5, "ÉTÉ " * 12), (None, "nul l"), (10, "x x x x x x x x x x x x"), (2, "second text of two")]
