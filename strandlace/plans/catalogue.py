@@ -15,6 +15,7 @@ from ..operators.karlin import match_lambda
 from ..operators.kernel import Scoring
 from ..operators.peaks import PeaksConfig, find_peaks, mad_threshold, profile_maxima, ratio_number
 from ..operators.spectrum import rank_peaks, spectrum
+from ..operators.tiles import record_tiles
 from ..sources.fasta import fasta_text, record_spans, split_records
 from ..sources.tables import densify_profile, display_order, peak_fields, periodogram_fields
 from .dotplot import PlotConfig, dotplot, translated_dotplot
@@ -633,3 +634,20 @@ def _(spark, d):
     """Each pair of records is a tile sampled in its own coordinates."""
     lit = dotplot(_turn_pairs(spark, d), KEY)
     return lit.groupBy(*KEY, S.div(F.col("px"), F.lit(10)).alias("tx"), S.div(F.col("py"), F.lit(10)).alias("ty")).agg(F.max("value").alias("value"), F.count("*").alias("lit"))
+
+
+TALK_SQL = f"SELECT conv_id, string_agg({DNA_SQL}, '' ORDER BY turn) AS query, arg_min({DNA_SQL}, turn) AS subject FROM conversations GROUP BY conv_id"
+
+
+@query("tile_records", f"""
+WITH lit AS ({_plot_sql(TALK_SQL, "conv_id", 8, 12)}), t AS (SELECT conv_id, turn, length({DNA_SQL}) AS n, greatest(1, CAST(ceil(length({DNA_SQL}) / 10) AS BIGINT)) AS cells FROM conversations),
+sp AS (SELECT *, sum(n) OVER w - n AS start, sum(n) OVER w AS stop, sum(cells) OVER w - cells AS off FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
+SELECT lit.conv_id, CAST(off + (lit.px - start) // 10 AS BIGINT) AS px, lit.py // 10 AS py, max(value) AS value FROM lit JOIN sp ON lit.conv_id = sp.conv_id AND lit.px >= start AND lit.px < stop GROUP BY ALL""")
+def _(spark, d):
+    """A conversation's turns as records on one axis, its first turn on the other, sampled record by record."""
+    turns = _read(spark, d, "conversations").select("conv_id", "turn", Q.dna_view(F.col("text")).alias("seq"))
+    spans = record_spans(turns, ["conv_id"], "turn", F.length("seq")).select("conv_id", "turn", "start", "stop")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "seq"))), lambda x: x["seq"])
+    talk = turns.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", F.array_join("parts", "").alias("query"), F.get("parts", F.lit(0)).alias("subject"))
+    first = talk.select("conv_id", F.lit(0).cast("long").alias("start"), F.length("subject").cast("long").alias("stop"))
+    return record_tiles(dotplot(talk, ["conv_id"]), spans, first, ["conv_id"], 10)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from strandlace.functions import labels, scores, sequence
 from strandlace.matrices import blosum62, custom_dna, dna_identity, parse_matrix
-from strandlace.operators import karlin, peaks, periodogram, ridges, spectrum
+from strandlace.operators import karlin, peaks, periodogram, ridges, spectrum, tiles
 from strandlace.operators.kernel import Scoring
 from strandlace.plans.dotplot import PlotConfig, PlotError, dotplot, translated_dotplot
-from strandlace.sources import fasta, images, tables
+from strandlace.sources import fasta, images, sessions, tables
 
 
 def one(spark, *columns):
@@ -281,3 +281,48 @@ def test_render_fidelity(spark):
     assert ridges.dark_runs(bright, ["id"], 1).count() == 0
     sizes = spark.createDataFrame([(1, 240, 240)], "id long, width long, height long")
     assert ridges.dark_runs(ridges.resize_nearest(bright, sizes, ["id"], 360), ["id"], 1).count() > 0
+
+
+def test_record_tiles(spark):
+    """Against a direct maximum over each tile's cells; equal records give equal tiles, empty ones a cell."""
+    rng, sizes, zoom = random.Random(8), [7, 7, 0, 1, 2500, 3], 3
+    spans, at = [], 0
+    for n in sizes:
+        spans.append((1, at, at + n))
+        at += n
+    lit = {(rng.randrange(at), rng.randrange(at)): rng.randint(1, 255) for _ in range(400)}
+    lit |= {(2, 9): 200, (9, 2): 199, (at + 5, 1): 250}
+    axis, starts = spark.createDataFrame(spans, "plot long, start long, stop long"), []
+    for n in sizes:
+        starts.append(sum(max(1, -(-m // zoom)) for m in sizes[: len(starts)]))
+
+    def place(p):
+        return next((starts[i] + (p - s) // zoom for i, (_, s, e) in enumerate(spans) if s <= p < e), None)
+
+    want = {}
+    for (x, y), v in lit.items():
+        if place(x) is not None and place(y) is not None:
+            cell = (place(x), place(y))
+            want[cell] = max(v, want.get(cell, 0))
+    pixels = spark.createDataFrame([(1, x, y, v) for (x, y), v in lit.items()], "plot long, px long, py long, value long")
+    out = tiles.record_tiles(pixels, axis, axis, ["plot"], zoom)
+    assert {(r["px"], r["py"]): r["value"] for r in out.collect()} == want
+    laid = tiles.record_axis(axis, ["plot"], zoom).orderBy("start", "stop").collect()
+    assert [(r["offset"], r["cells"]) for r in laid] == list(zip(starts, [max(1, -(-n // zoom)) for n in sizes], strict=True))
+
+
+def test_sessions(spark, tmp_path):
+    plot = {"mode": "blastn", "matrix_name": "DNA", "window_size": 9, "zoom": 4, "pixel_fac": 30, "strand": "both", "self_comparison": False, "triangle": "both", "memory_limit_mib": 2}
+    view = {"offset_x": 0.5, "offset_y": -2.0, "display_zoom": 1.5, "crosshair": [10, 3], "light_theme": True, "align_dock_visible": False, "align_window_size": 60}
+    session = sessions.Session(plot, {"white": 40, "black": 100, "swap": False}, view, 'a "b"\\c\n.fa')
+    text = sessions.session_toml(session)
+    assert sessions.parse_session(text) == session and session.subject is None
+    (tmp_path / "s.toml").write_text(text)
+    assert sessions.read_session(spark, f"file://{tmp_path}/s.toml") == session
+    cfg = sessions.plot_config(session)
+    assert (cfg.window, cfg.zoom, cfg.factor, cfg.strand, cfg.memory_limit) == (9, 4, 30, "both", 2 << 20)
+    old = "".join(x for x in text.splitlines(True) if "align_" not in x).replace("version = 2", "version = 1")
+    assert sessions.parse_session(old).view == view | {"crosshair": [42, 14], "align_dock_visible": True, "align_window_size": 100}
+    for bad in (text.replace("version = 2", "version = 3"), text.replace("zoom = 4\n", ""), "x = ["):
+        with pytest.raises(sessions.SessionError):
+            sessions.parse_session(bad)
