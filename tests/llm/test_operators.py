@@ -262,6 +262,42 @@ def test_model_beats_base_on_held_out(spark):
     assert score > base
 
 
+def test_words_beyond_the_core_take_classes(spark):
+    """Nouns and verbs alternate; those beyond the core still find the class of their kind."""
+    rng = random.Random(7)
+    weight = [1 / (i + 1) for i in range(200)]
+    nouns, verbs = [f"n{i}" for i in range(200)], [f"v{i}" for i in range(200)]
+    text = lambda: " ".join(f"{a} {b}" for a, b in zip(rng.choices(nouns, weight, k=60), rng.choices(verbs, weight, k=60), strict=True))
+    docs = table(spark, [(i, text(), None) for i in range(200)])
+    score = lambda **k: scoring.score_documents(docs, clustered=10, classes=2, **k).where("held_out").agg(F.sum("score")).first()[0]
+    assert score() > 0.9 * score(classed=0) and score() > score(classed=0) + 100  # log10
+
+
+def test_joining_a_class_is_the_best_move():
+    rng = np.random.default_rng(3)
+    k = 6
+    joint = rng.integers(50, 400, (k, k)).astype(float)
+    joint[-1] += 500
+    joint[:, -1] += 500
+    left, right = rng.integers(0, 4, (30, k)).astype(float), rng.integers(0, 4, (30, k)).astype(float)
+    left[:, -1] = right[:, -1] = 0  # no word beside another of the last class, so the gains are exact
+    right[:, 0] += np.maximum(left.sum(axis=1) - right.sum(axis=1), 0)
+    left[:, 0] += np.maximum(right.sum(axis=1) - left.sum(axis=1), 0)
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+
+    def likelihood(w, a):
+        g = joint.copy()
+        g[-1] -= right[w]
+        g[:, -1] -= left[w]
+        g[a] += right[w]
+        g[:, a] += left[w]
+        return f(g) - f(joint.sum(axis=0) + np.eye(k)[a] * left[w].sum() - np.eye(k)[-1] * left[w].sum()) - f(joint.sum(axis=1) + np.eye(k)[a] * right[w].sum() - np.eye(k)[-1] * right[w].sum())
+
+    took = scoring.join_classes(left, right, joint)
+    for w in range(30):
+        assert likelihood(w, took[w]) >= max(likelihood(w, a) for a in range(1, k)) - 1e-6
+
+
 def test_shards(docs, rows):
     eight, nine = dict.fromkeys(range(8), 1.0), dict.fromkeys(range(9), 1.0)
     out = sharding.assign_shards(docs, eight, nine).toPandas()
