@@ -218,10 +218,11 @@ def _prints(shingle: int):
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_limit: int = 2048) -> DataFrame:
-    """``doc_id, did, th, fp, component_id`` for each input row.
+    """``doc_id, did, th, fp, component_id, root`` for each input row.
 
     ``component_id`` is the smallest id that links of at most ``radius``
-    differing bits reach.  Null and empty texts have fingerprint 0, which links
+    differing bits reach; ``root``, the smallest fingerprint there, names the
+    component where ids are null or repeated.  Null and empty texts have fingerprint 0, which links
     like any other; a null id counts as no id when the smallest is sought (a
     component of null ids only has a null id); identical rows and rows that
     share an id link by their texts alone.
@@ -232,8 +233,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(link_fingerprints(nodes.select("fp"), radius, shard_limit), "a", "b")
     rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", F.col("n").alias("rows")), "rooted")
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
-    member = join_hot(rooted, least, "root", F.xxhash64("fp"), nodes.count()).select("fp", "component_id", F.col("rows").alias("n"))
-    return join_hot(prints, member, "fp", F.xxhash64("did", "th"), prints.count(), sizes=nodes).select("doc_id", "did", "th", "fp", "component_id")
+    member = join_hot(rooted, least, "root", F.xxhash64("fp"), nodes.count()).select("fp", "component_id", "root", F.col("rows").alias("n"))
+    return join_hot(prints, member, "fp", F.xxhash64("did", "th"), prints.count(), sizes=nodes).select("doc_id", "did", "th", "fp", "component_id", "root")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

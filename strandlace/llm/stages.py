@@ -38,8 +38,8 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id, then the smallest text hash."""
-    groups = near_groups(docs).select("component_id", "did", "th").distinct()
-    first = groups.groupBy("component_id").agg(F.min(F.struct("did", "th")).alias("k")).select(F.col("k.did").alias("_sl_did"), F.col("k.th").alias("_sl_th"))
+    groups = near_groups(docs).select("root", "did", "th").distinct()
+    first = groups.groupBy("root").agg(F.min(F.struct("did", "th")).alias("k")).select(F.col("k.did").alias("_sl_did"), F.col("k.th").alias("_sl_th"))
     # Identical rows are one document: of them, too, one stays.
     return _named(docs).join(first, ["_sl_did", "_sl_th"], "left_semi").dropDuplicates(["_sl_did", "_sl_th"]).select(*docs.columns)
 

@@ -1,6 +1,7 @@
 """Pipeline stages against brute force, and registered queries against their SQL."""
 
 import os
+import random
 
 import brute
 import corpus_pipeline
@@ -40,6 +41,18 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in stages.packing_stage(spark, clean, str(tmp_path)).collect()} == {d for d, _ in left} - hit
 
 
+def far_texts(n, words=60):
+    rng = random.Random(n)
+    return [" ".join(f"w{rng.randrange(10**6)}" for _ in range(words)) for _ in range(n)]
+
+
+def test_near_stage_null_and_repeated_ids(spark, tmp_path):
+    """Different texts all stay, whatever their ids; copies of one text are one document still."""
+    a, b, c, d, e = far_texts(5)
+    docs = table(spark, [(None, a, None), (None, b, None), (7, c, None), (7, d, None), (8, d, None), (9, e, None), (9, e, None)])
+    assert texts(stages.near_stage(spark, docs, str(tmp_path))) == sorted([(None, a), (None, b), (7, c), (7, d), (9, e)], key=repr)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "best_fit_packing"
