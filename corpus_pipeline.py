@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlace.llm.common import materialize
-from strandlace.llm.stages import leak_stage, line_stage, near_stage, packing_stage, quality_stage
+from strandlace.llm.stages import alike_stage, leak_stage, line_stage, packing_stage, quality_stage
 
 STAGES = [
     ("quality_rules", quality_stage),
     ("line_dedup", line_stage),
-    ("simhash_near_dedup", near_stage),
+    ("near_dedup", alike_stage),
     ("benchmark_decontamination", leak_stage),
     ("best_fit_packing", packing_stage),
 ]
 
-#: SimHash groups are connected components, and tokens come from a tokenizer: SQL can't express the result.
+#: Groups of near copies are connected components, and tokens come from a tokenizer: SQL can't express the result.
 ORACLE_SQL = None
 
 

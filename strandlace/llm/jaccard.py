@@ -1,0 +1,133 @@
+"""Near copies by the Jaccard similarity of word shingles.
+
+Minima of ``BANDS`` times ``ROWS`` hashes of a text's shingles give a key for
+each band; texts that share a key are compared by their whole shingle sets.
+Two texts of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS:
+0.9994 at 0.8.  A SimHash of 64 bits can't stand in for this: pairs at 0.8
+differ by about 10 bits, and blocks that leave so many bits free select nothing.
+
+A key that many texts share is not compared in full: each text meets its
+``BESIDE`` predecessors in an order of the band's own, so pairs grow with the
+texts, and a group of near copies hangs together by its members' different
+neighbours in the bands.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import column, identified, ints, materialize, mix, steps
+from .components import components
+
+_U = np.uint64
+BANDS, ROWS, BESIDE = 14, 4, 4
+#: Odd factors: each turns shingle hashes into another order.
+_FACTORS = mix(np.arange(BANDS * ROWS), 77) | _U(1)
+#: Shingles that one step of the minima holds.
+_STEP = 1 << 14
+
+
+def shingles(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the different ``shingle``-word shingles of a UTF-8 text, A-Z lower-cased; a shorter text is one shingle."""
+    words = text.lower().split()
+    x = xxhash.xxh64_intdigest
+    flat = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([x(flat)], _U)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    start = (end - size)[: len(words) - shingle + 1].tolist()
+    return np.unique(np.array([x(flat[s:e]) for s, e in zip(start, end[shingle - 1 :].tolist(), strict=True)], _U))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a text's shingle hashes."""
+    low = np.full(BANDS * ROWS, ~_U(0))
+    for at in range(0, len(h), _STEP):
+        low = np.minimum(low, (_FACTORS[:, None] * h[at : at + _STEP]).min(axis=1))
+    key = np.arange(BANDS).astype(_U)
+    for r in range(ROWS):
+        key = mix(key ^ low[r::ROWS], r)
+    return key
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _keys(shingle: int):
+    def run(batches):
+        for b in steps(batches):
+            keys = np.concatenate([band_keys(shingles(t, shingle)) for t in column(b, "text").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(b, "did"), column(b, "th"), lists], names=["did", "th", "keys"])
+
+    return run
+
+
+def _beside(batches):
+    """Pairs of each text and its predecessors that share its key; rows come sorted by key."""
+    key = th = np.zeros(0, np.int64)
+    for b in batches:
+        old = len(key)
+        key, th = np.concatenate((key, ints(b, "key"))), np.concatenate((th, ints(b, "th")))
+        for back in range(1, BESIDE + 1):
+            at = np.arange(max(old, back), len(key))
+            at = at[key[at] == key[at - back]]
+            if len(at):
+                x, y = th[at], th[at - back]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
+        key, th = key[-BESIDE:], th[-BESIDE:]
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """``a, b``: different texts to compare, of ``nodes`` (th, keys)."""
+    keyed = nodes.select("th", F.explode("keys").alias("key"))
+    # A key of many texts is dealt out; there are fewer than 14,000 such keys, so their broadcast is bounded.
+    limit = max(1024, nodes.count() // 1000)
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    order = F.xxhash64("th", "key")
+    part = F.coalesce(F.pmod(order, F.ceil(F.col("n") / limit)), F.lit(0).cast("long"))
+    placed = keyed.join(F.broadcast(large), "key", "left").select(F.xxhash64("key", part).alias("key"), order.alias("order"), "th")
+    return placed.repartition(F.col("key")).sortWithinPartitions("key", "order", "th").mapInArrow(_beside, "a long, b long").distinct()
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for b in steps(batches):
+            yield pa.RecordBatch.from_arrays([column(b, "th"), pa.array([shingles(t, shingle).tobytes() for t in column(b, "text").to_pylist()], pa.binary())], names=["th", "set"])
+
+    return run
+
+
+def _alike(least: float):
+    def run(batches):
+        for b in batches:
+            pairs = zip(column(b, "x"), column(b, "y"), strict=True)
+            keep = pa.array([similarity(*(np.frombuffer(s.as_buffer(), _U) for s in p)) >= least for p in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([column(b, c).filter(keep) for c in "ab"], names=["a", "b"])
+
+    return run
+
+
+def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``th, did, root``: each different text with its smallest id (a null id is the smallest) and the text hash that names its group.
+
+    Groups are the components of links between texts whose ``shingle``-word
+    shingles have a Jaccard similarity of ``least`` or more; texts without words are alike.
+    """
+    rows = identified(docs, id_col, text_col)
+    keyed = materialize(rows.mapInArrow(_keys(shingle), "did long, th long, keys array<long>"), "band-keys")
+    nodes = materialize(keyed.groupBy("th").agg(F.min("did").alias("did"), F.first("keys").alias("keys")), "distinct-texts")
+    pairs = materialize(candidates(nodes.select("th", "keys")), "candidates")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct().join(nodes, "th").select("did", "th")
+    # One row of each text that has a candidate; all others stay where they are.
+    sets = materialize(rows.select("did", "th", "text").join(met, ["did", "th"], "left_semi").mapInArrow(_sets(shingle), "th long, set binary").dropDuplicates(["th"]), "shingle-sets")
+    both = pairs.join(sets.select(F.col("th").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
+    roots = components(both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"), "a", "b")
+    return nodes.select("th", "did").join(roots.withColumnRenamed("node", "th"), "th", "left").select("th", "did", F.coalesce("root", "th").alias("root"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID
 from .decontamination import find_leaks
+from .jaccard import alike_groups
 from .line_dedup import remove_repeated_lines
 from .packing import pack
 from .quality import judge
@@ -36,12 +37,22 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.where(~cut | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select(*(out[c].alias(c) for c in docs.columns))
 
 
+def _only(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The documents named in ``first``; identical rows are one document: of them, too, one stays."""
+    return _named(docs).join(first, ["_sl_did", "_sl_th"], "left_semi").dropDuplicates(["_sl_did", "_sl_th"]).select(*docs.columns)
+
+
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id, then the smallest text hash."""
+    """One document of each near-duplicate group by op2's contract: the one with the smallest id, then the smallest text hash."""
     groups = near_groups(docs).select("root", "did", "th").distinct()
     first = groups.groupBy("root").agg(F.min(F.struct("did", "th")).alias("k")).select(F.col("k.did").alias("_sl_did"), F.col("k.th").alias("_sl_th"))
-    # Identical rows are one document: of them, too, one stays.
-    return _named(docs).join(first, ["_sl_did", "_sl_th"], "left_semi").dropDuplicates(["_sl_did", "_sl_th"]).select(*docs.columns)
+    return _only(docs, first)
+
+
+def alike_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that share 0.8 or more of their five-word shingles; the choice is ``near_stage``'s."""
+    first = alike_groups(docs).groupBy("root").agg(F.min(F.struct("did", "th")).alias("k")).select(F.col("k.did").alias("_sl_did"), F.col("k.th").alias("_sl_th"))
+    return _only(docs, first)
 
 
 def leak_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import brute
 import corpus_pipeline
 import pytest
-from strandlace.llm import entries, stages
+from strandlace.llm import entries, jaccard, stages
 from test_operators import corpus, table, unique
 from verify import compare, duck
 
@@ -53,6 +53,37 @@ def test_near_stage_null_and_repeated_ids(spark, tmp_path):
     assert texts(stages.near_stage(spark, docs, str(tmp_path))) == sorted([(None, a), (None, b), (7, c), (7, d), (9, e)], key=repr)
 
 
+def test_near_copies_go_and_others_stay(spark, tmp_path):
+    """The pipeline's stage against all pairs: copies at 0.8 to 0.95 go, looser ones stay; ids may be null or repeated."""
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    rng, rows = random.Random(1), []
+    for i, t in enumerate(far_texts(60, 200)):
+        copy = t.split()
+        for at in rng.sample(range(200), 1 + i % 8):
+            copy[at] = f"edit{at}"
+        rows += [(10 * i if i % 5 else None, t, None), (10 * i + 5 if i % 7 else 3, " ".join(copy), None)]
+    rows += [(1, " \n", None), (2, "", None), (2, None, None)]
+    grams = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in ((t or "").split() for _, t, _ in rows)]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    group = list(range(len(rows)))
+    for i, j in sorted(alike):
+        group = [group[j] if g == group[i] else g for g in group]
+    out = stage(spark, table(spark, rows), str(tmp_path)).collect()
+    assert 20 < len(rows) - len(set(group)) < 50 and len(out) == len(set(group))
+    assert {group[next(k for k, (d, t, _) in enumerate(rows) if (d, t) == (r["doc_id"], r["text"]))] for r in out} == set(group)
+
+
+def test_large_group_of_near_copies_is_one(spark):
+    base = far_texts(1, 120)[0].split()
+    rng, rows = random.Random(2), []
+    for i in range(1500):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"edit{i}"
+        rows.append((i, " ".join(copy), None))
+    groups = jaccard.alike_groups(table(spark, rows))
+    assert groups.count() == 1500 and groups.select("root").distinct().count() == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "best_fit_packing"
