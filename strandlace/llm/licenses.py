@@ -57,6 +57,7 @@ RULES = (
 
 #: A sentence ends at a stop, colon or question mark before white space, or at a line of its own.
 _CUT = re.compile(rb"(?<=[.!?:;])[\x20\t]+|[\x20\t\r]*\n[\x20\t\r]*(?:\n[\x20\t\r]*)*")
+_STOPS = (b".", b"!", b"?", b":", b";")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+(?:\.[0-9]+)*")
 
 
@@ -64,36 +65,53 @@ def normal(sentence: bytes) -> str:
     return b" ".join(_WORD.findall(sentence.lower())).decode("utf-8", "replace")
 
 
-def recognise(text: bytes, sentences: dict[str, str], rules, gap: int, probe) -> tuple[list[str], list[str], list[tuple[int, int]]]:
+def beginnings(sentences) -> set[str]:
+    """Whole-word beginnings of all sentences, which bound what lines are joined."""
+    return {" ".join(words[:n]) for words in map(str.split, sentences) for n in range(1, len(words) + 1)}
+
+
+def recognise(text: bytes, sentences: dict[str, str], rules, gap: int, probe, begun: set[str]) -> tuple[list[str], list[str], list[tuple[int, int]]]:
     """Identifiers in order, licences in order of their first sentence, and the byte span of each licence.
 
-    Sentences that a licence's text breaks over lines are joined: where a line
-    isn't a known sentence, it is tried together with up to eight following ones.
+    Sentences that a licence's text breaks over lines are joined: a line is tried
+    together with the following ones as long as they begin a known sentence
+    (``begun``).  Gaps are counted in sentences, however many lines they take.
     """
     if not probe(text):
         return [], [], []
-    cuts = [0, *[x for m in _CUT.finditer(text) for x in m.span()], len(text)]
-    parts = [(s, e) for s, e in zip(cuts[::2], cuts[1::2], strict=True) if e > s]
-    names = [normal(text[s:e]) for s, e in parts]
-    starts = {k.split(" ", 1)[0] for k in sentences}
-    longest = max(map(len, sentences), default=0)
+    parts, names, sentence = [], [], []  # byte span, words and sentence number of each part with words
+    start, number = 0, 0
+    for m in [*_CUT.finditer(text), None]:
+        end = m.start() if m else len(text)
+        if name := normal(text[start:end]):
+            parts.append((start, end))
+            names.append(name)
+            sentence.append(number)
+        # A single line break after no stop is a wrapped line; a part without words ends a sentence too.
+        if m and (not name or m[0].count(b"\n") != 1 or text[end - 1 : end] in _STOPS):
+            number += 1
+        start = m.end() if m else end
     found: list[tuple[int, int, str]] = []  # first part, last part, identifier
     i = 0
     while i < len(parts):
-        joined, took = names[i], None
-        if joined.split(" ", 1)[0] in starts:
-            for j in range(i, min(i + 9, len(parts))):
-                joined = names[i] if j == i else f"{joined} {names[j]}"
-                if len(joined) > longest:
-                    break
-                if joined in sentences:
-                    took = j
-                    ident = sentences[joined]
+        joined, took = "", None
+        for j in range(i, len(parts)):
+            joined = f"{joined} {names[j]}" if joined else names[j]
+            if joined not in begun:
+                break
+            if joined in sentences:
+                took = j
+                ident = sentences[joined]
         if took is None:
             i += 1
         else:
             found.append((i, took, ident))
             i = took + 1
+
+    def far(k: int, q: int) -> bool:
+        first, last = found[k][1] + 1, found[q][0] - 1
+        return last >= first and sentence[last] - sentence[first] + 1 > gap
+
     licences, spans, used = [], [], set()
     for licence, wanted in rules:
         for at in range(len(found)):
@@ -101,8 +119,8 @@ def recognise(text: bytes, sentences: dict[str, str], rules, gap: int, probe) ->
             if found[at][2] != wanted[0] or at in used:
                 continue
             for want in wanted[1:]:
-                nxt = next((q for q in range(k + 1, len(found)) if found[q][0] - found[k][1] > gap + 1 or (found[q][2] == want and q not in used)), None)
-                if nxt is None or found[nxt][2] != want or found[nxt][0] - found[k][1] > gap + 1:
+                nxt = next((q for q in range(k + 1, len(found)) if far(k, q) or (found[q][2] == want and q not in used)), None)
+                if nxt is None or found[nxt][2] != want or far(k, nxt):
                     break
                 chain.append(nxt)
                 k = nxt
@@ -119,10 +137,11 @@ def _scan(sentences: dict[str, str], rules, gap: int):
     probe = re.compile(b"|".join(re.escape(h.encode()) for h in hints), re.IGNORECASE).search
 
     def run(batches):
+        begun = beginnings(sentences)
         for b in steps(batches):
             ids, names, spans = [], [], []
             for t in column(b, "text").to_pylist():
-                i, n, s = recognise(t, sentences, rules, gap, probe)
+                i, n, s = recognise(t, sentences, rules, gap, probe, begun)
                 ids.append(i)
                 names.append(n)
                 at = np.cumsum(np.concatenate(([0], (np.frombuffer(t, np.uint8) & 0xC0) != 0x80))) if s else ()  # code points before each byte

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on awkward small tables."""
 
 import random
+import textwrap
 import zlib
 
 import brute
@@ -366,6 +367,26 @@ def test_licenses(docs, spark):
     assert out == ["Apache-2.0", "Apache-2.0", "GPL-3.0-or-later", "CC-BY-NC-4.0,MIT", ""]
 
 
+def found_licenses(spark, texts):
+    return [r["licenses"] for r in licenses.scan_licenses(table(spark, [(i, t, None) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+
+
+MIT = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+]
+
+
+def test_wrapped_licenses(spark):
+    """Sentences over any number of lines; a gap's sentences count once each, however wrapped."""
+    wrap = lambda n, parts=MIT: "\n\n".join(textwrap.fill(p, n) for p in parts)
+    other = "These words belong to no licence at all but they are long enough to be wrapped over many short lines of the text."
+    narrow, commented = wrap(20), "\n".join(f"# {line}".rstrip() for line in wrap(45).split("\n"))
+    one_gap = wrap(30, [MIT[0], other, MIT[1]])
+    wide_gap = "\n\n".join([MIT[0], other, other, other, MIT[1]])
+    assert found_licenses(spark, [wrap(45), narrow, commented, one_gap, wide_gap]) == ["MIT", "MIT", "MIT", "MIT", ""]
+
+
 OPERATORS = {
     "secrets": secrets.find_secrets, "simhash": simhash.near_groups, "lines": line_dedup.remove_repeated_lines, "scores": scoring.score_documents, "licenses": licenses.scan_licenses,
     "substrings": substring_dedup.remove_repeats, "quality": quality.judge, "shards": lambda d: sharding.assign_shards(d, {0: 1.0}), "packing": lambda d: packing.pack(d, PATH),
