@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on awkward small tables."""
 
 import random
+import re
 import textwrap
 import zlib
 
@@ -387,6 +388,35 @@ def test_wrapped_licenses(spark):
     assert found_licenses(spark, [wrap(45), narrow, commented, one_gap, wide_gap]) == ["MIT", "MIT", "MIT", "MIT", ""]
 
 
+@pytest.mark.parametrize(("text", "licence"), [
+    ("This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", "MIT"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("Licensed under the Creative Commons Attribution-NonCommercial\n3.0 Unported License.", "CC-BY-NC-3.0"),
+    ("Released under the GNU General Public License, version 2 or later.", "GPL-2.0-or-later"),
+    ("Released under the GNU GPLv3.", "GPL-3.0-only"),
+    ("This library is distributed under the terms of the GNU Lesser General Public License v2.1.", "LGPL-2.1-only"),
+    ("This software is licensed under the AGPL-3.0 license.", "AGPL-3.0-only"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\n License, v. 2.0. If a copy was not distributed", "MPL-2.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Published under CC0 1.0 Universal.", "CC0-1.0"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later\n\nint x;", "GPL-2.0-or-later"),
+    ("Licensed under no terms that anyone knows.", ""),
+    ("Apples under the tree.", ""),
+])
+def test_licence_families(text, licence):
+    found = licenses.recognise(text.encode(), licenses.reader(licenses.SENTENCES, True), licenses.RULES, 2, re.compile("|".join(licenses.hints(licenses.SENTENCES, True)).encode(), re.IGNORECASE).search)
+    assert found[1] == [licence][: bool(licence)]
+
+
+def test_licence_tables_are_normal_and_hinted(spark):
+    assert all(licenses.normal(k.encode()) == k for k in (*licenses.SENTENCES, *licenses._CALLED))
+    assert set(licenses._CALLED.values()) | set(licenses.SENTENCES.values()) >= {i for _, wanted in licenses.RULES for i in wanted}
+    own = {"software for all": "a", "do as you please": "b"}  # the second has none of the common words
+    out = licenses.scan_licenses(table(spark, [(1, "Do as you please.", None)]), sentences=own, rules=(("B", ("b",)),))
+    assert [r["licenses"] for r in out.collect()] == ["B"]
+
+
 OPERATORS = {
     "secrets": secrets.find_secrets, "simhash": simhash.near_groups, "lines": line_dedup.remove_repeated_lines, "scores": scoring.score_documents, "licenses": licenses.scan_licenses,
     "substrings": substring_dedup.remove_repeats, "quality": quality.judge, "shards": lambda d: sharding.assign_shards(d, {0: 1.0}), "packing": lambda d: packing.pack(d, PATH),
