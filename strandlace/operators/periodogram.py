@@ -145,7 +145,7 @@ def empirical_z(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig,
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(k), ids.type), pa.array(k, pa.int64()), pa.array(m), pa.array(z)], names=[key, "k", "signal_mean", "z_score"])
 
     kind = dict(records.dtypes)[key]
-    return records.select(key, F.col(seq).alias("_seq")).mapInArrow(run, f"`{key}` {kind}, k long, signal_mean double, z_score double")
+    return spread(records.select(key, F.col(seq).alias("_seq")), [key]).mapInArrow(run, f"`{key}` {kind}, k long, signal_mean double, z_score double")
 
 
 def z_mode(mode: str, white: int, black: int) -> str:

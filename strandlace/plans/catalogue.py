@@ -454,8 +454,9 @@ def _(spark, d):
 
 @query("pg_z_empirical")
 def _(spark, d):
+    """Offsets up to half of each item, against the default 200 shuffles."""
     items = _read(spark, d, "benchmark").select("item_id", Q.dna_view(F.col("text")).alias("seq"))
-    return P.empirical_z(items, "item_id", "seq", P.PeriodogramConfig(max_offset=20), 20, 42)
+    return P.empirical_z(items, "item_id", "seq", P.PeriodogramConfig(), 200, 42)
 
 
 # --- spectra and peaks -------------------------------------------------------------------------
@@ -537,7 +538,7 @@ def _(spark, d):
 
 
 def _classified(spark, d) -> DataFrame:
-    pg = P.periodogram(_dna(spark, d), "doc_id", "seq", P.PeriodogramConfig(max_offset=200)).select("doc_id", "k", P.signal_mean().alias("score"))
+    pg = P.periodogram(_dna(spark, d), "doc_id", "seq", P.PeriodogramConfig()).select("doc_id", "k", P.signal_mean().alias("score"))
     rows = pg.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "score"))).alias("s"))
     profile = rows.select("doc_id", F.transform("s", lambda x: x["score"]).alias("v"), F.element_at("s", 1)["k"].alias("base"))
     return find_peaks(profile, "doc_id", "v", "base", PeaksConfig(min_score=5.0, min_harmonics=0, subrepeat_min_score=5.0))
@@ -550,7 +551,7 @@ def _(spark, d):
 
 @query("peaks_table")
 def _(spark, d):
-    shown = display_order(_classified(spark, d).withColumnRenamed("doc_id", "record_id"), "record_id", 20, True)
+    shown = display_order(_classified(spark, d).withColumnRenamed("doc_id", "record_id"), "record_id", None, True)
     return peak_fields(shown)
 
 
