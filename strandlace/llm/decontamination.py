@@ -3,8 +3,8 @@
 The index is split by document: each map step stores the postings (positions in
 document order) of the test terms in its documents, and all test windows are
 asked of every such segment, so postings never cross the network.  A window
-starts from its rarest term's list; the lists of the other terms, rarest first,
-are intersected at their offsets until only exact phrases remain.
+starts from its rarest term's list; the other terms, rarest first,
+are read in the step's words at their offsets until only exact phrases remain.
 
 The test side is cut into blocks of ``block_windows`` windows, each a broadcast
 of bounded size; every block is asked of every segment.
@@ -154,20 +154,21 @@ def _search(blocks: list, slack: int):
             hit = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
             n_hit = hit[offsets[1:]] - hit[offsets[:-1]]
             found = [sorted(items.get(d, ())) for d in range(len(docs))]
+            beside = [sorted(close.get(d, ())) for d in range(len(docs))]
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id"), pa.array(total, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], pa.string()), pa.array(found, pa.list_(pa.string())), pa.array([len(close.get(d, ())) for d in range(len(docs))], pa.int64()), *(b.column(i) for i, f in enumerate(b.schema) if f.name.startswith("_sl_"))],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "n_near", *(f.name for f in b.schema if f.name.startswith("_sl_"))],
+                [column(b, "doc_id"), pa.array(total, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], pa.string()), pa.array(found, pa.list_(pa.string())), pa.array([len(x) for x in beside], pa.int64()), pa.array(beside, pa.list_(pa.string())), *(b.column(i) for i, f in enumerate(b.schema) if f.name.startswith("_sl_"))],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "n_near", "near_items", *(f.name for f in b.schema if f.name.startswith("_sl_"))],
             )
 
     return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, slack: int = 10, block_windows: int = 1_000_000, keep: list[str] | None = None) -> DataFrame:
-    """One row for each document: ``doc_id, n_words, n_hit, n_items, items_sha256, items, n_near``.
+    """One row for each document: ``doc_id, n_words, n_hit, n_items, items_sha256, items, n_near, near_items``.
 
     ``n_hit`` words lie in an occurrence of a test window (``width`` consecutive
     item words, or a shorter item's words); ``items`` are the items with
-    occurring windows, ``n_near`` counts the items of proximity matches.  Null
+    occurring windows, ``near_items`` are those of proximity matches (by a window's three rarest terms), ``n_near`` their number.  Null
     and empty texts have no words; items without words have no window; items
     that share an id are one item, a null id is the empty string; identical rows get
     identical results.  ``keep`` passes columns on under ``_sl_`` names.
@@ -176,10 +177,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     blocks = [spark.sparkContext.broadcast(x) for x in blocks_of(benchmark, item_col, item_text_col, width, block_windows)]
     passed, more = carried(docs, keep)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *passed)
-    return rows.mapInArrow(_search(blocks, slack), f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, n_near long{more}")
+    return rows.mapInArrow(_search(blocks, slack), f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, n_near long, near_items array<string>{more}")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """``find_leaks`` of the whole benchmark in all documents."""
     found = find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.withColumn("contaminated", F.col("n_hit") > 0).drop("items")
+    return found.withColumn("contaminated", F.col("n_hit") > 0).drop("items", "near_items")

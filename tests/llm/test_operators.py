@@ -225,6 +225,13 @@ def test_leaks(spark, rows, block):
     assert near[500] >= 1 and near[502] >= 2
 
 
+def test_proximity_matches_name_their_items(spark):
+    docs = table(spark, [(1, "alpha beta other gamma delta", None), (2, "alpha alone", None)])
+    items = spark.createDataFrame([(7, "alpha beta gamma delta"), (8, "no such words")], "item_id long, text string")
+    out = {r["doc_id"]: (r["n_near"], r["near_items"], r["items"]) for r in decontamination.find_leaks(docs, items).collect()}
+    assert out == {1: (1, ["7"], []), 2: (0, [], [])}
+
+
 def test_scores(spark, rows):
     out = {r["doc_id"]: r for r in scoring.score_documents(table(spark, unique(rows)), clustered=3, classes=2, table=15).collect()}
     for d, held, n, known, total, base in brute.base_scores([(d, t) for d, t, _ in unique(rows)]):
