@@ -37,7 +37,11 @@ class Rule:
 
 BASE = (Rule("assign", ASSIGN, 2, 8), Rule("access", "AKIA[A-Z0-9]+", 0, 16), Rule("hex", "[0-9a-f]+", 0, 32))
 #: Publicly documented token shapes beyond the base kinds.
-MORE = (Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"))
+#: Repeats before a literal are bounded, so a scan takes time in proportion to the text.
+MORE = (
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", version=2),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", version=2),
+)
 RULES = BASE + MORE
 
 
@@ -100,7 +104,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned as new.  Spans are ``kind:start:end`` in code points, end exclusive,
     by start and then by the order of the rules; ``base_sha256`` is over those of
     the base kinds.  A null or empty text has none; repeated rows and null ids
-    keep a row each; other columns are not read.
+    keep a row each; other columns are not read, whatever their names; a very long
+    text is scanned whole, in time in proportion to its length; an empty table gives no rows.
     """
     if findings is None:
         findings = update_ledger(docs, None, text_col, rules)[1]
