@@ -144,7 +144,8 @@ def notice(text: str) -> str | None:
 
 
 #: A sentence ends at a stop, colon or question mark before white space, or at a line of its own.
-_CUT = re.compile(rb"(?<=[.!?:;])[\x20\t]+|[\x20\t\r]*\n[\x20\t\r]*(?:\n[\x20\t\r]*)*")
+_CUT = re.compile(rb"(?<=[.!?:;])[\x20\t]+|\n")
+_BLANK = b"\x20\t\r"
 _STOPS = (b".", b"!", b"?", b":", b";")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+(?:\.[0-9]+)*")
 
@@ -178,12 +179,13 @@ def recognise(text: bytes, look, rules, gap: int, probe) -> tuple[list[str], lis
     start, number = 0, 0
     for m in [*_CUT.finditer(text), None]:
         end = m.start() if m else len(text)
-        if name := normal(text[start:end]):
-            parts.append((start, end))
+        part = text[start:end]
+        if name := normal(part):
+            parts.append((start + len(part) - len(part.lstrip(_BLANK)), start + len(part.rstrip(_BLANK))))
             names.append(name)
             sentence.append(number)
         # A single line break after no stop is a wrapped line; a part without words ends a sentence too.
-        if m and (not name or m[0].count(b"\n") != 1 or text[end - 1 : end] in _STOPS):
+        if m and (not name or m[0] != b"\n" or part.rstrip(_BLANK)[-1:] in _STOPS):
             number += 1
         start = m.end() if m else end
     found: list[tuple[int, int, str]] = []  # first part, last part, identifier
@@ -260,7 +262,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``sentences`` are the identifiers of known licence sentences in order,
     ``licenses`` the rules that hold, by first sentence, and ``spans`` are
     ``licence:start:end`` in code points.  A null or empty text has none; repeated rows and
-    null ids keep a row each.
+    null ids keep a row each; rules that could use the same sentence take it in
+    the order of ``rules``; a very long text is read whole, in time in proportion to its
+    length; an empty table gives no rows; other columns are not read, whatever their names.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
