@@ -173,17 +173,18 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     A document is its ids and ``end_id``; only documents of more than
     ``capacity`` tokens are cut.  A null or empty text is ``end_id`` alone; null
-    ids and repeated rows are packed like others; an empty table gives no rows.
+    ids and repeated rows are packed like others, and a row that repeats very often is
+    dealt out by a stored random column; a very long text is a step of its own; an
+    empty table gives no rows; other columns are not read, whatever their names.
     """
     if capacity < 1:
         raise ValueError("capacity must be 1 or more")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES), "pieces")
+    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES).withColumn("_sl_deal", F.floor(F.rand() * (1 << 16))), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan, _ = plan_best_fit(counts, capacity)
     buckets = min(1 << 16, max(64, -(-sum(counts.values()) // rows_per_bucket)))
-    spread = F.xxhash64(F.col("doc_id"), F.col("piece"), F.col("ids_crc32"))
-    ranked = gapless(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], spread, buckets, "rank")
+    ranked = gapless(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.col("_sl_deal"), buckets, "rank")
     return ranked.mapInArrow(_place(plan), f"{PIECES}, sequence_id long, offset long")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .ranks import gapless
 
 
@@ -31,21 +32,24 @@ def assign_shards(docs: DataFrame, weights: dict[int, float], grown: dict[int, f
     ``slot`` counts from 0 in each shard without gaps.  ``grown_shard`` is the
     shard under the weights ``grown`` (null without).  A null text has size 1
     and the CRC of the empty text; a null id is a key of its own; repeated rows
-    share a shard and have slots of their own.  Only narrow columns are shuffled.
+    share a shard and have slots of their own, also where one key holds a large part of
+    all rows: buckets follow a stored random column.  Only narrow columns are
+    shuffled.  A very long text is measured whole; an empty table gives no rows;
+    other columns are not read, whatever their names.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     shard = rendezvous(key, weights)
-    total = docs.select(id_col).count()
-    buckets = min(1 << 16, max(256, -(-total // (rows_per_bucket * len(weights)))))
-    rows = docs.select(
+    rows = materialize(docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         shard.cast("int").alias("shard"),
         (rendezvous(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
-    )
-    return gapless(rows, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.xxhash64(F.col("doc_id"), F.lit("slot")), buckets, "slot")
+        F.floor(F.rand() * (1 << 16)).alias("_sl_deal"),
+    ), "sharded")
+    buckets = min(1 << 16, max(256, -(-rows.count() // (rows_per_bucket * len(weights)))))
+    return gapless(rows, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("_sl_deal"), buckets, "slot").drop("_sl_deal")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
