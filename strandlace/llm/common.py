@@ -9,9 +9,7 @@ after an executor is lost makes the same rows.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,61 +39,92 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return z ^ (z >> _U(31))
 
 
-def window_hash(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each ``width`` consecutive entries of ``h`` (``len(h) - width + 1`` values)."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    with np.errstate(over="ignore"):
-        acc = np.zeros(n, _U)
-        for k in range(width):
-            acc *= _PHI
-            acc += h[k : k + n]
-    return mix(acc, width)
+#: Odd multipliers of the two lanes of range hashes, and their inverses modulo 2^64.
+_LANES = tuple((m, _U(pow(int(m), -1, 2**64))) for m in (_PHI, _U(0xD6E8FEB86659FD93)))
+
+
+class RangeHashes:
+    """128-bit hashes of ranges of a symbol sequence: equal ranges have equal hashes wherever they lie."""
+
+    def __init__(self, h: np.ndarray, second: np.ndarray | None = None) -> None:
+        self.lanes = []
+        with np.errstate(over="ignore"):
+            for x, (up, down) in zip((h, mix(h, 91) if second is None else second), _LANES, strict=True):
+                power = np.concatenate((np.ones(1, _U), np.cumprod(np.full(len(x), up))))
+                total = np.concatenate((np.zeros(1, _U), np.cumsum(x * power[:-1], dtype=_U)))
+                self.lanes.append((total, np.concatenate((np.ones(1, _U), np.cumprod(np.full(len(x), down))))))
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = (end - begin).astype(_U)
+        with np.errstate(over="ignore"):
+            return tuple(mix((total[end] - total[begin]) * back[begin] + size * _M2, i) for i, (total, back) in enumerate(self.lanes))
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; where unset (tests), a new one for this session."""
+    """The shared folder named in ``spark.checkpoint.dir``; where unset on a local master (tests), a new one for this session."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="strandlace-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+#: Removes a query's shuffle files once the query has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs restart from there when executors are lost.
 
-    After a ``large`` phase its shuffle files should go; they do once the driver drops its references,
-    so both collectors are asked to run here: Python's releases the handles of
-    frames, and only then can the JVM's find the shuffles unused.
+    The shuffle files of the phase go when its table is written.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    for pause in (0.3, 0.3) if large else ():
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    phase = spark.read.schema(df.schema).parquet(path)
+    phase._sl_path = path
+    return phase
+
 
+def discard(phase: DataFrame) -> None:
+    """Delete the table of a phase that ``materialize`` returned, once its successors are written."""
+    context = phase.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(phase._sl_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, spread: Column, total: int, how: str = "inner", sizes: DataFrame | None = None, share: int = 1000, least: int = 10_000) -> DataFrame:
-    """``rows`` joined with ``table``, which has each key once with the number ``n`` of its rows (dropped here).
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], spread: Column, total: int, how: str = "inner", sizes: DataFrame | None = None, share: int = 1000, least: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once.
 
     A key that over ``total / share`` of the ``total`` rows hold (and over
     ``least``) is dealt out: its rows by ``spread`` into parts of about that size, its
     table row to every part.  Such keys are fewer than ``share``, so their
-    broadcast is bounded.  ``sizes`` names a cheaper source of ``key, n``.
+    broadcast is bounded.  ``sizes`` has the keys and their numbers of rows ``n``;
+    without it ``table`` has ``n`` (dropped here).
     """
+    keys = [key] if isinstance(key, str) else key
+    if sizes is None:
+        sizes, table = table, table.drop("n")
     limit = max(least, -(-total // share))
-    parts = F.ceil(F.col("n") / limit)
-    hot = (table if sizes is None else sizes).where(F.col("n") > limit).select(key, parts.alias("_sl_parts"))
-    into = F.when(F.col(key).isNull(), F.lit(1 << 16)).otherwise(F.coalesce("_sl_parts", F.lit(1)))  # null keys match nothing and go anywhere
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_sl_part", F.pmod(spread, into)).drop("_sl_parts")
-    copies = table.withColumn("_sl_part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1))).drop("n")
-    return dealt.join(copies, [key, "_sl_part"], how).drop("_sl_part")
+    hot = F.broadcast(sizes.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).alias("_sl_parts")))
+    parts = F.coalesce("_sl_parts", F.lit(1))
+    into = F.when(F.col(keys[0]).isNull(), F.lit(1 << 16)).otherwise(parts)  # null keys match nothing and go anywhere
+    dealt = rows.join(hot, keys, "left").withColumn("_sl_part", F.pmod(spread, into)).drop("_sl_parts")
+    copies = table.join(hot, keys, "left").withColumn("_sl_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_sl_parts")
+    return dealt.join(copies, [*keys, "_sl_part"], how).drop("_sl_part")
+
+
+def join_documents(rows: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` (with ``did, th``) joined with ``table``, one row for each document; rows of a document that repeats very often are dealt out."""
+    sizes = rows.groupBy("did", "th").agg(F.count("*").alias("n"))
+    total = rows.count()
+    return join_hot(rows, table, ["did", "th"], F.monotonically_increasing_id(), total, how, sizes)
 
 
 def carried(docs: DataFrame, keep: list[str] | None) -> tuple[list, str]:
@@ -145,6 +174,16 @@ def pack_spans(starts: np.ndarray, width: int = 1) -> bytes:
     return np.column_stack((begin, end)).astype("<i4").tobytes()
 
 
+def pack_ranges(begin: np.ndarray, end: np.ndarray) -> bytes:
+    """Ranges in any order as merged ``(begin, end)`` pairs, int32."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = np.asarray(begin)[order], np.maximum.accumulate(np.asarray(end)[order])
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    return np.column_stack((begin[at], end[np.append(at[1:], len(begin)) - 1])).astype("<i4").tobytes() if len(at) else b""
+
+
 def covered(spans: list[bytes] | None, n: int, extra: int = 0) -> np.ndarray:
     """Boolean mask over ``n`` positions of the union of packed spans, each ``extra`` longer."""
     if not spans:
@@ -158,96 +197,151 @@ def covered(spans: list[bytes] | None, n: int, extra: int = 0) -> np.ndarray:
 
 # --- the earliest holder of each key ------------------------------------------------------------
 
-CLAIMS = "key long, did long, th long, pos int, spans binary"
-SPANS = "did long, th long, spans binary"
+#: ``key`` and ``twin`` are the two halves of a 128-bit hash; ``size`` is the kind of key: 0 or the length of a block.
+CLAIMS = "key long, twin long, size int, did long, th long, pos int, spans binary"
+SPANS = "did long, th long, block boolean, spans binary"
+_LOST = ["did", "th", "block", "spans"]
+#: Parts into which the span lists of one document are dealt before they are merged.
+_DEAL = 16
+
+
+def documents_in_order(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows of a step in identity order, repeated documents once."""
+    did, th = ints(batch, "did"), ints(batch, "th")
+    order = np.lexsort((th, did))
+    new = np.ones(len(order), bool)
+    new[1:] = (did[order][1:] != did[order][:-1]) | (th[order][1:] != th[order][:-1])
+    return order[new]
 
 
-def local_claims(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray, did: np.ndarray, th: np.ndarray, width: int, with_first: bool) -> pa.RecordBatch:
+def local_claims(keys: tuple[np.ndarray, np.ndarray], docs: np.ndarray, pos: np.ndarray, did: np.ndarray, th: np.ndarray, width: int, with_first: bool, size: np.ndarray | None = None, window: int = 1) -> pa.RecordBatch:
     """Claims of one step, pre-aggregated: one row for each distinct key, and later holders as ready spans.
 
     ``docs`` indexes the step's documents, which are sorted by identity, so that
     array order is occurrence order.  A key that the step holds twice needs no
     further proof: its later holders (with ``with_first`` all of them) go out as
     spans of their documents, and only the first holder competes globally.
+    Spans have ``width`` positions; with ``size`` those of the windows of
+    ``window`` words inside a block of that size.
     """
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    head = np.ones(len(k), bool)
-    head[1:] = k[1:] != k[:-1]
+    key, twin = keys
+    order = np.argsort(key, kind="stable")
+    head = np.ones(len(order), bool)
+    head[1:] = (key[order][1:] != key[order][:-1]) | (twin[order][1:] != twin[order][:-1])
     first = order[head]
     known = order[~head]
     if with_first and len(known):
-        twice = np.zeros(len(k), bool)
+        twice = np.zeros(len(order), bool)
         twice[:-1] |= head[:-1] & ~head[1:]
         known = np.concatenate((known, order[twice]))
     known.sort()
-    rows_key, rows_did, rows_th, rows_pos, blobs = keys[first].view(np.int64), did[docs[first]], th[docs[first]], pos[first], [None] * len(first)
+    n = len(first)
+    sizes = np.zeros(n, np.int32) if size is None else size[first]
+    out = [key[first], twin[first], sizes, did[docs[first]], th[docs[first]], pos[first]]
+    blobs: list = [None] * n
     if len(known):
         owner = docs[known]
-        cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-        at = np.concatenate(([0], cut))
-        blobs += [pack_spans(part, width) for part in np.split(pos[known], cut)]
+        at = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1))
+        for begin, end in zip(at.tolist(), [*at[1:].tolist(), len(known)], strict=True):
+            part = known[begin:end]
+            blobs.append(pack_spans(pos[part], width) if size is None else pack_ranges(pos[part], pos[part] + size[part] - window + 1))
         own = owner[at]
-        rows_key = np.concatenate((rows_key, th[own]))
-        rows_did, rows_th = np.concatenate((rows_did, did[own])), np.concatenate((rows_th, th[own]))
-        rows_pos = np.concatenate((rows_pos, np.full(len(own), -1)))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows_key, pa.int64()), pa.array(rows_did, pa.int64()), pa.array(rows_th, pa.int64()), pa.array(rows_pos.astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())],
-        names=["key", "did", "th", "pos", "spans"],
-    )
+        # Ready spans only travel through: their keys deal them out.
+        more = [mix(np.arange(len(own), dtype=_U) ^ key[0], 7), np.zeros(len(own), _U), np.full(len(own), 0 if size is None else 1), did[own], th[own], np.full(len(own), -1)]
+        out = [np.concatenate((x.view(np.int64) if x.dtype == _U else x, y.view(np.int64) if y.dtype == _U else y)) for x, y in zip(out, more, strict=True)]
+    key, twin, sizes, ids, hashes, at = (x.view(np.int64) if x.dtype == _U else x for x in out)
+    columns = [pa.array(key), pa.array(twin), pa.array(sizes.astype(np.int32)), pa.array(ids), pa.array(hashes), pa.array(at.astype(np.int32)), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "twin", "size", "did", "th", "pos", "spans"])
 
 
-def _settle(width: int, with_first: bool) -> Callable:
+def _settle(width: int, with_first: bool, window: int) -> Callable:
     def run(batches):
-        carry = None  # (key, did, th, pos, told) of the run that the last batch ended in
+        carry = None  # (key, twin, did, th, pos, size, told) of the first row of the run that the last batch ended in
         for b in batches:
             if b.num_rows == 0:
                 continue
-            key, did, th, pos = (ints(b, c) for c in ("key", "did", "th", "pos"))
-            out_did, out_th, out_spans = [], [], []
-            ready = pos < 0
+            row = [ints(b, c) for c in ("key", "twin", "did", "th", "pos", "size")]
+            out: list = []  # (did, th, block, spans)
+            ready = row[4] < 0
             if ready.any():
-                out_did.append(did[ready])
-                out_th.append(th[ready])
-                out_spans += column(b, "spans").filter(pa.array(ready)).to_pylist()
-                key, did, th, pos = (x[~ready] for x in (key, did, th, pos))
-            n = len(key)
-            if n:
-                joined = carry is not None and carry[0] == key[0]
+                out.append((row[2][ready], row[3][ready], row[5][ready] > 0, column(b, "spans").filter(pa.array(ready)).to_pylist()))
+                row = [x[~ready] for x in row]
+            if len(row[0]):
+                joined = carry is not None and carry[0] == row[0][0] and carry[1] == row[1][0]
                 if joined:
-                    key, did, th, pos = (np.concatenate(([v], x)) for v, x in zip(carry[:4], (key, did, th, pos), strict=True))
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
+                    row = [np.concatenate(([v], x)) for v, x in zip(carry[:6], row, strict=True)]
+                key, twin, did, th, pos, size = row
+                n = len(key)
+                head = np.ones(n, bool)
+                head[1:] = (key[1:] != key[:-1]) | (twin[1:] != twin[:-1])
+                first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+                again = np.zeros(n, bool)  # the same row from another step
+                again[1:] = (did[1:] == did[:-1]) & (th[1:] == th[:-1]) & (pos[1:] == pos[:-1])
                 late = ~head & ((did != did[first]) | (th != th[first]) | (pos != pos[first]))
-                take = late.copy()
+                take = late & ~again
                 told = False
                 if with_first:
-                    take[first[late]] = True
-                    if joined and carry[4]:
+                    take[first[late & (size == 0)]] = True
+                    if joined and carry[6]:
                         take[0] = False
                 if joined:
-                    told = carry[4] or bool(take[0])
+                    told = carry[6] or bool(take[0])
                 last = first[-1]
-                carry = (key[last], did[last], th[last], pos[last], told if joined and last == 0 else bool(take[last]))
+                carry = (*(x[last] for x in row), told if joined and last == 0 else bool(take[last]))
                 got = np.flatnonzero(take)
-                out_did.append(did[got])
-                out_th.append(th[got])
                 begin = pos[got].astype("<i4")
-                raw = np.column_stack((begin, begin + width)).astype("<i4").tobytes()
-                out_spans += [raw[i : i + 8] for i in range(0, len(raw), 8)]
-            if out_spans:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_did), pa.int64()), pa.array(np.concatenate(out_th), pa.int64()), pa.array(out_spans, pa.binary())], names=["did", "th", "spans"])
+                raw = np.column_stack((begin, np.where(size[got] > 0, begin + size[got] - window + 1, begin + width))).astype("<i4").tobytes()
+                out.append((did[got], th[got], size[got] > 0, [raw[i : i + 8] for i in range(0, len(raw), 8)]))
+            if out:
+                did, th, block = (np.concatenate([x[i] for x in out]) for i in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(did), pa.array(th), pa.array(block), pa.array([s for x in out for s in x[3]], pa.binary())], names=_LOST)
 
     return run
 
 
-def later_holders(claims: DataFrame, width: int = 1, with_first: bool = False) -> DataFrame:
-    """Spans of every holder of a key but its earliest, in ``(did, th, pos)`` order, gathered by document.
+def _merge(batches):
+    """One list of merged spans for each document and kind; rows come sorted by them."""
+    at, held = None, []
+
+    def told():
+        pairs = np.frombuffer(b"".join(held), "<i4").reshape(-1, 2)
+        return (*at, pack_ranges(pairs[:, 0], pairs[:, 1]))
+
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        out = []
+        did, th, block = ints(b, "did"), ints(b, "th"), ints(b, "block")
+        cut = np.flatnonzero((did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (block[1:] != block[:-1])) + 1
+        spans = column(b, "spans").to_pylist()
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+            now = (did[s], th[s], bool(block[s]))
+            if at is not None and now != at:
+                out.append(told())
+                held = []
+            at = now
+            held += spans[s:e]
+        held = [told()[3]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=_LOST)
+    if at is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(told(), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=_LOST)
+
+
+def later_holders(claims: DataFrame, width: int = 1, with_first: bool = False, window: int = 1) -> DataFrame:
+    """Spans of every holder of a key but its earliest, in ``(did, th, pos)`` order: ``did, th, spans, blocks``, one row for each document.
+
+    ``spans`` are the lists of keys of size 0 (with ``with_first`` those of all
+    holders of a key that is held twice), ``blocks`` those of blocks: the starts of
+    the ``window``-word windows inside them.
 
     Rows of one key are streamed in order and never gathered; each step of a
     map task adds one row to a key at most, so a key that a third of all
-    documents hold brings as many rows as there are steps.
+    documents hold brings as many rows as there are steps.  The lists of one
+    document, many where its rows repeat, are merged as they stream, in parts first.
     """
-    lost = claims.repartition(F.col("key")).sortWithinPartitions("key", "did", "th", "pos").mapInArrow(_settle(width, with_first), SPANS)
-    return lost.groupBy("did", "th").agg(F.collect_list("spans").alias("spans"))
+    lost = claims.repartition(F.col("key")).sortWithinPartitions("key", "twin", "did", "th", "pos").mapInArrow(_settle(width, with_first, window), SPANS)
+    dealt = lost.repartition(F.col("did"), F.col("th"), F.pmod(F.xxhash64("spans"), F.lit(_DEAL)))
+    merged = dealt.sortWithinPartitions("did", "th", "block").mapInArrow(_merge, SPANS)
+    pick = lambda block: F.collect_list(F.when(block, F.col("spans")))
+    return merged.groupBy("did", "th").agg(pick(~F.col("block")).alias("spans"), pick(F.col("block")).alias("blocks"))  # _DEAL lists at most

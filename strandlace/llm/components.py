@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize
+from .common import discard, join_hot, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,14 +30,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, root``: every node of an edge with the smallest node that it reaches.
 
     Rounds go on until the edge table repeats; each round's table is written to
-    the shared folder.  Hubs need no gathering: minima are aggregated map-side, and
+    the shared folder, and its predecessor's goes.  Hubs need no gathering: minima are aggregated map-side, and
     the edges of a hub are dealt out where they join its minimum.
     """
     x, y = F.col(a), F.col(b)
     now = materialize(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = materialize(_small_star(_large_star(now, state[0]), state[0]), "edges")
+        now, old = materialize(_small_star(_large_star(now, state[0]), state[0]), "edges"), now
+        discard(old)
         state, before = _state(now), state
         if state == before:
             break

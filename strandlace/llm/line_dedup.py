@@ -2,7 +2,8 @@
 
 Every run of three consecutive lines is hashed; a window whose lines also occur
 earlier (in an earlier document or above in the same one) is a repeat, and the
-positions that repeats cover are merged and removed.  Lines compare exactly.
+positions that repeats cover are merged and removed.  Windows compare by 128-bit
+hashes of their lines.
 """
 
 from __future__ import annotations
@@ -13,33 +14,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CLAIMS, carried, column, covered, identified, ints, later_holders, local_claims, materialize, steps, window_hash
+from .common import CLAIMS, RangeHashes, carried, column, covered, documents_in_order, identified, ints, join_documents, later_holders, local_claims, materialize, steps
 
 
 def _claim_lines(window: int):
     def run(batches):
-        x = xxhash.xxh64_intdigest
+        x = xxhash.xxh3_128_digest
         for b in steps(batches):
-            did, th = ints(b, "did"), ints(b, "th")
-            order = np.lexsort((th, did))
-            new = np.ones(len(order), bool)
-            new[1:] = (did[order][1:] != did[order][:-1]) | (th[order][1:] != th[order][:-1])
-            order = order[new]
+            order = documents_in_order(b)
             texts = column(b, "text")
-            keys, docs, pos = [], [], []
+            keys, twins, docs, pos = [], [], [], []
             for d, row in enumerate(order):
                 lines = texts[int(row)].as_py().split(b"\n")
                 if len(lines) < window:
                     continue
-                h = np.fromiter(map(x, lines), np.uint64, len(lines))
+                h = np.frombuffer(b"".join(map(x, lines)), "<u8").reshape(-1, 2)
                 worded = np.fromiter((bool(s.strip()) for s in lines), bool, len(lines))
-                w = window_hash(h, window)
                 at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(worded, window).any(axis=1))
-                keys.append(w[at])
+                key, twin = RangeHashes(h[:, 0], h[:, 1]).of(at, at + window)
+                keys.append(key)
+                twins.append(twin)
                 docs.append(np.full(len(at), d))
                 pos.append(at)
             if keys and sum(map(len, keys)):
-                yield local_claims(np.concatenate(keys), np.concatenate(docs), np.concatenate(pos), did[order], th[order], window, False)
+                yield local_claims((np.concatenate(keys), np.concatenate(twins)), np.concatenate(docs), np.concatenate(pos), ints(b, "did")[order], ints(b, "th")[order], window, False)
 
     return run
 
@@ -65,13 +63,14 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Earlier means a smaller id (null before all), then a smaller text hash, then
     a smaller line number.  Windows without a word in any line and documents of
     fewer lines than the window stay whole; identical rows are one document and
-    lose the same lines; a null or empty text is one empty line.
+    lose the same lines; a null or empty text is one empty line.  A very long
+    text is a step of its own and stays whole; an empty table gives no rows;
+    columns not in ``keep`` are not read, whatever their names.
     """
     passed, more = carried(docs, keep)
     rows = identified(docs, id_col, text_col, passed)
-    gone = materialize(later_holders(rows.select("did", "th", "text").mapInArrow(_claim_lines(window), CLAIMS), window), "repeated-lines", True)
-    # The same plan at every size: removals grow with the documents.
-    joined = rows.join(gone.hint("merge"), ["did", "th"], "left").drop("did", "th")
+    gone = materialize(later_holders(rows.select("did", "th", "text").mapInArrow(_claim_lines(window), CLAIMS), window).drop("blocks"), "repeated-lines")
+    joined = join_documents(rows, gone).drop("did", "th")
     return joined.mapInArrow(_drop_lines, f"doc_id long{more}, n_lines long, n_removed long, kept_text string")
 
 

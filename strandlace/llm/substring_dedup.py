@@ -7,15 +7,20 @@ tasks give equal substrings the same names without a shared dictionary, and a
 boundary between blocks depends only on the blocks beside it: inside an equal
 substring the blocks of both occurrences agree.
 
-A boundary that survives the second round between first-round blocks of
+Rounds go on until no two blocks are joined.  The blocks of the higher rounds, from
+``window`` words on, are claimed by their 128-bit names: a block that also starts
+earlier is a long repeat as a whole, and all windows inside it are settled at once.
+
+What is left are windows across the blocks' ends.  A boundary that survives the second round between first-round blocks of
 ``c - 1`` words at most depends on ``c`` words to either side (``c`` is a
 quarter of the window).  Every window picks, among such boundaries in its
 middle, the one with the smallest name; equal windows pick the same one.  Picks
 with a name and context that occur once can't lie in a repeated window.  For
-the others, the windows themselves are compared, which verifies each repeat.
+the others, the windows that no block settled are compared by 128-bit hashes.  (The
+earliest occurrence of a window is never settled, so it always takes part.)
 
-Spark work: picks are claimed by name (one narrow row for each pick and map
-step), repeated picks return to their documents, the windows over them are
+Spark work: picks and blocks are claimed by name (one narrow row for each and map
+step), repeated picks return to their documents, the open windows over them are
 claimed by content, and later holders return to be cut out.  Rows of a key are
 streamed in order, never gathered.
 """
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CLAIMS, column, covered, identified, ints, later_holders, local_claims, materialize, mix, steps, window_hash
+from .common import CLAIMS, RangeHashes, column, covered, documents_in_order, identified, ints, join_documents, later_holders, local_claims, materialize, mix, steps
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -60,21 +65,30 @@ def recompress(names: np.ndarray, starts: np.ndarray, fresh: np.ndarray, level:
     return np.where(second, both, named[at]), starts[at], fresh[at]
 
 
-def picks(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window that lies in one document: its first word, the picked boundary and the pick's name with context.
+def rounds(h: np.ndarray, offsets: np.ndarray):
+    """Names, first words and document starts of the blocks of each round, the words being the first."""
+    fresh = np.zeros(len(h), bool)
+    fresh[offsets[:-1][offsets[:-1] < len(h)]] = True
+    now, level = (h, np.arange(len(h)), fresh), 0
+    while True:
+        yield now
+        level += 1
+        before, now = now, recompress(*now, level)
+        if len(now[0]) == len(before[0]) and level > 4:  # a round that joins nothing may be followed by one that does
+            return
+
 
-    ``h`` are the word symbols of all documents, document d from ``offsets[d]``
-    to ``offsets[d + 1]``.
+def picks(levels: list, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window that lies in one document: its first word and the picked boundary.
+
+    ``levels`` are the first three of ``rounds``; document d has the words from
+    ``offsets[d]`` to ``offsets[d + 1]``.
     """
+    (h, _, _), (n1, s1, _), (_, s2, f2) = levels
     n, c = len(h), window // 4
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
-    fresh = np.zeros(n, bool)
-    fresh[offsets[:-1][offsets[:-1] < n]] = True
-    n1, s1, f1 = recompress(h, np.arange(n), fresh, 1)
-    _, s2, f2 = recompress(n1, s1, f1, 2)
-    size = np.diff(np.append(s1, n))
-    small = size <= c - 1
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    small = np.diff(np.append(s1, n)) <= c - 1
     value = np.full(n, _NONE, _U)
     j = np.searchsorted(s1, s2)
     inner = (~f2) & (j > 0)
@@ -87,46 +101,65 @@ def picks(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray,
     owner_end = np.repeat(offsets[1:], np.diff(offsets))
     first = first[first + window <= owner_end[first]]
     if len(first) == 0:
-        return first, first, np.zeros(0, _U)
+        return first, first
     view = np.lib.stride_tricks.sliding_window_view(value, window - 2 * c + 1)
     lo = np.zeros(len(first), np.int64)
     for part in range(0, len(first), 1 << 18):
         lo[part : part + (1 << 18)] = view[first[part : part + (1 << 18)] + c].argmin(axis=1)
     at = first + c + lo
-    bare = value[at] == _NONE  # no such boundary (long runs): the middle word stands in
-    at = np.where(bare, first + window // 2, at)
-    context = window_hash(h, 2 * c)
-    return first, at, np.where(bare, mix(context[at - c], 5), context[at - c])
+    return first, np.where(value[at] == _NONE, first + window // 2, at)  # no such boundary (long runs): the middle word stands in
+
+
+def blocks(levels, total: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and sizes of all different blocks of ``window`` words or more."""
+    found, before = [], np.zeros(0, np.int64)
+    for _, start, _ in levels:
+        size = np.diff(np.append(start, total))
+        at = np.flatnonzero(size >= window)
+        if len(at):
+            span = start[at] * (total + 1) + size[at]
+            found.append(span[~np.isin(span, before, assume_unique=True)])
+            before = span
+    both = np.concatenate(found) if found else before
+    return both // (total + 1), both % (total + 1)
 
 
 def _step(batch: pa.RecordBatch) -> tuple:
-    """The step's documents in identity order, repeated rows once: did, th, words by document, symbols, offsets, row of each."""
-    did, th = ints(batch, "did"), ints(batch, "th")
-    order = np.lexsort((th, did))
-    new = np.ones(len(order), bool)
-    new[1:] = (did[order][1:] != did[order][:-1]) | (th[order][1:] != th[order][:-1])
-    order = order[new]
+    """The step's documents in identity order, repeated rows once: did, th, symbols, offsets, row of each."""
+    order = documents_in_order(batch)
     texts = column(batch, "text")
-    x = xxhash.xxh64_intdigest
+    x = xxhash.xxh64_digest
     parts, sizes = [], []
     for i in order:
         words = texts[int(i)].as_py().split()
         sizes.append(len(words))
-        parts.append(np.fromiter(map(x, words), _U, len(words)))
-    h = np.concatenate(parts) if parts else np.zeros(0, _U)
-    return did[order], th[order], h, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), order
+        parts.append(b"".join(map(x, words)))
+    h = np.frombuffer(b"".join(parts), "<u8").astype(_U)
+    return ints(batch, "did")[order], ints(batch, "th")[order], h, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), order
+
 
+def _claim_symbols(window: int):
+    c = window // 4
 
-def _claim_picks(window: int):
     def run(batches):
         for b in steps(batches):
             did, th, h, offsets, _ = _step(b)
-            _, at, name = picks(h, offsets, window)
+            if len(h) < window:
+                continue
+            levels = list(rounds(h, offsets))
+            hashes = RangeHashes(h)
+            _, at = picks(levels[:3], offsets, window)
             if len(at) == 0:
                 continue
-            at, one = np.unique(at, return_index=True)
+            at = np.unique(at)
             doc = np.searchsorted(offsets, at, side="right") - 1
-            yield local_claims(name[one], doc, at - offsets[doc], did, th, 1, True)
+            yield local_claims(hashes.of(at - c, at + c), doc, at - offsets[doc], did, th, 1, True)
+            begin, size = blocks(levels[1:], len(h), window)
+            if len(begin):
+                order = np.lexsort((size, begin))
+                begin, size = begin[order], size[order]
+                doc = np.searchsorted(offsets, begin, side="right") - 1
+                yield local_claims(hashes.of(begin, begin + size), doc, begin - offsets[doc], did, th, 1, False, size.astype(np.int32), window)
 
     return run
 
@@ -135,16 +168,22 @@ def _claim_windows(window: int):
     def run(batches):
         for b in steps(batches):
             did, th, h, offsets, order = _step(b)
-            first, at, _ = picks(h, offsets, window)
+            hashes = RangeHashes(h)
+            levels = rounds(h, offsets)
+            first, at = picks([next(levels) for _ in range(3)], offsets, window) if len(h) else (h, h)
             if len(at) == 0:
                 continue
-            marked = np.zeros(len(h), bool)
-            spans = column(b, "spans")
+            marked, settled = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            spans, inside = column(b, "spans"), column(b, "blocks")
             for d, row in enumerate(order):
-                marked[offsets[d] : offsets[d + 1]] = covered(spans[int(row)].as_py(), int(offsets[d + 1] - offsets[d]))
-            first = first[marked[at]]
-            doc = np.searchsorted(offsets, first, side="right") - 1
-            yield local_claims(window_hash(h, window)[first], doc, first - offsets[doc], did, th, 1, False)
+                here = slice(offsets[d], offsets[d + 1])
+                size = int(offsets[d + 1] - offsets[d])
+                marked[here] = covered(spans[int(row)].as_py(), size)
+                settled[here] = covered(inside[int(row)].as_py(), size)
+            first = first[marked[at] & ~settled[first]]
+            if len(first):
+                doc = np.searchsorted(offsets, first, side="right") - 1
+                yield local_claims(hashes.of(first, first + window), doc, first - offsets[doc], did, th, 1, False)
 
     return run
 
@@ -175,16 +214,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input.  Returns ``doc_id, n_words, n_removed, kept_sha256, kept_text``, one row for each
     input row.  A null or empty text has no words; texts shorter than the window stay
     whole; a null id comes before all others; identical rows are one document
-    and lose the same words; other columns are not read.
+    and lose the same words; other columns are not read, whatever their names; a
+    very long text is a step of its own and is compared whole; an empty table gives no rows.
     """
     if window < 8:
         raise ValueError("window must be 8 words or more")
     rows = identified(docs, id_col, text_col)
     texts = rows.select("did", "th", "text")
-    # Each phase is named nowhere else, so that its shuffle files go when its table is written.
-    marks = materialize(later_holders(texts.mapInArrow(_claim_picks(window), CLAIMS), 1, True), "repeated-picks", True)
-    gone = materialize(later_holders(texts.join(marks.hint("merge"), ["did", "th"]).mapInArrow(_claim_windows(window), CLAIMS), 1, False), "repeated-windows", True)
-    return rows.join(gone.hint("merge"), ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    marks = materialize(later_holders(texts.mapInArrow(_claim_symbols(window), CLAIMS), 1, True, window), "repeated-symbols")
+    open_windows = join_documents(texts, marks, "inner").mapInArrow(_claim_windows(window), CLAIMS)
+    gone = materialize(later_holders(open_windows).select("did", "th", "spans"), "repeated-windows")
+    both = gone.unionAll(marks.select("did", "th", F.col("blocks").alias("spans"))).groupBy("did", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return join_documents(rows, both).select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

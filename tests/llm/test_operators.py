@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from strandlace.llm import decontamination, licenses, line_dedup, packing, quality, scoring, secrets, sharding, simhash, substring_dedup
+from strandlace.llm import common, decontamination, licenses, line_dedup, packing, quality, scoring, secrets, sharding, simhash, substring_dedup
 from strandlace.llm.common import join_hot
 from strandlace.llm.components import components
 
@@ -182,10 +182,37 @@ def test_recompression_agrees_inside_equal_substrings():
     a, b = (np.concatenate((rng.integers(0, 5, n).astype(np.uint64), shared, rng.integers(0, 5, 9).astype(np.uint64))) for n in (17, 30))
     at = []
     for x, shift in ((a, 17), (b, 30)):
-        first, pick, name = substring_dedup.picks(x, np.array([0, len(x)]), 20)
+        offsets = np.array([0, len(x)])
+        levels = list(substring_dedup.rounds(x, offsets))
+        first, pick = substring_dedup.picks(levels[:3], offsets, 20)
         inside = (first >= shift) & (first + 20 <= shift + 200)
-        at.append((pick[inside] - shift, name[inside]))
-    assert (at[0][0] == at[1][0]).all() and (at[0][1] == at[1][1]).all() and len(at[0][0]) == 181
+        begin, size = substring_dedup.blocks(levels[1:], len(x), 20)
+        within = (begin >= shift) & (begin + size <= shift + 200)
+        at.append((pick[inside] - shift, set(zip((begin[within] - shift).tolist(), size[within].tolist(), strict=True))))
+    assert (at[0][0] == at[1][0]).all() and len(at[0][0]) == 181
+    assert any(n >= 40 for _, n in at[0][1] & at[1][1])  # a long block names most of the repeat
+
+
+def test_range_hashes_follow_content():
+    h = np.array([5, 6, 7, 5, 6, 7, 8], np.uint64)
+    key, twin = common.RangeHashes(h).of(np.array([0, 3, 4, 0]), np.array([3, 6, 7, 2]))
+    assert key[0] == key[1] and twin[0] == twin[1] and len(set(key.tolist())) == len(set(twin.tolist())) == 3
+
+
+@pytest.mark.parametrize("cut", [line_dedup.remove_repeated_lines, substring_dedup.remove_repeats])
+def test_hot_rows_are_dealt_out(spark, cut, monkeypatch):
+    """A third of all rows are one row without id, another third copies of one text."""
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
+    rows = [(None, "null " + text, None)] * 400 + [(i, text, None) for i in range(400)] + [(1000 + i, " ".join(f"u{i}v{j}" for j in range(30)), None) for i in range(400)]
+    df = table(spark, rows).repartition(16)
+    monkeypatch.setattr(cut.__module__ + ".join_documents", lambda r, t, how="left": common.join_hot(r, t, ["did", "th"], F.monotonically_increasing_id(), r.count(), how, r.groupBy("did", "th").agg(F.count("*").alias("n")), least=20, share=50))
+    out = got(cut(df), "doc_id", "n_removed")
+    unit = 72 if cut is substring_dedup.remove_repeats else 6
+    first = max(n for d, n in out if d is None)
+    assert len(out) == 1200 and first == min(n for d, n in out if d is None) == 0
+    lost = sorted({n for d, n in out if d is not None and d < 1000})
+    assert lost and lost[-1] <= unit and lost[0] >= unit - 13
+    assert not any(n for d, n in out if d is not None and d >= 1000)
 
 
 def test_repeated_rows_are_one_document(spark):
