@@ -8,6 +8,8 @@ They are tested against brute force in ``tests/llm``.
 
 from __future__ import annotations
 
+from .quality import BASE as BASE_RULES
+from .quality import RULES as QUALITY_RULES
 from .quality import WINDOW
 from .secrets import BASE, RULES
 
@@ -54,19 +56,26 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 
 
 def _quality() -> str:
+    sums = ", ".join(f"sum(({e})::INT) AS {r}" for r, e in QUALITY_RULES.items())
+    moments = ", ".join(f"least(greatest(avg({r} / n), 1e-6), 1 - 1e-6) AS {r}_m, var_pop({r} / n) AS {r}_v" for r in QUALITY_RULES)
+    weights = ", ".join(f"{r}_m, CASE WHEN {r}_v > 0 AND {r}_m * (1 - {r}_m) / {r}_v - 1 > 0 AND {r}_m * (1 - {r}_m) / {r}_v - 1 < 1e9 THEN {r}_m * (1 - {r}_m) / {r}_v - 1 ELSE 2.0 END AS {r}_w" for r in QUALITY_RULES)
+    rate = {r: f"({r} + {r}_m * {r}_w) / (n + {r}_w)" for r in QUALITY_RULES}
+    trusted = ", ".join(f"CASE WHEN {rate[r]} < 0.5 * {r}_m THEN '{r}' END" for r in QUALITY_RULES if r not in BASE_RULES)
+    failed = ", ".join(f"CASE WHEN {e} THEN '{r}' END" for r, e in QUALITY_RULES.items())
     return f"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d WHERE len(ws) >= {WINDOW}))),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest(range(0, {WINDOW})) AS k) WHERE n > 1 GROUP BY doc_id),
 m AS (SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d) LEFT JOIN c USING (doc_id)),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-h AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY host),
-p AS (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS mu, var_pop(f / n) AS v FROM h),
-q AS (SELECT mu, CASE WHEN v > 0 AND mu * (1 - mu) / v - 1 > 0 AND mu * (1 - mu) / v - 1 < 1e9 THEN mu * (1 - mu) / v - 1 ELSE 2.0 END AS s FROM p),
-bad AS (SELECT host FROM h, q WHERE (f + mu * s) / (n + s) > 0.5 AND host IS NOT NULL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (host IS NULL OR host NOT IN (SELECT host FROM bad)) AS kept FROM b"""
+h AS (SELECT host, count(*) AS n, {sums} FROM m GROUP BY host),
+p AS (SELECT {moments} FROM h),
+q AS (SELECT {weights} FROM p),
+v AS (SELECT host, greatest({", ".join(rate.values())}) > 0.5 AS bad, list_filter([{trusted}], lambda x: x IS NOT NULL) AS good FROM h, q WHERE host IS NOT NULL),
+f AS (SELECT *, {QUALITY_RULES["short"]} OR {QUALITY_RULES["repeats"]} AS base_failed, list_filter([{failed}], lambda x: x IS NOT NULL) AS fails FROM m LEFT JOIN v USING (host))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, coalesce(bad, false) AS host_rejected, coalesce(array_to_string(good, ','), '') AS host_trusted, array_to_string(fails, ',') AS failed,
+  NOT base_failed AND NOT coalesce(bad, false) AND len(list_filter(fails, lambda x: NOT coalesce(list_contains(good, x), false))) = 0 AS kept FROM f"""
 
 
 ORACLES: dict[str, str] = {"op1_secret_ledger": _secrets(), "op3_line_windows": _lines(), "op6_recompression": _substrings(), "op7_host_quality": _quality()}
