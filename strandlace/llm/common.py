@@ -127,12 +127,6 @@ def join_documents(rows: DataFrame, table: DataFrame, how: str = "left") -> Data
     return join_hot(rows, table, ["did", "th"], F.monotonically_increasing_id(), total, how, sizes)
 
 
-def carried(docs: DataFrame, keep: list[str] | None) -> tuple[list, str]:
-    """Columns to pass on under ``_sl_`` names, and their part of a schema string."""
-    keep = keep or []
-    return [F.col(f"`{c}`").alias(f"_sl_{c}") for c in keep], "".join(f", `_sl_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-
-
 def identified(docs: DataFrame, id_col: str, text_col: str, passed: list | None = None) -> DataFrame:
     """``doc_id, did, th, text``: the columns that the document operators work on (a null text is empty)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -11,10 +11,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import CLAIMS, RangeHashes, carried, column, covered, documents_in_order, identified, ints, join_documents, later_holders, local_claims, materialize, steps
+from .common import CLAIMS, RangeHashes, column, covered, documents_in_order, identified, ints, join_documents, later_holders, local_claims, materialize, steps
 
 
 def _claim_lines(window: int):
@@ -55,11 +56,11 @@ def _drop_lines(batches):
         yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([t.decode("utf-8", "replace") for t in kept], pa.string())], names=[*names, "n_lines", "n_removed", "kept_text"])
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, keep: list[str] | None = None) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, keep: list[Column] | None = None) -> DataFrame:
     """Remove the lines of every ``window``-line window that also occurs earlier.
 
     Returns ``doc_id, n_lines, n_removed, kept_text``, one row for each input
-    row; ``keep`` passes columns on under ``_sl_`` names.
+    row; ``keep`` columns are passed on.
     Earlier means a smaller id (null before all), then a smaller text hash, then
     a smaller line number.  Windows without a word in any line and documents of
     fewer lines than the window stay whole; identical rows are one document and
@@ -67,11 +68,11 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text is a step of its own and stays whole; an empty table gives no rows;
     columns not in ``keep`` are not read, whatever their names.
     """
-    passed, more = carried(docs, keep)
-    rows = identified(docs, id_col, text_col, passed)
+    rows = identified(docs, id_col, text_col, keep)
     gone = materialize(later_holders(rows.select("did", "th", "text").mapInArrow(_claim_lines(window), CLAIMS), window).drop("blocks"), "repeated-lines")
     joined = join_documents(rows, gone).drop("did", "th")
-    return joined.mapInArrow(_drop_lines, f"doc_id long{more}, n_lines long, n_removed long, kept_text string")
+    schema = StructType([f for f in joined.schema if f.name not in ("text", "spans")])
+    return joined.mapInArrow(_drop_lines, schema.add("n_lines", LongType()).add("n_removed", LongType()).add("kept_text", StringType()))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

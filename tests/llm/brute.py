@@ -107,6 +107,39 @@ def quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
 
 
+def judge(rows, reject=0.5, trust=0.5):
+    """Rows are (doc_id, text, host): (doc_id, failed rules, kept)."""
+    tests = {
+        "short": lambda n, chars, symbols, dups, repeats, lines: n < 10,
+        "repeats": lambda n, chars, symbols, dups, repeats, lines: repeats * 5 > n,
+        "symbols": lambda n, chars, symbols, dups, repeats, lines: symbols * 10 > n,
+        "lines": lambda n, chars, symbols, dups, repeats, lines: dups * 2 > lines,
+        "word_length": lambda n, chars, symbols, dups, repeats, lines: chars < 2 * n or chars > 12 * n,
+    }
+    failed = []
+    for _, t, _ in rows:
+        m = (*quality(t)[:5], len([s for s in (t or "").split("\n") if WORD.search(s)]))
+        failed.append([r for r, f in tests.items() if f(*m)])
+    hosts = {h: [f for f, (_, _, g) in zip(failed, rows, strict=True) if g == h] for h in {h for *_, h in rows}}
+    rate = defaultdict(dict)
+    mean = {}
+    for r in tests:
+        raw = [sum(r in f for f in x) / len(x) for x in hosts.values()]
+        m = min(max(sum(raw) / len(raw), 1e-6), 1 - 1e-6)
+        v = sum((x - sum(raw) / len(raw)) ** 2 for x in raw) / len(raw)
+        w = m * (1 - m) / v - 1 if v else 0
+        w = w if 0 < w < 1e9 else 2.0
+        mean[r] = m
+        for h, x in hosts.items():
+            rate[h][r] = (sum(r in f for f in x) + m * w) / (len(x) + w)
+    out = []
+    for (d, _, h), f in zip(rows, failed, strict=True):
+        bad = h is not None and max(rate[h].values()) > reject
+        good = {r for r in tests if r not in ("short", "repeats") and h is not None and rate[h][r] < trust * mean[r]}
+        out.append((d, ",".join(f), not bad and not set(f) - good))
+    return out
+
+
 def leaks(rows, items, width=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall((t or "").translate(LOWER))

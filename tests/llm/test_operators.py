@@ -110,8 +110,8 @@ def test_join_hot_deals_out_keys(spark):
 
 def test_simhash(docs, rows):
     want = sorted(brute.near_components([(d, t) for d, t, _ in rows]), key=repr)
-    for limit in (2048, 3):
-        out = simhash.near_groups(docs, shard_limit=limit)
+    for limit, size in ((2048, 1 << 20), (3, 1 << 20), (2, 300)):
+        out = simhash.near_groups(docs, shard_limit=limit, tree_bytes=size)
         assert got(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("f"), "component_id"), "doc_id", "f", "component_id") == want
 
 
@@ -120,12 +120,17 @@ def test_bk_tree_finds_all_links():
     centre = [rng.getrandbits(64) for _ in range(12)]
     v = sorted({c ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 5))) & (2**64 - 1) for c in centre for _ in range(20)})
     tree = simhash.BKTree()
-    for x in v:
-        tree.add(x)
+    for i, x in enumerate([*v, v[3]]):
+        row, d = tree.add(x, i)
+        assert (row < 0) == (i == 0) and (i == 0 or d == min(64, (v[row] ^ x).bit_count()))
     want = {(a, b) for a in v for b in v if a < b and (a ^ b).bit_count() <= 4}
-    assert {(min(a, b), max(a, b)) for a in v for b in tree.near(a, 4) if a != b} == want
-    a = np.array(v, np.uint64)
-    assert {(min(v[i], v[j]), max(v[i], v[j])) for i, hit in simhash._bulk_links(a, 4) for j in hit.tolist()} == want
+    assert {(min(a, v[b]), max(a, v[b])) for a in v for b in tree.near(a, 4) if b < len(v) and a != v[b]} == want
+    assert sorted(tree.near(v[3], 0)) == [3, len(v)]
+    a = np.array([*v, v[5], v[5]], np.uint64)
+    packed = simhash.PackedTree.grow(a)
+    for t, rows in ((packed, packed.order), (simhash.PackedTree.unpack(packed.pack()), packed.order)):
+        pairs = [(int(rows[n]), j) for n, hit in t.near(a, 4) for j in hit.tolist()]
+        assert len(pairs) == len(set(pairs)) and {tuple(sorted((int(a[i]), int(a[j])))) for i, j in pairs if a[i] != a[j]} == want
 
 
 def test_links_share_a_shard(spark):
@@ -138,8 +143,10 @@ def test_links_share_a_shard(spark):
             y ^= 1 << b
         pairs.append((x, y))
     df = spark.createDataFrame(pairs, "x long, y long")
-    keys = lambda c: F.array(*simhash.shard_keys(F.col(c), 4))
-    assert df.where(~F.arrays_overlap(keys("x"), keys("y"))).count() == 0
+    for taken in (2, 3, 4):
+        keys = lambda c, taken=taken: F.array(*simhash.shard_keys(F.col(c), 4, taken))
+        assert df.where(~F.arrays_overlap(keys("x"), keys("y"))).count() == 0
+    assert [simhash.blocks_taken(4, n) for n in (0, 10**6, 10**9, 10**11)] == [2, 2, 3, 4]
 
 
 def test_components(spark):
@@ -227,6 +234,22 @@ def test_quality(docs, rows):
     want = sorted(((d, *brute.quality(t)) for d, t, _ in rows), key=repr)
     assert got(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
     assert out.where("base_failed and kept").count() == 0
+    assert got(out, "doc_id", "failed", "kept") == sorted(brute.judge(rows), key=repr)
+
+
+def test_host_rules_decide(spark):
+    """The host's record decides about documents that fail no base rule: trusted hosts keep them, rejected ones lose all."""
+    prose = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    symbols = lambda i: prose(i) + " # $ % & * | < >"
+    rows = [(i, symbols(i) if i == 7 else prose(i), "clean") for i in range(200)]
+    rows += [(300 + i, symbols(i) if i % 4 == 0 else prose(i), "mixed") for i in range(100)]
+    rows += [(500 + i, symbols(i) if i % 10 else prose(i), "junk") for i in range(60)]
+    rows += [(600, symbols(1), None), (601, prose(1), None), (602, prose(2), "small"), (603, symbols(3), "small")]
+    out = {r["doc_id"]: r for r in quality.judge(table(spark, rows)).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert out[7]["kept"] and "symbols" in out[7]["host_trusted"].split(",")
+    assert not out[300]["kept"] and out[301]["kept"] and not out[510]["kept"] and out[510]["host_rejected"] and not out[600]["kept"] and out[601]["kept"]
+    assert sorted((d, r["failed"], r["kept"]) for d, r in out.items()) == sorted(brute.judge(rows))
 
 
 def test_host_verdict(spark):
