@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlace.llm.common import materialize
-from strandlace.llm.stages import alike_stage, leak_stage, line_stage, packing_stage, quality_stage
+from strandlace.llm.common import discard, materialize
+from strandlace.llm.stages import leak_stage, line_stage, near_stage, packing_stage, quality_stage
 
 STAGES = [
     ("quality_rules", quality_stage),
     ("line_dedup", line_stage),
-    ("near_dedup", alike_stage),
+    ("simhash_near_dedup", near_stage),
     ("benchmark_decontamination", leak_stage),
     ("best_fit_packing", packing_stage),
 ]
@@ -27,5 +27,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            discard(before)
     return docs
