@@ -1,22 +1,31 @@
 """LM scoring with Brown class-based n-grams.
 
-The ``clustered`` most frequent words are assigned to classes by exchange
-clustering on their bigram counts.  The next words, up to the ``classed`` most
-frequent of ``classed_from`` tokens or more, then make one exchange step each, at once and against those classes:
-their counts of neighbouring classes say which class raises the likelihood
-most.  Text ends and all other words (the tail) have a class of their own, and
-transitions are counted anew between the final classes.  A token's probability is its class's transition
-probability (interpolated with the class frequencies) times its emission by
-the class.  Unseen words share the tail's Good-Turing mass over as many types
-as were seen.
-
-Counts cover all training tokens: they are summed map-side and then by word.
+Every word of ``classed_from`` training tokens or more gets a class:
+
+1. The ``clustered`` most frequent words are clustered by exchange, word by word, on their bigram counts.
+2. All words of the exchange table (the ``classed`` most frequent) then move in Spark rounds: a pass counts the classes
+   beside each word, each word goes to the class that raises the likelihood most (all words in
+   the first round, every other word in later ones), and a round that does not raise the
+   likelihood of the whole corpus is taken back and ends the rounds.
+3. Every other word, however many there are, takes the class that predicts it best after
+   the classes before it; these classes stay in a table in the shared folder.
+
+Text ends and words of fewer tokens (the tail) have a class of their own.  A token's
+probability is its class's transition probability (interpolated with the class
+frequencies) times its emission by the class.  The transition's context is the class of the
+word before if the exchange table has it, and the tail otherwise.  Unseen words share the tail's
+Good-Turing mass over as many types as were seen.
+
+Texts are tokenised once; all passes read the stored symbols.  Counts cover all
+training tokens: they are summed map-side and then by word.
 Words among the ``table`` most frequent are scored from a broadcast table of
 that fixed size, all others by a join on the word.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,57 +33,74 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, identified, ints, materialize, steps
+from .common import column, discard, identified, ints, materialize, mix, steps
 
 _U = np.uint64
 #: The symbol of a text's end; a word can't hold a space.
 END = xxhash.xxh64_intdigest(b" ")
+_END = END.to_bytes(8, "little")
+_SIGNED_END = int(np.uint64(END).view(np.int64))
+
+
+def _tokenise(batches):
+    x = xxhash.xxh64_digest
+    for b in steps(batches):
+        symbols = [b"".join(map(x, t.lower().split())) for t in column(b, "text").to_pylist()]
+        # Digests are big-endian; symbols are little-endian integers.
+        rows = [np.frombuffer(s, ">u8").astype("<u8").tobytes() + _END for s in symbols]
+        yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "held_out"), pa.array(rows, pa.binary())], names=["doc_id", "held_out", "symbols"])
+
+
+def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Token symbols of all rows, each closed by END, and the rows' offsets."""
+    col = column(batch, "symbols")
+    offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(_U)
+    return data, (offsets - offsets[0]) // 8
+
+
+def _look_up(words: np.ndarray, values: np.ndarray, h: np.ndarray, other: int) -> np.ndarray:
+    """The value of each symbol: that of the sorted ``words``, or ``other``."""
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return np.where(words[at] == h, values[at], other)
+
 
+def _before(c: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The class before each token; END (class 0) comes before each text."""
+    before = np.empty_like(c)
+    before[1:] = c[:-1]
+    before[offsets[:-1]] = 0
+    return before
 
-def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Token symbols of all texts, each closed by END, and the texts' offsets."""
-    x = xxhash.xxh64_intdigest
-    parts, sizes = [], []
-    for t in texts:
-        words = t.as_py().lower().split()
-        parts += map(x, words)
-        parts.append(END)
-        sizes.append(len(words) + 1)
-    return np.array(parts, _U), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+def _parts(total: np.ndarray):
+    """``key, n`` of the non-zero counts, in batches."""
+    got = np.flatnonzero(total)
+    for part in range(0, len(got), 1 << 20):
+        p = got[part : part + (1 << 20)]
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(total[p], pa.int64())], names=["key", "n"])
 
 
 def _tally(batches):
-    for b in steps(batches):
-        word, n = np.unique(_symbols(column(b, "text"))[0], return_counts=True)
+    for b in steps(batches, "symbols"):
+        word, n = np.unique(_symbols(b)[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
 
 
-def _pairs(words: np.ndarray, ids: np.ndarray, size: int):
-    """Bigrams of clustered words: ``ids`` (0 to size - 1) of the sorted ``words``; other words are ``size - 1``."""
+def _bigrams(train: DataFrame, words: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """``size`` squared counts of ids (0 to size - 1; other words are ``size - 1``) side by side; at most as many rows come to the driver."""
 
     def run(batches):
         total = np.zeros(size * size, np.int64)
-        for b in steps(batches):
-            h, offsets = _symbols(column(b, "text"))
-            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            i = np.where(words[at] == h, ids[at], size - 1).astype(np.int64)
-            left = np.empty_like(i)
-            left[1:] = i[:-1]
-            left[offsets[:-1]] = 0  # END comes before each text
-            total += np.bincount(left * size + i, minlength=size * size)
-        got = np.flatnonzero(total)
-        for part in range(0, len(got), 1 << 20):
-            p = got[part : part + (1 << 20)]
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(total[p], pa.int64())], names=["pair", "n"])
-
-    return run
+        for b in steps(batches, "symbols"):
+            h, offsets = _symbols(b)
+            i = _look_up(words, ids, h, size - 1)
+            total += np.bincount(_before(i, offsets) * size + i, minlength=size * size)
+        yield from _parts(total)
 
-
-def _bigrams(train: DataFrame, words: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
-    """``size`` squared counts of ids side by side (at most as many rows come to the driver)."""
-    pairs = train.mapInArrow(_pairs(words, ids, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs = train.select("symbols").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size, np.int64)
-    out[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.int64)
+    out[pairs["key"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.int64)
     return out.reshape(size, size)
 
 
@@ -135,60 +161,138 @@ def exchange_classes(bigrams: np.ndarray, classes: int, sweeps: int = 5) -> np.n
     return own
 
 
+def likelihood(joint: np.ndarray) -> float:
+    """The class bigram log likelihood, up to a constant of the words' own counts."""
+    x = lambda v: float((v * np.log(np.maximum(v, 1e-300))).sum())
+    return x(joint) - x(joint.sum(axis=1)) - x(joint.sum(axis=0))
+
+
 def _contexts(words: np.ndarray, cls: np.ndarray, k: int):
-    """Counts of the classes beside the sorted ``words`` that are still in the last class: slot c for class c before, k + c for class c after."""
+    """Counts of the classes beside each of the sorted ``words`` (slot c for class c before, k + c for class c after), then the class bigrams."""
+    n = len(words)
 
     def run(batches):
-        total = np.zeros(len(words) * 2 * k, np.int64)
-        for b in steps(batches):
-            h, offsets = _symbols(column(b, "text"))
-            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        total = np.zeros(n * 2 * k + k * k, np.int64)
+        for b in steps(batches, "symbols"):
+            h, offsets = _symbols(b)
+            at = np.minimum(np.searchsorted(words, h), n - 1)
             hit = words[at] == h
             c = np.where(hit, cls[at], k - 1)
-            before = np.empty_like(c)
-            before[1:] = c[:-1]
-            before[offsets[:-1]] = 0  # END comes before each text
-            word = np.flatnonzero(hit & (c == k - 1))  # never an END, so the next token is of the same text
+            before = _before(c, offsets)
+            np.add.at(total, n * 2 * k + before * k + c, 1)
+            word = np.flatnonzero(hit & (h != _U(END)))  # not an END, so the next token is of the same text
             np.add.at(total, at[word] * (2 * k) + before[word], 1)
             np.add.at(total, at[word] * (2 * k) + k + c[word + 1], 1)
-        got = np.flatnonzero(total)
-        for part in range(0, len(got), 1 << 20):
-            p = got[part : part + (1 << 20)]
-            yield pa.RecordBatch.from_arrays([pa.array(p // (2 * k), pa.int64()), pa.array(p % (2 * k), pa.int64()), pa.array(total[p], pa.int64())], names=["word", "slot", "n"])
+        yield from _parts(total)
 
     return run
 
 
-def join_classes(left: np.ndarray, right: np.ndarray, joint: np.ndarray) -> np.ndarray:
-    """The class of each word that now is in the last one: 1 and on, or the last where no move pays.
+def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The class (1 and on; the last is the tail) that raises the likelihood most for each word.
 
-    ``left[w]`` and ``right[w]`` count the classes before and after word w,
-    ``joint`` the class bigrams.  Words move independently of each other.
+    ``own`` are the words' present classes, ``left[w]`` and ``right[w]`` count the classes before and after word w,
+    ``joint`` the class bigrams.  Words are judged independently of each other.
     """
     x = lambda v: v * np.log(np.maximum(v, 1e-300))
     row, col = joint.sum(axis=1), joint.sum(axis=0)
-    n = right.sum(axis=1)
-    gain = np.empty((len(left), len(joint)))
+    n_left, n_right = left.sum(axis=1), right.sum(axis=1)
+    gain = np.full((len(left), len(joint)), -np.inf)
     for a in range(1, len(joint)):
-        last = a == len(joint) - 1  # staying: what the word adds to its present class
-        add = lambda now, more, last=last: x(now) - x(np.maximum(now - more, 0)) if last else x(now + more) - x(now)
-        gain[:, a] = add(joint[a], right).sum(axis=1) + add(joint[:, a], left).sum(axis=1) - add(row[a], n) - add(col[a], n)
-    return 1 + np.argmax(gain[:, 1:], axis=1)
+        sign = np.where(own == a, -1.0, 1.0)  # in its own class a word's counts are already there
 
+        def add(now, more, sign=sign):
+            s = sign if more.ndim == 1 else sign[:, None]
+            return s * (x(np.maximum(now + s * more, 0)) - x(now))
 
-def _join(joint: np.ndarray):
+        gain[:, a] = add(joint[a], right).sum(axis=1) + add(joint[:, a], left).sum(axis=1) - add(row[a], n_right) - add(col[a], n_left)
+    best = np.argmax(gain, axis=1)
+    stay = np.take_along_axis(gain, own[:, None], axis=1)[:, 0]
+    return np.where(np.take_along_axis(gain, best[:, None], axis=1)[:, 0] > stay + 1e-9, best, own)
+
+
+def _slots(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    """A matrix of counts from lists of (slot, n)."""
+    slots = column(batch, "slots")
+    owner = np.repeat(np.arange(batch.num_rows), np.diff(slots.offsets.to_numpy()))
+    out = np.zeros((batch.num_rows, size))
+    out[owner, slots.flatten().field("slot").to_numpy()] = slots.flatten().field("n").to_numpy()
+    return out
+
+
+def _move(own: np.ndarray, joint: np.ndarray):
     k = len(joint)
 
     def run(batches):
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            slots = column(b, "slots")
-            owner = np.repeat(np.arange(b.num_rows), np.diff(slots.offsets.to_numpy()))
-            flat = slots.flatten()
-            both = np.zeros((b.num_rows, 2 * k))
-            both[owner, flat.field("slot").to_numpy()] = flat.field("n").to_numpy()
-            yield pa.RecordBatch.from_arrays([column(b, "word"), pa.array(join_classes(both[:, :k], both[:, k:], joint), pa.int64())], names=["word", "class"])
+            if b.num_rows:
+                word, both = ints(b, "word"), _slots(b, 2 * k)
+                yield pa.RecordBatch.from_arrays([column(b, "word"), pa.array(best_classes(own[word], both[:, :k], both[:, k:], joint), pa.int64())], names=["word", "class"])
+
+    return run
+
+
+def exchange_rounds(train: DataFrame, words: np.ndarray, core: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of the sorted ``words``, their class bigrams, and the likelihood after each round, which rises.
+
+    ``core`` are the starting classes; words of the last class start outside all classes.
+    """
+    now, best, history = core.copy(), None, []
+    deal = (mix(words, 5) & _U(1)).astype(np.int64)
+    for r in range(rounds + 1):
+        counted = materialize(train.select("symbols").mapInArrow(_contexts(words, now, k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
+        first = len(words) * 2 * k
+        pairs = counted.where(F.col("key") >= first).toPandas()  # k squared rows at most
+        joint = np.zeros(k * k)
+        joint[pairs["key"].to_numpy(np.int64) - first] = pairs["n"].to_numpy(np.float64)
+        joint = joint.reshape(k, k)
+        value = likelihood(joint)
+        if best is None or value > history[-1] + 1e-9 * abs(history[-1]):
+            best = now.copy(), joint
+            history.append(value)
+        else:
+            r = rounds
+        if r == rounds:
+            discard(counted)
+            break
+        word, slot = F.floor(F.col("key") / (2 * k)), F.col("key") % (2 * k)
+        lists = counted.where(F.col("key") < first).groupBy(word.alias("word")).agg(F.collect_list(F.struct(slot.alias("slot"), "n")).alias("slots"))  # 2 k slots at most
+        moved = lists.mapInArrow(_move(now, joint), "word long, class long").toPandas()  # one row a word of the table
+        discard(counted)
+        at, to = moved["word"].to_numpy(np.int64), moved["class"].to_numpy(np.int64)
+        may = (now[at] == k - 1) if r == 0 else deal[at] == r % 2
+        now[at[may]] = to[may]
+    return *best, history
+
+
+def _tail_contexts(words: np.ndarray, cls: np.ndarray, k: int):
+    """``word, slot, n``: the classes before each word that the exchange table lacks."""
+
+    def run(batches):
+        for b in steps(batches, "symbols"):
+            h, offsets = _symbols(b)
+            c = _look_up(words, cls, h, k)  # k: not in the table
+            at = np.flatnonzero(c == k)
+            before = np.minimum(_before(c, offsets)[at], k - 1)
+            order = np.lexsort((before, h[at]))
+            word, slot = h[at][order], before[order]
+            head = np.flatnonzero(np.concatenate((np.ones(min(len(word), 1), bool), (word[1:] != word[:-1]) | (slot[1:] != slot[:-1]))))
+            n = np.diff(np.append(head, len(word)))
+            yield pa.RecordBatch.from_arrays([pa.array(word[head].view(np.int64)), pa.array(slot[head].astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "slot", "n"])
+
+    return run
+
+
+def _predict(joint: np.ndarray):
+    """The class of each word that predicts it best after the classes before it."""
+    k = len(joint)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                left = _slots(b, k)
+                to = best_classes(np.full(len(left), k - 1), left, np.zeros_like(left), joint)
+                yield pa.RecordBatch.from_arrays([column(b, "word"), pa.array(to, pa.int64()), column(b, "slots")], names=["word", "class", "slots"])
 
     return run
 
@@ -204,42 +308,106 @@ def _fitting(sizes: list[tuple[int, int]], room: int) -> int:
     return least
 
 
+@dataclass
+class Model:
+    """A fitted model.  ``counts`` (word, count) and ``classes`` (word, class: words of ``classed_from`` tokens beyond the exchange table) are stored tables;
+    ``words`` to ``context`` are the sorted broadcast table; ``step`` the log10 transitions; ``unseen`` the tail's mass of unseen words."""
+
+    counts: DataFrame
+    classes: DataFrame
+    words: np.ndarray
+    count: np.ndarray
+    own: np.ndarray
+    context: np.ndarray
+    joint: np.ndarray
+    step: np.ndarray
+    unseen: float
+    total: int
+    types: int
+    history: list[float]
+
+    def emission(self, count, own):
+        """log10 probability of a word of the table by its class."""
+        mass = np.maximum(self.joint.sum(axis=0), 1.0)
+        share = count / mass[own]
+        return np.log10(np.where(own == len(self.joint) - 1, share * (1 - self.unseen), share))
+
+
+def fit(symbols: DataFrame, clustered: int = 1000, classes: int = 40, classed: int = 1 << 16, classed_from: int = 5, table: int = 1 << 18, rounds: int = 3, back_off: float = 5.0) -> Model:
+    """The model of the rows of ``symbols`` that are not held out."""
+    train = symbols.where(~F.col("held_out")).select("symbols")
+    k = classes + 2
+    counts = materialize(train.mapInArrow(_tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("count")), "word-counts")
+    total, types, single = counts.agg(F.sum("count"), F.count("*"), F.sum(((F.col("count") == 1) & (F.col("word") != _SIGNED_END)).cast("long"))).first()
+    total, single = total or 0, single or 0
+    # The tables hold the words whose counts lie in the highest bins of 1/64 octave that fit them together.
+    octave = F.floor(F.log2("count") * 64)
+    sizes = sorted(((b, n) for b, n in counts.groupBy(octave.alias("bin")).agg(F.count("*")).collect()), reverse=True)  # 4,096 rows at most
+    least, least_classed = _fitting(sizes, table), _fitting(sizes, classed)
+    often = (octave >= least_classed) & (F.col("count") >= classed_from)
+    top = counts.where((octave >= least) | often | (F.col("word") == _SIGNED_END)).withColumn("often", often).toPandas().sort_values(["count", "word"], ascending=[False, True])
+    word, n, moves = top["word"].to_numpy(np.int64).view(_U), top["count"].to_numpy(np.int64), top["often"].to_numpy(bool) & (top["word"].to_numpy(np.int64) != _SIGNED_END)
+
+    # 1. The core, word by word; id 0 is END, the last id everything else.
+    named = np.concatenate((np.array([END], _U), word[moves][:clustered]))
+    order = np.argsort(named)
+    core = exchange_classes(_bigrams(train, named[order], order.astype(np.int64), len(named) + 1), classes)
+    # 2. The exchange table.
+    key = np.unique(np.concatenate((word[moves], named)))
+    start = np.full(len(key), k - 1, np.int64)
+    start[np.searchsorted(key, named)] = core[:-1]
+    cls, joint, history = exchange_rounds(train, key, start, k, rounds)
+    # 3. All other words of enough tokens.
+    slots = train.mapInArrow(_tail_contexts(key, cls, k), "word long, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    lists = slots.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("slots"), F.sum("n").alias("count"))  # k slots at most
+    rest = materialize(lists.where(F.col("count") >= classed_from).select("word", "slots").mapInArrow(_predict(joint), "word long, class long, slots array<struct<slot:int,n:bigint>>"), "word-classes")
+    moved = rest.select("class", F.explode("slots").alias("s")).groupBy("class", "s.slot").agg(F.sum("s.n").alias("n")).toPandas()  # k squared rows at most
+    for to, slot, some in zip(moved["class"], moved["slot"], moved["n"], strict=True):
+        joint[slot, to] += some
+        joint[slot, k - 1] -= some
+
+    prior = (joint.sum(axis=0) + 1) / (joint.sum() + k)
+    step = np.log10((joint + back_off * prior) / (joint.sum(axis=1, keepdims=True) + back_off))
+    tail = float(joint[:, -1].sum())
+    unseen = min((single + 0.5) / (tail + 1), 0.999) if tail else 1.0
+    order = np.argsort(word)
+    word, n = word[order], n[order]
+    context = _look_up(key, cls, word, k - 1)
+    own = context.copy()
+    known = rest.join(counts.where(octave >= least), "word").select("word", "class").toPandas()  # words of the table
+    own[np.searchsorted(word, known["word"].to_numpy(np.int64).view(_U))] = known["class"].to_numpy(np.int64)
+    return Model(counts, rest.select("word", "class"), word, n, own, context, joint, step, unseen, int(total), int(types), history)
+
+
 def _score(m: dict):
     def run(batches):
         part, row = TaskContext.get().partitionId() << 40, 0
-        words, count, cls, emit, step = m["words"], m["count"], m["class"], m["emit"], m["step"]
-        tail = step.shape[0] - 1
-        for b in steps(batches):
-            h, offsets = _symbols(column(b, "text"))
+        words, count, own, context, emit, step = (m[x] for x in ("words", "count", "own", "context", "emit", "step"))
+        tail = len(step) - 1
+        for b in steps(batches, "symbols"):
+            h, offsets = _symbols(b)
             if len(words):
                 at = np.minimum(np.searchsorted(words, h), len(words) - 1)
                 hit = words[at] == h
-            else:
-                at, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-            c = np.where(hit, cls[at] if len(words) else 0, tail)
-            before = np.empty_like(c)
-            before[1:] = c[:-1]
-            before[offsets[:-1]] = 0
-            score = step[before, c]
-            base = np.zeros(len(h))
-            if len(words):
-                score = score + np.where(hit, emit[at], 0.0)
                 base = np.where(hit, np.log10(count[at] + 1.0), 0.0)
+                before = _before(np.where(hit, context[at], tail), offsets)
+                score = np.where(hit, step[before, own[at]] + emit[at], 0.0)
+            else:
+                hit, base, score, before = np.zeros(len(h), bool), np.zeros(len(h)), np.zeros(len(h)), _before(np.full(len(h), tail), offsets)
             add = lambda x: np.add.reduceat(x, offsets[:-1])
             n = len(offsets) - 1
             uid = part + row + np.arange(n)
             row += n
+            # Words beyond the table: one row for each document, word and class before.
             doc = np.repeat(np.arange(n), np.diff(offsets))[~hit]
-            rare = h[~hit]
-            order = np.lexsort((rare, doc))
-            doc, rare = doc[order], rare[order]
+            rare, slot = h[~hit], before[~hit]
+            order = np.lexsort((slot, rare, doc))
+            doc, rare, slot = doc[order], rare[order], slot[order]
             head = np.ones(len(doc), bool)
-            head[1:] = (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])
+            head[1:] = (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1]) | (slot[1:] != slot[:-1])
             first = np.flatnonzero(head)
             times = np.diff(np.append(first, len(doc)))
-            k = len(first)
-            none = [None] * k
-            names = ["uid", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "word", "times"]
+            none = [None] * len(first)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((uid, uid[doc[first]])), pa.int64()),
@@ -250,89 +418,60 @@ def _score(m: dict):
                     pa.array(add(base).tolist() + none, pa.float64()),
                     pa.array(add(score).tolist() + none, pa.float64()),
                     pa.array([None] * n + rare[first].view(np.int64).tolist(), pa.int64()),
+                    pa.array([None] * n + slot[first].tolist(), pa.int32()),
                     pa.array([None] * n + times.tolist(), pa.int64()),
                 ],
-                names=names,
+                names=["uid", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "word", "slot", "times"],
             )
 
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clustered: int = 1000, classes: int = 40, classed: int = 1 << 16, classed_from: int = 5, table: int = 1 << 18, back_off: float = 5.0) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` for each row.
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored symbols of each row: ``doc_id, held_out, symbols``."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    rows = identified(docs, id_col, text_col).select("doc_id", "text", held.alias("held_out"))
+    return materialize(rows.mapInArrow(_tokenise, "doc_id long, held_out boolean, symbols binary"), "symbols")
+
+
+def score(symbols: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``score_documents`` for stored symbols under a fitted model."""
+    k = len(model.joint)
+    sent = {"words": model.words, "count": model.count, "own": model.own, "context": model.context, "emit": model.emission(model.count, model.own), "step": model.step}
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, word long, slot int, times long"
+    scored = materialize(symbols.mapInArrow(_score(sent), schema), "scores")
+    mass = np.maximum(model.joint.sum(axis=0), 1.0)
+    table = lambda x: F.array(*(F.lit(float(v)) for v in x))
+    own = F.coalesce("class", F.lit(k - 1)).cast("int")
+    step = F.get(table(model.step.ravel()), F.col("slot") * k + own)
+    seen = F.log10(F.col("count") * F.when(own == k - 1, F.lit(1 - model.unseen)).otherwise(1.0) / F.get(table(mass), own))
+    never = F.lit(float(np.log10(model.unseen / (model.types + 1))))
+    rare = scored.where("word is not null").select("uid", "word", "slot", "times").join(model.counts, "word", "left").join(model.classes, "word", "left")
+    rare = rare.groupBy("uid").agg(
+        F.sum(F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + 1.0)).alias("rare_base"),
+        F.sum(F.col("times") * (step + F.when(F.col("count").isNull(), never).otherwise(seen))).alias("rare_score"),
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = scored.where("word is null").drop("word", "slot", "times").join(rare, "uid", "left")
+    n_tokens, total = F.col("n_tokens"), F.col("score") + zero("rare_score")
+    base = F.col("base") + zero("rare_base") - n_tokens * F.lit(float(np.log10(model.total + model.types + 1)))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("hits") + zero("known")).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / n_tokens).alias("perplexity"))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` for each row; ``options`` are those of ``fit``.
 
     Rows whose crc32 of the id's text leaves 2 by 7 are held out and not learned
     from.  ``base_score`` is the add-one unigram, ``score`` the class model's
     log10 probability of the text and its end; ``perplexity`` is per token.  A
     null or empty text is its end alone; a null id counts as the empty string; repeated rows
-    count, and are scored, each by itself; without training rows only the
-    end and unknown words are left, at the prior's probabilities.
+    count, and are scored, each by itself; words of equal counts go by their hashes; without training rows only the
+    end and unknown words are left, at the prior's probabilities.  A very long text is
+    scored whole; an empty table gives no rows; other columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    rows = identified(docs, id_col, text_col).select("doc_id", "text", held.alias("held_out"))
-    train = rows.where(~F.col("held_out")).select("text")
-    counts = materialize(train.mapInArrow(_tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("count")), "word-counts")
-    total, types, single = counts.agg(F.sum("count"), F.count("*"), F.sum((F.col("count") == 1).cast("long"))).first()
-    total, single = total or 0, single or 0
-    # The table holds the words whose counts lie in the highest bins of 1/64 octave that fit it together.
-    octave = F.floor(F.log2("count") * 64)
-    sizes = sorted(((b, n) for b, n in counts.groupBy(octave.alias("bin")).agg(F.count("*")).collect()), reverse=True)  # 4,096 rows at most
-    least, least_classed = _fitting(sizes, table), _fitting(sizes, classed)
-    chosen = (octave >= least) | ((octave >= least_classed) & (F.col("count") >= classed_from)) | (F.col("word") == F.lit(int(np.uint64(END).view(np.int64))))
-    top = counts.where(chosen).withColumn("bin", octave).toPandas().sort_values(["count", "word"], ascending=[False, True])
-    may_move = (top["bin"].to_numpy(np.int64) >= least_classed) & (top["count"].to_numpy(np.int64) >= classed_from)
-    word, n = top["word"].to_numpy(np.int64).view(_U), top["count"].to_numpy(np.int64)
-
-    named = [END, *[int(w) for w in word.tolist() if w != END][:clustered]]
-    size = len(named) + 1
-    order = np.argsort(np.array(named, _U))
-    key, ids = np.array(named, _U)[order], order.astype(np.int64)
-    k = classes + 2
-    bigrams = _bigrams(train, key, ids, size)
-    core = exchange_classes(bigrams, classes)
-    onehot = np.eye(k)[core]
-    joint = onehot.T @ bigrams @ onehot
-    # The words with classes; those beyond the core start in the last class.
-    key = np.unique(np.concatenate((word[may_move], np.array(named, _U))))
-    cls = np.full(len(key), k - 1, np.int64)
-    cls[np.searchsorted(key, np.array(named, _U))] = core[:-1]
-    if (cls == k - 1).any():
-        beside = train.mapInArrow(_contexts(key, cls, k), "word long, slot long, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-        lists = beside.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))  # 2 k slots at most
-        moved = lists.mapInArrow(_join(joint), "word long, class long").toPandas()  # classed rows at most
-        cls[moved["word"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
-        joint = _bigrams(train, key, cls, k)
-
-    mass = joint.sum(axis=0)
-    prior = (mass + 1) / (mass.sum() + k)
-    step = np.log10((joint + back_off * prior) / (joint.sum(axis=1, keepdims=True) + back_off))
-    tail_n = float(mass[-1])
-    at = np.minimum(np.searchsorted(key, word), len(key) - 1)
-    cls = np.where(key[at] == word, cls[at], k - 1)
-    single -= int(((n == 1) & (cls < k - 1)).sum())  # those of the tail
-    unseen = min((single + 0.5) / (tail_n + 1), 0.999) if tail_n else 1.0
-    share = n / np.maximum(mass[cls], 1.0) if len(n) else np.zeros(0)
-    emit = np.log10(np.where(cls == k - 1, share * (1 - unseen), share)) if len(n) else np.zeros(0)
-    sort = np.argsort(word)
-    model = {"words": word[sort], "count": n[sort], "class": cls[sort], "emit": emit[sort], "step": step}
-
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, word long, times long"
-    scored = materialize(rows.mapInArrow(_score(model), schema), "scores")
-    in_tail = F.log10(F.col("count") * F.lit((1 - unseen) / max(tail_n, 1.0))) if tail_n else F.lit(0.0)
-    rare = (
-        scored.where("word is not null").select("uid", "word", "times").join(counts, "word", "left")
-        .groupBy("uid").agg(
-            F.sum(F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-            F.sum(F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + 1.0)).alias("rare_base"),
-            F.sum(F.col("times") * F.when(F.col("count").isNull(), F.lit(float(np.log10(unseen / (types + 1))))).otherwise(in_tail)).alias("rare_score"),
-        )
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = scored.where("word is null").drop("word", "times").join(rare, "uid", "left")
-    n_tokens = F.col("n_tokens")
-    score = F.col("score") + zero("rare_score")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("hits") + zero("known")).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base") - n_tokens * F.lit(float(np.log10(total + types + 1)))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / n_tokens).alias("perplexity"))
+    symbols = tokens(docs, id_col, text_col)
+    return score(symbols, fit(symbols, **options))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on awkward small tables."""
 
+import math
 import random
 import re
 import textwrap
@@ -9,6 +10,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from strandlace.llm import common, decontamination, licenses, line_dedup, packing, quality, scoring, secrets, sharding, simhash, substring_dedup
 from strandlace.llm.common import join_hot
@@ -292,6 +294,49 @@ def test_scores(spark, rows):
     assert all(abs(whole[d]["score"] - r["score"]) < 1e-6 for d, r in out.items())  # the table's size is a matter of speed
 
 
+def test_class_scores_equal_brute_force(spark, rows):
+    """Scores from the fitted classes alone, token by token; every context's probabilities add up to one."""
+    rows = unique(rows)
+    symbols = scoring.tokens(table(spark, rows))
+    model = scoring.fit(symbols, clustered=3, classes=3, classed=8, classed_from=3, table=12)
+    k, sym = 5, lambda w: xxhash.xxh64_intdigest(w.encode())
+    cut = lambda t: [sym(w) for w in brute.WORD.findall((t or "").translate(brute.LOWER))] + [scoring.END]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    count = {}
+    for d, t, _ in rows:
+        for w in () if held(d) else cut(t):
+            count[w] = count.get(w, 0) + 1
+    context = {int(w): int(c) for w, c in zip(model.words, model.context, strict=True)}
+    own = {int(w): int(c) for w, c in zip(model.words, model.own, strict=True)} | {r["word"] & (2**64 - 1): r["class"] for r in model.classes.collect()}
+    assert context[scoring.END] == own[scoring.END] == 0
+    assert sum(c < k - 1 for c in context.values()) <= 9 and all(count[w] >= 3 for w, c in own.items() if 0 < c < k - 1)
+    assert any(w not in context for w in own) and len([w for w in own if 0 < own[w] < k - 1]) > 8  # words beyond both tables
+    joint = np.zeros((k, k))
+    for d, t, _ in rows:
+        before = 0
+        for w in () if held(d) else cut(t):
+            joint[before, own.get(w, k - 1)] += 1
+            before = context.get(w, k - 1)
+    assert (joint == model.joint).all()
+    mass = joint.sum(axis=0)
+    prior = (mass + 1) / (mass.sum() + k)
+    step = (joint + 5 * prior) / (joint.sum(axis=1, keepdims=True) + 5)
+    unseen = (sum(n == 1 for n in count.values()) + 0.5) / (mass[-1] + 1)
+    def emit(w):
+        c = own.get(w, k - 1)
+        return unseen / (len(count) + 1) if w not in count else count[w] / mass[c] * (1 - unseen if c == k - 1 else 1)
+    for c in range(k):
+        assert abs(sum(step[c, own.get(w, k - 1)] * emit(w) for w in count) + step[c, k - 1] * unseen - 1) < 1e-9
+    out = {r["doc_id"]: r["score"] for r in scoring.score(symbols, model).collect()}
+    for d, t, _ in rows:
+        before, want = 0, 0.0
+        for w in cut(t):
+            want += math.log10(step[before, own.get(w, k - 1)] * emit(w))
+            before = context.get(w, k - 1)
+        assert abs(out[d] - want) < 1e-6
+    assert model.history == sorted(model.history)
+
+
 def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(0)
     n, k = 22, 5  # END, 20 words, tail
@@ -352,7 +397,7 @@ def test_joining_a_class_is_the_best_move():
         g[:, a] += left[w]
         return f(g) - f(joint.sum(axis=0) + np.eye(k)[a] * left[w].sum() - np.eye(k)[-1] * left[w].sum()) - f(joint.sum(axis=1) + np.eye(k)[a] * right[w].sum() - np.eye(k)[-1] * right[w].sum())
 
-    took = scoring.join_classes(left, right, joint)
+    took = scoring.best_classes(np.full(30, k - 1), left, right, joint)
     for w in range(30):
         assert likelihood(w, took[w]) >= max(likelihood(w, a) for a in range(1, k)) - 1e-6
 
