@@ -9,6 +9,8 @@ after an executor is lost makes the same rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 NO_ID = -(2**63)
 #: Text bytes that one vectorised step of a Python worker holds at most (a single longer text is a step alone).
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -70,8 +72,8 @@ def scratch(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-#: Removes a query's shuffle files once the query has ended.
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a phase is written: its shuffle files go once it has ended, and Arrow batches stay small, so that workers need little memory.
+_PHASE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -81,12 +83,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_TIDY, "false")
-    spark.conf.set(_TIDY, "true")
+    before = {k: spark.conf.get(k) for k in _PHASE}
     try:
+        for k, v in _PHASE.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_TIDY, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     phase = spark.read.schema(df.schema).parquet(path)
     phase._sl_path = path
     return phase
@@ -99,7 +103,7 @@ def discard(phase: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], spread: Column, total: int, how: str = "inner", sizes: DataFrame | None = None, share: int = 1000, least: int = 10_000) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], spread: Column, total: int, how: str = "inner", sizes: DataFrame | None = None, share: int = 1000, least: int = 1000) -> DataFrame:
     """``rows`` joined with ``table``, which has each key once.
 
     A key that over ``total / share`` of the ``total`` rows hold (and over
@@ -149,6 +153,20 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over batches; when a task ends, the worker gives the memory it no longer uses back to the system."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -290,7 +308,7 @@ def _settle(width: int, with_first: bool, window: int) -> Callable:
                 did, th, block = (np.concatenate([x[i] for x in out]) for i in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(did), pa.array(th), pa.array(block), pa.array([s for x in out for s in x[3]], pa.binary())], names=_LOST)
 
-    return run
+    return lean(run)
 
 
 def _merge(batches):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, steps
+from .common import column, lean, steps
 
 # Licence sentences (normalised: words of letters, digits and dots in lower case) and their identifiers.
 SENTENCES = {
@@ -253,7 +253,7 @@ def _scan(sentences: dict[str, str], rules, gap: int, notices: bool):
                 spans.append(",".join(f"{k}:{at[a]}:{at[e]}" for k, (a, e) in zip(n, s, strict=True)))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([",".join(i) for i in ids], pa.string()), pa.array([",".join(n) for n in names], pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_sentences", "sentences", "licenses", "spans"])
 
-    return run
+    return lean(run)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules=None, gap: int = 2) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import CLAIMS, RangeHashes, column, covered, documents_in_order, identified, ints, join_documents, later_holders, local_claims, materialize, steps
+from .common import CLAIMS, RangeHashes, column, covered, documents_in_order, identified, ints, join_documents, later_holders, lean, local_claims, materialize, steps
 
 
 def _claim_lines(window: int):
@@ -40,7 +40,7 @@ def _claim_lines(window: int):
             if keys and sum(map(len, keys)):
                 yield local_claims((np.concatenate(keys), np.concatenate(twins)), np.concatenate(docs), np.concatenate(pos), ints(b, "did")[order], ints(b, "th")[order], window, False)
 
-    return run
+    return lean(run)
 
 
 def _drop_lines(batches):

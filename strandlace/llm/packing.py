@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, ints, materialize, steps
+from .common import column, ints, lean, materialize, steps
 from .ranks import gapless
 
 _RANK_BITS = 48
@@ -103,7 +103,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return lean(run)
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -165,7 +165,7 @@ def _place(plan: np.ndarray):
             sequence, offset = row[:, 3] + nth // row[:, 4], row[:, 5] + nth % row[:, 4] * length
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return run
+    return lean(run)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, rows_per_bucket: int = 200_000) -> DataFrame:

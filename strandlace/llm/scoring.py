@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, identified, ints, materialize, mix, steps
+from .common import column, discard, identified, ints, lean, materialize, mix, steps
 
 _U = np.uint64
 #: The symbol of a text's end; a word can't hold a space.
@@ -42,6 +42,10 @@ _END = END.to_bytes(8, "little")
 _SIGNED_END = int(np.uint64(END).view(np.int64))
 
 
+#: Bytes of symbols that one step of a pass holds.
+SYMBOL_BYTES = 2 << 20
+
+
 def _tokenise(batches):
     x = xxhash.xxh64_digest
     for b in steps(batches):
@@ -59,10 +63,43 @@ def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return data, (offsets - offsets[0]) // 8
 
 
-def _look_up(words: np.ndarray, values: np.ndarray, h: np.ndarray, other: int) -> np.ndarray:
-    """The value of each symbol: that of the sorted ``words``, or ``other``."""
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, values[at], other)
+class Finder:
+    """Places of symbols in a sorted table, by hashing: words that collide go to a further, smaller round."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.rounds = words, []
+        left = np.arange(len(words))
+        while len(left):
+            shift = _U(64 - max(8, int(16 * len(left)).bit_length()))
+            factor = mix(np.array([len(self.rounds)]), 3)[0] | _U(1)
+            slot = self._slot(words[left], factor, shift)
+            table = np.zeros(1 << int(64 - shift), np.int32)
+            table[slot] = left
+            self.rounds.append((factor, shift, table))
+            left = left[table[slot] != left]
+
+    @staticmethod
+    def _slot(h: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h * factor) >> shift
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the table has each symbol, and its place (0 where not)."""
+        at, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        open_ = np.arange(len(h))
+        for factor, shift, table in self.rounds:
+            place = table[self._slot(h[open_], factor, shift)]
+            ok = self.words[place] == h[open_]
+            at[open_[ok]] = place[ok]
+            hit[open_[ok]] = True
+            open_ = open_[~ok]
+        return hit, at
+
+
+def _look_up(finder: Finder, values: np.ndarray, h: np.ndarray, other: int) -> np.ndarray:
+    """The value of each symbol, or ``other``."""
+    hit, at = finder.find(h)
+    return np.where(hit, values[at] if len(values) else other, other)
 
 
 def _before(c: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -82,7 +119,7 @@ def _parts(total: np.ndarray):
 
 
 def _tally(batches):
-    for b in steps(batches, "symbols"):
+    for b in steps(batches, "symbols", 2 * SYMBOL_BYTES):
         word, n = np.unique(_symbols(b)[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
 
@@ -91,10 +128,10 @@ def _bigrams(train: DataFrame, words: np.ndarray, ids: np.ndarray, size: int) ->
     """``size`` squared counts of ids (0 to size - 1; other words are ``size - 1``) side by side; at most as many rows come to the driver."""
 
     def run(batches):
-        total = np.zeros(size * size, np.int64)
-        for b in steps(batches, "symbols"):
+        total, finder = np.zeros(size * size, np.int64), Finder(words)
+        for b in steps(batches, "symbols", SYMBOL_BYTES):
             h, offsets = _symbols(b)
-            i = _look_up(words, ids, h, size - 1)
+            i = _look_up(finder, ids, h, size - 1)
             total += np.bincount(_before(i, offsets) * size + i, minlength=size * size)
         yield from _parts(total)
 
@@ -168,24 +205,61 @@ def likelihood(joint: np.ndarray) -> float:
 
 
 def _contexts(words: np.ndarray, cls: np.ndarray, k: int):
-    """Counts of the classes beside each of the sorted ``words`` (slot c for class c before, k + c for class c after), then the class bigrams."""
+    """Counts of the classes beside each of the sorted ``words``: one row for each word and task, of slots (c for class c before, k + c
+    for class c after) and their counts."""
     n = len(words)
 
     def run(batches):
-        total = np.zeros(n * 2 * k + k * k, np.int64)
-        for b in steps(batches, "symbols"):
+        total, finder = np.zeros(n * 2 * k, np.int32), Finder(words)
+        for b in steps(batches, "symbols", SYMBOL_BYTES):
             h, offsets = _symbols(b)
-            at = np.minimum(np.searchsorted(words, h), n - 1)
-            hit = words[at] == h
+            hit, at = finder.find(h)
             c = np.where(hit, cls[at], k - 1)
             before = _before(c, offsets)
-            np.add.at(total, n * 2 * k + before * k + c, 1)
             word = np.flatnonzero(hit & (h != _U(END)))  # not an END, so the next token is of the same text
-            np.add.at(total, at[word] * (2 * k) + before[word], 1)
-            np.add.at(total, at[word] * (2 * k) + k + c[word + 1], 1)
-        yield from _parts(total)
-
-    return run
+            place = at[word] * (2 * k)
+            for slots in (place + before[word], place + k + c[word + 1]):
+                got, times = np.unique(slots, return_counts=True)
+                total[got] += times.astype(np.int32)
+        for low in range(0, n, 1 << 13):
+            part = total[low * 2 * k : (low + (1 << 13)) * 2 * k].reshape(-1, 2 * k)
+            row, slot = np.nonzero(part)
+            if len(row):
+                entries = np.column_stack((slot, part[row, slot])).astype("<i4")
+                cut = np.flatnonzero(np.diff(row)) + 1
+                blobs = [e.tobytes() for e in np.split(entries, cut)]
+                yield pa.RecordBatch.from_arrays([pa.array(low + row[np.concatenate(([0], cut))], pa.int64()), pa.array(blobs, pa.binary())], names=["word", "slots"])
+
+    return lean(run)
+
+
+def _summed(batches, size: int, packed: bool):
+    """``words, matrix``: the summed counts by slot of whole words; rows come sorted by word."""
+    word, held = None, None
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        w = ints(b, "word")
+        head = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        owner = np.cumsum(np.concatenate(([False], w[1:] != w[:-1])))
+        out = np.zeros((len(head), size))
+        if packed:
+            blobs = column(b, "slots").to_pylist()
+            entries = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2)
+            owner = np.repeat(owner, [len(x) // 8 for x in blobs])
+            np.add.at(out, (owner, entries[:, 0]), entries[:, 1])
+        else:
+            np.add.at(out, (owner, ints(b, "slot")), ints(b, "n"))
+        words = w[head]
+        if held is not None and words[0] == word:
+            out[0] += held
+        elif held is not None:
+            yield np.array([word]), held[None]
+        word, held = words[-1], out[-1].copy()
+        if len(words) > 1:
+            yield words[:-1], out[:-1]
+    if held is not None:
+        yield np.array([word]), held[None]
 
 
 def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, joint: np.ndarray) -> np.ndarray:
@@ -211,25 +285,14 @@ def best_classes(own: np.ndarray, left: np.ndarray, right: np.ndarray, joint: np
     return np.where(np.take_along_axis(gain, best[:, None], axis=1)[:, 0] > stay + 1e-9, best, own)
 
 
-def _slots(batch: pa.RecordBatch, size: int) -> np.ndarray:
-    """A matrix of counts from lists of (slot, n)."""
-    slots = column(batch, "slots")
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(slots.offsets.to_numpy()))
-    out = np.zeros((batch.num_rows, size))
-    out[owner, slots.flatten().field("slot").to_numpy()] = slots.flatten().field("n").to_numpy()
-    return out
-
-
 def _move(own: np.ndarray, joint: np.ndarray):
     k = len(joint)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                word, both = ints(b, "word"), _slots(b, 2 * k)
-                yield pa.RecordBatch.from_arrays([column(b, "word"), pa.array(best_classes(own[word], both[:, :k], both[:, k:], joint), pa.int64())], names=["word", "class"])
+        for word, both in _summed(batches, 2 * k, True):
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best_classes(own[word], both[:, :k], both[:, k:], joint), pa.int64())], names=["word", "class"])
 
-    return run
+    return lean(run)
 
 
 def exchange_rounds(train: DataFrame, words: np.ndarray, core: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -240,28 +303,18 @@ def exchange_rounds(train: DataFrame, words: np.ndarray, core: np.ndarray, k: in
     now, best, history = core.copy(), None, []
     deal = (mix(words, 5) & _U(1)).astype(np.int64)
     for r in range(rounds + 1):
-        counted = materialize(train.select("symbols").mapInArrow(_contexts(words, now, k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
-        first = len(words) * 2 * k
-        pairs = counted.where(F.col("key") >= first).toPandas()  # k squared rows at most
-        joint = np.zeros(k * k)
-        joint[pairs["key"].to_numpy(np.int64) - first] = pairs["n"].to_numpy(np.float64)
-        joint = joint.reshape(k, k)
+        joint = _bigrams(train, words, now, k).astype(np.float64)
         value = likelihood(joint)
-        if best is None or value > history[-1] + 1e-9 * abs(history[-1]):
-            best = now.copy(), joint
-            history.append(value)
-        else:
-            r = rounds
-        if r == rounds:
-            discard(counted)
+        if best is not None and value <= history[-1] + 1e-9 * abs(history[-1]):
             break
-        word, slot = F.floor(F.col("key") / (2 * k)), F.col("key") % (2 * k)
-        lists = counted.where(F.col("key") < first).groupBy(word.alias("word")).agg(F.collect_list(F.struct(slot.alias("slot"), "n")).alias("slots"))  # 2 k slots at most
-        moved = lists.mapInArrow(_move(now, joint), "word long, class long").toPandas()  # one row a word of the table
-        discard(counted)
-        at, to = moved["word"].to_numpy(np.int64), moved["class"].to_numpy(np.int64)
-        may = (now[at] == k - 1) if r == 0 else deal[at] == r % 2
-        now[at[may]] = to[may]
+        best = now.copy(), joint
+        history.append(value)
+        if r < rounds:
+            rows = train.mapInArrow(_contexts(words, now, k), "word long, slots binary").repartition(F.col("word")).sortWithinPartitions("word")
+            moved = rows.mapInArrow(_move(now, joint), "word long, class long").toPandas()  # one row a word of the table
+            at, to = moved["word"].to_numpy(np.int64), moved["class"].to_numpy(np.int64)
+            may = (now[at] == k - 1) if r == 0 else deal[at] == r % 2
+            now[at[may]] = to[may]
     return *best, history
 
 
@@ -269,9 +322,10 @@ def _tail_contexts(words: np.ndarray, cls: np.ndarray, k: int):
     """``word, slot, n``: the classes before each word that the exchange table lacks."""
 
     def run(batches):
-        for b in steps(batches, "symbols"):
+        finder = Finder(words)
+        for b in steps(batches, "symbols", 2 * SYMBOL_BYTES):
             h, offsets = _symbols(b)
-            c = _look_up(words, cls, h, k)  # k: not in the table
+            c = _look_up(finder, cls, h, k)  # k: not in the table
             at = np.flatnonzero(c == k)
             before = np.minimum(_before(c, offsets)[at], k - 1)
             order = np.lexsort((before, h[at]))
@@ -280,21 +334,39 @@ def _tail_contexts(words: np.ndarray, cls: np.ndarray, k: int):
             n = np.diff(np.append(head, len(word)))
             yield pa.RecordBatch.from_arrays([pa.array(word[head].view(np.int64)), pa.array(slot[head].astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "slot", "n"])
 
-    return run
+    return lean(run)
 
 
-def _predict(joint: np.ndarray):
-    """The class of each word that predicts it best after the classes before it."""
+def _predict(joint: np.ndarray, least: int):
+    """The class of each word of ``least`` tokens or more that predicts it best after the classes before it; these classes and their counts."""
     k = len(joint)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                left = _slots(b, k)
+        for word, left in _summed(batches, k, False):
+            enough = left.sum(axis=1) >= least
+            word, left = word[enough], left[enough]
+            if len(word):
                 to = best_classes(np.full(len(left), k - 1), left, np.zeros_like(left), joint)
-                yield pa.RecordBatch.from_arrays([column(b, "word"), pa.array(to, pa.int64()), column(b, "slots")], names=["word", "class", "slots"])
+                row, slot = np.nonzero(left)
+                entries = np.column_stack((slot, left[row, slot])).astype("<i8")
+                blobs = [e.tobytes() for e in np.split(entries, np.flatnonzero(np.diff(row)) + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], names=["word", "class", "slots"])
+
+    return lean(run)
 
-    return run
+
+def _moved(k: int):
+    """Class bigrams of the words that got classes: ``key`` is class before times k plus class."""
+
+    def run(batches):
+        total = np.zeros(k * k, np.int64)
+        for b in batches:
+            blobs = column(b, "slots").to_pylist()
+            entries = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
+            np.add.at(total, entries[:, 0] * k + np.repeat(ints(b, "class"), [len(x) // 16 for x in blobs]), entries[:, 1])
+        yield from _parts(total)
+
+    return lean(run)
 
 
 def _fitting(sizes: list[tuple[int, int]], room: int) -> int:
@@ -337,7 +409,7 @@ def fit(symbols: DataFrame, clustered: int = 1000, classes: int = 40, classed: i
     """The model of the rows of ``symbols`` that are not held out."""
     train = symbols.where(~F.col("held_out")).select("symbols")
     k = classes + 2
-    counts = materialize(train.mapInArrow(_tally, "word long, n long").groupBy("word").agg(F.sum("n").alias("count")), "word-counts")
+    counts = materialize(train.mapInArrow(lean(_tally), "word long, n long").groupBy("word").agg(F.sum("n").alias("count")), "word-counts")
     total, types, single = counts.agg(F.sum("count"), F.count("*"), F.sum(((F.col("count") == 1) & (F.col("word") != _SIGNED_END)).cast("long"))).first()
     total, single = total or 0, single or 0
     # The tables hold the words whose counts lie in the highest bins of 1/64 octave that fit them together.
@@ -358,13 +430,12 @@ def fit(symbols: DataFrame, clustered: int = 1000, classes: int = 40, classed: i
     start[np.searchsorted(key, named)] = core[:-1]
     cls, joint, history = exchange_rounds(train, key, start, k, rounds)
     # 3. All other words of enough tokens.
-    slots = train.mapInArrow(_tail_contexts(key, cls, k), "word long, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
-    lists = slots.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("slots"), F.sum("n").alias("count"))  # k slots at most
-    rest = materialize(lists.where(F.col("count") >= classed_from).select("word", "slots").mapInArrow(_predict(joint), "word long, class long, slots array<struct<slot:int,n:bigint>>"), "word-classes")
-    moved = rest.select("class", F.explode("slots").alias("s")).groupBy("class", "s.slot").agg(F.sum("s.n").alias("n")).toPandas()  # k squared rows at most
-    for to, slot, some in zip(moved["class"], moved["slot"], moved["n"], strict=True):
-        joint[slot, to] += some
-        joint[slot, k - 1] -= some
+    slots = train.mapInArrow(_tail_contexts(key, cls, k), "word long, slot int, n long").repartition(F.col("word")).sortWithinPartitions("word")
+    rest = materialize(slots.mapInArrow(_predict(joint, classed_from), "word long, class long, slots binary"), "word-classes")
+    moved = rest.select("class", "slots").mapInArrow(_moved(k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # k squared rows at most
+    for at, some in zip(moved["key"].to_numpy(np.int64), moved["n"].to_numpy(np.int64), strict=True):
+        joint[at // k, at % k] += some
+        joint[at // k, k - 1] -= some
 
     prior = (joint.sum(axis=0) + 1) / (joint.sum() + k)
     step = np.log10((joint + back_off * prior) / (joint.sum(axis=1, keepdims=True) + back_off))
@@ -372,7 +443,7 @@ def fit(symbols: DataFrame, clustered: int = 1000, classes: int = 40, classed: i
     unseen = min((single + 0.5) / (tail + 1), 0.999) if tail else 1.0
     order = np.argsort(word)
     word, n = word[order], n[order]
-    context = _look_up(key, cls, word, k - 1)
+    context = _look_up(Finder(key), cls, word, k - 1)
     own = context.copy()
     known = rest.join(counts.where(octave >= least), "word").select("word", "class").toPandas()  # words of the table
     own[np.searchsorted(word, known["word"].to_numpy(np.int64).view(_U))] = known["class"].to_numpy(np.int64)
@@ -383,12 +454,11 @@ def _score(m: dict):
     def run(batches):
         part, row = TaskContext.get().partitionId() << 40, 0
         words, count, own, context, emit, step = (m[x] for x in ("words", "count", "own", "context", "emit", "step"))
-        tail = len(step) - 1
-        for b in steps(batches, "symbols"):
+        tail, finder = len(step) - 1, Finder(words)
+        for b in steps(batches, "symbols", SYMBOL_BYTES):
             h, offsets = _symbols(b)
             if len(words):
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                hit = words[at] == h
+                hit, at = finder.find(h)
                 base = np.where(hit, np.log10(count[at] + 1.0), 0.0)
                 before = _before(np.where(hit, context[at], tail), offsets)
                 score = np.where(hit, step[before, own[at]] + emit[at], 0.0)
@@ -424,14 +494,14 @@ def _score(m: dict):
                 names=["uid", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "word", "slot", "times"],
             )
 
-    return run
+    return lean(run)
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored symbols of each row: ``doc_id, held_out, symbols``."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     rows = identified(docs, id_col, text_col).select("doc_id", "text", held.alias("held_out"))
-    return materialize(rows.mapInArrow(_tokenise, "doc_id long, held_out boolean, symbols binary"), "symbols")
+    return materialize(rows.mapInArrow(lean(_tokenise), "doc_id long, held_out boolean, symbols binary"), "symbols")
 
 
 def score(symbols: DataFrame, model: Model) -> DataFrame:
@@ -471,7 +541,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored whole; an empty table gives no rows; other columns are not read, whatever their names.
     """
     symbols = tokens(docs, id_col, text_col)
-    return score(symbols, fit(symbols, **options))
+    out = score(symbols, fit(symbols, **options))
+    discard(symbols)
+    return out
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
