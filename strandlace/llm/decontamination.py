@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, covered, identified, ints, join_hot, materialize, pack_ranges, steps
+from .common import column, covered, discard, identified, ints, join_hot, lean, materialize, pack_ranges, steps
 
 _U = np.uint64
 _WORD = frozenset(range(0x30, 0x3A)) | frozenset(range(0x41, 0x5B)) | frozenset(range(0x61, 0x7B)) | frozenset(range(0x80, 0x100))
 #: Lower-cases A-Z and turns ASCII characters outside words into spaces, in UTF-8.
 _TABLE = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if c in _WORD else 0x20 for c in range(256))
 #: Text bytes of one segment, and list entries that a search looks at together.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 _LOOK = 1 << 20
 
 INDEX = "segment long, doc_id array<long>, did array<long>, th array<long>, n_words array<long>, terms binary, ends binary, positions binary"
@@ -49,11 +49,12 @@ class Segment:
         self.offsets = np.concatenate(([0], np.cumsum(n_words))).astype(np.int64)
 
     @classmethod
-    def build(cls, docs: list[list[bytes]]) -> Segment:
-        h = np.frombuffer(b"".join(_terms(d) for d in docs), "<u8")
+    def build(cls, docs: list[bytes]) -> Segment:
+        """The segment of documents given as packed terms."""
+        h = np.frombuffer(b"".join(docs), "<u8")
         order = np.argsort(h, kind="stable")
         terms, count = np.unique(h, return_counts=True)
-        return cls(terms, np.cumsum(count).astype("<i4"), order.astype("<i4"), np.array([len(d) for d in docs], np.int64))
+        return cls(terms, np.cumsum(count).astype("<i4"), order.astype("<i4"), np.array([len(d) // 8 for d in docs], np.int64))
 
     def lists(self, wanted: np.ndarray) -> Lists:
         """The lists of the ``wanted`` terms (sorted)."""
@@ -135,18 +136,18 @@ def _index(batches):
 
     number = TaskContext.get().partitionId() << 32
     for b in steps(batches, limit=SEGMENT_BYTES):
-        docs = [words_of(t) for t in column(b, "text").to_pylist()]
+        docs = [_terms(words_of(t.as_buffer().to_pybytes())) for t in column(b, "text")]
         s = Segment.build(docs)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), x)
         ids = [one(column(b, c)) for c in ("doc_id", "did", "th")]
         blobs = [pa.array([x.tobytes()], pa.binary()) for x in (s.terms.astype("<u8"), s.ends, s.positions)]
-        yield pa.RecordBatch.from_arrays([pa.array([number]), *ids, one(pa.array([len(d) for d in docs], pa.int64())), *blobs], names=["segment", "doc_id", "did", "th", "n_words", "terms", "ends", "positions"])
+        yield pa.RecordBatch.from_arrays([pa.array([number]), *ids, one(pa.array([len(d) // 8 for d in docs], pa.int64())), *blobs], names=["segment", "doc_id", "did", "th", "n_words", "terms", "ends", "positions"])
         number += 1
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored positional index of all documents, to be searched with ``search_index``."""
-    return materialize(identified(docs, id_col, text_col).mapInArrow(_index, INDEX), "positional-index")
+    return materialize(identified(docs, id_col, text_col).mapInArrow(lean(_index), INDEX), "positional-index")
 
 
 def _windows(width: int):
@@ -162,7 +163,7 @@ def _windows(width: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.string()), strict=True)], names=["window", "terms", "item"])
 
-    return run
+    return lean(run)
 
 
 def _blocks(windows: DataFrame, width: int, block_windows: int):
@@ -218,7 +219,7 @@ def _search(told, slack: int):
                         names=["segment", "place", "spans", "windows", "close"],
                     )
 
-    return run
+    return lean(run)
 
 
 def _count_hits(batches):
@@ -269,7 +270,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     go by their place; identical rows get identical results.  A very long text is a
     segment of its own; an empty table gives no rows; other columns are not read, whatever their names.
     """
-    return search_index(build_index(docs, id_col, text_col), benchmark, item_col, item_text_col, width, slack, block_windows)
+    index = build_index(docs, id_col, text_col)
+    found = materialize(search_index(index, benchmark, item_col, item_text_col, width, slack, block_windows), "leaks")
+    discard(index)
+    return found
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CLAIMS, RangeHashes, column, covered, documents_in_order, identified, ints, join_documents, later_holders, local_claims, materialize, mix, steps
+from .common import CLAIMS, RangeHashes, column, covered, documents_in_order, identified, ints, join_documents, later_holders, lean, local_claims, materialize, mix, steps
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -161,7 +161,7 @@ def _claim_symbols(window: int):
                 doc = np.searchsorted(offsets, begin, side="right") - 1
                 yield local_claims(hashes.of(begin, begin + size), doc, begin - offsets[doc], did, th, 1, False, size.astype(np.int32), window)
 
-    return run
+    return lean(run)
 
 
 def _claim_windows(window: int):
@@ -185,7 +185,7 @@ def _claim_windows(window: int):
                 doc = np.searchsorted(offsets, first, side="right") - 1
                 yield local_claims(hashes.of(first, first + window), doc, first - offsets[doc], did, th, 1, False)
 
-    return run
+    return lean(run)
 
 
 def _cut(window: int):
@@ -203,7 +203,7 @@ def _cut(window: int):
             ids, n, gone, kept = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return run
+    return lean(run)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
