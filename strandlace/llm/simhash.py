@@ -20,8 +20,9 @@ Two kinds of links:
   name the shards, the trees find the fingerprints within the radius, and whole shingle
   sets decide.  Two texts of similarity s share a shard with probability 1 - (1 - s^ROWS)^BANDS.
   The first round compares each text with the nearest one on its way
-  into the tree; the second asks the trees for all links between the groups
-  of the first, so groups of many near copies cost few comparisons and lose none.
+  into the tree.  Shards that then still hold several groups take the shingle sets of their texts
+  along, and their trees are asked for all links between different groups, each verified at once; a
+  link joins two groups, so those told grow with the texts and not with their pairs, and none is lost.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, identified, ints, join_hot, materialize, mix, steps
+from .common import column, discard, identified, ints, join_hot, lean, materialize, mix, steps
 from .components import components
 
 _U = np.uint64
@@ -196,174 +197,217 @@ class _Forest:
         return True
 
 
-def _shards(batches, least: int = 2):
-    """``key, fp, id, group`` of whole shards of ``least`` rows or more; batches come sorted by key."""
-    key, held = None, []
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1) if len(a) or len(b) else 1.0
+
+
+class Shard:
+    """Members of a shard: fingerprints, ids, groups (of known links), and shingle sets where links need a proof."""
 
-    def whole():
-        rows = np.concatenate(held, axis=1)
-        return key, rows[0].view(_U), rows[1], rows[2]
+    def __init__(self, fp: np.ndarray, ids: np.ndarray, groups: np.ndarray, sets: list[bytes] | None) -> None:
+        self.fp, self.ids, self.groups, self.sets = fp, ids, groups, sets
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, rows: np.ndarray | slice) -> Shard:
+        sets = column(batch, "set").take(pa.array(np.arange(batch.num_rows)[rows])).to_pylist() if "set" in batch.schema.names else None
+        return cls(ints(batch, "fp").view(_U)[rows], ints(batch, "id")[rows], ints(batch, "group")[rows], sets)
 
+    @classmethod
+    def join(cls, parts: list[Shard]) -> Shard:
+        sets = None if parts[0].sets is None else [s for p in parts for s in p.sets]
+        return cls(*(np.concatenate([getattr(p, x) for p in parts]) for x in ("fp", "ids", "groups")), sets)
+
+    def take(self, order: np.ndarray) -> Shard:
+        return Shard(self.fp[order], self.ids[order], self.groups[order], None if self.sets is None else [self.sets[i] for i in order.tolist()])
+
+    def __len__(self) -> int:
+        return len(self.fp)
+
+
+def _shards(batches, least: int = 2):
+    """Whole shards of ``least`` members or more with their keys; batches come sorted by key."""
+    key, held = None, []
     for b in batches:
         if b.num_rows == 0:
             continue
         keys = ints(b, "key")
-        data = np.stack([ints(b, c) for c in ("fp", "id", "group")])
         cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True):
             if keys[s] != key:
-                if sum(x.shape[1] for x in held) >= least:
-                    yield whole()
+                if sum(map(len, held)) >= least:
+                    yield key, Shard.join(held)
                 key, held = keys[s], []
-            held.append(data[:, s:e].copy())
-    if sum(x.shape[1] for x in held) >= least:
-        yield whole()
+            held.append(Shard.of(b, slice(s, e)))
+    if sum(map(len, held)) >= least:
+        yield key, Shard.join(held)
 
 
 class _Links:
-    """Pairs to tell.  With ``spanning`` links prove themselves, and those that the task already knows are left out;
-    otherwise all links between different groups are told."""
+    """Links that are new to the task: members whose groups it has joined are not compared again."""
 
-    def __init__(self, spanning: bool) -> None:
-        self.forest, self.pairs = _Forest() if spanning else None, []
+    def __init__(self, least: float) -> None:
+        self.least, self.forest, self.pairs = least, _Forest(), []
 
-    def begin(self, ids: np.ndarray, groups: np.ndarray) -> None:
-        self.ids, self.label = ids, np.unique(groups, return_inverse=True)[1]
+    def begin(self, shard: Shard) -> None:
+        self.shard, self.label = shard, np.unique(shard.groups, return_inverse=True)[1]
+
+    def _alike(self, row: int, other: int) -> bool:
+        a, b = self.shard.sets[row], self.shard.sets[other]
+        if min(len(a), len(b)) < self.least * max(len(a), len(b)):
+            return False
+        return similarity(np.frombuffer(a, _U), np.frombuffer(b, _U)) >= self.least
 
     def add(self, row: int, others: np.ndarray) -> None:
-        """Links of one row of the shard with other rows."""
-        own = self.label[row]
-        others = others[self.label[others] != own]
-        if not len(others):
-            return
-        if self.forest is None:
-            one, two = np.full(len(others), self.ids[row]), self.ids[others]
-            self.pairs.append(np.stack((np.minimum(one, two), np.maximum(one, two))))
-            return
-        for group, at in zip(*np.unique(self.label[others], return_index=True), strict=True):
-            a, b = int(self.ids[row]), int(self.ids[others[at]])
+        """Link one member of the shard with the groups of other members."""
+        while len(others := others[self.label[others] != self.label[row]]):
+            group, at = int(self.label[others[0]]), int(others[0])
+            if self.shard.sets is not None and not self._alike(row, at):
+                others = others[1:]
+                continue
+            a, b = int(self.shard.ids[row]), int(self.shard.ids[at])
             if self.forest.join(a, b):
-                self.pairs.append(np.array([[a], [b]]))
-            self.label[self.label == group] = own
+                self.pairs.append((a, b))
+            self.label[self.label == group] = self.label[row]
 
     def batch(self, least: int = 1):
-        if sum(p.shape[1] for p in self.pairs) >= least:
-            a, b = np.unique(np.concatenate(self.pairs, axis=1), axis=1)
+        if len(self.pairs) >= least:
+            yield _pairs(self.pairs)
             self.pairs = []
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if self.forest and len(self.forest.up) > _FOREST:
+        if len(self.forest.up) > _FOREST:
             self.forest = _Forest()
 
 
-def _search(radius: int, spanning: bool):
+def _pairs(pairs: list) -> pa.RecordBatch:
+    a, b = np.array(pairs, np.int64).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _search(radius: int, least: float):
     """Links inside each small shard, by its own tree."""
 
     def run(batches):
-        links = _Links(spanning)
-        for _, fp, ids, groups in _shards(batches):
-            links.begin(ids, groups)
-            if len(fp) <= _SMALL:
+        links = _Links(least)
+        for _, shard in _shards(batches):
+            links.begin(shard)
+            if len(shard) <= _SMALL:
                 tree = BKTree()
-                for i, x in enumerate(fp.tolist()):
+                for i, x in enumerate(shard.fp.tolist()):
                     if found := tree.near(x, radius):
                         links.add(i, np.array(found))
                     tree.add(x, i)
             else:
-                tree = PackedTree.grow(fp)
-                for node, hit in tree.near(fp, radius):
-                    links.add(tree.order[node], hit)
+                tree = PackedTree.grow(shard.fp)
+                for node, hit in tree.near(shard.fp, radius):
+                    links.add(int(tree.order[node]), hit)
             yield from links.batch(10_000)
         yield from links.batch()
 
-    return run
+    return lean(run)
 
 
 def _nearest(radius: int):
-    """For each member of a shard the nearest one on its way into the tree, if within the radius."""
+    """For each member of a shard the nearest one on its way into the tree, if within the radius; links without a proof."""
 
     def run(batches):
-        links = _Links(False)
-        for _, fp, ids, groups in _shards(batches):
-            tree = BKTree()
-            links.begin(ids, groups)
-            for i, x in enumerate(fp.tolist()):
+        pairs = []
+        for _, shard in _shards(batches):
+            tree, ids = BKTree(), shard.ids.tolist()
+            for i, x in enumerate(shard.fp.tolist()):
                 row, d = tree.add(x, i)
-                if row >= 0 and d <= radius:
-                    links.add(i, np.array([row]))
-            yield from links.batch(10_000)
-        yield from links.batch()
+                if row >= 0 and d <= radius and ids[row] != ids[i]:
+                    pairs.append((ids[i], ids[row]))
+            if len(pairs) > 10_000:
+                yield _pairs(pairs)
+                pairs = []
+        if pairs:
+            yield _pairs(pairs)
 
-    return run
+    return lean(run)
 
 
 def _grow(batches):
-    for key, fp, ids, groups in _shards(batches, 1):
-        tree = PackedTree.grow(fp)
-        members = np.stack((ids[tree.order], groups[tree.order])).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([tree.pack()], pa.binary()), pa.array([members], pa.binary())], names=["key", "tree", "members"])
+    for key, shard in _shards(batches, 1):
+        tree = PackedTree.grow(shard.fp)
+        members = shard.take(tree.order)
+        sets = members.sets if members.sets is not None else [b""] * len(members)
+        numbers = np.stack((members.ids, members.groups)).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([tree.pack()], pa.binary()), pa.array([numbers], pa.binary()), pa.array([sets], pa.list_(pa.binary()))], names=["key", "tree", "members", "sets"])
 
 
-def _ask(trees, radius: int, spanning: bool):
+def _ask(trees, radius: int, least: float):
     """Links of fingerprints with the broadcast trees of their shards."""
 
     def run(batches):
-        grown = {k: [(PackedTree.unpack(t), np.frombuffer(m, np.int64).reshape(2, -1)) for t, m in v] for k, v in trees.value.items()}
-        links = _Links(spanning)
+        grown: dict[int, list] = {}
+        for k, v in trees.value.items():
+            for t, m, sets in v:
+                tree = PackedTree.unpack(t)
+                grown.setdefault(k, []).append((tree, Shard(tree.values, *np.frombuffer(m, np.int64).reshape(2, -1), sets if least else None)))
+        links = _Links(least)
         for b in batches:
             if b.num_rows == 0:
                 continue
-            key, fp, ids, groups = ints(b, "key"), ints(b, "fp").view(_U), ints(b, "id"), ints(b, "group")
+            key = ints(b, "key")
             order = np.argsort(key, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-                for tree, (others, other_groups) in grown.get(int(key[part[0]]), ()):
-                    links.begin(np.concatenate((ids[part], others)), np.concatenate((groups[part], other_groups)))
-                    for node, hit in tree.near(fp[part], radius):
+                asking = Shard.of(b, part)
+                for tree, members in grown.get(int(key[part[0]]), ()):
+                    links.begin(Shard.join([asking, members]))
+                    for node, hit in tree.near(asking.fp, radius):
                         links.add(len(part) + node, hit)
                     yield from links.batch(10_000)
         yield from links.batch()
 
-    return run
+    return lean(run)
 
 
 def _tree_groups(trees: DataFrame, tree_bytes: int):
     """Trees by key, in key order, at most ``tree_bytes`` (or one tree) at a time on the driver."""
-    size = F.length("tree") + F.length("members")
+    size = F.length("tree") + F.length("members") + F.aggregate("sets", F.lit(0), lambda n, s: n + F.length(s))
     total = trees.agg(F.sum(size)).first()[0] or 0
     parts = 1 + 4 * total // tree_bytes  # partitions come to the driver one by one
     group: dict[int, list] = {}
     held = 0
     for row in trees.repartitionByRange(parts, "home", "key").sortWithinPartitions("home", "key").toLocalIterator():
-        more = len(row["tree"]) + len(row["members"])
+        sets = [bytes(s) for s in row["sets"]]
+        more = len(row["tree"]) + len(row["members"]) + sum(map(len, sets))
         if group and held + more > tree_bytes:
             yield group
             group, held = {}, 0
-        group.setdefault(row["home"], []).append((bytes(row["tree"]), bytes(row["members"])))
+        group.setdefault(row["home"], []).append((bytes(row["tree"]), bytes(row["members"]), sets))
         held += more
     if group:
         yield group
 
 
-def shard_links(keyed: DataFrame, radius: int, shard_limit: int, tree_bytes: int, spanning: bool) -> DataFrame:
-    """``a, b``: ids of different groups that share a key and whose fingerprints lie within ``radius``; ``keyed`` has ``key, fp, id, group``."""
-    columns = ["key", "fp", "id", "group"]
-    large = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard_limit), "large-shards")
-    small = keyed.join(large.select("key"), "key", "left_anti").repartition(F.col("key")).sortWithinPartitions("key", "fp", "id")
-    found = small.select(*columns).mapInArrow(_search(radius, spanning), "a long, b long")
+def shard_links(keyed: DataFrame, radius: int, shard_limit: int, tree_bytes: int, least: float = 0.0) -> DataFrame:
+    """``a, b``: links that connect ids of different groups that share a key and whose fingerprints lie within ``radius``.
+
+    ``keyed`` has ``key, fp, id, group``, and with ``least`` also ``set``: links then need that similarity.
+    """
+    columns = ["key", "fp", "id", "group", *(["set"] if least else [])]
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    large = materialize(counts.where(F.col("n") > shard_limit), "large-shards")
     if large.isEmpty():
-        return found
-    # Large shards: chunks of one tree each; keys of chunks keep the order of their shards apart.
-    hot = materialize(keyed.join(large, "key").select(*columns, "n").repartitionByRange("key", "id").sortWithinPartitions("key"), "hot-shards")
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / shard_limit))
-    chunks = hot.select(F.xxhash64("key", chunk).alias("key"), "fp", "id", "group", F.col("key").alias("home"))
+        return keyed.select(*columns).repartition(F.col("key")).sortWithinPartitions("key", "fp", "id").mapInArrow(_search(radius, least), "a long, b long")
+    sized = materialize(join_hot(keyed, large.withColumnRenamed("n", "size"), "key", F.xxhash64("id"), keyed.count(), "left", large), "sized-shards")
+    small = sized.where("size IS NULL").select(*columns).repartition(F.col("key")).sortWithinPartitions("key", "fp", "id")
+    found = small.mapInArrow(_search(radius, least), "a long, b long")
+    # Large shards: chunks of one tree each, asked in place by all members of the shard.
+    hot = materialize(sized.where("size IS NOT NULL").repartitionByRange("key", "id").sortWithinPartitions("key"), "hot-shards")
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / shard_limit))
+    chunks = hot.select(F.xxhash64("key", chunk).alias("key"), *columns[1:], F.col("key").alias("home"))
     homes = chunks.groupBy("key").agg(F.min("home").alias("home"))
-    grown = chunks.drop("home").repartition(F.col("key")).sortWithinPartitions("key", "fp", "id").mapInArrow(_grow, "key long, tree binary, members binary")
+    grown = chunks.drop("home").repartition(F.col("key")).sortWithinPartitions("key", "fp", "id").mapInArrow(lean(_grow), "key long, tree binary, members binary, sets array<binary>")
     trees = materialize(grown.join(homes, "key"), "shard-trees")
     context = keyed.sparkSession.sparkContext
     for group in _tree_groups(trees, tree_bytes):
         told = context.broadcast(group)
         asked = hot.where(F.col("key").between(min(group), max(group))).select(*columns)
-        found = found.unionAll(materialize(asked.mapInArrow(_ask(told, radius, spanning), "a long, b long"), "tree-links"))
-        told.unpersist()
+        found = found.unionAll(materialize(asked.mapInArrow(_ask(told, radius, least), "a long, b long"), "tree-links"))
+        told.destroy()
     return found
 
 
@@ -387,7 +431,7 @@ def link_fingerprints(nodes: DataFrame, radius: int = 4, shard_limit: int = 2048
     """``a, b``: links that connect whatever distinct fingerprints in column ``fp`` lie within ``radius`` (a spanning set, not all pairs)."""
     keys = shard_keys(F.col("fp"), radius, blocks_taken(radius, total))
     keyed = nodes.select("fp", F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("id"), F.col("fp").alias("group"))
-    return shard_links(keyed, radius, shard_limit, tree_bytes, True)
+    return shard_links(keyed, radius, shard_limit, tree_bytes)
 
 
 def _prints(shingle: int, bands: bool):
@@ -399,7 +443,7 @@ def _prints(shingle: int, bands: bool):
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32()), pa.array(np.concatenate(keys).view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "did"), column(b, "th"), pa.array(fp.view(np.int64), pa.int64()), lists], names=["doc_id", "did", "th", "fp", "keys"])
 
-    return run
+    return lean(run)
 
 
 _PRINTS = "doc_id long, did long, th long, fp long, keys array<long>"
@@ -439,13 +483,7 @@ def _sets(shingle: int):
             sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in column(b, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "th"), pa.array(sets, pa.binary())], names=["th", "set"])
 
-    return run
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; two empty ones are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(len(a) + len(b) - both, 1) if len(a) or len(b) else 1.0
+    return lean(run)
 
 
 def _alike(least: float):
@@ -455,7 +493,15 @@ def _alike(least: float):
             keep = pa.array([similarity(*(np.frombuffer(s.as_buffer(), _U) for s in p)) >= least for p in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([column(b, c).filter(keep) for c in "ab"], names=["a", "b"])
 
-    return run
+    return lean(run)
+
+
+def _shingle_sets(rows: DataFrame, wanted: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """The stored ``th, set`` of the texts whose ids are in ``wanted``."""
+    met = wanted.select("id").distinct().join(nodes, "id").select("did", F.col("id").alias("th"))
+    # One row of each text; repeated rows are one before the shuffle.
+    once = rows.groupBy("did", "th").agg(F.first("text").alias("text"))
+    return materialize(once.join(met, ["did", "th"], "left_semi").select("th", "text").mapInArrow(_sets(shingle), "th long, set binary"), "shingle-sets")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -463,18 +509,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
     pairs = materialize(pairs.distinct(), "candidates")
     if not (total := pairs.count()):
         return pairs
-    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes, "id").select("did", F.col("id").alias("th"))
-    # One row of each text that has a candidate; repeated rows are one before the shuffle.
-    once = rows.groupBy("did", "th").agg(F.first("text").alias("text"))
-    sets = materialize(once.join(met, ["did", "th"], "left_semi").select("th", "text").mapInArrow(_sets(shingle), "th long, set binary"), "shingle-sets")
+    sets = _shingle_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")), nodes, shingle)
     now = pairs
     for one, name, other in (("a", "x", "b"), ("b", "y", "a")):
         sizes = pairs.groupBy(one).agg(F.count("*").alias("n"))
         now = join_hot(now, sets.select(F.col("th").alias(one), F.col("set").alias(name)), one, F.xxhash64(other), total, sizes=sizes)
-    return materialize(now.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"), "alike")
+    alike = materialize(now.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"), "alike")
+    discard(pairs)
+    discard(sets)
+    return alike
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 18, shard_limit: int = 2048, tree_bytes: int = 64 << 20) -> DataFrame:
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 18, shard_limit: int = 512, tree_bytes: int = 64 << 20) -> DataFrame:
     """``doc_id, did, th, fp, component_id, root`` for each input row, as ``near_groups``, where texts link that share
     ``least`` or more of their ``shingle``-word shingles; ``root`` is the smallest text hash of the component.
 
@@ -487,15 +533,23 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = nodes.select("id", "fp", F.explode("keys").alias("key"))
     # Only shards of two texts or more are kept.
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shards = materialize(keyed.join(met, "key"), "shards")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / shard_limit))
+    total = nodes.count()
+    shards = materialize(join_hot(keyed, met.withColumn("size", F.col("n")), "key", F.xxhash64("id"), BANDS * total), "shards")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / shard_limit))
     first = shards.select(F.xxhash64("key", part).alias("key"), "fp", "id", F.col("id").alias("group")).repartition(F.col("key")).sortWithinPartitions("key", "fp", "id")
     alike = _verified(first.mapInArrow(_nearest(radius), "a long, b long"), rows, nodes, shingle, least)
     groups = components(alike, "a", "b")
-    known = shards.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "fp", "id", F.coalesce("root", "id").alias("group"))
-    mixed = known.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    rest = materialize(known.join(mixed, "key", "left_semi"), "open-shards")
-    alike = alike.unionAll(_verified(shard_links(rest, radius, shard_limit, tree_bytes, False), rows, nodes, shingle, least))
+    known = materialize(shards.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "fp", "id", F.coalesce("root", "id").alias("group")), "grouped-shards")
+    discard(shards)
+    mixed = known.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    rest = materialize(join_hot(known, mixed, "key", F.xxhash64("id"), known.count()), "open-shards")
+    discard(known)
+    if not rest.isEmpty():
+        sets = _shingle_sets(rows, rest, nodes, shingle)
+        more = shard_links(rest.join(sets.withColumnRenamed("th", "id"), "id"), radius, shard_limit, tree_bytes, least)
+        alike = alike.unionAll(materialize(more, "alike"))
+        discard(sets)
+    discard(rest)
     return _gather(prints, nodes, components(alike, "a", "b"), "th")
 
 
