@@ -52,3 +52,24 @@ def wrap(s: Column, width: int = 60) -> Column:
 def coordinate(record: Column, pos: Column, records: Column) -> Column:
     """1-based position, after the record's name where there are several."""
     return F.when(records > 1, F.concat(record, F.lit(":"), (pos + 1).cast("string"))).otherwise((pos + 1).cast("string"))
+
+
+def nice_step(span: Column) -> Column:
+    """The smallest 1, 2, 5 or 10 times a power of ten that reaches an eighth of ``span``; 1 for spans under 8."""
+    target = span.cast("double") / 8
+    base = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(target, F.lit(1.0)))))
+    big = F.when(base >= target, base).when(2 * base >= target, 2 * base).when(5 * base >= target, 5 * base).otherwise(10 * base)
+    return F.when(target < 1, F.lit(1)).otherwise(big).cast("long")
+
+
+def alignment_text(kind: str, q_name: Column, q: Column, s_name: Column, s: Column, q_lo: Column, s_lo: Column) -> Column:
+    """An excerpt pair as text: ``fasta`` (two wrapped records), ``stockholm`` or ``plain`` (two padded rows)."""
+    if kind == "fasta":
+        lines = lambda x: F.when(F.length(x) > 0, F.concat(wrap(x, 60), F.lit("\n"))).otherwise("")
+        head = lambda name, lo, x: F.concat(F.lit(">"), name, F.lit(":"), (lo + 1).cast("string"), F.lit(".."), (lo + F.length(x)).cast("string"), F.lit(" (length "), F.length(x).cast("string"), F.lit(")\n"))
+        return F.concat(head(q_name, q_lo, q), lines(q), head(s_name, s_lo, s), lines(s))
+    width = F.greatest(F.length(q_name), F.length(s_name)) + 2
+    mark = ":" if kind == "plain" else ""
+    row = lambda name, x: F.concat(F.rpad(F.concat(name, F.lit(mark)), width, F.lit(" ")), x, F.lit("\n"))
+    rows = F.concat(row(q_name, q), row(s_name, s))
+    return rows if kind == "plain" else F.concat(F.lit("# STOCKHOLM 1.0\n"), rows, F.lit("//\n"))

@@ -104,3 +104,57 @@ def match_line(q: Column, s: Column) -> Column:
     """``|`` where equal, a blank elsewhere."""
     pairs = F.zip_with(F.split(q, ""), F.split(s, ""), lambda a, b: F.when((a == b) & (a != ""), "|").otherwise(" "))
     return F.array_join(pairs, "")
+
+
+def _letter(text: Column, pos: Column) -> Column:
+    """The letter at a 0-based place; null outside."""
+    return F.when((pos >= 0) & (pos < F.length(text)), F.substr(text, (pos + 1).cast("int"), F.lit(1)))
+
+
+def window_score(q: Column, s: Column, q_mid: Column, s_mid: Column, window: int, scoring, strand: str = "forward") -> Column:
+    """Score of the window around a place of a plot; letters outside the sequences or the alphabet score 0.
+
+    The reverse strand reads the subject backwards and complemented; ``both`` takes the larger one.
+    """
+    half = window // 2
+
+    def total(reverse: bool) -> Column:
+        def step(acc, k):
+            a = _letter(q, q_mid - half + k)
+            b = _letter(s, s_mid + half - k if reverse else s_mid - half + k)
+            b = complement(b) if reverse else b
+            return acc + F.coalesce(scoring.column(encode_letter(a, scoring.alphabet), encode_letter(b, scoring.alphabet)), F.lit(0)).cast("long")
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(window - 1)), F.lit(0).cast("long"), step)
+
+    if strand == "both" and len(scoring.alphabet) == 4:
+        return F.greatest(total(False), total(True))
+    return total(strand == "reverse" and len(scoring.alphabet) == 4)
+
+
+def alignment_columns(q: Column, s: Column, q_mid: Column, s_mid: Column, window: int, scoring=None, reverse: bool = False) -> Column:
+    """Array of struct (q, s, class, score) around a crosshair, which is column ``window div 2``.
+
+    Classes: OutOfBounds beyond a sequence (shown as ``-``), Identical for equal letters, Positive for a
+    score above 0, Other.  ``reverse`` walks the subject backwards and complemented.
+    """
+    half = window // 2
+
+    def cell(k):
+        off = k - half
+        a, raw = _letter(q, q_mid + off), _letter(s, s_mid - off if reverse else s_mid + off)
+        b = complement(raw) if reverse else raw
+        out = a.isNull() | b.isNull()
+        score = F.lit(0) if scoring is None else F.coalesce(scoring.column(encode_letter(a, scoring.alphabet), encode_letter(b, scoring.alphabet)), F.lit(0))
+        same = (ascii_upper(a) == ascii_upper(b)) & a.rlike("^[A-Za-z]$")
+        kind = F.when(out, "OutOfBounds").when(same, "Identical").when(score > 0, "Positive").otherwise("Other")
+        return F.struct(F.coalesce(a, F.lit("-")).alias("q"), F.coalesce(b, F.lit("-")).alias("s"), kind.alias("class"), F.when(out, 0).otherwise(score).cast("int").alias("score"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(window - 1)), cell)
+
+
+def zoom_period_hints(q_hint: Column, s_hint: Column, self_plot: bool) -> Column:
+    """Periods that a zoom should divide: a self plot's own hint, or both hints if there are two."""
+    if self_plot:
+        return F.array_compact(F.array(q_hint))
+    return F.when(q_hint.isNotNull() & s_hint.isNotNull(), F.array(q_hint, s_hint)).otherwise(F.array().cast("array<long>"))

@@ -9,30 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.sequence import PROTEIN
 from .operators.kernel import Scoring
 
-# BLOSUM62 (public NCBI data), lower triangle over ARNDCQEGHILKMFPSTWYV.
+# BLOSUM62, the public NCBI table of 24 letters in its text format.
 BLOSUM62 = """
- 4
--1 5
--2 0 6
--2 -2 1 6
-0 -3 -3 -3 9
--1 1 0 0 -3 5
--1 0 0 2 -4 2 5
-0 -2 0 -1 -3 -2 -2 6
--2 0 1 -1 -3 0 0 -2 8
--1 -3 -3 -3 -1 -3 -3 -4 -3 4
--1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
--1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
--1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
--2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
-1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
-0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
--2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
-0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+   A  R  N  D  C  Q  E  G  H  I  L  K  M  F  P  S  T  W  Y  V  B  Z  X  *
+A  4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1  0 -4
+R -1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0 -1 -4
+N -2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0 -1 -4
+D -2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1 -1 -4
+C  0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2 -4
+Q -1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3 -1 -4
+E -1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+G  0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2 -1 -4
+H -2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0 -1 -4
+I -1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3 -1 -4
+L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3 -1 -4
+K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1 -1 -4
+M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1 -1 -4
+F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3 -1 -4
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1 -2 -4
+S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0  0 -4
+T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1  0 -4
+W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3 -2 -4
+Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1 -3 -2 -1 -4
+V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4 -3 -2 -1 -4
+B -2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4  1 -1 -4
+Z -1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+X  0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1 -4
+* -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
 
+#: Matrices by name; all but BLOSUM62 are read from files in the public text format.
+NAMES = ("BLOSUM45", "BLOSUM50", "BLOSUM62", "BLOSUM80", "BLOSUM90", "PAM30", "PAM70", "PAM250")
+
 
 @dataclass(frozen=True)
 class ScoreMatrix:
@@ -76,17 +84,8 @@ def dna_identity() -> ScoreMatrix:
 
 
 def blosum62() -> ScoreMatrix:
-    """BLOSUM62 over 24 letters: B, Z and X score the truncated means of the letters that they stand for, ``*`` scores -4, and 1 against itself."""
-    low = [[int(x) for x in line.split()] for line in BLOSUM62.strip().splitlines()]
-    core = [[low[max(i, j)][min(i, j)] for j in range(20)] for i in range(20)]
-    sets = [[i] for i in range(20)] + [[2, 3], [5, 6], list(range(20))]
-
-    def mean(a: list[int], b: list[int]) -> int:
-        total, n = sum(core[i][j] for i in a for j in b), len(a) * len(b)
-        return round(total / n) if len(a) < 20 > len(b) else max(-2, min(0, round(total / n)))
-
-    rows = [[mean(a, b) for b in sets] + [-4] for a in sets] + [[-4] * 23 + [1]]
-    return ScoreMatrix("BLOSUM62", PROTEIN, tuple(map(tuple, rows))).validate()
+    """BLOSUM62 over 24 letters."""
+    return parse_matrix(BLOSUM62, "BLOSUM62")
 
 
 def parse_matrix(text: str, name: str, alphabet: str = PROTEIN, extra_letters: str = "J") -> ScoreMatrix:
@@ -120,5 +119,17 @@ def matrix_from_file(path: str, name: str, alphabet: str = PROTEIN) -> ScoreMatr
         return parse_matrix(f.read(), name, alphabet)
 
 
+def by_name(name: str, folder: str | None = None) -> ScoreMatrix:
+    """A matrix of ``NAMES`` in any case; those that are not built in are files of that name in ``folder``."""
+    known = {n.lower(): n for n in NAMES}.get(name.lower())
+    if known is None:
+        raise ValueError(f"unknown matrix {name!r}; known are {', '.join(NAMES)}")
+    if known == "BLOSUM62":
+        return blosum62()
+    if folder is None:
+        raise ValueError(f"{known} is read from a folder of matrix files; none was given")
+    return matrix_from_file(f"{folder}/{known}", known)
+
+
 def by_mode(mode: str) -> ScoreMatrix:
     return dna_identity() if mode == "blastn" else blosum62()

@@ -6,9 +6,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import ascii_upper, letter_count
+
 
 def match_lambda(same: Column, match: int = 5, mismatch: int = -4) -> Column:
     """Lambda of a match/mismatch scheme where letters agree with probability ``same``: 25 bisection steps; null if the expected score isn't negative."""
@@ -98,3 +101,53 @@ def _series(scores: list[int], p: np.ndarray, lam: float, h: float) -> float:
 
 def auto_pixel_factor(expected_residue: float) -> int:
     return max(1, math.floor(0.2 * 256 / expected_residue + 0.5))
+
+
+def residue_frequencies(seq: Column, alphabet: str) -> Column:
+    """Array of each letter's share of the letters in ``alphabet`` (either case); null without any."""
+    text = ascii_upper(seq)
+    counts = F.array(*(letter_count(text, c).cast("double") for c in alphabet))
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(counts, lambda x: x / total))
+
+
+def score_histogram(freqs: DataFrame, key: list[str], matrix: DataFrame) -> DataFrame:
+    """``key, score, p``: the distribution of scores of two letters drawn by the frequency arrays ``fq`` and ``fs``; ``matrix`` is a ``ScoreMatrix.frame``."""
+    q = freqs.where("fq is not null and fs is not null").select(*key, "fs", F.posexplode("fq").alias("row", "_q")).where("_q > 0")
+    both = q.select(*key, "row", "_q", F.posexplode("fs").alias("col", "_s")).where("_s > 0")
+    return both.join(F.broadcast(matrix), ["row", "col"]).groupBy(*key, "score").agg(F.sum(F.col("_q") * F.col("_s")).alias("p"))  # 576 rows at most
+
+
+def letter_karlin(fq: np.ndarray, fs: np.ndarray, table: np.ndarray, nominal: int = 100, low: int = 3, high: int = 50) -> Karlin:
+    """Statistics of two sequences' letter frequencies under a score table (rows are subject letters)."""
+    prob: dict[int, float] = {}
+    joint = np.outer(fs, fq)
+    for score in np.unique(table):
+        prob[int(score)] = float(joint[table == score].sum())
+    return karlin(prob, nominal, low, high)
+
+
+STATISTICS = "lambda double, k double, h double, expected_residue double, expected_msp double, predicted int, window int, pixel_factor int"
+
+
+def karlin_statistics(freqs: DataFrame, key: list[str], table: list[list[int]], nominal: int = 100, low: int = 3, high: int = 50) -> DataFrame:
+    """``key`` and the statistics of each row's frequency arrays ``fq`` and ``fs``; nulls where they don't exist."""
+    scores = np.array(table)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for fq, fs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    if fq is None or fs is None:
+                        raise ValueError("no letters")
+                    s = letter_karlin(np.array(fq), np.array(fs), scores, nominal, low, high)
+                    out.append((s.lam, s.k, s.h, s.expected_residue, s.expected_msp, s.predicted, s.window, auto_pixel_factor(s.expected_residue)))
+                except ValueError:
+                    out.append((None,) * 8)
+            if out:
+                types = [pa.float64()] * 5 + [pa.int32()] * 3
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=[*key, *(x.split()[0] for x in STATISTICS.split(", "))])
+
+    kinds = dict(freqs.dtypes)
+    return freqs.select("fq", "fs", *key).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), STATISTICS]))

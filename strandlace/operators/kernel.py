@@ -2,9 +2,10 @@
 
 ``relational``: positions are exploded, joined within their plot, and the window
 is a frame along the diagonal (the anti-diagonal for the reverse strand).
-``block``: one row is a pair of sequences; numpy sums the windows of a band of
-subject rows at a time, so memory is bounded by the band and nothing but lit
-pixels leaves the task.
+``block``: a pair is cut into bands of whole pixel rows, dealt out over tasks; each
+task sums the windows of some pixel rows at a time with numpy and hands
+their lit pixels on before the next, so memory is bounded.  No pixel belongs to two
+bands, so nothing is merged.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import div, image_dimension, keep_dot, pixel_scale
+from .karlin import auto_pixel_factor, letter_karlin
 
 
 @dataclass(frozen=True)
@@ -102,30 +104,70 @@ def window_sums(m: np.ndarray, window: int) -> np.ndarray:
         size *= 2
 
 
-def block_pixels(q: np.ndarray, s: np.ndarray, table: np.ndarray, window: int, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(px, py, value) of the lit pixels of two coded sequences.
+#: Cells that one band of a pair has at least.
+BAND_CELLS = 1 << 27
+
+
+def resolve(q: np.ndarray, s: np.ndarray, scoring: Scoring, window: int | None, factor: int) -> tuple[int, int] | None:
+    """Window and pixel factor; a window of None and a factor of 0 follow from the letters' statistics (None where those don't exist)."""
+    if window is not None and factor:
+        return window, factor
+    n = len(scoring.alphabet)
+    share = [np.bincount(x[x < n], minlength=n) for x in (q, s)]
+    if not all(x.sum() for x in share):
+        return None
+    try:
+        k = letter_karlin(share[0] / share[0].sum(), share[1] / share[1].sum(), np.array(scoring.rows()))
+    except ValueError:
+        return None
+    return k.window if window is None else window, factor or auto_pixel_factor(k.expected_residue)
+
+
+def block_pixels(q: np.ndarray, s: np.ndarray, scoring: Scoring, window: int, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False, rows: tuple[int, int] | None = None):
+    """(px, py, value) of the lit pixels of two coded sequences, some pixel rows at a time; ``rows`` bounds py.
 
     The reverse strand is the forward plot of the complemented query against
-    the subject read backwards.  Self plots stop each band at its last row.
+    the subject read backwards.  Self plots stop at the diagonal.  Two sequences of
+    known letters under match and mismatch scores are compared letter by letter in bytes.
     """
     n, m = len(q), len(s)
     if n <= window or m <= window:
-        return (np.zeros(0, np.int64),) * 3
-    width, height, half = -(-n // zoom), -(-m // zoom), window // 2
-    kind = np.int16 if int(np.abs(table).max()) * window < 2**15 else np.int64
-    known = np.minimum(q, table.shape[0] - 1)
-    scores = np.ascontiguousarray(table[:, np.where(known < 4, 3 - known, known) if reverse else known], dtype=kind)
-    rows = max(1, _BAND // n)
-    codes, values = [], []
-    subject = s[::-1] if reverse else s
-    for a in range(window, m, rows):
-        b = min(m, a + rows)
+        return
+    width, height, half, letters = -(-n // zoom), -(-m // zoom), window // 2, len(scoring.alphabet)
+    plain = scoring.table is None and window < 256 and q.max() < letters and s.max() < letters
+    known = np.minimum(q, letters)
+    known = np.where(known < 4, 3 - known, known) if reverse else known
+    if plain:
+        query, subject = known.astype(np.uint8), (s[::-1] if reverse else s).astype(np.uint8)
+        cells = np.stack([query == c for c in range(letters)]).view(np.uint8)
+        # A window's score follows from its number of matches.
+        score = (scoring.match - scoring.mismatch) * np.arange(window + 1) + scoring.mismatch * window
+        bright = np.minimum(255, np.maximum(score, 0).astype(np.int64) * factor // window)
+        falls = scoring.match <= scoring.mismatch
+        least = 0 if falls else int(np.searchsorted(score, 0, side="right"))
+    else:
+        table = scoring.padded()
+        kind = np.int16 if int(np.abs(table).max()) * window < 2**15 else np.int64
+        subject = s[::-1] if reverse else s
+        cells = np.ascontiguousarray(table[:, known], dtype=kind)
+    low, high = rows or (0, height)
+    if plain and zoom > 1 and least > 0:
+        yield from _zoomed(cells, subject, window, zoom, bright, least, reverse, self_plot, low, min(high, height))
+        return
+    each = max(1, _BAND // n // zoom)
+    for top in range(low, min(high, height), each):
+        # Subject positions whose centres lie in these pixel rows.
+        first, last = top * zoom, min(min(top + each, high, height) * zoom, m + window) - 1
+        a, b = (m - 1 - (last - half), m - (first - half)) if reverse else (first + half, last + half + 1)
+        a, b = max(a, window), min(b, m)
         cols = min(n, b) if self_plot and not reverse else n
-        if cols <= window:
+        if a >= b or cols <= window:
             continue
-        v = window_sums(scores[subject[a - window + 1 : b], 1:cols], window)
-        r, c = np.nonzero(v > 0)
-        value = np.minimum(255, v[r, c].astype(np.int64) * factor // window)
+        v = window_sums(cells[subject[a - window + 1 : b], 1:cols], window)
+        at = np.flatnonzero(v >= least) if plain and not falls else np.flatnonzero(score[v] > 0) if plain else np.flatnonzero(v > 0)
+        r, c = np.divmod(at, v.shape[1])
+        found = v.ravel()[at]
+        value = bright[found] if plain else np.minimum(255, found.astype(np.int64) * factor // window)
         at_q, at_s = c + window, m - 1 - (r + a) if reverse else r + a
         cq, cs = at_q - half, at_s + half if reverse else at_s - half
         ok = (zoom - 1 - cs % zoom >= cq % zoom) if reverse else (cs % zoom >= cq % zoom)
@@ -135,19 +177,53 @@ def block_pixels(q: np.ndarray, s: np.ndarray, table: np.ndarray, window: int, z
         inside = (px < width) & (py < height)
         code, value = (py * width + px)[inside], value[ok][inside]
         if len(code):
-            # The band's brightest hit of each pixel.
+            # The brightest hit of each pixel.
             order = np.argsort(code * 256 + value, kind="stable")
             code, value = code[order], value[order]
             end = np.append(code[1:] != code[:-1], True)
-            codes.append(code[end])
-            values.append(value[end])
-    if not codes:
-        return (np.zeros(0, np.int64),) * 3
-    code, value = np.concatenate(codes), np.concatenate(values)
-    order = np.argsort(code * 256 + value, kind="stable")
-    code, value = code[order], value[order]
-    end = np.append(code[1:] != code[:-1], True)
-    return code[end] % width, code[end] // width, value[end]
+            yield code[end] % width, code[end] // width, value[end]
+
+
+#: Cells of one tile of a zoomed plot.
+_TILE = 1 << 20
+
+
+def _zoomed(cells: np.ndarray, subject: np.ndarray, window: int, zoom: int, bright: np.ndarray, least: int, reverse: bool, self_plot: bool, low: int, high: int):
+    """``block_pixels`` for bytes at a zoom: tiles of one pixel row by some pixel columns, whose brightest kept window is found without listing hits."""
+    n, m, half = cells.shape[1], len(subject), window // 2
+    width = max(1, _TILE // (zoom + window) // zoom) * zoom
+    phase = np.arange(zoom)
+    for left in range(0, n, width):
+        first, last = max(left + half, window), min(left + width + half, n)  # window ends whose centres lie in these columns
+        if first >= last:
+            continue
+        part = np.ascontiguousarray(cells[:, first - window + 1 : last])
+        centre = np.arange(first, last) - half
+        px = centre // zoom
+        starts = np.flatnonzero(np.concatenate(([True], px[1:] != px[:-1])))
+        # Kept places of a pixel: one triangle of its cells.
+        keep = np.where((zoom - 1 - phase if reverse else phase)[:, None] >= (centre % zoom)[None], 255, 0).astype(np.uint8)
+        out = []
+        for py in range(low, high):
+            if reverse:
+                a, b = max(py * zoom - half, 0), min((py + 1) * zoom - half, m - window)
+                lines, at_s = slice(m - b - window + 1, m - a), np.arange(b - 1, a - 1, -1)
+                kept = keep[a + half - py * zoom : b + half - py * zoom][::-1]
+            else:
+                a, b = max(py * zoom + half, window), min((py + 1) * zoom + half, m)
+                lines, at_s = slice(a - window + 1, b), np.arange(a, b)
+                kept = keep[a - half - py * zoom : b - half - py * zoom]
+            if a >= b or self_plot and first > at_s.max():
+                continue
+            v = window_sums(part[subject[lines]], window) & kept
+            if self_plot and last - 1 > at_s.min():
+                v[np.arange(first, last)[None] > at_s[:, None]] = 0
+            most = np.maximum.reduceat(v.max(axis=0), starts)
+            lit = np.flatnonzero(most >= least)
+            if len(lit):
+                out.append((px[starts[lit]], np.full(len(lit), py), bright[most[lit]]))
+        if out:
+            yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def spread(df: DataFrame, key: list[str]) -> DataFrame:
@@ -157,19 +233,26 @@ def spread(df: DataFrame, key: list[str]) -> DataFrame:
     return df.repartition(tasks, *key)
 
 
-def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False) -> DataFrame:
+def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False, band_cells: int = BAND_CELLS) -> DataFrame:
     """``key, px, py, value`` by the block plan.  ``key`` columns are whole numbers or strings."""
-    table = scoring.padded()
 
     def run(batches):
         for batch in batches:
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 q, s = (scoring.codes(cols[c][i].as_py() or "") for c in ("_q", "_s"))
-                px, py, value = block_pixels(q, s, table, window, zoom, factor, reverse, self_plot)
-                if len(px):
-                    yield pa.RecordBatch.from_arrays([*(pa.array([cols[k][i].as_py()] * len(px), cols[k].type) for k in key), pa.array(px, pa.int64()), pa.array(py, pa.int64()), pa.array(value, pa.int64())], names=[*key, "px", "py", "value"])
+                if not len(q) or not len(s) or (sizes := resolve(q, s, scoring, window, factor)) is None:
+                    continue
+                height, part, parts = -(-len(s) // zoom), cols["_band"][i].as_py(), cols["_bands"][i].as_py()
+                rows = (height * part // parts, height * (part + 1) // parts)
+                for px, py, value in block_pixels(q, s, scoring, sizes[0], zoom, sizes[1], reverse, self_plot, rows):
+                    names = [pa.array([cols[k][i].as_py()] * len(px), cols[k].type) for k in key]
+                    yield pa.RecordBatch.from_arrays([*names, *(pa.array(x, pa.int64()) for x in (px, py, value))], names=[*key, "px", "py", "value"])
 
     types = dict(pairs.select(*key).dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", px long, py long, value long"
-    return spread(pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s")), key).mapInArrow(run, schema)
+    size = F.length(query).cast("double") * F.length(subject)
+    bands = F.greatest(F.lit(1), F.least(F.ceil(F.coalesce(size, F.lit(0.0)) / band_cells), F.ceil(F.length(subject) / zoom))).cast("int")
+    rows = pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s"), F.coalesce(bands, F.lit(1)).alias("_bands"))
+    rows = rows.withColumn("_band", F.explode(F.sequence(F.lit(0), F.col("_bands") - 1)))
+    return spread(rows, [*key, "_band"]).mapInArrow(run, schema)

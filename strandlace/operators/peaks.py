@@ -187,12 +187,26 @@ def find_peaks(profiles: DataFrame, key: str, values: str, base: str, cfg: Peaks
     return profiles.select(key, F.col(values).cast("array<double>").alias("_v"), F.col(base).cast("long").alias("_b")).mapInArrow(run, f"`{key}` {kind}, {PEAK_FIELDS}")
 
 
+def find_bin_peaks(ranked: DataFrame, key: str, cfg: PeaksConfig = PeaksConfig()) -> DataFrame:
+    """Peaks of ranked spectrum bins (``key, period, amplitude, peak_rank``), as many a key as were ranked."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                if peaks := peaks_of_bins([(p["period"], p["amplitude"]) for p in b.column(1)[i].as_py()], cfg):
+                    yield _batch(key, b.column(0)[i].as_py(), b.column(0).type, peaks)
+
+    kind = dict(ranked.dtypes)[key]
+    lists = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("peak_rank", "period", "amplitude"))).alias("_p"))
+    return lists.mapInArrow(run, f"`{key}` {kind}, {PEAK_FIELDS}")
+
+
 def profile_maxima(df: DataFrame, key: list[str], k: str, score: str) -> DataFrame:
     """Rows strictly above both neighbours; NaN scores and ends never are."""
     along = Window.partitionBy(*key).orderBy(k)
     x = F.col(score)
     flagged = df.withColumn("_p", F.lag(x).over(along)).withColumn("_n", F.lead(x).over(along))
-    return flagged.where(~F.isnan(x) & ~F.isnan("_p") & ~F.isnan("_n") & (x > F.col("_p")) & (x > F.col("_n"))).drop("_p", "_n")
+    return flagged.where(~F.isnan(x) & ~F.isnan("_p") & ~F.isnan("_n") & (F.abs(x) < float("inf")) & (x > F.col("_p")) & (x > F.col("_n"))).drop("_p", "_n")
 
 
 def mad_threshold(df: DataFrame, key: list[str], score: str, factor: float, floor: float) -> DataFrame:

@@ -25,49 +25,82 @@ class PeriodogramConfig:
     scoring: Scoring = Scoring()
 
 
-def diagonal_sums(codes: np.ndarray, cfg: PeriodogramConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(offset, raw sum, signal sum, pairs) of one coded sequence, dense over the offsets; O(length) memory."""
+def diagonal_sums(codes: np.ndarray, cfg: PeriodogramConfig, part: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offset, raw sum, signal sum, pairs) of one coded sequence, dense over the offsets; O(length) memory.  ``part`` (i, n) takes the i-th of n equal ranges of offsets."""
     n, w = len(codes), cfg.window
     top = n // 2 if cfg.max_offset is None else cfg.max_offset
-    ks = np.arange(cfg.min_offset, top + 1)
+    wide = max(0, top + 1 - cfg.min_offset)
+    ks = np.arange(cfg.min_offset + wide * part[0] // part[1], cfg.min_offset + wide * (part[0] + 1) // part[1])
     raw, signal = np.zeros(len(ks), np.int64), np.zeros(len(ks), np.int64)
     levels = np.arange(256)
     lut = np.where(levels <= cfg.white, 0, np.where(levels >= cfg.black, 255, (levels - cfg.white) * 255 // max(1, cfg.black - cfg.white)))
-    plain = cfg.scoring.table is None and (n == 0 or codes.max() < len(cfg.scoring.alphabet))
-    # Without unknown letters a window's score follows from its number of matches.
+    plain = cfg.scoring.table is None and w < 256 and (n == 0 or codes.max() < len(cfg.scoring.alphabet))
+    # Without unknown letters a window's score follows from its number of matches: windows are counted by matches, in bytes.
     level = np.clip(np.maximum(0, (cfg.scoring.match - cfg.scoring.mismatch) * np.arange(w + 1) + cfg.scoring.mismatch * w) * cfg.factor // w, 0, 255)
-    table, codes = cfg.scoring.padded(), codes.astype(np.int8) if plain else codes
+    lit = np.flatnonzero(level)
+    seen, ramped = level[lit], lut[level[lit]]
+    table, codes = cfg.scoring.padded(), codes.astype(np.uint8) if plain else codes
     for i, k in enumerate(ks):
         if n - w - k <= 0:
             break
-        cells = codes[k:] == codes[: n - k] if plain else table[codes[k:], codes[: n - k]]
-        total = np.cumsum(cells, dtype=np.int32)
-        v = total[w:] - total[:-w]  # ends at s = k + w and later: a diagonal's first window is left out
-        p, times = (level, np.bincount(v, minlength=w + 1)) if plain else (np.minimum(255, np.maximum(v, 0).astype(np.int64) * cfg.factor // w), 1)
-        raw[i], signal[i] = (p * times).sum(), (lut[p] * times).sum()
+        if plain:
+            # A diagonal's first window is left out.
+            v = _sums((codes[k:] == codes[: n - k]).view(np.uint8)[1:], w)
+            times = np.array([np.count_nonzero(v == x) for x in lit.tolist()]) if len(lit) <= 32 else np.bincount(v, minlength=w + 1)[lit]
+            raw[i], signal[i] = seen @ times, ramped @ times
+        else:
+            total = np.cumsum(table[codes[k:], codes[: n - k]], dtype=np.int32)
+            p = np.minimum(255, np.maximum(total[w:] - total[:-w], 0).astype(np.int64) * cfg.factor // w)
+            raw[i], signal[i] = p.sum(), lut[p].sum()
     return ks, raw, signal, np.maximum(0, n - w - ks)
 
 
-def periodogram(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig = PeriodogramConfig()) -> DataFrame:
+def _sums(x: np.ndarray, w: int) -> np.ndarray:
+    """Sums of ``w`` (under 256) consecutive bits, by doubling."""
+    n = len(x) - w + 1
+    total, done, power, size = None, 0, x, 1
+    while True:
+        if w & size:
+            part = power[done : done + n]
+            total = part if total is None else total + part
+            done += size
+        if done == w:
+            return total
+        power = power[:-size] + power[size:]
+        size *= 2
+
+
+#: Cells of one range of offsets at least.
+PART_CELLS = 1 << 28
+
+
+def periodogram(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig = PeriodogramConfig(), keep: list[str] | None = None, part_cells: int = PART_CELLS) -> DataFrame:
     """``key, k, raw_sum, signal_sum, n_pairs``: dense over offsets; records without an offset in range give none.
 
-    One row of input is a record; its sums never leave its task unaggregated.
-    Only wide offset ranges deal the records out over more tasks first.
+    One row of input is a record; long ones are cut into ranges of offsets, dealt out over tasks.
+    ``keep`` columns of the record are passed on to its rows.
     """
+    keep = keep or []
 
     def run(batches):
         for b in batches:
             ids, seqs = b.column(0), b.column(1)
             for i in range(b.num_rows):
-                k, raw, signal, n = diagonal_sums(cfg.scoring.codes(seqs[i].as_py() or ""), cfg)
+                k, raw, signal, n = diagonal_sums(cfg.scoring.codes(seqs[i].as_py() or ""), cfg, (b.column(2)[i].as_py(), b.column(3)[i].as_py()))
                 if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(k), ids.type), *(pa.array(x, pa.int64()) for x in (k, raw, signal, n))], names=[key, "k", "raw_sum", "signal_sum", "n_pairs"])
-
-    kind = dict(records.dtypes)[key]
-    rows = records.select(key, F.col(seq).alias("_seq"))
+                    row = pa.array(np.full(len(k), i))
+                    yield pa.RecordBatch.from_arrays([ids.take(row), *(pa.array(x, pa.int64()) for x in (k, raw, signal, n)), *(b.column(4 + j).take(row) for j in range(len(keep)))], names=[key, "k", "raw_sum", "signal_sum", "n_pairs", *keep])
+
+    kinds = dict(records.dtypes)
+    size = F.coalesce(F.length(seq), F.lit(0)).cast("double")
+    offsets = F.floor(size / 2) if cfg.max_offset is None else F.lit(float(cfg.max_offset))
+    parts = F.greatest(F.lit(1), F.least(F.ceil(size * offsets / part_cells), offsets)).cast("int")
+    rows = records.select(key, F.col(seq).alias("_seq"), parts.alias("_parts"), *keep)
     if cfg.max_offset is None or cfg.max_offset > 100:
-        rows = spread(rows, [key])
-    return rows.mapInArrow(run, f"`{key}` {kind}, k long, raw_sum long, signal_sum long, n_pairs long")
+        rows = spread(rows.select(key, "_seq", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_parts", *keep), [key, "_part"])
+    else:
+        rows = rows.select(key, "_seq", F.lit(0).alias("_part"), F.lit(1).alias("_parts"), *keep)
+    return rows.mapInArrow(run, f"`{key}` {kinds[key]}, k long, raw_sum long, signal_sum long, n_pairs long" + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
 def periodogram_relational(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import div
+from ..functions.scores import div, greyramp
 
 
 def ridges(pixels: DataFrame, key: list[str], threshold: int = 40, min_length: int = 8, max_gap: int = 2) -> DataFrame:
@@ -56,3 +56,18 @@ def resize_nearest(pixels: DataFrame, sizes: DataFrame, key: list[str], width: i
     rng = lambda p, src, dst: F.filter(F.sequence(first(p, src, dst), F.greatest(first(p, src, dst), first(p + 1, src, dst))), lambda t: (t < dst) & (F.floor(t * src / dst) == p))
     x = placed.withColumn("_h", out_h).withColumn("_x", F.explode(rng(F.col("px"), F.col("width"), F.lit(width).cast("long"))))
     return x.withColumn("_y", F.explode(rng(F.col("py"), F.col("height"), F.col("_h")))).select(*key, F.col("_x").alias("px"), F.col("_y").alias("py"), "value")
+
+
+def snap(pixels: DataFrame, crosshairs: DataFrame, key: list[str], radius: int = 64) -> DataFrame:
+    """``key, px, py, value``: the brightest lit pixel around each crosshair (``key, cx, cy``), the nearest of several, the first by row and column of those."""
+    near = pixels.join(crosshairs, key).where((F.abs(F.col("px") - F.col("cx")) <= radius) & (F.abs(F.col("py") - F.col("cy")) <= radius))
+    far = F.pow(F.col("px") - F.col("cx"), F.lit(2)) + F.pow(F.col("py") - F.col("cy"), F.lit(2))
+    best = F.max(F.struct(F.col("value"), (-far).alias("d"), (-F.col("py")).alias("y"), (-F.col("px")).alias("x")))
+    return near.groupBy(*key).agg(best.alias("b")).select(*key, (-F.col("b.x")).alias("px"), (-F.col("b.y")).alias("py"), "b.value")
+
+
+def render(pixels: DataFrame, sizes: DataFrame, key: list[str], white: int, black: int) -> DataFrame:
+    """``key, px, py, grey`` of every pixel of each image (``sizes`` has ``key, width, height``) through the grey ramp."""
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    grid = sizes.where("width > 0 and height > 0").withColumn("px", every("width")).withColumn("py", every("height")).select(*key, "px", "py")
+    return grid.join(pixels, [*key, "px", "py"], "left").select(*key, "px", "py", greyramp(F.coalesce("value", F.lit(0)), white, black).alias("grey"))

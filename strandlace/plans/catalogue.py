@@ -342,9 +342,18 @@ def _(spark, d):
     return dotplot(_read(spark, d, "part").select("p_partkey", seq.alias("query"), seq.alias("subject")), ["p_partkey"], PlotConfig(window=3, factor=15, scoring=blosum62().scoring()))
 
 
-@query("dot_translated")
+def _translated(seq: str, f: str) -> str:
+    return f"""CASE WHEN length({seq}) - {f} < 3 THEN '' ELSE array_to_string(list_transform(range(0, (length({seq}) - {f}) // 3), lambda i: substr('{Q.CODONS}', CAST(1 + 16 * (strpos('TCAG', substr({seq}, {f} + 3 * i + 1, 1)) - 1)
+  + 4 * (strpos('TCAG', substr({seq}, {f} + 3 * i + 2, 1)) - 1) + strpos('TCAG', substr({seq}, {f} + 3 * i + 3, 1)) - 1 AS BIGINT), 1)), '') END"""
+
+
+PROTEIN_SCORE = f"coalesce(list_extract([{', '.join(str(x) for r in blosum62().rows for x in r)}], CASE WHEN strpos('{Q.PROTEIN}', qc) > 0 AND strpos('{Q.PROTEIN}', sc) > 0 THEN 24 * (strpos('{Q.PROTEIN}', sc) - 1) + strpos('{Q.PROTEIN}', qc) END), 0)"
+FRAMES_SQL = f"SELECT conv_id, turn, f, rpad({_translated('query', 'f')}, CAST(length(query) // 3 AS INT), '.') AS query, {_translated('subject', '0')} AS subject FROM ({TURN_SQL}), (SELECT unnest([0, 1, 2]) AS f) WHERE length(query) >= 3"
+
+
+@query("dot_translated", f"SELECT conv_id, turn, px, py, max(value) AS value FROM ({_plot_sql(FRAMES_SQL, 'conv_id, turn, f', 5, 20, score=PROTEIN_SCORE)}) GROUP BY ALL")
 def _(spark, d):
-    pairs = _turn_pairs(spark, d).select("conv_id", "turn", "query", Q.translate_frame(F.col("subject"), 0).alias("subject"))
+    pairs = _turn_pairs(spark, d).select("conv_id", "turn", "query", Q.translate_frame(F.col("subject"), 0).alias("subject")).where("length(query) >= 3")
     return translated_dotplot(pairs, KEY, PlotConfig(window=5, factor=20, scoring=blosum62().scoring()))
 
 
@@ -441,9 +450,11 @@ def _(spark, d):
 SELECT pg.doc_id, k, CASE WHEN n_pairs = 0 OR sqrt(n_pairs * 144.0 * variance) <= 2.220446049250313e-16 THEN 0 ELSE round((raw_sum - n_pairs * 12 * mean) / sqrt(n_pairs * 144.0 * variance), 6) END AS z_score
 FROM pg JOIN nul USING (doc_id)""")
 def _(spark, d):
-    # The sequence's counts and sums come from the same rows; only the thin results are joined.
+    # One pass: each record's null model travels with its row.
+    null = P.analytical_null(*(Q.letter_count(F.col("seq"), x) for x in "ACGT"))
+    rows = _dna(spark, d).where("length(seq) > 0").withColumn("z", null).select("doc_id", "seq", "z.*")
     z = P.analytical_z(F.col("mean"), F.col("variance"), PG.factor)
-    return _pg(spark, d).join(_null(spark, d), "doc_id").select("doc_id", "k", F.round(z, 6).alias("z_score"))
+    return P.periodogram(rows, "doc_id", "seq", PG, ["mean", "variance"]).select("doc_id", "k", F.round(z, 6).alias("z_score"))
 
 
 @query("pg_full_range")
@@ -652,3 +663,6 @@ def _(spark, d):
     talk = turns.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", F.array_join("parts", "").alias("query"), F.get("parts", F.lit(0)).alias("subject"))
     first = talk.select("conv_id", F.lit(0).cast("long").alias("start"), F.length("subject").cast("long").alias("stop"))
     return record_tiles(dotplot(talk, ["conv_id"]), spans, first, ["conv_id"], 10)
+
+
+from . import round_trips  # noqa: E402, F401  (registers more queries)

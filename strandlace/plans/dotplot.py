@@ -18,21 +18,26 @@ class PlotError(ValueError):
 
 @dataclass(frozen=True)
 class PlotConfig:
-    window: int = 8
+    """``window=None`` and ``factor=0`` follow from each pair's letter statistics; pairs without statistics then have no pixels."""
+
+    window: int | None = 8
     factor: int = 12
     zoom: int = 1
     strand: str = "forward"  # forward, reverse or both
     scoring: Scoring = Scoring()
     self_plot: bool = False
     triangle: str = "both"  # of self plots: both, upper, lower
+    disable_mirror: bool = False  # self plots stay as computed
     reverse_query: bool = False
     reverse_subject: bool = False
     plan: str = "block"  # block or relational
     memory_limit: int | None = None
 
     def check(self) -> PlotConfig:
-        if self.zoom < 1 or self.window < 1:
+        if self.zoom < 1 or (self.window is not None and self.window < 1):
             raise PlotError("zoom and window must be 1 or more")
+        if self.factor < 0 or (self.plan != "block" and (self.window is None or not self.factor)):
+            raise PlotError("the relational plan needs a window and a pixel factor")
         if self.strand != "forward" and len(self.scoring.alphabet) != 4:
             raise PlotError("only DNA has a reverse strand")
         return self
@@ -44,6 +49,17 @@ class PlotConfig:
             raise PlotError(f"the image needs {need} bytes, the limit is {self.memory_limit}")
 
 
+def _refused(pairs: DataFrame, cfg: PlotConfig, separate: bool) -> DataFrame:
+    """The pairs, with an error raised for one that can't be plotted as asked."""
+    q, s = F.length("query"), F.length("subject")
+    if cfg.self_plot:
+        pairs = pairs.where(F.assert_true(q == s, "self plots need sequences of equal length").isNull())
+    if cfg.memory_limit is not None:
+        need = F.ceil(q / cfg.zoom) * F.ceil(s / cfg.zoom) * (2 if separate and cfg.strand == "both" else 1)
+        pairs = pairs.where(F.assert_true(need <= cfg.memory_limit, F.concat(F.lit("an image needs bytes beyond the limit: "), need.cast("string"))).isNull())
+    return pairs
+
+
 def _channel(pairs: DataFrame, key: list[str], cfg: PlotConfig, reverse: bool) -> DataFrame:
     if cfg.plan == "block":
         return block_dotplot(pairs, key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor, reverse, cfg.self_plot)
@@ -55,15 +71,17 @@ def _channel(pairs: DataFrame, key: list[str], cfg: PlotConfig, reverse: bool) -
 def dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig = PlotConfig(), separate: bool = False) -> DataFrame:
     """Lit pixels of each pair (``key, query, subject``): ``key, px, py, value``, and ``channel`` with ``separate``.
 
-    Pairs are independent; a pair is one task's work in the block plan and
-    nothing is shuffled but the merge of strands.
+    Pairs are independent; the block plan deals out bands of them, and
+    nothing is shuffled but the merge of strands.  Empty sequences have no pixels; self plots of unequal
+    lengths and images beyond the memory limit raise an error.
     """
     cfg.check()
+    pairs = _refused(pairs, cfg, separate)
     if len(cfg.scoring.alphabet) == 4:
         flip = {c: reverse_complement(F.col(c)) for c, on in (("query", cfg.reverse_query), ("subject", cfg.reverse_subject)) if on}
         pairs = pairs.withColumns(flip) if flip else pairs
     channels = {s: _channel(pairs, key, cfg, s == "reverse") for s in (("forward", "reverse") if cfg.strand == "both" else (cfg.strand,))}
-    if cfg.self_plot:
+    if cfg.self_plot and not cfg.disable_mirror:
         channels = {s: mirror(x, key, cfg.triangle) for s, x in channels.items()}
     if separate:
         out = None
@@ -77,7 +95,13 @@ def dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig = PlotConfig(), se
 
 
 def translated_dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig) -> DataFrame:
-    """A DNA query in its three forward frames against a protein subject; the image is as wide as ``qlen div 3``."""
+    """A DNA query in its three forward frames against a protein subject; the image is as wide as ``qlen div 3``.
+
+    A query without a codon raises an error, as does a matrix of DNA letters.
+    """
+    if len(cfg.scoring.alphabet) == 4:
+        raise PlotError("a translated plot needs a protein matrix")
+    pairs = pairs.where(F.assert_true(F.length("query") >= 3, "a translated query needs three letters").isNull())
     width = F.floor(F.length("query") / 3).cast("long")
     framed = None
     for f in range(3):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,13 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         _sent.add(context.applicationId)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder named in ``spark.checkpoint.dir``; where that is unset on a local master, in a folder of this session."""
+    if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="strandlace-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/{uuid.uuid4().hex}"

@@ -27,11 +27,11 @@ def parse_fasta(data: bytes, path: str = "") -> list[tuple[int, str, str | None,
     out = []
     for i, part in enumerate(parts):
         head, _, body = part.partition("\n")
-        name, _, more = head.strip().partition(" ") if " " in head.strip() else head.strip().partition("\t")
+        name, *more = head.strip().split(None, 1) or [""]
         sequence = "".join(body.split()).encode("utf-8").translate(_UPPER).decode("utf-8", "replace")
         if not sequence:
             raise FastaError(f"record {i} ({name}) has no residues")
-        out.append((i, name, more.strip() or None, sequence))
+        out.append((i, name, more[0].strip() if more else None, sequence))
     return out
 
 

@@ -11,8 +11,18 @@ SPECTRUM = ("record_id", "bin", "period_residues", "amplitude", "peak_rank")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """A TSV with ``#`` comments and a header, all columns as strings; rows with another number of fields are dropped."""
-    return spark.read.csv(path, sep="\t", comment="#", header=True, mode="DROPMALFORMED", enforceSchema=False)
+    """A TSV with ``#`` comments and a header, all columns as strings; rows with another number of fields are dropped.
+
+    Which rows count doesn't depend on the columns that are read.  Each file repeats the header; blank lines and comments are skipped.
+    """
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
+    first = lines.first()
+    if first is None:
+        raise ValueError(f"{path}: no header")
+    names = first["value"].rstrip("\r").split("\t")
+    fields = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
+    rows = lines.where(F.col("value") != first["value"]).select(fields.alias("f")).where(F.size("f") == len(names))
+    return rows.select(*(F.col("f")[i].alias(n) for i, n in enumerate(names)))
 
 
 def sniff(columns: list[str]) -> str:
@@ -64,8 +74,14 @@ def display_order(peaks: DataFrame, key: str, top: int | None = None, harmonics:
     return out if top is None else out.where(F.col("row") <= top)
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+def write_tsv(df: DataFrame, path: str, comments: list[str] | None = None) -> None:
+    """Tab-separated text files, each with the ``#`` comments and the header before its rows."""
+    head = "\n".join([*(f"# {c}" for c in comments or []), "\t".join(df.columns)])
+    row = F.array_join(F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)), "\t")
+    numbered = df.select(row.alias("value"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    # The first row of a partition brings the head along.
+    first = F.col("_i") == F.shiftleft(F.col("_p").cast("long"), 33)
+    numbered.select(F.when(first, F.concat(F.lit(head + "\n"), "value")).otherwise(F.col("value")).alias("value")).write.text(path)
 
 
 def densify_profile(profile: DataFrame, key: str, min_offset: int, subtract: bool = True) -> DataFrame:

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlace.functions import labels, scores, sequence
-from strandlace.matrices import blosum62, custom_dna, dna_identity, parse_matrix
-from strandlace.operators import karlin, peaks, periodogram, ridges, spectrum, tiles
+from strandlace.matrices import blosum62, by_name, custom_dna, dna_identity, parse_matrix
+from strandlace.operators import karlin, kernel, peaks, periodogram, ridges, spectrum, tiles
 from strandlace.operators.kernel import Scoring
 from strandlace.plans.dotplot import PlotConfig, PlotError, dotplot, translated_dotplot
 from strandlace.sources import fasta, images, sessions, tables
@@ -131,6 +131,88 @@ def test_matrices():
         custom_dna(5, 4).validate()
 
 
+def test_blosum62_cells():
+    """Ambiguity letters of the public table."""
+    m, at = blosum62(), sequence.PROTEIN.index
+    for pair, want in (("AX", 0), ("NB", 3), ("DB", 4), ("QZ", 3), ("EZ", 4), ("GX", -1), ("SX", 0), ("TX", 0), ("CX", -2), ("PX", -2), ("WX", -2), ("XX", -1), ("BZ", 1), ("BB", 4), ("ZZ", 4), ("**", 1), ("W*", -4), ("AB", -2), ("SB", 0), ("KZ", 1), ("YZ", -2)):
+        assert m.rows[at(pair[0])][at(pair[1])] == m.rows[at(pair[1])][at(pair[0])] == want, pair
+
+
+def test_matrices_by_name(tmp_path):
+    (tmp_path / "PAM30").write_text(blosum62().to_text())
+    assert by_name("blosum62") == blosum62() and by_name("pam30", str(tmp_path)).name == "PAM30"
+    for name, folder in (("BLOSUM45", None), ("nothing", str(tmp_path))):
+        with pytest.raises(ValueError):
+            by_name(name, folder)
+
+
+def test_karlin_of_sequences(spark):
+    """Statistics from the letters of two sequences, as columns."""
+    cases = [
+        ("ACGTACGTACGTACGTACGT" * 40, "GTGTACGAGCATCGTCTACT" * 40, 0.19152927398681641, 0.17334580950735284, 0.35672379416682848, 1.8625027221237367, 38.938557203279061, 21),
+        ("AAAACCCGGGTTTAACAGCTAGCTACGATCGATCGATCGTAGCTAGCTAGCT", "TTTTGGGCCCAATTGCTAGCTACGATCGATCGATCGTAGCTAGCTAGCTACG", 0.19408679008483887, 0.17628106821340828, 0.36590167746510743, 1.8852477147216717, 38.5119708014956, 20),
+        ("ACGT" * 10, "ACGT" * 10, 0.19152927398681641, 0.17334580950735284, 0.35672379416682848, 1.8625027221237369, 38.938557203279061, 21),
+    ]
+    rows = [(i, q, s) for i, (q, s, *_) in enumerate(cases)] + [(8, "AAAA", "AAAA"), (9, "NNN", ""), (10, None, "ACGT")]
+    df = spark.createDataFrame(rows, "id long, q string, s string")
+    freqs = df.select("id", *(karlin.residue_frequencies(F.col(c), "ACGT").alias(f"f{c}") for c in "qs"))
+    out = {r["id"]: r for r in karlin.karlin_statistics(freqs, ["id"], [list(r) for r in dna_identity().rows]).collect()}
+    for i, (*_, lam, k, h, res, msp, window) in enumerate(cases):
+        r = out[i]
+        assert r["window"] == r["predicted"] == window
+        for got, want in ((r["lambda"], lam), (r["k"], k), (r["h"], h), (r["expected_residue"], res), (r["expected_msp"], msp)):
+            assert abs(got - want) < 1e-6 * abs(want)
+    assert all(out[i]["window"] is None for i in (8, 9, 10))
+    hist = {r["score"]: r["p"] for r in karlin.score_histogram(freqs.where("id = 2"), ["id"], dna_identity().frame(spark).drop("matrix")).collect()}
+    assert abs(hist[5] - 0.25) < 1e-12 and abs(hist[-4] - 0.75) < 1e-12
+
+
+def test_automatic_plots_and_refusals(spark):
+    q = "ACGTACGTACGTACGTACGT" * 10
+    df = spark.createDataFrame([(1, q, q[::-1]), (2, "AAAA" * 9, "AAAA" * 9)], "id long, query string, subject string")
+    auto = pixels(dotplot(df.where("id = 1"), ["id"], PlotConfig(window=None, factor=0)))
+    assert auto and auto == pixels(dotplot(df.where("id = 1"), ["id"], PlotConfig(window=21, factor=27)))
+    assert dotplot(df.where("id = 2"), ["id"], PlotConfig(window=None)).count() == 0
+    with pytest.raises(PlotError):
+        dotplot(df, ["id"], PlotConfig(window=None, plan="relational"))
+    for cfg in (PlotConfig(memory_limit=200 * 200 - 1), PlotConfig(memory_limit=2 * 200 * 200 - 1, strand="both")):
+        with pytest.raises(Exception, match="beyond the limit"):
+            dotplot(df, ["id"], cfg, separate=True).count()
+    assert dotplot(df.where("id = 1"), ["id"], PlotConfig(memory_limit=200 * 200)).count() > 0
+    with pytest.raises(Exception, match="equal length"):
+        dotplot(df.withColumn("query", F.concat("query", F.lit("A"))), ["id"], PlotConfig(self_plot=True)).count()
+    with pytest.raises(Exception, match="three letters"):
+        translated_dotplot(df.withColumn("query", F.lit("AC")), ["id"], PlotConfig(scoring=blosum62().scoring())).count()
+    with pytest.raises(PlotError):
+        translated_dotplot(df, ["id"], PlotConfig())
+    lower = pixels(dotplot(df.select("id", "query", F.col("query").alias("subject")).where("id = 1"), ["id"], PlotConfig(self_plot=True, disable_mirror=True)))
+    assert all(x <= y for x, y in lower)
+
+
+@pytest.mark.parametrize("strand", ["forward", "reverse"])
+@pytest.mark.parametrize("zoom", [1, 3])
+def test_bands_do_not_change_plots(spark, strand, zoom, monkeypatch):
+    rng = random.Random(zoom)
+    letters = lambda n, more="": "".join(rng.choices("ACGT" + more, k=n))
+    q = letters(150)
+    df = spark.createDataFrame([(1, q, q[20:90] + letters(61)), (2, letters(40, "N"), letters(90)), (3, q, q)], "id long, query string, subject string")
+    monkeypatch.setattr(kernel, "_BAND", 1500)
+    for self_plot in (False, True):
+        rows = df.where("id = 3") if self_plot else df
+        plot = lambda cells: sorted(tuple(r) for r in kernel.block_dotplot(rows, ["id"], "query", "subject", kernel.Scoring(), 8, zoom, 12, strand == "reverse", self_plot, cells).collect())  # noqa: B023, E731
+        assert plot(1 << 30) == plot(2000) != []
+        hits = kernel.relational_hits(rows, ["id"], "query", "subject", kernel.Scoring(), 8, strand == "reverse", self_plot)
+        sizes = rows.select("id", F.length("query").alias("qlen"), F.length("subject").alias("slen"))
+        assert plot(2000) == sorted(tuple(r) for r in kernel.lit_pixels(hits, sizes, ["id"], 8, zoom, 12, strand == "reverse").collect())
+
+
+def test_offset_parts_do_not_change_sums(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "".join(rng.choices("ACGT" if i % 2 else "ACGTN", k=30 * i))) for i in range(7)], "id long, seq string").withColumn("x", F.col("id") * 2)
+    rows = lambda cells: sorted(tuple(r) for r in periodogram.periodogram(df, "id", "seq", keep=["x"], part_cells=cells).collect())
+    assert rows(1 << 30) == rows(100) and all(r[-1] == 2 * r[0] for r in rows(100))
+
+
 UNIFORM = {5: 0.25, -4: 0.75}
 
 
@@ -232,6 +314,17 @@ def test_fasta(spark, tmp_path):
     assert [tuple(r) for r in one(spark, fasta.split_records(F.lit(text.decode())))[0]] == want
 
 
+def test_tsv_rows_do_not_depend_on_columns(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("# note\nx\ty\n1\t2\n\n3\n4\t5\t6\n7\t\n# more\n")
+    df = tables.read_tsv(spark, str(tmp_path / "a.tsv"))
+    assert df.count() == df.select("x").count() == len(df.collect()) == 2
+    assert sorted(tuple(r) for r in df.collect()) == [("1", "2"), ("7", "")]
+
+
+def test_fasta_headers_split_at_white_space(spark):
+    assert [r[1:3] for r in fasta.parse_fasta(b">id\tdesc with space\nAC\n>b  c d\nAC\n>e\nAC\n")] == [("id", "desc with space"), ("b", "c d"), ("e", None)]
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("r", k, 10 * k, k, 0.1953125, float("nan")) for k in (3, 4, 5)], "record_id string, k long, raw_sum long, signal_sum long, signal_mean double, z_score double")
     tables.write_tsv(tables.periodogram_fields(df), str(tmp_path / "t"))
