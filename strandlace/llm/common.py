@@ -103,14 +103,14 @@ def discard(phase: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], spread: Column, total: int, how: str = "inner", sizes: DataFrame | None = None, share: int = 1000, least: int = 1000) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], spread: Column, total: int, how: str = "inner", sizes: DataFrame | None = None, share: int = 1000, least: int = 1000, hint: str | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has each key once.
 
     A key that over ``total / share`` of the ``total`` rows hold (and over
     ``least``) is dealt out: its rows by ``spread`` into parts of about that size, its
     table row to every part.  Such keys are fewer than ``share``, so their
     broadcast is bounded.  ``sizes`` has the keys and their numbers of rows ``n``;
-    without it ``table`` has ``n`` (dropped here).
+    without it ``table`` has ``n`` (dropped here).  ``hint`` names the join's strategy.
     """
     keys = [key] if isinstance(key, str) else key
     if sizes is None:
@@ -121,14 +121,17 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], spread: Co
     into = F.when(F.col(keys[0]).isNull(), F.lit(1 << 16)).otherwise(parts)  # null keys match nothing and go anywhere
     dealt = rows.join(hot, keys, "left").withColumn("_sl_part", F.pmod(spread, into)).drop("_sl_parts")
     copies = table.join(hot, keys, "left").withColumn("_sl_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_sl_parts")
-    return dealt.join(copies, [*keys, "_sl_part"], how).drop("_sl_part")
+    return dealt.join(copies.hint(hint) if hint else copies, [*keys, "_sl_part"], how).drop("_sl_part")
 
 
 def join_documents(rows: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
-    """``rows`` (with ``did, th``) joined with ``table``, one row for each document; rows of a document that repeats very often are dealt out."""
+    """``rows`` (with ``did, th``) joined with ``table``, one row for each document; rows of a document that repeats very often are dealt out.
+
+    Tables of packed ``spans`` are merged at any size: the lists grow well beyond the size of their files, which bounds no broadcast.
+    """
     sizes = rows.groupBy("did", "th").agg(F.count("*").alias("n"))
     total = rows.count()
-    return join_hot(rows, table, ["did", "th"], F.monotonically_increasing_id(), total, how, sizes)
+    return join_hot(rows, table, ["did", "th"], F.monotonically_increasing_id(), total, how, sizes, hint="merge" if "spans" in table.columns else None)
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str, passed: list | None = None) -> DataFrame:
