@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, line_dedup, packing, quality, scoring, secrets, sharding, simhash, substring_dedup
+from . import chat, decontamination, licenses, line_dedup, packing, quality, scoring, secrets, sharding, simhash, substring_dedup, vector_codes
 from .oracles import ORACLES
 
 
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op8_positional_index": decontamination.op8,
         "op9_rendezvous": sharding.op9,
         "op10_best_fit": packing.op10,
+        "op11_chat_bytes": chat.op11,
+        "op12_vantage_codes": vector_codes.op12,
     }
 
 

@@ -78,4 +78,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
   NOT base_failed AND NOT coalesce(bad, false) AND len(list_filter(fails, lambda x: NOT coalesce(list_contains(good, x), false))) = 0 AS kept FROM f"""
 
 
-ORACLES: dict[str, str] = {"op1_secret_ledger": _secrets(), "op3_line_windows": _lines(), "op6_recompression": _substrings(), "op7_host_quality": _quality()}
+def _chats() -> str:
+    escaped = lambda c: rf"regexp_replace({c}, '([<\[])(\\*/?(?:s>|INST\]|TURN\]))', '\1\\\2', 'g')"
+    name = escaped("replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, i, ['user', 'assistant'][i + 1], '</s>[INST] ok [/INST]' FROM (SELECT unnest([0, 1]) AS i)),
+o AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS LAST, role, md5(text)) AS l,
+  sum(length({escaped("text")}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE 16 + length({name}) END) AS formatted_chars FROM t GROUP BY conv_id),
+a AS (SELECT *, array_to_string(list_transform(l, lambda x: x.role || chr(10) || x.text || chr(10)), '') AS told, array_to_string(list_transform(list_filter(l, lambda x: x.role = 'assistant'), lambda x: x.text), '') AS loss FROM o)
+SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM a"""
+
+
+def _codes(parts: int = 8, size: int = 16, rounds: int = 6) -> str:
+    distance = "list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    step = f"SELECT p.rid, p.part, min(struct_pack(d := {distance}, entry := b.entry)) AS a, any_value(p.v) AS v FROM p JOIN {{books}} AS b USING (part) GROUP BY p.rid, p.part"
+    told = [f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, vec_id, q, CAST(part AS BIGINT) AS part, q[part * (len(q) // {parts}) + 1:(part + 1) * (len(q) // {parts})] AS v FROM k, (SELECT unnest(range(0, {parts})) AS part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id, q) - 1 AS entry, v FROM p QUALIFY entry < {size})"""]
+    for r in range(rounds):
+        told.append(f"a{r} AS MATERIALIZED ({step.format(books=f'b{r}')})")
+        told.append(f"m{r} AS (SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS v FROM (SELECT part, a.entry AS entry, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY ALL) GROUP BY part, entry)")
+        told.append(f"b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.v, b{r}.v) AS v FROM b{r} LEFT JOIN m{r} USING (part, entry))")
+    told.append(f"f AS ({step.format(books=f'b{rounds}')})")
+    told.append("c AS (SELECT rid, string_agg(lpad(lower(to_hex(a.entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM f GROUP BY rid)")
+    told.append("l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN k USING (rid) GROUP BY label)")
+    told.append(f"h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})")
+    return ",\n".join(told) + "\nSELECT k.vec_id, code, error, label_error, codebooks_sha256 FROM k JOIN c USING (rid) JOIN l ON k.label IS NOT DISTINCT FROM l.label, h"
+
+
+ORACLES: dict[str, str] = {"op1_secret_ledger": _secrets(), "op3_line_windows": _lines(), "op6_recompression": _substrings(), "op7_host_quality": _quality(), "op11_chat_bytes": _chats(), "op12_vantage_codes": _codes()}

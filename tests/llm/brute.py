@@ -168,3 +168,28 @@ def base_scores(rows):
     c = Counter(w for d, t in rows if not held(d) for w in cut(t))
     n, v = sum(c.values()), len(c)
     return [(d, held(d), len(cut(t)), sum(c[w] > 0 for w in cut(t)), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in cut(t))) for d, t in rows]
+
+
+def codes(rows: list[tuple], parts: int = 8, size: int = 16, rounds: int = 6) -> tuple[list[tuple], list]:
+    """Product codes by looking at every entry: ((vec_id, label, code, error) by row, entries)."""
+    kept = [(i, lab, [math.floor(4096 * x) for x in v]) for i, v, lab in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    if not kept:
+        return [], []
+    width = -(-max(len(q) for _, _, q in kept) // parts)
+    full = [(i, lab, q + [0] * (parts * width - len(q))) for i, lab, q in kept]
+    cut = [[q[p * width : (p + 1) * width] for p in range(parts)] for _, _, q in full]
+    first = sorted(range(len(full)), key=lambda r: (full[r][0] is None, full[r][0] or 0, kept[r][2]))[:size]
+    books = [[list(cut[r][p]) for r in first] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+
+    def assign():
+        return [[min((far(c[p], e), k) for k, e in enumerate(books[p])) for p in range(parts)] for c in cut]
+
+    for _ in range(rounds):
+        found = assign()
+        for p in range(parts):
+            for k in range(len(books[p])):
+                mine = [c[p] for c, f in zip(cut, found, strict=True) if f[p][1] == k]
+                if mine:
+                    books[p][k] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    return [(i, lab, "".join(f"{k:02x}" for _, k in f), sum(d for d, _ in f)) for (i, lab, _), f in zip(full, assign(), strict=True)], books
