@@ -189,12 +189,12 @@ def fit(kept: DataFrame, parts: int = 8, size: int = 16, rounds: int = 6, scale:
     every part and moves each used entry to the floor of its parts' mean.  A
     round is one pass without a shuffle of rows: each task sends ``size`` times
     the dimension of sums, and the driver gets one such table.
-    The dimension is that of the longest vector, rounded up to a multiple of ``parts``.
+    The dimension is that of the longest vector, rounded up to a multiple of ``parts``, ``parts`` at least.
     """
     longest = kept.agg(F.max(F.octet_length("q"))).first()[0]
     if longest is None:
         return None
-    width = -(-longest // 4 // parts)
+    width = max(1, -(-longest // 4 // parts))
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "q").select("q").limit(size).collect()
     books = _matrix(pa.array([bytes(r["q"]) for r in first]), parts * width).reshape(-1, parts, width).transpose(1, 0, 2).copy()
     for _ in range(rounds):

@@ -175,7 +175,7 @@ def codes(rows: list[tuple], parts: int = 8, size: int = 16, rounds: int = 6) ->
     kept = [(i, lab, [math.floor(4096 * x) for x in v]) for i, v, lab in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     if not kept:
         return [], []
-    width = -(-max(len(q) for _, _, q in kept) // parts)
+    width = max(1, -(-max(len(q) for _, _, q in kept) // parts))
     full = [(i, lab, q + [0] * (parts * width - len(q))) for i, lab, q in kept]
     cut = [[q[p * width : (p + 1) * width] for p in range(parts)] for _, _, q in full]
     first = sorted(range(len(full)), key=lambda r: (full[r][0] is None, full[r][0] or 0, kept[r][2]))[:size]
