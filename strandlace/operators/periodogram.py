@@ -103,6 +103,33 @@ def periodogram(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig =
     return rows.mapInArrow(run, f"`{key}` {kinds[key]}, k long, raw_sum long, signal_sum long, n_pairs long" + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
+#: Type of the column that ``periodogram_profiles`` adds.
+PROFILE = "array<struct<k:bigint,raw_sum:bigint,signal_sum:bigint,n_pairs:bigint>>"
+
+
+def periodogram_profiles(records: DataFrame, seq: str, cfg: PeriodogramConfig, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of each record with its periodogram as one array, ``profile``; null where the sequence is null.
+
+    For bands of offsets: a record is one task's work, in the partition where it lies.
+    """
+    if cfg.max_offset is None:
+        raise ValueError("a profile needs max_offset")
+    kind = pa.struct([(c, pa.int64()) for c in ("k", "raw_sum", "signal_sum", "n_pairs")])
+
+    def run(batches):
+        for b in batches:
+            parts = [None if s is None else diagonal_sums(cfg.scoring.codes(s), cfg) for s in b.column(0).to_pylist()]
+            sizes = np.array([0 if p is None else len(p[0]) for p in parts], np.int64)
+            fields = [np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts if p is not None)]) for i in range(4)]
+            values = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in fields], fields=list(kind))
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            offsets = pa.array(ends, mask=np.array([p is None for p in parts] + [False]))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(offsets, values)], names=[*keep, "profile"])
+
+    kinds = dict(records.dtypes)
+    return records.select(F.col(seq).alias("_seq"), *keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"profile {PROFILE}"]))
+
+
 def periodogram_relational(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig) -> DataFrame:
     """The same rows by join and window; needs ``max_offset``."""
     at = F.instr(F.lit(cfg.scoring.alphabet), F.col("_c")) - 1
