@@ -6,8 +6,7 @@ import argparse
 import json
 import logging
 import sys
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,25 +26,12 @@ def settings(spark: SparkSession, path: str | None, defaults: dict) -> dict:
 def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The table at ``path``; FASTA records count as documents named by their record."""
     if kind == "fasta":
-        from strandlace.sources.fasta import read_fasta
+        from strandlace.sources.fasta_chunks import read_fasta_chunks, whole_records
 
-        return read_fasta(spark, path).select("record_id", F.lit(None).cast("string").alias("lang"), F.col("sequence").alias("text"))
+        return whole_records(read_fasta_chunks(spark, path)).select("record_id", F.lit(None).cast("string").alias("lang"), F.col("sequence").alias("text"))
     return spark.read.format(kind).load(path)
 
 
-@contextmanager
-def options(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings that hold inside the block only."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def main(run: Callable, about: str, config: str) -> None:
     """Parse the arguments, start a session, run, stop it."""
     root = Path(__file__).resolve().parent.parent

@@ -61,9 +61,9 @@ def take(batch: DataFrame, number: int, table: str, cfg: dict) -> DataFrame:
 
 def define(spark: SparkSession, out: str, buckets: int) -> str:
     """A table over the register's files under a new name; dropping it leaves the files."""
-    table = f"register_{uuid.uuid4().hex}"
+    table, folder = f"register_{uuid.uuid4().hex}", f"{out}/register".replace("\\", "\\\\").replace("'", "\\'")
     spark.createDataFrame([], ROW).write.mode("append").partitionBy("batch").parquet(f"{out}/register")  # so that the folder is there
-    spark.sql(f"CREATE TABLE {table} ({ROW}) USING parquet PARTITIONED BY (batch) CLUSTERED BY (sha) INTO {int(buckets)} BUCKETS LOCATION '{out}/register'")
+    spark.sql(f"CREATE TABLE {table} ({ROW}) USING parquet PARTITIONED BY (batch) CLUSTERED BY (sha) INTO {int(buckets)} BUCKETS LOCATION '{folder}'")
     spark.catalog.recoverPartitions(table)
     return table
 

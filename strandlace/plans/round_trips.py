@@ -13,8 +13,9 @@ from ..operators import periodogram as P
 from ..operators import ridges as R
 from ..operators.peaks import PeaksConfig, find_bin_peaks
 from ..operators.spectrum import rank_peaks, spectrum
-from ..session import scratch
+from ..session import options, scratch
 from ..sources.fasta import fasta_text, read_fasta
+from ..sources.fasta_chunks import read_fasta_chunks, whole_records
 from ..sources.images import DotFile, image_files, image_pixels, png, read_dot, read_png
 from ..sources.tables import check_dense, periodogram_fields, read_tsv, spectrum_fields, write_tsv
 from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, ORACLES, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _read, _turn_pairs, query
@@ -35,6 +36,18 @@ def _(spark, d):
     return read_fasta(spark, path).select("record_id", "description", "sequence")
 
 
+@query("fasta_chunks", f"SELECT CAST(doc_id AS VARCHAR) AS record_id, lang AS description, CAST(length(seq) AS BIGINT) AS length, sha256(seq) AS sha FROM (SELECT doc_id, lang, {PROTEIN_SQL} AS seq FROM documents) WHERE length(seq) > 0")
+def _(spark, d):
+    """Documents written as FASTA files, whose records are read in blocks of 64 KiB that cut them anywhere, and put together."""
+    path, chunks = scratch(spark), scratch(spark)
+    rows = _read(spark, d, "documents").select("doc_id", "lang", Q.protein_view(F.col("text")).alias("seq")).where("length(seq) > 0")
+    rows.select(fasta_text(F.col("doc_id").cast("string"), F.col("lang"), F.col("seq")).alias("value")).write.text(path)
+    with options(spark, **{"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "4k"}):
+        read_fasta_chunks(spark, path, 10_000).write.parquet(chunks)
+    found = whole_records(spark.read.parquet(chunks))
+    return found.select("record_id", "description", F.length("sequence").cast("long").alias("length"), F.sha2(F.col("sequence").cast("binary"), 256).alias("sha"))
+
+
 @query("tsv_roundtrip", ORACLES["pg_tsv_fields"])
 def _(spark, d):
     """Periodograms written as TSV files with comments and read back."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -35,3 +37,16 @@ def scratch(spark: SparkSession) -> str:
         where = "file://" + tempfile.mkdtemp(prefix="strandlace-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def options(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings that hold inside the block only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from jobs import common, period_survey, queries, sequence_register
 from strandlace.operators.periodogram import PeriodogramConfig, diagonal_sums
 from strandlace.operators.kernel import Scoring
+from strandlace.session import options
 from verify import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -150,12 +151,12 @@ def test_a_batch_done_twice_counts_once(spark, tmp_path):
     sequence_register.layout(spark, out, cfg)
     table = sequence_register.define(spark, out, 4)
     try:
-        with common.options(spark, **{"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+        with options(spark, **{"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
             for number, part in ((0, rows[:20]), (1, rows[10:]), (1, rows[10:])):
                 sequence_register.take(docs(spark, part), number, table, cfg).write.mode("overwrite").insertInto(table)
         assert registered(spark, out) == expected_register(rows[:20] + rows[10:])
         # Known sequences come from the bucketed files without an exchange of their own.
-        with common.options(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        with options(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
             plan = sequence_register.take(docs(spark, rows), 2, table, cfg)._jdf.queryExecution().executedPlan().toString().splitlines()
         depth = lambda line: m.end() if (m := re.match(r"[ :]*[+:]- ", line)) else 0
         at = next(i for i, line in enumerate(plan) if "register_" in line)
