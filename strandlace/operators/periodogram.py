@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,36 @@ class PeriodogramConfig:
     scoring: Scoring = Scoring()
 
 
+def scorer(cfg: PeriodogramConfig, plain: bool) -> Callable[[np.ndarray, np.ndarray], tuple[int, int]]:
+    """(raw sum, signal sum) over all windows of two equally long stretches of codes; ``plain`` where no unknown letter is among them."""
+    w, levels = cfg.window, np.arange(256)
+    lut = np.where(levels <= cfg.white, 0, np.where(levels >= cfg.black, 255, (levels - cfg.white) * 255 // max(1, cfg.black - cfg.white)))
+    if plain and cfg.scoring.table is None and w < 256:
+        # A window's score follows from its number of matches: windows are counted by matches, in bytes.
+        level = np.clip(np.maximum(0, (cfg.scoring.match - cfg.scoring.mismatch) * np.arange(w + 1) + cfg.scoring.mismatch * w) * cfg.factor // w, 0, 255)
+        lit = np.flatnonzero(level)
+        seen, ramped, each = level[lit], lut[level[lit]], lit.tolist()
+
+        def by_matches(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+            v = _sums((x == y).view(np.uint8), w)
+            times = np.array([np.count_nonzero(v == m) for m in each]) if len(each) <= 32 else np.bincount(v, minlength=w + 1)[lit]
+            return int(seen @ times), int(ramped @ times)
+
+        return by_matches
+    table = cfg.scoring.padded()
+
+    def by_table(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+        total = np.concatenate(([0], np.cumsum(table[x, y], dtype=np.int32)))
+        p = np.minimum(255, np.maximum(total[w:] - total[:-w], 0).astype(np.int64) * cfg.factor // w)
+        return int(p.sum()), int(lut[p].sum())
+
+    return by_table
+
+
+def known(codes: np.ndarray, cfg: PeriodogramConfig) -> bool:
+    return len(codes) == 0 or codes.max() < len(cfg.scoring.alphabet)
+
+
 def diagonal_sums(codes: np.ndarray, cfg: PeriodogramConfig, part: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(offset, raw sum, signal sum, pairs) of one coded sequence, dense over the offsets; O(length) memory.  ``part`` (i, n) takes the i-th of n equal ranges of offsets."""
     n, w = len(codes), cfg.window
@@ -32,26 +63,13 @@ def diagonal_sums(codes: np.ndarray, cfg: PeriodogramConfig, part: tuple[int, in
     wide = max(0, top + 1 - cfg.min_offset)
     ks = np.arange(cfg.min_offset + wide * part[0] // part[1], cfg.min_offset + wide * (part[0] + 1) // part[1])
     raw, signal = np.zeros(len(ks), np.int64), np.zeros(len(ks), np.int64)
-    levels = np.arange(256)
-    lut = np.where(levels <= cfg.white, 0, np.where(levels >= cfg.black, 255, (levels - cfg.white) * 255 // max(1, cfg.black - cfg.white)))
-    plain = cfg.scoring.table is None and w < 256 and (n == 0 or codes.max() < len(cfg.scoring.alphabet))
-    # Without unknown letters a window's score follows from its number of matches: windows are counted by matches, in bytes.
-    level = np.clip(np.maximum(0, (cfg.scoring.match - cfg.scoring.mismatch) * np.arange(w + 1) + cfg.scoring.mismatch * w) * cfg.factor // w, 0, 255)
-    lit = np.flatnonzero(level)
-    seen, ramped = level[lit], lut[level[lit]]
-    table, codes = cfg.scoring.padded(), codes.astype(np.uint8) if plain else codes
+    plain = known(codes, cfg)
+    score, codes = scorer(cfg, plain), codes.astype(np.uint8) if plain else codes
     for i, k in enumerate(ks):
         if n - w - k <= 0:
             break
-        if plain:
-            # A diagonal's first window is left out.
-            v = _sums((codes[k:] == codes[: n - k]).view(np.uint8)[1:], w)
-            times = np.array([np.count_nonzero(v == x) for x in lit.tolist()]) if len(lit) <= 32 else np.bincount(v, minlength=w + 1)[lit]
-            raw[i], signal[i] = seen @ times, ramped @ times
-        else:
-            total = np.cumsum(table[codes[k:], codes[: n - k]], dtype=np.int32)
-            p = np.minimum(255, np.maximum(total[w:] - total[:-w], 0).astype(np.int64) * cfg.factor // w)
-            raw[i], signal[i] = p.sum(), lut[p].sum()
+        # A diagonal's first window is left out.
+        raw[i], signal[i] = score(codes[k + 1 :], codes[1 : n - k])
     return ks, raw, signal, np.maximum(0, n - w - ks)
 
 

@@ -12,13 +12,14 @@ from ..operators import karlin as K
 from ..operators import periodogram as P
 from ..operators import ridges as R
 from ..operators.peaks import PeaksConfig, find_bin_peaks
+from ..operators.tiled_periodogram import cells_of_records, tiled_periodogram
 from ..operators.spectrum import rank_peaks, spectrum
 from ..session import options, scratch
 from ..sources.fasta import fasta_text, read_fasta
 from ..sources.fasta_chunks import read_fasta_chunks, whole_records
 from ..sources.images import DotFile, image_files, image_pixels, png, read_dot, read_png
 from ..sources.tables import check_dense, periodogram_fields, read_tsv, spectrum_fields, write_tsv
-from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, ORACLES, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _read, _turn_pairs, query
+from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, ORACLES, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _read, _turn_pairs, query
 from .dotplot import PlotConfig, dotplot
 
 PROTEIN_SQL = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
@@ -88,6 +89,12 @@ def _(spark, d):
     return parse_matrix(dna_identity().to_text(), "DNA+5/-4", "ACGT").frame(spark)
 
 
+@query("pg_position_cells", PG_SQL + " SELECT doc_id, k, raw_sum, signal_sum, n_pairs FROM pg")
+def _(spark, d):
+    """Each document in cells of 1,000 letters, whose partial sums are added by Spark."""
+    return tiled_periodogram(cells_of_records(_dna(spark, d), "doc_id", "seq", PG, 1000), "doc_id", PG, 1000)
+
+
 @query("dense_check", PG_SQL + " SELECT doc_id, k, raw_sum FROM pg")
 def _(spark, d):
     return check_dense(_pg(spark, d).select("doc_id", "k", "raw_sum"), "doc_id", "k")
