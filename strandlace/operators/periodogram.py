@@ -181,51 +181,10 @@ def analytical_z(mean: Column, variance: Column, factor: int) -> Column:
     return F.when((F.col("n_pairs") == 0) | (sd <= 2.220446049250313e-16), 0.0).otherwise((F.col("raw_sum") - F.col("n_pairs") * factor * mean) / sd)
 
 
-_MASK = (1 << 64) - 1
 #: Fixed value: the state that a zero seed stands for.
 ZERO_SEED = 0x9E3779B97F4A7C15
 
 
-def shuffled(codes: np.ndarray, state: int) -> tuple[np.ndarray, int]:
-    """Fisher-Yates from the end with xorshift64 (13, 7, 17); returns the array and the next state."""
-    out = codes.tolist()
-    for i in range(len(out) - 1, 0, -1):
-        state ^= state << 13 & _MASK
-        state ^= state >> 7
-        state ^= state << 17 & _MASK
-        j = state % (i + 1)
-        out[i], out[j] = out[j], out[i]
-    return np.array(out, codes.dtype), state
-
-
-def empirical_z(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig, shuffles: int, seed: int) -> DataFrame:
-    """``key, k, signal_mean, z_score`` against cumulative shuffles of each record (a record is one task's work)."""
-
-    def run(batches):
-        for b in batches:
-            ids, seqs = b.column(0), b.column(1)
-            for i in range(b.num_rows):
-                codes = cfg.scoring.codes(seqs[i].as_py() or "")
-                k, _, signal, n = diagonal_sums(codes, cfg)
-                if not len(k):
-                    continue
-                mean_of = lambda s, n=n: np.where(n > 0, s / np.maximum(n, 1), 0.0)
-                state, total, square = seed or ZERO_SEED, np.zeros(len(k)), np.zeros(len(k))
-                for _ in range(shuffles):
-                    codes, state = shuffled(codes, state)
-                    m = mean_of(diagonal_sums(codes, cfg)[2])
-                    total += m
-                    square += m * m
-                mu = total / max(shuffles, 1)
-                sd = np.sqrt(np.maximum(0.0, square / max(shuffles, 1) - mu * mu))
-                m = mean_of(signal)
-                z = np.where(sd > np.finfo(float).eps, (m - mu) / np.where(sd > 0, sd, 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(k), ids.type), pa.array(k, pa.int64()), pa.array(m), pa.array(z)], names=[key, "k", "signal_mean", "z_score"])
-
-    kind = dict(records.dtypes)[key]
-    return spread(records.select(key, F.col(seq).alias("_seq")), [key]).mapInArrow(run, f"`{key}` {kind}, k long, signal_mean double, z_score double")
-
-
 def z_mode(mode: str, white: int, black: int) -> str:
     """``auto`` is analytical for the identity ramp and empirical otherwise."""
     return mode if mode != "auto" else ("analytical" if (white, black) == (0, 255) else "empirical")

@@ -14,6 +14,7 @@ from ..operators import ridges as R
 from ..operators.karlin import match_lambda
 from ..operators.kernel import Scoring
 from ..operators.peaks import PeaksConfig, find_peaks, mad_threshold, profile_maxima, ratio_number
+from ..operators.shuffles import shuffle_null
 from ..operators.spectrum import rank_peaks, spectrum
 from ..operators.tiles import record_tiles
 from ..sources.fasta import fasta_text, record_spans, split_records
@@ -467,7 +468,7 @@ def _(spark, d):
 def _(spark, d):
     """Offsets up to half of each item, against the default 200 shuffles."""
     items = _read(spark, d, "benchmark").select("item_id", Q.dna_view(F.col("text")).alias("seq"))
-    return P.empirical_z(items, "item_id", "seq", P.PeriodogramConfig(), 200, 42)
+    return shuffle_null(items, "item_id", "seq", P.PeriodogramConfig(), 200, 42)
 
 
 # --- spectra and peaks -------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlace.functions import labels, scores, sequence
 from strandlace.matrices import blosum62, by_name, custom_dna, dna_identity, parse_matrix
-from strandlace.operators import karlin, kernel, peaks, periodogram, ridges, spectrum, tiles
+from strandlace.operators import karlin, kernel, peaks, periodogram, ridges, shuffles, spectrum, tiles
 from strandlace.operators.kernel import Scoring
 from strandlace.plans.dotplot import PlotConfig, PlotError, dotplot, translated_dotplot
 from strandlace.sources import fasta, images, sessions, tables
@@ -241,15 +241,15 @@ def test_periodograms(spark):
     assert (null["mean"], null["variance"]) == (-1.75, 15.1875)
     assert [periodogram.next_power_of_two(n) for n in (0, 1, 2, 3, 255, 256, 257)] == [1, 1, 2, 4, 256, 256, 512]
     assert periodogram.z_mode("auto", 0, 255) == "analytical" and periodogram.z_mode("auto", 40, 100) == "empirical"
-    z = periodogram.empirical_z(df.where("id = 1"), "id", "seq", cfg, 5, 42).collect()
+    z = shuffles.shuffle_null(df.where("id = 1"), "id", "seq", cfg, 5, 42).collect()
     assert max(z, key=lambda r: r["z_score"])["k"] % 7 == 0
 
 
 def test_shuffle_is_a_permutation():
     codes = np.arange(50)
-    a, state = periodogram.shuffled(codes, 42)
-    b, _ = periodogram.shuffled(codes, 42)
-    assert sorted(a) == list(range(50)) and (a == b).all() and (periodogram.shuffled(a, state)[0] != a).any()
+    a = codes[shuffles.permutation(50, 42)]
+    b = codes[shuffles.permutation(50, 42)]
+    assert sorted(a) == list(range(50)) and (a == b).all() and (a[shuffles.permutation(50, shuffles.ahead(42, 49))] != a).any()
 
 
 def test_spectrum(spark):
