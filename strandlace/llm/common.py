@@ -41,25 +41,60 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return z ^ (z >> _U(31))
 
 
-#: Odd multipliers of the two lanes of range hashes, and their inverses modulo 2^64.
-_LANES = tuple((m, _U(pow(int(m), -1, 2**64))) for m in (_PHI, _U(0xD6E8FEB86659FD93)))
+#: Range hashes are polynomials modulo this prime: sums modulo a power of two collide on structured texts whatever their multiplier.
+_P = _U((1 << 61) - 1)
+#: Bases of the two lanes, their inverses, and how many of their powers a worker keeps.
+_BASES = tuple((b, pow(b, -1, int(_P))) for b in (0x0F3B4D1C6A5E9387, 0x1A9C2F7E50B86D43))
+_KEPT_POWERS = 1 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 of numbers below it, from 31-bit halves."""
+    half, low = _U(31), _U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    mid = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << _U(1)) + (mid >> _U(30)) + ((mid & _U((1 << 30) - 1)) << half) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo 2^61 - 1."""
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n."""
+    have = _powers.get(base, np.ones(1, _U))
+    while len(have) <= n:
+        more = have[: n + 1 - len(have)] if n + 1 > _KEPT_POWERS else have
+        have = np.concatenate((have, times(more, np.full(len(more), pow(base, len(have), int(_P)), _U))))
+    if len(have) <= 2 * _KEPT_POWERS:
+        _powers[base] = have
+    return have[: n + 1]
 
 
 class RangeHashes:
-    """128-bit hashes of ranges of a symbol sequence: equal ranges have equal hashes wherever they lie."""
+    """122-bit hashes of ranges of a symbol sequence: equal ranges have equal hashes wherever they lie.
+
+    Two polynomials of the symbols, modulo a prime at two fixed bases.  Different
+    ranges of up to n symbols agree in a lane for at most n of its 2^61 bases.
+    """
 
     def __init__(self, h: np.ndarray, second: np.ndarray | None = None) -> None:
         self.lanes = []
-        with np.errstate(over="ignore"):
-            for x, (up, down) in zip((h, mix(h, 91) if second is None else second), _LANES, strict=True):
-                power = np.concatenate((np.ones(1, _U), np.cumprod(np.full(len(x), up))))
-                total = np.concatenate((np.zeros(1, _U), np.cumsum(x * power[:-1], dtype=_U)))
-                self.lanes.append((total, np.concatenate((np.ones(1, _U), np.cumprod(np.full(len(x), down))))))
+        n, low = len(h), _U((1 << 32) - 1)
+        for x, (up, down) in zip((h, mix(h, 91) if second is None else second), _BASES, strict=True):
+            terms = times(reduced(x), powers(up, n)[:n])
+            # Halves are summed apart, so that no sum passes 64 bits.
+            high, rest = reduced(np.cumsum(terms >> _U(32), dtype=_U)), reduced(np.cumsum(terms & low, dtype=_U))
+            total = reduced(times(high, np.full(n, 1 << 32, _U)) + rest)
+            self.lanes.append((np.concatenate((np.zeros(1, _U), total)), powers(down, n)))
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = (end - begin).astype(_U)
         with np.errstate(over="ignore"):
-            return tuple(mix((total[end] - total[begin]) * back[begin] + size * _M2, i) for i, (total, back) in enumerate(self.lanes))
+            return tuple(mix(times(reduced(total[end] + _P - total[begin]), back[begin]) + size * _M2, i) for i, (total, back) in enumerate(self.lanes))
 
 
 def scratch(spark: SparkSession) -> str:
