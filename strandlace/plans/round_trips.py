@@ -19,8 +19,9 @@ from ..sources.fasta import fasta_text, read_fasta
 from ..sources.fasta_chunks import read_fasta_chunks, whole_records
 from ..sources.images import DotFile, image_files, image_pixels, png, read_dot, read_png
 from ..sources.tables import check_dense, periodogram_fields, read_tsv, spectrum_fields, write_tsv
-from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, ORACLES, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _read, _turn_pairs, query
+from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, ORACLES, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _plot_sql, _read, _turn_pairs, query
 from .dotplot import PlotConfig, dotplot
+from .plot_store import PlotStore, rect_zoom
 
 PROTEIN_SQL = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 
@@ -281,3 +282,39 @@ def _(spark, d):
     pairs = _turn_pairs(spark, d)
     dense = R.render(dotplot(pairs, KEY), _sizes(pairs), KEY, 10, 60)
     return dense.groupBy(*KEY, "py").agg(F.count("*").alias("n"), F.sum("grey").cast("long").alias("grey"))
+
+
+# --- views of stored plots ---------------------------------------------------------------------
+
+
+def _views(spark, d, cfg: PlotConfig):
+    """The middle half of each pair of turns, drawn on a plot of the whole, for a canvas of 40 by 30 pixels."""
+    store = PlotStore(spark, scratch(spark), cfg)
+    pairs = store.named(_turn_pairs(spark, d))
+    store.add(pairs)
+    sized = pairs.select(*KEY, "plot", F.length("query").cast("long").alias("qlen"), F.length("subject").cast("long").alias("slen"))
+    whole = F.struct(F.lit(0).cast("long").alias("q_start"), F.lit(0).cast("long").alias("s_start"), F.lit(1).cast("long").alias("zoom"))
+    quarter = lambda c, k: S.div(F.col(c) * k, F.lit(4))
+    view = rect_zoom(quarter("qlen", 1), quarter("qlen", 3), quarter("slen", 1), quarter("slen", 3), whole, F.col("qlen"), F.col("slen"), 40, 30)
+    views = sized.select(*KEY, "plot", view.alias("v")).where("v is not null").select(*KEY, "plot", "v.*").drop("x", "y")
+    return store.views(views).select(*KEY, "zoom", "px", "py", "value")
+
+
+def _view_sql(reverse: bool) -> str:
+    def axis(c: str, x: str) -> str:
+        return f"length({c}) // 4 AS {x}a, greatest(1, 3 * length({c}) // 4 - length({c}) // 4) AS {x}w, 3 * length({c}) // 4 AS {x}b, CAST(ceil({x}w * 0.5) AS BIGINT) AS {x}m, greatest(0, {x}a - {x}m) AS {x}0, least(length({c}), {x}b + {x}m) AS {x}1"
+
+    slices = f"""
+SELECT conv_id, turn, greatest(1, CAST(ceil(qw / 40) AS BIGINT), CAST(ceil(sw / 30) AS BIGINT)) AS zoom, substr(query, q0 + 1, q1 - q0) AS query, substr(subject, s0 + 1, s1 - s0) AS subject
+FROM (SELECT *, {axis("query", "q")}, {axis("subject", "s")} FROM ({TURN_SQL})) WHERE qb - qa >= 3 AND sb - sa >= 3"""
+    return _plot_sql(slices, "conv_id, turn", 8, 12, "zoom", reverse).replace("SELECT conv_id, turn, CAST(cq", "SELECT conv_id, turn, zoom, CAST(cq")
+
+
+@query("rect_zoom", _view_sql(False))
+def _(spark, d):
+    return _views(spark, d, PlotConfig())
+
+
+@query("rect_zoom_reverse", _view_sql(True))
+def _(spark, d):
+    return _views(spark, d, PlotConfig(strand="reverse"))
