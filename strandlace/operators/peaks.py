@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -174,17 +174,18 @@ def _batch(key: str, owner, kind: pa.DataType, peaks: list[Peak]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([owner] * len(peaks), kind), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[key, *(f.split()[0] for f in PEAK_FIELDS.split(", "))])
 
 
-def find_peaks(profiles: DataFrame, key: str, values: str, base: str, cfg: PeaksConfig = PeaksConfig()) -> DataFrame:
-    """Peaks of each row: ``values`` is the dense score array from offset ``base`` on."""
+def find_peaks(profiles: DataFrame, key: str, values: str, base: str, cfg: PeaksConfig = PeaksConfig(), floor: str | None = None) -> DataFrame:
+    """Peaks of each row: ``values`` is the dense score array from offset ``base`` on; the column ``floor`` stands for the smallest score."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                if peaks := peaks_of_scores(np.array(b.column(1)[i].as_py() or [], float), int(b.column(2)[i].as_py() or 0), cfg):
+                own = replace(cfg, min_score=b.column(3)[i].as_py()) if floor else cfg
+                if peaks := peaks_of_scores(np.array(b.column(1)[i].as_py() or [], float), int(b.column(2)[i].as_py() or 0), own):
                     yield _batch(key, b.column(0)[i].as_py(), b.column(0).type, peaks)
 
     kind = dict(profiles.dtypes)[key]
-    return profiles.select(key, F.col(values).cast("array<double>").alias("_v"), F.col(base).cast("long").alias("_b")).mapInArrow(run, f"`{key}` {kind}, {PEAK_FIELDS}")
+    return profiles.select(key, F.col(values).cast("array<double>").alias("_v"), F.col(base).cast("long").alias("_b"), *([F.col(floor).cast("double")] if floor else [])).mapInArrow(run, f"`{key}` {kind}, {PEAK_FIELDS}")
 
 
 def find_bin_peaks(ranked: DataFrame, key: str, cfg: PeaksConfig = PeaksConfig()) -> DataFrame:

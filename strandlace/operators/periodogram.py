@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import pixel_scale, ramp
-from .kernel import Scoring, spread
+from .kernel import Scoring, resolve, spread
 
 
 @dataclass(frozen=True)
 class PeriodogramConfig:
-    window: int = 8
+    """``window=None`` and ``factor=0`` follow from each record's letter statistics; records without statistics then have no rows."""
+
+    window: int | None = 8
     factor: int = 12
     min_offset: int = 3
     max_offset: int | None = None  # half the length where None
@@ -26,6 +28,14 @@ class PeriodogramConfig:
     scoring: Scoring = Scoring()
 
 
+def settled(codes: np.ndarray, cfg: PeriodogramConfig) -> PeriodogramConfig | None:
+    """The configuration with the record's own window and factor; None where its letters have no statistics."""
+    if cfg.window is not None and cfg.factor:
+        return cfg
+    found = resolve(codes, codes, cfg.scoring, cfg.window, cfg.factor)
+    return found and replace(cfg, window=found[0], factor=found[1])
+
+
 def scorer(cfg: PeriodogramConfig, plain: bool) -> Callable[[np.ndarray, np.ndarray], tuple[int, int]]:
     """(raw sum, signal sum) over all windows of two equally long stretches of codes; ``plain`` where no unknown letter is among them."""
     w, levels = cfg.window, np.arange(256)
@@ -92,22 +102,28 @@ def _sums(x: np.ndarray, w: int) -> np.ndarray:
 PART_CELLS = 1 << 28
 
 
-def periodogram(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig = PeriodogramConfig(), keep: list[str] | None = None, part_cells: int = PART_CELLS) -> DataFrame:
-    """``key, k, raw_sum, signal_sum, n_pairs``: dense over offsets; records without an offset in range give none.
+def periodogram(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig = PeriodogramConfig(), keep: list[str] | None = None, part_cells: int = PART_CELLS, told: bool = False) -> DataFrame:
+    """``key, k, raw_sum, signal_sum, n_pairs``, and with ``told`` the ``window`` and ``factor`` used: dense over offsets; records without an offset in range give none.
 
     One row of input is a record; long ones are cut into ranges of offsets, dealt out over tasks.
     ``keep`` columns of the record are passed on to its rows.
     """
     keep = keep or []
+    numbers = ["k", "raw_sum", "signal_sum", "n_pairs", *(["window", "factor"] if told else [])]
 
     def run(batches):
         for b in batches:
             ids, seqs = b.column(0), b.column(1)
             for i in range(b.num_rows):
-                k, raw, signal, n = diagonal_sums(cfg.scoring.codes(seqs[i].as_py() or ""), cfg, (b.column(2)[i].as_py(), b.column(3)[i].as_py()))
+                codes = cfg.scoring.codes(seqs[i].as_py() or "")
+                own = settled(codes, cfg)
+                if own is None:
+                    continue
+                k, raw, signal, n = diagonal_sums(codes, own, (b.column(2)[i].as_py(), b.column(3)[i].as_py()))
                 if len(k):
                     row = pa.array(np.full(len(k), i))
-                    yield pa.RecordBatch.from_arrays([ids.take(row), *(pa.array(x, pa.int64()) for x in (k, raw, signal, n)), *(b.column(4 + j).take(row) for j in range(len(keep)))], names=[key, "k", "raw_sum", "signal_sum", "n_pairs", *keep])
+                    used = [np.full(len(k), own.window), np.full(len(k), own.factor)] if told else []
+                    yield pa.RecordBatch.from_arrays([ids.take(row), *(pa.array(x, pa.int64()) for x in (k, raw, signal, n, *used)), *(b.column(4 + j).take(row) for j in range(len(keep)))], names=[key, *numbers, *keep])
 
     kinds = dict(records.dtypes)
     size = F.coalesce(F.length(seq), F.lit(0)).cast("double")
@@ -118,7 +134,7 @@ def periodogram(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig =
         rows = spread(rows.select(key, "_seq", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_parts", *keep), [key, "_part"])
     else:
         rows = rows.select(key, "_seq", F.lit(0).alias("_part"), F.lit(1).alias("_parts"), *keep)
-    return rows.mapInArrow(run, f"`{key}` {kinds[key]}, k long, raw_sum long, signal_sum long, n_pairs long" + "".join(f", `{c}` {kinds[c]}" for c in keep))
+    return rows.mapInArrow(run, f"`{key}` {kinds[key]}" + "".join(f", {c} long" for c in numbers) + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
 #: Type of the column that ``periodogram_profiles`` adds.
@@ -176,8 +192,9 @@ def analytical_null(a: Column, c: Column, g: Column, t: Column, match: int = 5,
     return F.struct(mean.alias("mean"), F.greatest(F.lit(0.0), same * match**2 + (known - same) * mismatch**2 - mean * mean).alias("variance"))
 
 
-def analytical_z(mean: Column, variance: Column, factor: int) -> Column:
-    sd = F.sqrt(F.col("n_pairs") * float(factor**2) * variance)
+def analytical_z(mean: Column, variance: Column, factor: int | Column) -> Column:
+    squared = float(factor**2) if isinstance(factor, int) else (factor * factor).cast("double")
+    sd = F.sqrt(F.col("n_pairs") * squared * variance)
     return F.when((F.col("n_pairs") == 0) | (sd <= 2.220446049250313e-16), 0.0).otherwise((F.col("raw_sum") - F.col("n_pairs") * factor * mean) / sd)
 
 

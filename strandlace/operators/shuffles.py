@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import spread
-from .periodogram import PART_CELLS, ZERO_SEED, PeriodogramConfig, diagonal_sums
+from .periodogram import PART_CELLS, ZERO_SEED, PeriodogramConfig, diagonal_sums, settled
 
 _MASK = (1 << 64) - 1
 #: Offsets that one vector of sums covers.
@@ -136,6 +136,9 @@ def _scored(cfg: PeriodogramConfig, seed: int, shuffles: int, size: int):
             for i in range(b.num_rows):
                 block, text, part, parts = (b.column(c)[i].as_py() for c in range(2, 6))
                 codes = cfg.scoring.codes(text)
+                own = settled(codes, cfg)  # a shuffle keeps the counts of letters, so all have the record's own
+                if own is None:
+                    continue
                 first = block * size
                 sets = [(-1, [codes])] if block == 0 else []
                 current, later = codes, []
@@ -143,7 +146,7 @@ def _scored(cfg: PeriodogramConfig, seed: int, shuffles: int, size: int):
                     current = current[p]
                     later.append(current)
                 for name, group in [*sets, (block, later)]:
-                    found = [diagonal_sums(c, cfg, (part, parts)) for c in group]
+                    found = [diagonal_sums(c, own, (part, parts)) for c in group]
                     if not found or not len(found[0][0]):
                         continue
                     ks, n = found[0][0], found[0][3]

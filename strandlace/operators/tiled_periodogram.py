@@ -133,6 +133,8 @@ def _added(cfg: PeriodogramConfig, size: int, key: str):
 
 def tiled_periodogram(cells: DataFrame, key: str, cfg: PeriodogramConfig = PeriodogramConfig(), size: int = CELL, run: int = RUN) -> DataFrame:
     """``key, k, raw_sum, signal_sum, n_pairs``: the rows of ``periodogram``, from cells of records; ``key`` names a record and is not null."""
+    if cfg.window is None or not cfg.factor:
+        raise ValueError("cells need a window and a pixel factor")
     kind = dict(cells.dtypes)[key]
     top = F.floor(F.col("n") / 2) if cfg.max_offset is None else F.lit(cfg.max_offset).cast("long")
     reach = F.greatest(F.lit(0), F.floor((top - 1) / size) + 1)  # the farthest cell that an offset leads to

@@ -19,7 +19,8 @@ from ..sources.fasta import fasta_text, read_fasta
 from ..sources.fasta_chunks import read_fasta_chunks, whole_records
 from ..sources.images import DotFile, image_files, image_pixels, png, read_dot, read_png
 from ..sources.tables import check_dense, periodogram_fields, read_tsv, spectrum_fields, write_tsv
-from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, ORACLES, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _plot_sql, _read, _turn_pairs, query
+from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, MAX_SQL, NULL_SQL, ORACLES, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _plot_sql, _read, _turn_pairs, query
+from . import verbs as V
 from .dotplot import PlotConfig, dotplot
 from .plot_store import PlotStore, rect_zoom
 
@@ -318,3 +319,36 @@ def _(spark, d):
 @query("rect_zoom_reverse", _view_sql(True))
 def _(spark, d):
     return _views(spark, d, PlotConfig(strand="reverse"))
+
+
+# --- whole runs --------------------------------------------------------------------------------
+
+
+def _fasta_folder(spark, d) -> str:
+    """Documents as FASTA files of DNA letters."""
+    path = scratch(spark)
+    _dna(spark, d).where("length(seq) > 0").select(fasta_text(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("seq")).alias("value")).write.text(path)
+    return path
+
+
+@query("verb_periodogram", PG_SQL + f""", nul AS ({NULL_SQL})
+SELECT CAST(pg.doc_id AS VARCHAR) AS record_id, CAST(k AS VARCHAR) AS k, CAST(raw_sum AS VARCHAR) AS raw_sum, CAST(signal_sum AS VARCHAR) AS signal_sum,
+  round(CASE WHEN n_pairs > 0 THEN signal_sum / n_pairs ELSE 0 END, 6) AS signal_mean, round(CASE WHEN n_pairs = 0 OR sqrt(n_pairs * 144.0 * variance) <= 2.220446049250313e-16 THEN 0 ELSE (raw_sum - n_pairs * 12 * mean) / sqrt(n_pairs * 144.0 * variance) END, 4) AS z_score
+FROM pg JOIN nul USING (doc_id)""")
+def _(spark, d):
+    """FASTA files to TSV files with analytical scores, read back."""
+    out = scratch(spark)
+    V.run_periodogram(spark, _fasta_folder(spark, d), out, PG, "analytical")
+    number = lambda c, n: F.round(F.col(c).cast("double"), n).alias(c)
+    return read_tsv(spark, f"{out}/periodogram").select("record_id", "k", "raw_sum", "signal_sum", number("signal_mean", 6), number("z_score", 4))
+
+
+@query("verb_find_peaks", MAX_SQL + """, md AS (SELECT doc_id, quantile_cont(score, 0.5) AS med FROM sc GROUP BY doc_id),
+dv AS (SELECT doc_id, any_value(med) AS med, quantile_cont(abs(score - med), 0.5) AS mad FROM sc JOIN md USING (doc_id) GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS record_id, CAST(k AS VARCHAR) AS period_bp FROM mx JOIN dv USING (doc_id) WHERE k <= 10 AND score >= CASE WHEN mad > 0 THEN greatest(1.0, med + mad * (2.0 * 1.4826)) ELSE 1.0 END""")
+def _(spark, d):
+    """FASTA files to periodogram files to peak files, with each record's own threshold; all peaks, whatever their kind."""
+    first, out = scratch(spark), scratch(spark)
+    V.run_periodogram(spark, _fasta_folder(spark, d), first, PG)
+    V.run_find_peaks(spark, f"{first}/periodogram", out, PeaksConfig(min_score=1.0, min_harmonics=0), mads=2.0, harmonics=True)
+    return read_tsv(spark, f"{out}/peaks").select("record_id", "period_bp")
