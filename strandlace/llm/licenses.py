@@ -9,6 +9,7 @@ most ``gap`` other sentences between two of them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -209,22 +210,41 @@ def recognise(text: bytes, look, rules, gap: int, probe) -> tuple[list[str], lis
         first, last = found[k][1] + 1, found[q][0] - 1
         return last >= first and sentence[last] - sentence[first] + 1 > gap
 
-    licences, spans, used = [], [], set()
+    places: dict[str, list[int]] = {}
+    rank = []  # of each found sentence among those of its name
+    for q, (_, _, ident) in enumerate(found):
+        rank.append(len(places.setdefault(ident, [])))
+        places[ident].append(q)
+    free = {ident: list(range(len(at) + 1)) for ident, at in places.items()}  # from a rank to the next one not yet taken
+
+    def unused(ident: str, r: int) -> int:
+        way = free[ident]
+        while way[r] != r:
+            way[r] = way[way[r]]
+            r = way[r]
+        return r
+
+    def after(k: int, ident: str) -> int | None:
+        """The first sentence of that name after ``k`` that no licence has taken; gaps only grow, so no later one can be nearer."""
+        at = places.get(ident, [])
+        r = unused(ident, bisect_right(at, k)) if at else 0
+        return at[r] if r < len(at) and not far(k, at[r]) else None
+
+    licences, spans = [], []
     for licence, wanted in rules:
-        for at in range(len(found)):
-            chain, k = [at], at
-            if found[at][2] != wanted[0] or at in used:
+        for at in places.get(wanted[0], []):
+            if free[wanted[0]][rank[at]] != rank[at]:
                 continue
+            chain = [at]
             for want in wanted[1:]:
-                nxt = next((q for q in range(k + 1, len(found)) if far(k, q) or (found[q][2] == want and q not in used)), None)
-                if nxt is None or found[nxt][2] != want or far(k, nxt):
+                if (nxt := after(chain[-1], want)) is None:
                     break
                 chain.append(nxt)
-                k = nxt
             else:
-                used.update(chain)
+                for q in chain:
+                    free[found[q][2]][rank[q]] = rank[q] + 1
                 licences.append(licence)
-                spans.append((parts[found[at][0]][0], parts[found[k][1]][1]))
+                spans.append((parts[found[at][0]][0], parts[found[chain[-1]][1]][1]))
     order = sorted(range(len(spans)), key=spans.__getitem__)
     return [f[2] for f in found], [licences[i] for i in order], [spans[i] for i in order]
 

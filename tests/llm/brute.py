@@ -193,3 +193,33 @@ def codes(rows: list[tuple], parts: int = 8, size: int = 16, rounds: int = 6) ->
                 if mine:
                     books[p][k] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
     return [(i, lab, "".join(f"{k:02x}" for _, k in f), sum(d for d, _ in f)) for (i, lab, _), f in zip(full, assign(), strict=True)], books
+
+
+def licence_rules(idents: list, rules, gap: int) -> tuple[list[str], list[tuple[int, int]]]:
+    """Licences and their (first, last) sentences in a list of identifiers (None: unknown), by looking through the list for every rule and start."""
+    used: set[int] = set()
+    out = []
+    for licence, wanted in rules:
+        for at in range(len(idents)):
+            if idents[at] != wanted[0] or at in used:
+                continue
+            chain = [at]
+            for want in wanted[1:]:
+                later = [q for q in range(chain[-1] + 1, len(idents)) if idents[q] == want and q not in used]
+                if not later or later[0] - chain[-1] - 1 > gap:
+                    break
+                chain.append(later[0])
+            else:
+                used |= set(chain)
+                out.append((chain[0], chain[-1], licence))
+    out.sort(key=lambda x: x[:2])
+    return [x[2] for x in out], [x[:2] for x in out]
+
+
+def rendezvous(key: str, shards: int) -> int:
+    """The shard with the highest score -1 / ln(u); ties to the larger number."""
+    scores = []
+    for shard in range(shards):
+        h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(key.encode(), seed=42)) >> 11
+        scores.append((-1.0 / math.log((h + 0.5) / (1 << 53)), shard))
+    return max(scores)[1]
