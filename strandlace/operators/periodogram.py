@@ -164,6 +164,35 @@ def periodogram_profiles(records: DataFrame, seq: str, cfg: PeriodogramConfig, k
     return records.select(F.col(seq).alias("_seq"), *keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"profile {PROFILE}"]))
 
 
+def score_arrays(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig = PeriodogramConfig(), part_cells: int = PART_CELLS) -> DataFrame:
+    """``key, base, v``: the mean signals of each record as one array from its first offset on; records without an offset in range give none.
+
+    Ranges of offsets of long records are dealt out; a range comes as one array, so few rows are shuffled.
+    """
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                codes = cfg.scoring.codes(b.column(1)[i].as_py())
+                own = settled(codes, cfg)
+                if own is None:
+                    continue
+                k, _, signal, n = diagonal_sums(codes, own, (b.column(2)[i].as_py(), b.column(3)[i].as_py()))
+                if len(k):
+                    mean = np.where(n > 0, signal / np.maximum(n, 1), 0.0)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array(k[:1]), pa.array([mean], pa.list_(pa.float64()))], names=[key, "base", "v"])
+
+    kind = dict(records.dtypes)[key]
+    text = F.coalesce(F.col(seq), F.lit(""))
+    size = F.length(text).cast("double")
+    offsets = F.floor(size / 2) if cfg.max_offset is None else F.lit(float(cfg.max_offset))
+    parts = F.greatest(F.lit(1), F.least(F.ceil(size * offsets / part_cells), offsets)).cast("int")
+    rows = records.select(key, text.alias("_seq"), parts.alias("_parts")).select(key, "_seq", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_parts")
+    ranges = spread(rows, [key, "_part"]).mapInArrow(run, f"`{key}` {kind}, base long, v array<double>")
+    joined = ranges.groupBy(key).agg(F.min("base").alias("base"), F.sort_array(F.collect_list(F.struct("base", "v"))).alias("_r"))
+    return joined.select(key, "base", F.flatten(F.transform("_r", lambda r: r["v"])).alias("v"))
+
+
 def periodogram_relational(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig) -> DataFrame:
     """The same rows by join and window; needs ``max_offset``."""
     at = F.instr(F.lit(cfg.scoring.alphabet), F.col("_c")) - 1

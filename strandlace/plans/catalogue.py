@@ -11,6 +11,7 @@ from ..functions import sequence as Q
 from ..matrices import blosum62
 from ..operators import periodogram as P
 from ..operators import ridges as R
+from ..operators.intervals import locate
 from ..operators.karlin import match_lambda
 from ..operators.kernel import Scoring
 from ..operators.peaks import PeaksConfig, find_peaks, mad_threshold, profile_maxima, ratio_number
@@ -130,9 +131,7 @@ SELECT p.conv_id, p.pos, s.turn, p.pos - s.start AS inside FROM p LEFT JOIN s ON
 def _(spark, d):
     spans = _spans(spark, d).select("conv_id", "turn", "start", "stop")
     probes = spans.groupBy("conv_id").agg(F.max("stop").alias("m")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), S.div(F.col("m"), F.lit(100)) + 1)).alias("i")).select("conv_id", (F.col("i") * 100).alias("pos"))
-    p, s = probes.alias("p"), spans.alias("s")
-    on = (F.col("p.conv_id") == F.col("s.conv_id")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
-    return p.join(s, on, "left").select("p.conv_id", "pos", "turn", (F.col("pos") - F.col("start")).alias("inside"))
+    return locate(probes, spans, ["conv_id"], "pos").select("conv_id", "pos", "turn", (F.col("pos") - F.col("start")).alias("inside"))
 
 
 GCD_SQL = "SELECT conv_id, CAST(list_reduce(list(CAST(length(text) AS BIGINT)), lambda a, b: gcd(a, b)) AS BIGINT) AS g, count(*) AS n FROM conversations GROUP BY conv_id"
@@ -550,9 +549,7 @@ def _(spark, d):
 
 
 def _classified(spark, d) -> DataFrame:
-    pg = P.periodogram(_dna(spark, d), "doc_id", "seq", P.PeriodogramConfig()).select("doc_id", "k", P.signal_mean().alias("score"))
-    rows = pg.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "score"))).alias("s"))
-    profile = rows.select("doc_id", F.transform("s", lambda x: x["score"]).alias("v"), F.element_at("s", 1)["k"].alias("base"))
+    profile = P.score_arrays(_dna(spark, d), "doc_id", "seq", P.PeriodogramConfig())
     return find_peaks(profile, "doc_id", "v", "base", PeaksConfig(min_score=5.0, min_harmonics=0, subrepeat_min_score=5.0))
 
 
