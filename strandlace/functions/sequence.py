@@ -153,6 +153,26 @@ def alignment_columns(q: Column, s: Column, q_mid: Column, s_mid: Column, window
     return F.transform(F.sequence(F.lit(0), F.lit(window - 1)), cell)
 
 
+def clipboard_text(q: Column, s: Column, q_mid: Column, s_mid: Column, window: int, scoring, both: bool = False) -> Column:
+    """The alignment around a crosshair as text: the place, then a block of three lines for the forward strand and, with ``both``, one for the reverse strand.
+
+    Letters outside a sequence are ``-``, those that can't be printed ``?``; the line between shows ``|`` for
+    equal letters and ``:`` for other positive scores; ends are 1-based and may lie outside.
+    """
+    half = window // 2
+    line = lambda name, first, text, last: F.concat(F.format_string(f"{name:<9}5' %8d ", first), text, F.lit(" "), F.rpad(last.cast("string"), 8, " "), F.lit(" 3'\n"))
+
+    def block(reverse: bool) -> Column:
+        cells = alignment_columns(q, s, q_mid, s_mid, window, scoring, reverse)
+        shown = lambda c: F.array_join(F.transform(cells, lambda x: F.when(x[c].rlike("^[!-~]$"), x[c]).otherwise("?")), "")
+        marks = F.array_join(F.transform(cells, lambda x: F.when(x["class"] == "Identical", "|").when(x["class"] == "Positive", ":").otherwise(" ")), "")
+        s0, s1 = (s_mid + (half + 1), s_mid + (half - window + 2)) if reverse else (s_mid - (half - 1), s_mid - (half - window))
+        return F.concat(line("query", q_mid - (half - 1), shown("q"), q_mid - (half - window)), F.lit(" " * 20), marks, F.lit("\n"), line("subject", s0, shown("s"), s1))
+
+    head = F.concat(F.format_string(f"q = %d   s = %d   window = {window}\n\n+/+\n", q_mid + 1, s_mid + 1), block(False))
+    return F.concat(head, F.lit("\n+/-\n"), block(True)) if both else head
+
+
 def zoom_period_hints(q_hint: Column, s_hint: Column, self_plot: bool) -> Column:
     """Periods that a zoom should divide: a self plot's own hint, or both hints if there are two."""
     if self_plot:

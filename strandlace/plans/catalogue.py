@@ -220,10 +220,35 @@ def _matrix_values() -> str:
     return ", ".join(f"('BLOSUM62', {i}, {j}, {x})" for i, r in enumerate(m.rows) for j, x in enumerate(r))
 
 
-@query("matrix_bounds", f"SELECT matrix, min(score) AS lowest, max(score) AS highest, CAST(count(*) AS BIGINT) AS cells, min(score) < 0 AND max(score) > 0 AS valid FROM (VALUES {_matrix_values()}) t(matrix, r, c, score) GROUP BY matrix")
+PAIRS_SQL = "SELECT id, substr(t, i, 1) AS a, substr(t, i + 1, 1) AS b FROM (SELECT id, t, unnest(range(1, length(t))) AS i FROM ({source}))"
+
+
+def adjacent(rows: DataFrame, text: str) -> DataFrame:
+    """``id, a, b``: the pairs of neighbouring letters of each text."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.struct(F.substr(text, i, F.lit(1)).alias("a"), F.substr(text, i + 1, F.lit(1)).alias("b")))
+    return rows.where(F.length(text) > 1).select("id", F.inline(pairs))
+
+
+def part_pairs(spark, d) -> DataFrame:
+    """Neighbouring letters of the parts' names with their codes in the protein alphabet."""
+    names = _read(spark, d, "part").select(F.col("p_partkey").alias("id"), Q.protein_view(F.col("p_name")).alias("t"))
+    code = lambda c: Q.encode_letter(F.col(c), Q.PROTEIN)
+    return adjacent(names, "t").select("id", code("a").alias("col"), code("b").alias("row")).where("row is not null and col is not null")
+
+
+NAMES_SQL = "SELECT p_partkey AS id, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS t FROM part"
+PART_PAIRS_SQL = f"SELECT id, strpos('{Q.PROTEIN}', a) - 1 AS c, strpos('{Q.PROTEIN}', b) - 1 AS r FROM ({PAIRS_SQL.format(source=NAMES_SQL)}) WHERE strpos('{Q.PROTEIN}', a) > 0 AND strpos('{Q.PROTEIN}', b) > 0"
+
+
+@query("matrix_bounds", f"""
+WITH m(matrix, r, c, score) AS (VALUES {_matrix_values()}), b AS (SELECT min(score) AS lowest, max(score) AS highest FROM m)
+SELECT id AS p_partkey, min(score) AS lowest, max(score) AS highest, count(*) AS cells, count(*) FILTER (score = b.lowest) AS at_lowest, count(*) FILTER (score = b.highest) AS at_highest FROM ({PART_PAIRS_SQL}) JOIN m USING (r, c), b GROUP BY id""")
 def _(spark, d):
-    m = blosum62().frame(spark)
-    return m.groupBy("matrix").agg(F.min("score").alias("lowest"), F.max("score").alias("highest"), F.count("*").alias("cells")).withColumn("valid", (F.col("lowest") < 0) & (F.col("highest") > 0))
+    """Scores of the neighbouring letters of each part's name, and how many reach the matrix's bounds."""
+    m = blosum62().validate()
+    met = part_pairs(spark, d).join(F.broadcast(m.frame(spark)), ["row", "col"])
+    at = lambda x: F.count(F.when(F.col("score") == x, 1))
+    return met.groupBy(F.col("id").alias("p_partkey")).agg(F.min("score").alias("lowest"), F.max("score").alias("highest"), F.count("*").alias("cells"), at(m.lowest()).alias("at_lowest"), at(m.highest()).alias("at_highest"))
 
 
 @query("matrix_lookup", f"""

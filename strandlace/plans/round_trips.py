@@ -11,6 +11,7 @@ from ..matrices import blosum62, dna_identity, parse_matrix
 from ..operators import karlin as K
 from ..operators import periodogram as P
 from ..operators import ridges as R
+from ..operators.kernel import Scoring
 from ..operators.peaks import PeaksConfig, find_bin_peaks
 from ..operators.tiled_periodogram import cells_of_records, tiled_periodogram
 from ..operators.spectrum import rank_peaks, spectrum
@@ -19,7 +20,7 @@ from ..sources.fasta import fasta_text, read_fasta
 from ..sources.fasta_chunks import read_fasta_chunks, whole_records
 from ..sources.images import DotFile, image_files, image_pixels, png, read_dot, read_png
 from ..sources.tables import check_dense, periodogram_fields, read_tsv, spectrum_fields, write_tsv
-from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, MAX_SQL, NULL_SQL, ORACLES, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _plot_sql, _read, _turn_pairs, query
+from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, MAX_SQL, NULL_SQL, ORACLES, PAIRS_SQL, PART_PAIRS_SQL, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _plot_sql, _read, _turn_pairs, query, adjacent, part_pairs
 from . import verbs as V
 from .dotplot import PlotConfig, dotplot
 from .plot_store import PlotStore, rect_zoom
@@ -81,14 +82,24 @@ def _(spark, d):
     return image_pixels(files, KEY, lambda data: read_png(data)[0])
 
 
-@query("matrix_text_roundtrip", f"SELECT * FROM (VALUES {_matrix_values()}) t(matrix, row, col, score)")
+@query("matrix_text_roundtrip", f"WITH m(matrix, row, col, score) AS (VALUES {_matrix_values()}) SELECT m.*, coalesce(n, 0) AS n FROM m LEFT JOIN (SELECT r AS row, c AS col, count(*) AS n FROM ({PART_PAIRS_SQL}) GROUP BY ALL) USING (row, col)")
 def _(spark, d):
-    return parse_matrix(blosum62().to_text(), "BLOSUM62").frame(spark)
+    """Each cell of a matrix, written as text and parsed, with the neighbours in parts' names that meet it."""
+    met = part_pairs(spark, d).groupBy("row", "col").agg(F.count("*").alias("n"))
+    return parse_matrix(blosum62().to_text(), "BLOSUM62").frame(spark).join(met, ["row", "col"], "left").select("matrix", "row", "col", "score", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("matrix_dna", "SELECT 'DNA+5/-4' AS matrix, CAST(r AS INT) AS row, CAST(c AS INT) AS col, CASE WHEN r = c THEN 5 ELSE -4 END AS score FROM (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(range(0, 4)) AS c)")
+ITEMS_SQL = f"SELECT item_id AS id, {DNA_SQL} AS t FROM benchmark"
+
+
+@query("matrix_dna", f"""
+SELECT 'DNA+5/-4' AS matrix, CAST(strpos('ACGT', b) - 1 AS INT) AS row, CAST(strpos('ACGT', a) - 1 AS INT) AS col, CASE WHEN a = b THEN 5 ELSE -4 END AS score, count(*) AS n
+FROM ({PAIRS_SQL.format(source=ITEMS_SQL)}) GROUP BY ALL""")
 def _(spark, d):
-    return parse_matrix(dna_identity().to_text(), "DNA+5/-4", "ACGT").frame(spark)
+    """The cells of a DNA matrix, written as text and parsed, that neighbouring letters of the items meet."""
+    items = _read(spark, d, "benchmark").select(F.col("item_id").alias("id"), Q.dna_view(F.col("text")).alias("t"))
+    met = adjacent(items, "t").groupBy(Q.encode_letter(F.col("b"), "ACGT").alias("row"), Q.encode_letter(F.col("a"), "ACGT").alias("col")).agg(F.count("*").alias("n"))
+    return met.join(F.broadcast(parse_matrix(dna_identity().to_text(), "DNA+5/-4", "ACGT").frame(spark)), ["row", "col"]).select("matrix", "row", "col", "score", "n")
 
 
 @query("pg_position_cells", PG_SQL + " SELECT doc_id, k, raw_sum, signal_sum, n_pairs FROM pg")
@@ -245,6 +256,34 @@ def _(spark, d):
     return t.select("item_id", F.posexplode(cols).alias("col", "x")).select("item_id", F.col("col").cast("long").alias("col"), "x.q", "x.s", "x.class", "x.score")
 
 
+def _clipboard_sql(window: int) -> str:
+    half = window // 2
+    letter = lambda x, pos: f"substr({x}, CAST({pos} + 1 AS BIGINT), 1)"
+    each = lambda e: f"array_to_string(list_transform(range(0, {window}), lambda k: {e}), '')"
+    row = lambda name, first, text, last: f"'{name:<9}5'' ' || lpad(CAST({first} AS VARCHAR), 8, ' ') || ' ' || {text} || ' ' || rpad(CAST({last} AS VARCHAR), 8, ' ') || ' 3''' || chr(10)"
+
+    def block(reverse: bool) -> str:
+        q_pos, s_pos = f"(qm - {half} + k)", f"(sm + {half} - k)" if reverse else f"(sm - {half} + k)"
+        q_out, s_out = f"({q_pos} < 0 OR {q_pos} >= length(query))", f"({s_pos} < 0 OR {s_pos} >= length(subject))"
+        a, b = letter("query", q_pos), letter("subject", s_pos)
+        b = f"translate({b}, 'ACGT', 'TGCA')" if reverse else b
+        q_text, s_text = each(f"CASE WHEN {q_out} THEN '-' ELSE {a} END"), each(f"CASE WHEN {s_out} THEN '-' ELSE {b} END")
+        marks = each(f"CASE WHEN NOT {q_out} AND NOT {s_out} AND {a} = {b} THEN '|' ELSE ' ' END")
+        s0, s1 = (f"sm + {half + 1}", f"sm + {half - window + 2}") if reverse else (f"sm - {half - 1}", f"sm - {half - window}")
+        return f"{row('query', f'qm - {half - 1}', q_text, f'qm - {half - window}')} || repeat(' ', 20) || {marks} || chr(10) || {row('subject', s0, s_text, s1)}"
+
+    return f"""
+SELECT conv_id, turn, 'q = ' || (qm + 1) || '   s = ' || (sm + 1) || '   window = {window}' || chr(10) || chr(10) || '+/+' || chr(10) || {block(False)} || chr(10) || '+/-' || chr(10) || {block(True)} AS text
+FROM (SELECT *, CAST(length(query) // 3 AS BIGINT) AS qm, CAST(length(subject) // 2 AS BIGINT) AS sm FROM ({TURN_SQL}))"""
+
+
+@query("align_clipboard", _clipboard_sql(31))
+def _(spark, d):
+    """The alignments around a place of each pair of turns, both strands, as text."""
+    mid = lambda c, n: S.div(F.length(c), F.lit(n))
+    return _turn_pairs(spark, d).select(*KEY, Q.clipboard_text(F.col("query"), F.col("subject"), mid("query", 3), mid("subject", 2), 31, Scoring(), True).alias("text"))
+
+
 @query("align_text", """
 WITH t AS (SELECT item_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS a FROM benchmark), c AS (SELECT item_id, 'item' || item_id AS qn, 'rev' AS sn, substr(a, 11, 130) AS q, substr(reverse(a), 11, 130) AS s FROM t)
 SELECT item_id, '>' || qn || ':11..' || (10 + length(q)) || ' (length ' || length(q) || ')' || chr(10) || CASE WHEN length(q) > 0 THEN array_to_string(list_transform(range(0, CAST(ceil(length(q) / 60) AS BIGINT)), lambda i: substr(q, 60 * i + 1, 60)), chr(10)) || chr(10) ELSE '' END

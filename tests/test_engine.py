@@ -419,3 +419,16 @@ def test_sessions(spark, tmp_path):
     for bad in (text.replace("version = 2", "version = 3"), text.replace("zoom = 4\n", ""), "x = ["):
         with pytest.raises(sessions.SessionError):
             sessions.parse_session(bad)
+
+
+def test_clipboard_text(spark):
+    """Both strands around a crosshair, a positive pair, a place outside, ends that lie outside."""
+    text = one(spark, sequence.clipboard_text(F.lit("ACGT"), F.lit("ACTT"), F.lit(1).cast("long"), F.lit(1).cast("long"), 5, Scoring(), True))[0]
+    assert text == (
+        "q = 2   s = 2   window = 5\n\n+/+\n"
+        "query    5'        0 -ACGT 4        3'\n                     || |\nsubject  5'        0 -ACTT 4        3'\n"
+        "\n+/-\n"
+        "query    5'        0 -ACGT 4        3'\n                     |   \nsubject  5'        4 AAGT- 0        3'\n"
+    )
+    protein = one(spark, sequence.clipboard_text(F.lit("AK"), F.lit("SR"), F.lit(0).cast("long"), F.lit(0).cast("long"), 2, blosum62().scoring()))[0]
+    assert protein.splitlines()[4] == " " * 20 + " :"
