@@ -29,7 +29,10 @@ def xml_escape(s: Column) -> Column:
 
 
 def iso_utc(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Seconds since 1970 as UTC text, whatever the session's time zone."""
+    part = lambda x, by: F.lpad(F.pmod(F.floor(seconds / by), F.lit(x)).cast("string"), 2, "0")
+    day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")
+    return F.concat(day, F.lit("T"), part(24, 3600), F.lit(":"), part(60, 60), F.lit(":"), part(60, 1), F.lit("Z"))
 
 
 def sha256(s: Column) -> Column:

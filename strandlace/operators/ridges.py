@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import div, greyramp
@@ -71,3 +71,23 @@ def render(pixels: DataFrame, sizes: DataFrame, key: list[str], white: int, blac
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     grid = sizes.where("width > 0 and height > 0").withColumn("px", every("width")).withColumn("py", every("height")).select(*key, "px", "py")
     return grid.join(pixels, [*key, "px", "py"], "left").select(*key, "px", "py", greyramp(F.coalesce("value", F.lit(0)), white, black).alias("grey"))
+
+
+def render_sized(pixels: DataFrame, sizes: DataFrame, key: list[str], width: int, height: int, white: int, black: int) -> DataFrame:
+    """``key, x, y, grey`` of the pixels of a ``width`` by ``height`` image that aren't background, by nearest resampling of each plot (``sizes`` has ``key, width, height``).
+
+    A target pixel shows the plot's pixel at ``floor(target * source / size)``
+    on each axis.  Each lit pixel goes to its range of targets, so the work
+    follows the lit pixels and never the area; all other targets show the grey of value 0.
+    """
+    if width < 1 or height < 1:
+        raise ValueError("an image has at least one pixel")
+
+    def targets(p: str, source: str, size: int) -> Column:
+        first = lambda at: div(at * size + F.col(source) - 1, F.col(source))
+        low, high = first(F.col(p)), F.least(first(F.col(p) + 1), F.lit(size).cast("long"))
+        return F.explode(F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<long>")))
+
+    placed = pixels.join(sizes.where("width > 0 and height > 0").withColumnsRenamed({"width": "_w", "height": "_h"}), key)
+    spread_x = placed.select(*key, "py", "value", "_h", targets("px", "_w", width).alias("x"))
+    return spread_x.select(*key, "x", targets("py", "_h", height).alias("y"), greyramp(F.col("value"), white, black).alias("grey"))

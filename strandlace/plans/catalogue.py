@@ -193,8 +193,10 @@ def _(spark, d):
 
 @query("iso_utc", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
 def _(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _read(spark, d, "events").select("event_id", L.iso_utc(F.unix_timestamp("ts")).alias("iso"))
+    events = _read(spark, d, "events")
+    plain = dict(events.dtypes)["ts"] == "timestamp_ntz"  # a wall clock, which counts as UTC
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.date_trunc("second", "ts").cast("timestamp_ntz")) if plain else F.unix_timestamp("ts")
+    return events.select("event_id", L.iso_utc(seconds).alias("iso"))
 
 
 @query("sha256_text", "SELECT doc_id, sha256(text) AS sha FROM documents")

@@ -82,6 +82,16 @@ def _(spark, d):
     return image_pixels(files, KEY, lambda data: read_png(data)[0])
 
 
+@query("render_sized", f"""
+WITH px AS ({FORWARD_SQL}), z AS (SELECT conv_id, turn, length(query) AS w, length(subject) AS h FROM ({TURN_SQL}) WHERE length(query) > 0 AND length(subject) > 0),
+xs AS (SELECT conv_id, turn, x, x * w // 90 AS px FROM z, (SELECT unnest(range(0, 90)) AS x)), ys AS (SELECT conv_id, turn, y, y * h // 60 AS py FROM z, (SELECT unnest(range(0, 60)) AS y))
+SELECT conv_id, turn, x, y, CAST(CASE WHEN value <= 10 THEN 255 WHEN value >= 60 THEN 0 ELSE floor(255.5 - (value - 10) * 255.0 / 50) END AS INT) AS grey FROM px JOIN xs USING (conv_id, turn, px) JOIN ys USING (conv_id, turn, py)""")
+def _(spark, d):
+    """Plots drawn into images of 90 by 60 pixels."""
+    pairs = _turn_pairs(spark, d)
+    return R.render_sized(dotplot(pairs, KEY), _sizes(pairs), KEY, 90, 60, 10, 60)
+
+
 @query("matrix_text_roundtrip", f"WITH m(matrix, row, col, score) AS (VALUES {_matrix_values()}) SELECT m.*, coalesce(n, 0) AS n FROM m LEFT JOIN (SELECT r AS row, c AS col, count(*) AS n FROM ({PART_PAIRS_SQL}) GROUP BY ALL) USING (row, col)")
 def _(spark, d):
     """Each cell of a matrix, written as text and parsed, with the neighbours in parts' names that meet it."""

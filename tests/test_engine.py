@@ -432,3 +432,13 @@ def test_clipboard_text(spark):
     )
     protein = one(spark, sequence.clipboard_text(F.lit("AK"), F.lit("SR"), F.lit(0).cast("long"), F.lit(0).cast("long"), 2, blosum62().scoring()))[0]
     assert protein.splitlines()[4] == " " * 20 + " :"
+
+
+def test_utc_text_in_any_session(spark):
+    from strandlace.session import options
+
+    want = ["1969-12-31T23:59:59Z", "1970-01-01T00:00:00Z", "2024-02-29T12:34:56Z"]
+    for zone in ("UTC", "Asia/Tokyo", "America/St_Johns"):
+        with options(spark, **{"spark.sql.session.timeZone": zone}):
+            got = spark.createDataFrame([(-1,), (0,), (1709210096,)], "s long").select(labels.iso_utc(F.col("s")).alias("t")).collect()
+            assert [r["t"] for r in got] == want
