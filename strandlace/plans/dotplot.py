@@ -32,6 +32,7 @@ class PlotConfig:
     reverse_subject: bool = False
     plan: str = "block"  # block or relational
     memory_limit: int | None = None
+    refuse_empty: bool = False  # an empty sequence is an error; else it has no pixels
 
     def check(self) -> PlotConfig:
         if self.zoom < 1 or (self.window is not None and self.window < 1):
@@ -52,6 +53,8 @@ class PlotConfig:
 def _refused(pairs: DataFrame, cfg: PlotConfig, separate: bool) -> DataFrame:
     """The pairs, with an error raised for one that can't be plotted as asked."""
     q, s = F.length("query"), F.length("subject")
+    if cfg.refuse_empty:
+        pairs = pairs.where(F.assert_true((F.coalesce(q, F.lit(0)) > 0) & (F.coalesce(s, F.lit(0)) > 0), "a plot needs letters on both axes").isNull())
     if cfg.self_plot:
         pairs = pairs.where(F.assert_true(q == s, "self plots need sequences of equal length").isNull())
     if cfg.memory_limit is not None:

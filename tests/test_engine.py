@@ -442,3 +442,11 @@ def test_utc_text_in_any_session(spark):
         with options(spark, **{"spark.sql.session.timeZone": zone}):
             got = spark.createDataFrame([(-1,), (0,), (1709210096,)], "s long").select(labels.iso_utc(F.col("s")).alias("t")).collect()
             assert [r["t"] for r in got] == want
+
+
+def test_empty_axes_can_be_refused(spark):
+    pairs = spark.createDataFrame([(1, "ACGT" * 9, "ACGT" * 9), (2, "", "ACGT" * 9), (3, None, "ACGT")], "id long, query string, subject string")
+    assert {r["id"] for r in dotplot(pairs, ["id"]).collect()} == {1}
+    for bad in (2, 3):
+        with pytest.raises(Exception, match="letters on both axes"):
+            dotplot(pairs.where(f"id = {bad}"), ["id"], PlotConfig(refuse_empty=True)).collect()

@@ -94,6 +94,18 @@ def test_survey_of_nothing_and_of_half_lengths(spark, tmp_path):
         period_survey.run(spark, source, source)
 
 
+def test_survey_of_fasta_files(spark, tmp_path):
+    """FASTA records count as documents named by their record, without a language."""
+    source, out, table = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "table")
+    source.mkdir()
+    rows = [r for r in odd_rows()[:30] if r[1]]
+    (source / "a.fa").write_text("".join(f">{i} about\n{t[:50]}\n{t[50:]}\n" for i, t, _ in rows))
+    told = period_survey.run(spark, str(source), out, format="fasta")
+    docs(spark, [(i, t, None) for i, t, _ in rows]).write.parquet(table)
+    period_survey.run(spark, table, str(tmp_path / "other"))
+    assert content(period_survey.output(spark, out)) == content(period_survey.output(spark, str(tmp_path / "other"))) and told["input"]["rows"] == len(rows)
+
+
 def test_settings_file(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text('{"window": 5}')
