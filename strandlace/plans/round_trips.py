@@ -20,8 +20,9 @@ from ..sources.fasta import fasta_text, read_fasta
 from ..sources.fasta_chunks import read_fasta_chunks, whole_records
 from ..sources.images import DotFile, image_files, image_pixels, png, read_dot, read_png
 from ..sources.tables import check_dense, periodogram_fields, read_tsv, spectrum_fields, write_tsv
-from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, MAX_SQL, NULL_SQL, ORACLES, PAIRS_SQL, PART_PAIRS_SQL, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _plot_sql, _read, _turn_pairs, query, adjacent, part_pairs
+from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, MAX_SQL, NULL_SQL, ORACLES, PAIRS_SQL, PART_PAIRS_SQL, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _plot_sql, _read, _turn_pairs, query, adjacent, part_pairs, SPANS_SQL, _spans
 from . import verbs as V
+from .axes import axis_marks
 from .dotplot import PlotConfig, dotplot
 from .plot_store import PlotStore, rect_zoom
 
@@ -401,3 +402,24 @@ def _(spark, d):
     V.run_periodogram(spark, _fasta_folder(spark, d), first, PG)
     V.run_find_peaks(spark, f"{first}/periodogram", out, PeaksConfig(min_score=1.0, min_harmonics=0), mads=2.0, harmonics=True)
     return read_tsv(spark, f"{out}/peaks").select("record_id", "period_bp")
+
+
+# --- axes --------------------------------------------------------------------------------------
+
+
+def _nice_sql(n: str) -> str:
+    base = f"pow(10, floor(log10(greatest({n} / 8.0, 1.0))))"
+    return f"CAST(CASE WHEN {n} / 8.0 < 1 THEN 1 WHEN {base} >= {n} / 8.0 THEN {base} WHEN 2 * {base} >= {n} / 8.0 THEN 2 * {base} WHEN 5 * {base} >= {n} / 8.0 THEN 5 * {base} ELSE 10 * {base} END AS BIGINT)"
+
+
+@query("axis_marks", f"""
+WITH s AS ({SPANS_SQL}), a AS (SELECT conv_id, unnest(['x', 'y']) AS axis, unnest([max(stop), max(stop) // 3]) AS size FROM s GROUP BY conv_id), st AS (SELECT *, {_nice_sql("size")} AS step FROM a),
+t AS (SELECT conv_id, axis, 'major' AS kind, unnest(range(0, size + 1, step)) AS t FROM st UNION ALL SELECT conv_id, axis, 'minor', unnest(range(0, size + 1, step // 5)) FROM st WHERE step >= 5)
+SELECT conv_id, axis, kind, CAST(t AS DOUBLE) AS at, CASE WHEN kind = 'major' THEN CASE WHEN t >= 1000000 THEN printf('%.1fM', t / 1e6) WHEN t >= 10000 THEN CAST(t // 1000 AS VARCHAR) || 'k' WHEN t >= 1000 THEN printf('%.1fk', t / 1e3) ELSE CAST(t AS VARCHAR) END END AS label FROM t
+UNION ALL SELECT s.conv_id, axis, 'record', (start + least(stop, size)) / 2.0, role || ' ' || s.turn FROM s JOIN a USING (conv_id) JOIN conversations c ON c.conv_id = s.conv_id AND c.turn = s.turn
+WHERE stop > start AND start < size AND least(stop, size) - start >= CASE axis WHEN 'x' THEN 18 ELSE 12 END""")
+def _(spark, d):
+    """Axes of conversations against themselves, a third of the height, with the turns as records."""
+    spans = _spans(spark, d).select("conv_id", "start", "stop", F.concat_ws(" ", "role", "turn").alias("name"))
+    sizes = spans.groupBy("conv_id").agg(F.max("stop").alias("width"), S.div(F.max("stop"), F.lit(3)).alias("height"))
+    return axis_marks(sizes, ["conv_id"], spans.withColumn("axis", F.explode(F.array(F.lit("x"), F.lit("y")))))

@@ -21,9 +21,11 @@ from ..operators.peaks import PeaksConfig, find_bin_peaks, find_peaks
 from ..operators.periodogram import PeriodogramConfig, analytical_null, analytical_z, periodogram, signal_mean, z_mode
 from ..operators.shuffles import shuffle_null
 from ..operators.spectrum import rank_peaks, spectrum
+from ..sources.fasta import record_spans
 from ..sources.fasta_chunks import read_fasta_chunks, whole_records
-from ..sources.images import image_files, params_toml, png
+from ..sources.images import image_files, params_toml, png, svg
 from ..sources.tables import check_dense, display_order, peak_fields, periodogram_fields, read_tsv, sniff, spectrum_fields, write_tsv
+from .axes import axis_marks, mark_elements
 from .dotplot import PlotConfig, PlotError, dotplot
 
 #: Image bytes of a plot at most, unless said otherwise.
@@ -167,6 +169,12 @@ def _joined(spark: SparkSession, fasta: str) -> DataFrame:
     return axis.select("text", F.length("text").cast("long").alias("length"), detect_alphabet(F.col("text")).alias("alphabet"), F.when((F.col("_n") > 1) & (common > 1), common).alias("hint"))
 
 
+def _record_spans(spark: SparkSession, fasta: str, axis: str, zoom: int) -> DataFrame:
+    """``plot, axis, name, start, stop`` of a collection's records in pixels of its axis."""
+    rows = record_spans(sequences(spark, fasta).select(F.lit(0).alias("plot"), "rec", "record_id", "length"), ["plot"], "rec", F.col("length"))
+    return rows.select("plot", F.lit(axis).alias("axis"), F.col("record_id").alias("name"), F.floor(F.col("start") / zoom).alias("start"), F.ceil(F.col("stop") / zoom).alias("stop"))
+
+
 def zoom_of(q: Column, s: Column, q_hint: Column, s_hint: Column, self_plot: bool, target: int) -> Column:
     """The smallest zoom at which the larger side has ``target`` pixels at most, moved to a divisor of the records' common length where one is within a factor of two."""
     hints = zoom_period_hints(q_hint, s_hint, self_plot)
@@ -175,7 +183,7 @@ def zoom_of(q: Column, s: Column, q_hint: Column, s_hint: Column, self_plot: boo
 
 
 def run_batch(spark: SparkSession, query: str, subject: str | None, out: str, cfg: PlotConfig = PlotConfig(window=None, factor=0, strand="both"), mode: str = "blastn", target: int | None = None, memory: int = MEMORY) -> dict:
-    """A plot of two collections (or one against itself): ``out/pixels`` (Parquet), ``out/image`` (one PNG) and ``out/params``.
+    """A plot of two collections (or one against itself): ``out/pixels`` (Parquet), ``out/image`` (one PNG), ``out/svg`` (it, with axes and the records' names) and ``out/params``.
 
     A collection is the axis of its records, which must fit one row and whose
     image must fit ``memory`` bytes.  Letters of the other kind than the mode's
@@ -202,6 +210,8 @@ def run_batch(spark: SparkSession, query: str, subject: str | None, out: str, cf
     shape = spark.range(1).select(F.lit(0).alias("plot"), image_dimension(F.lit(a["length"]), used.zoom).alias("width"), image_dimension(F.lit(b["length"]), used.zoom).alias("height"))
     summary = f"mode={kind} strand={used.strand} zoom={used.zoom} window={used.window or 'auto'} factor={used.factor or 'auto'}"
     image_files(pixels, shape, ["plot"], lambda image: png(image, text={"parameters": summary})).write.mode("overwrite").parquet(f"{out}/image")
+    elements = mark_elements(axis_marks(shape, ["plot"], _record_spans(spark, query, "x", used.zoom).unionByName(_record_spans(spark, subject or query, "y", used.zoom))), ["plot"], 60).first()["elements"]
+    image_files(pixels, shape, ["plot"], lambda image: svg(image, "", "", meta=summary, elements=elements, margin=60).encode()).write.mode("overwrite").parquet(f"{out}/svg")
     size = shape.first()
     told = {"width": size["width"], "height": size["height"], "lit": pixels.count()}
     manifest(spark, out, {"run": {"verb": "batch", "mode": kind}, "plot": plain(replace(used, scoring=Scoring())), "query": {"path": query, **inputs(sequences(spark, query))}, "subject": {"path": subject or query}, "output": told})

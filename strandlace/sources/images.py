@@ -58,17 +58,19 @@ def read_png(data: bytes) -> tuple[np.ndarray, dict[str, str]]:
     return rows[:, 1:].copy(), notes
 
 
-def svg(image: np.ndarray, x_label: str, y_label: str, x_ticks: list[tuple[int, str]] = (), y_ticks: list[tuple[int, str]] = (), meta: str = "") -> str:
-    """An SVG with the PNG embedded, a frame, ticks and labels."""
+def svg(image: np.ndarray, x_label: str, y_label: str, x_ticks: list[tuple[int, str]] = (), y_ticks: list[tuple[int, str]] = (), meta: str = "", elements: str | None = None, margin: int = 40) -> str:
+    """An SVG with the PNG embedded, a frame, ticks and labels; ``elements`` stand for the ticks (those of ``plans.axes``, drawn for the same margin)."""
     h, w = image.shape
-    data = base64.b64encode(png(image)).decode()
-    marks = [f'<path d="M{40 + x} 40v-6" stroke="black"/><text x="{40 + x}" y="30" font-size="9" text-anchor="middle">{escape(t)}</text>' for x, t in x_ticks]
-    marks += [f'<path d="M40 {40 + y}h-6" stroke="black"/><text x="30" y="{43 + y}" font-size="9" text-anchor="end">{escape(t)}</text>' for y, t in y_ticks]
+    data, edge = base64.b64encode(png(image)).decode(), margin + 20
+    if elements is None:
+        marks = [f'<path d="M{margin + x} {margin}v-6" stroke="black"/><text x="{margin + x}" y="{margin - 10}" font-size="9" text-anchor="middle">{escape(t)}</text>' for x, t in x_ticks]
+        marks += [f'<path d="M{margin} {margin + y}h-6" stroke="black"/><text x="{margin - 10}" y="{margin + 3 + y}" font-size="9" text-anchor="end">{escape(t)}</text>' for y, t in y_ticks]
+        elements = "".join(marks)
     return (
-        f'<svg xmlns="http://www.w3.org/2000/svg" width="{w + 60}" height="{h + 60}"><metadata>{escape(meta)}</metadata>'
-        f'<image x="40" y="40" width="{w}" height="{h}" href="data:image/png;base64,{data}"/><rect x="40" y="40" width="{w}" height="{h}" fill="none" stroke="black"/>'
-        + "".join(marks)
-        + f'<text x="{40 + w // 2}" y="14" font-size="11" text-anchor="middle">{escape(x_label)}</text><text x="12" y="{40 + h // 2}" font-size="11">{escape(y_label)}</text></svg>'
+        f'<svg xmlns="http://www.w3.org/2000/svg" width="{w + edge}" height="{h + edge}"><metadata>{escape(meta)}</metadata>'
+        f'<image x="{margin}" y="{margin}" width="{w}" height="{h}" href="data:image/png;base64,{data}"/><rect x="{margin}" y="{margin}" width="{w}" height="{h}" fill="none" stroke="black"/>'
+        + elements
+        + f'<text x="{margin + w // 2}" y="14" font-size="11" text-anchor="middle">{escape(x_label)}</text><text x="12" y="{margin + h // 2}" font-size="11">{escape(y_label)}</text></svg>'
     )
 
 

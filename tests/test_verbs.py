@@ -2,6 +2,7 @@
 
 import random
 import tomllib
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -112,6 +113,9 @@ def test_batch_run(spark, tmp_path):
     ys, xs = np.nonzero(image)
     assert {(int(x), int(y)): int(image[y, x]) for x, y in zip(xs, ys, strict=True)} == want
     assert image.shape == (told["height"], told["width"]) == (90, 150) and "mode=blastn" in notes["parameters"]
+    drawing = ElementTree.fromstring(bytes(spark.read.parquet(f"{out}/svg").first()["data"]))
+    names = [t.text for t in drawing.iter("{http://www.w3.org/2000/svg}text") if t.get("font-weight") == "bold"]
+    assert names == ["a", "b", "c"] and drawing.get("width") == "230"
     # Against itself, with a zoom that divides the records' common length.
     own = fasta(tmp_path, "own.fa", [(str(i), dna(60, 7)) for i in range(9)])
     told = verbs.run_batch(spark, own, None, out, PlotConfig(), target=77)
