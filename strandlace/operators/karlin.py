@@ -60,13 +60,15 @@ def karlin(prob: dict[int, float], nominal: int = 100, low: int = 3, high: int =
     for _ in range(25):
         mid = (lam + hi) / 2
         lam, hi = (lam, mid) if total(mid) >= 1 else (mid, hi)
+    if lam <= 0:  # an expected score of zero that rounding made negative
+        raise ValueError("the expected score must be negative")
     tilted = p * np.exp(lam * s)
     per_residue = float((tilted * s).sum())
+    if per_residue <= 0:
+        raise ValueError("no positive expected score per residue")
     h = lam * per_residue
     k = _series(scores, p, lam, h)
     msp = (math.log(nominal * nominal) + math.log(k)) / lam
-    if per_residue <= 0:
-        raise ValueError("no positive expected score per residue")
     predicted = math.floor(msp / per_residue + 0.5)
     return Karlin(lam, k, h, per_residue, msp, predicted, min(high, max(low, predicted)))
 
@@ -127,6 +129,8 @@ def letter_karlin(fq: np.ndarray, fs: np.ndarray, table: np.ndarray, nominal: in
     return karlin(prob, nominal, low, high)
 
 
+#: Largest whole number of an int column; lengths and factors of a lambda near zero go beyond it.
+_INT = 2**31 - 1
 STATISTICS = "lambda double, k double, h double, expected_residue double, expected_msp double, predicted int, window int, pixel_factor int"
 
 
@@ -142,7 +146,7 @@ def karlin_statistics(freqs: DataFrame, key: list[str], table: list[list[int]],
                     if fq is None or fs is None:
                         raise ValueError("no letters")
                     s = letter_karlin(np.array(fq), np.array(fs), scores, nominal, low, high)
-                    out.append((s.lam, s.k, s.h, s.expected_residue, s.expected_msp, s.predicted, s.window, auto_pixel_factor(s.expected_residue)))
+                    out.append((s.lam, s.k, s.h, s.expected_residue, s.expected_msp, max(-_INT, min(_INT, s.predicted)), s.window, min(_INT, auto_pixel_factor(s.expected_residue))))
                 except ValueError:
                     out.append((None,) * 8)
             if out:

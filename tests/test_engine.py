@@ -216,6 +216,21 @@ def test_offset_parts_do_not_change_sums(spark):
 UNIFORM = {5: 0.25, -4: 0.75}
 
 
+def test_karlin_expected_score_of_zero(spark):
+    """9 * matches = 4 * cells: the expected score is zero, and rounding made it negative with a lambda of zero."""
+    a, b = "A" * 6 + "G" * 2 + "T", "A" * 9 + "C" * 3 + "G" * 3
+    df = spark.createDataFrame([(1, a, b), (2, "ACGT" * 20, "ACGT" * 20)], "id int, query string, subject string")
+    freqs = df.select("id", karlin.residue_frequencies(F.col("query"), "ACGT").alias("fq"), karlin.residue_frequencies(F.col("subject"), "ACGT").alias("fs"))
+    out = {r["id"]: r["window"] for r in karlin.karlin_statistics(freqs, ["id"], [list(r) for r in dna_identity().rows]).collect()}
+    assert out[1] is None and out[2] >= 3
+    assert {r["id"] for r in dotplot(df, ["id"], PlotConfig(window=None, factor=0)).collect()} == {2}
+    # A lambda of 1e-7 predicts a length beyond 32 bits.
+    same = 4 / 9 - 1e-7
+    near = spark.createDataFrame([(1, [same, 1 - same], [1.0, 0.0])], "id int, fq array<double>, fs array<double>")
+    row = karlin.karlin_statistics(near, ["id"], [[5, -4], [-4, 5]]).first()
+    assert row["lambda"] > 0 and abs(row["predicted"]) == 2**31 - 1
+
+
 def test_karlin_golden(spark):
     k = karlin.karlin(UNIFORM)
     assert k.lam == 0.19152927398681641 and k.window == 21
