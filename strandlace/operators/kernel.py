@@ -246,7 +246,7 @@ def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, sc
                 height, part, parts = -(-len(s) // zoom), cols["_band"][i].as_py(), cols["_bands"][i].as_py()
                 rows = (height * part // parts, height * (part + 1) // parts)
                 for px, py, value in block_pixels(q, s, scoring, sizes[0], zoom, sizes[1], reverse, self_plot, rows):
-                    names = [pa.array([cols[k][i].as_py()] * len(px), cols[k].type) for k in key]
+                    names = [pa.repeat(cols[k][i], len(px)) for k in key]
                     yield pa.RecordBatch.from_arrays([*names, *(pa.array(x, pa.int64()) for x in (px, py, value))], names=[*key, "px", "py", "value"])
 
     types = dict(pairs.select(*key).dtypes)

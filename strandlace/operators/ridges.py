@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +69,66 @@ def snap(pixels: DataFrame, crosshairs: DataFrame, key: list[str], radius: int =
     return near.groupBy(*key).agg(best.alias("b")).select(*key, (-F.col("b.x")).alias("px"), (-F.col("b.y")).alias("py"), "b.value")
 
 
+def images_of(pixels: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """``key, _w, _h, px, py, value``: the rows of ``sizes`` (``key, width, height``) and of ``pixels``, those of a plot in one partition, its size first.
+
+    No join: Spark can't foresee how many pixels a plot has, and would broadcast them all.
+    """
+    none = F.lit(None).cast("long")
+    long = lambda *cs: [F.col(c).cast("long") for c in cs]
+    first = sizes.select(*key, *(c.alias(n) for c, n in zip(long("width", "height"), ("_w", "_h"), strict=True)), *(none.alias(c) for c in ("px", "py", "value")))
+    lit = pixels.select(*key, none.alias("_w"), none.alias("_h"), *(c.alias(n) for c, n in zip(long("px", "py", "value"), ("px", "py", "value"), strict=True)))
+    return first.unionByName(lit).repartition(*key).sortWithinPartitions(*key, F.col("_w").isNull())
+
+
+def each_image(batches, keys: int):
+    """The rows of ``images_of`` as (key columns of one row, image), one plot at a time; pixels of plots without a size go."""
+    own = image = None
+    for b in batches:
+        names = b.columns[:keys]
+        px, py, value = (pc.fill_null(b.column(keys + j), 0).to_numpy(zero_copy_only=False) for j in range(2, 5))
+        sized = np.flatnonzero(pc.is_valid(b.column(keys)).to_numpy(zero_copy_only=False)).tolist()
+        for s, e in zip([0, *sized], [*sized, b.num_rows], strict=True):
+            if s == e:
+                continue
+            if b.column(keys)[s].is_valid:
+                if image is not None:
+                    yield own, image
+                own = [pa.array([c[s].as_py()], c.type) for c in names]
+                image, s = np.zeros((b.column(keys + 1)[s].as_py(), b.column(keys)[s].as_py()), np.uint8), s + 1
+            # Rows are sorted by key: if the last one belongs to this plot, all do.
+            while e > s and (image is None or any(c[e - 1] != o[0] for c, o in zip(names, own, strict=True))):
+                e -= 1
+            if e > s:
+                image[py[s:e], px[s:e]] = value[s:e]
+    if image is not None:
+        yield own, image
+
+
+#: Pixels of one batch of a rendered image, at least a row.
+_RENDERED = 1 << 16
+
+
 def render(pixels: DataFrame, sizes: DataFrame, key: list[str], white: int, black: int) -> DataFrame:
-    """``key, px, py, grey`` of every pixel of each image (``sizes`` has ``key, width, height``) through the grey ramp."""
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    grid = sizes.where("width > 0 and height > 0").withColumn("px", every("width")).withColumn("py", every("height")).select(*key, "px", "py")
-    return grid.join(pixels, [*key, "px", "py"], "left").select(*key, "px", "py", greyramp(F.coalesce("value", F.lit(0)), white, black).alias("grey"))
+    """``key, px, py, grey`` of every pixel of each image (``sizes`` has ``key, width, height``) through the grey ramp.
+
+    Only lit pixels are shuffled; a task fills in one image at a time.
+    """
+    level = np.arange(256)
+    grey = np.where(level <= white, 255, np.where(level >= black, 0, np.floor(255.5 - (level - white) * 255.0 / max(black - white, 1)))).astype(np.int32)
+
+    def run(batches):
+        for own, image in each_image(batches, len(key)):
+            height, width = image.shape
+            each = max(1, _RENDERED // max(width, 1))
+            for top in range(0, height if width else 0, each):
+                part = image[top : top + each]
+                y, x = np.divmod(np.arange(part.size), width)
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(c[0], part.size) for c in own), pa.array(x), pa.array(y + top), pa.array(grey[part.ravel()])], names=[*key, "px", "py", "grey"])
+
+    kinds = dict(sizes.dtypes)
+    dense = images_of(pixels, sizes.where("width > 0 and height > 0"), key)
+    return dense.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", px long, py long, grey int")
 
 
 def render_sized(pixels: DataFrame, sizes: DataFrame, key: list[str], width: int, height: int, white: int, black: int) -> DataFrame:
