@@ -194,18 +194,29 @@ def score_arrays(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig
 
 
 def periodogram_relational(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig) -> DataFrame:
-    """The same rows by join and window; needs ``max_offset``."""
-    at = F.instr(F.lit(cfg.scoring.alphabet), F.col("_c")) - 1
-    pos = records.select(key, F.posexplode(F.filter(F.split(seq, ""), lambda c: c != "")).alias("pos", "_c")).select(key, "pos", F.when(at >= 0, at).alias("code"))
-    offsets = F.explode(F.sequence(F.lit(cfg.min_offset), F.lit(cfg.max_offset))).alias("k")
-    left = pos.select(key, F.col("pos").alias("q"), F.col("code").alias("qc"), offsets).withColumn("s", F.col("q") + F.col("k"))
-    cells = left.join(pos.select(key, F.col("pos").alias("s"), F.col("code").alias("sc")), [key, "s"])
-    along = Window.partitionBy(key, "k").orderBy("s").rowsBetween(-(cfg.window - 1), 0)
-    scored = cells.select(key, "k", "s", cfg.scoring.column(F.col("qc"), F.col("sc")).alias("m")).withColumn("v", F.sum("m").over(along))
-    p = F.when(F.col("s") - F.col("k") >= cfg.window, pixel_scale(F.col("v"), cfg.factor, cfg.window)).otherwise(F.lit(0).cast("long"))
-    sums = scored.select(key, "k", p.alias("p")).groupBy(key, "k").agg(F.sum("p").alias("raw_sum"), F.sum(ramp(F.col("p"), cfg.white, cfg.black)).alias("signal_sum"))
-    grid = records.select(key, F.length(seq).alias("_n"), offsets)
-    return grid.join(sums, [key, "k"], "left").select(key, F.col("k").cast("long").alias("k"), F.coalesce("raw_sum", F.lit(0)).cast("long").alias("raw_sum"), F.coalesce("signal_sum", F.lit(0)).cast("long").alias("signal_sum"), F.greatest(F.lit(0), F.col("_n") - cfg.window - F.col("k")).cast("long").alias("n_pairs"))
+    """The same rows by windows over positions; needs ``max_offset``.
+
+    Records are dealt out whole, and their positions explode where they lie: the
+    letter ``k`` places on is a lead, a diagonal's window a frame over its scores, and
+    no shuffle or join ever sees a position.
+    """
+    if cfg.max_offset is None:
+        raise ValueError("the relational plan needs max_offset")
+    w, ks = cfg.window, range(cfg.min_offset, cfg.max_offset + 1)
+    at = F.instr(F.lit(cfg.scoring.alphabet), F.upper(F.col("_c"))) - 1
+    letters = F.filter(F.split(F.coalesce(F.col(seq), F.lit("")), ""), lambda c: c != "")
+    # A row of input is a record of its own, whatever its key.
+    dealt = spread(records.select(key, seq), [key]).select(key, letters.alias("_l"), F.monotonically_increasing_id().alias("_row"))
+    pos = dealt.select(key, "_row", F.size("_l").alias("_n"), F.posexplode_outer("_l").alias("q", "_c")).select(key, "_row", "_n", "q", F.when((at >= 0) & (F.col("_c") != ""), at).alias("qc"))
+    along = Window.partitionBy(key, "_row").orderBy("q")
+    ahead = pos.select("*", *(F.lead("qc", k).over(along).alias(f"_c{k}") for k in ks))
+    cells = ahead.select(key, "_row", "_n", "q", *(cfg.scoring.column(F.col("qc"), F.col(f"_c{k}")).alias(f"_m{k}") for k in ks))
+    frame = along.rowsBetween(-(w - 1), 0)
+    scored = cells.select(key, "_row", "_n", "q", *(F.sum(f"_m{k}").over(frame).alias(f"_v{k}") for k in ks))
+    lit = scored.select(key, "_row", "_n", *(F.when((F.col("q") >= w) & (F.col("q") + k < F.col("_n")), pixel_scale(F.col(f"_v{k}"), cfg.factor, w)).otherwise(F.lit(0).cast("long")).alias(f"_p{k}") for k in ks))
+    sums = lit.groupBy(key, "_row", "_n").agg(*(f for k in ks for f in (F.sum(f"_p{k}").alias(f"_r{k}"), F.sum(ramp(F.col(f"_p{k}"), cfg.white, cfg.black)).alias(f"_s{k}"))))
+    rows = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"_r{k}").alias("raw_sum"), F.col(f"_s{k}").alias("signal_sum"), F.greatest(F.lit(0), F.col("_n") - w - k).cast("long").alias("n_pairs")) for k in ks))
+    return sums.select(key, F.inline(rows))
 
 
 def signal_mean() -> Column:
