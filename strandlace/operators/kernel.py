@@ -1,7 +1,7 @@
 """Windowed diagonal scores, in two physical plans with the same rows.
 
-``relational``: positions are exploded, joined within their plot, and the window
-is a frame along the diagonal (the anti-diagonal for the reverse strand).
+``relational``: query positions are exploded and meet the subject's letters beside them,
+along the diagonal (the anti-diagonal for the reverse strand).
 ``block``: a pair is cut into bands of whole pixel rows, dealt out over tasks; each
 task sums the windows of some pixel rows at a time with numpy and hands
 their lit pixels on before the next, so memory is bounded.  No pixel belongs to two
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import div, image_dimension, keep_dot, pixel_scale
@@ -56,34 +56,42 @@ class Scoring:
         return table[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
 
 
-def _positions(df: DataFrame, key: list[str], seq: str, scoring: Scoring, pos: str, code: str) -> DataFrame:
-    at = F.instr(F.lit(scoring.alphabet), F.upper(F.col("_c"))) - 1
-    return df.select(*key, F.posexplode(F.filter(F.split(seq, ""), lambda c: c != "")).alias(pos, "_c")).select(*key, pos, F.when(at >= 0, at).alias(code))
+def _codes(seq: str, scoring: Scoring) -> Column:
+    """Array of the letters' codes; null for unknown letters."""
+    letters = F.filter(F.split(seq, ""), lambda c: c != "")
+    return F.transform(letters, lambda c: F.nullif(F.instr(F.lit(scoring.alphabet), F.upper(c)) - 1, F.lit(-1)))
 
 
 def relational_hits(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int, reverse: bool = False, self_plot: bool = False) -> DataFrame:
-    """``key, q, s, v``: every full window but each diagonal's first, with its score."""
-    a = _positions(pairs, key, query, scoring, "q", "qc")
-    b = _positions(pairs, key, subject, scoring, "s", "sc")
-    q_code = F.when(F.col("qc") < 4, 3 - F.col("qc")).otherwise(F.col("qc")) if reverse else F.col("qc")
-    cells = a.join(b, key).select(*key, "q", "s", scoring.column(q_code, F.col("sc")).alias("m"))
-    lane = F.col("q") + F.col("s") if reverse else F.col("s") - F.col("q")
-    along = Window.partitionBy(*key, lane).orderBy("q").rowsBetween(-(window - 1), 0)
-    n = F.max("s").over(Window.partitionBy(*key)) + 1
-    scored = cells.withColumn("v", F.sum("m").over(along))
-    scored = scored.withColumn("_n", n).where((F.col("q") >= window) & (F.col("s") <= F.col("_n") - 1 - window)) if reverse else scored.where((F.col("q") >= window) & (F.col("s") >= window))
-    if self_plot:
-        scored = scored.where("q <= s")
-    return scored.select(*key, "q", "s", F.col("v").cast("long").alias("v"))
-
-
-def lit_pixels(hits: DataFrame, sizes: DataFrame, key: list[str], window: int, zoom: int, factor: int, reverse: bool = False) -> DataFrame:
-    """``key, px, py, value``: the brightest hit of each pixel.  ``sizes`` has ``key, qlen, slen``."""
+    """``key, q, s, v, qlen, slen``: every full window but each diagonal's first, with its score.
+
+    A query position is a row with its window's letters and the subject beside it; its
+    cells are made there, so no cell is shuffled or sorted, and a row holds one line of the plot.
+    """
+    codes = spread(pairs.select(*key, query, subject), key).select(*key, _codes(query, scoring).alias("_a"), _codes(subject, scoring).alias("_b")).where("_a is not null and _b is not null")
+    if reverse:
+        codes = codes.withColumn("_a", F.transform("_a", lambda c: F.when(c < 4, 3 - c).otherwise(c)))
+    sized = codes.select("*", F.size("_a").alias("qlen"), F.size("_b").alias("slen")).where((F.col("qlen") > window) & (F.col("slen") > window))
+    ends = sized.select("*", F.explode(F.sequence(F.lit(window), F.col("qlen") - 1)).alias("q"))
+    lines = ends.select(*key, "qlen", "slen", "q", "_b", *(F.get("_a", F.col("q") - i).alias(f"_q{i}") for i in range(window)))
+    # The subject's place of the query's letter i before the window's end.
+    beside = lambda s, i: s + i if reverse else s - i
+    score = lambda s: sum((scoring.column(F.col(f"_q{i}"), F.get("_b", beside(s, i))) for i in range(1, window)), scoring.column(F.col("_q0"), F.get("_b", s)))
+    low, high = (F.lit(0), F.col("slen") - 1 - window) if reverse else (F.lit(window), F.col("slen") - 1)
+    low = F.greatest(low, F.col("q")) if self_plot else low
+    places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    cells = F.transform(places, lambda s: F.struct(s.alias("s"), score(s).cast("long").alias("v")))
+    return lines.select(*key, "qlen", "slen", "q", F.inline(cells)).select(*key, "q", "s", "v", "qlen", "slen")
+
+
+def lit_pixels(hits: DataFrame, sizes: DataFrame | None, key: list[str], window: int, zoom: int, factor: int, reverse: bool = False) -> DataFrame:
+    """``key, px, py, value``: the brightest hit of each pixel; at zoom 1 each pixel has one.  ``sizes`` (``key, qlen, slen``) stands for the sizes that the hits bring."""
     half = window // 2
+    hits = hits if sizes is None else hits.drop("qlen", "slen").join(sizes, key)
     cq, cs = F.col("q") - half, (F.col("s") + half if reverse else F.col("s") - half)
-    lit = hits.where("v > 0").join(sizes, key).withColumns({"px": div(cq, F.lit(zoom)), "py": div(cs, F.lit(zoom))})
+    lit = hits.where("v > 0").withColumns({"px": div(cq, F.lit(zoom)), "py": div(cs, F.lit(zoom)), "value": pixel_scale(F.col("v"), factor, window)})
     lit = lit.where(keep_dot(zoom, cq, cs, reverse) & (F.col("px") < image_dimension(F.col("qlen"), zoom)) & (F.col("py") < image_dimension(F.col("slen"), zoom)))
-    return lit.groupBy(*key, "px", "py").agg(F.max(pixel_scale(F.col("v"), factor, window)).alias("value"))
+    return lit.select(*key, "px", "py", "value") if zoom == 1 else lit.groupBy(*key, "px", "py").agg(F.max("value").alias("value"))
 
 
 _BAND = 1 << 21

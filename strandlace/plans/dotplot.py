@@ -66,9 +66,8 @@ def _refused(pairs: DataFrame, cfg: PlotConfig, separate: bool) -> DataFrame:
 def _channel(pairs: DataFrame, key: list[str], cfg: PlotConfig, reverse: bool) -> DataFrame:
     if cfg.plan == "block":
         return block_dotplot(pairs, key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor, reverse, cfg.self_plot)
-    sizes = pairs.select(*key, F.length("query").alias("qlen"), F.length("subject").alias("slen"))
     hits = relational_hits(pairs, key, "query", "subject", cfg.scoring, cfg.window, reverse, cfg.self_plot)
-    return lit_pixels(hits, sizes, key, cfg.window, cfg.zoom, cfg.factor, reverse)
+    return lit_pixels(hits, None, key, cfg.window, cfg.zoom, cfg.factor, reverse)
 
 
 def dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig = PlotConfig(), separate: bool = False) -> DataFrame:

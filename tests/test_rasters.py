@@ -44,3 +44,18 @@ def test_render_every_pixel(spark):
 def test_images_of_small_files_are_no_broadcast(spark):
     for name in ("dot_file_roundtrip", "png_roundtrip", "render_dense"):
         assert "BroadcastExchange" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_relational_plans_shuffle_no_positions(spark):
+    """One exchange of whole records, besides the one that pairs the turns; no join, and no window over cells."""
+    for name, exchanges in (("pg_relational", 1), ("dot_forward_relational", 2)):
+        text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Join" not in text and text.count("Exchange hashpartitioning") == exchanges, text
+
+
+def test_relational_periodogram_keeps_rows_of_one_key_apart(spark):
+    from strandlace.operators import periodogram as P
+
+    df = spark.createDataFrame([(1, "ACGTACGTACGTACGTACGTAC"), (1, "AAAAAAAAAAAAAAAAAAAAA"), (2, None), (3, "AC"), (4, "acgNacgNacgNacgNacgNacgN")], "id int, seq string")
+    cfg = P.PeriodogramConfig(max_offset=12)
+    assert sorted(map(tuple, P.periodogram_relational(df, "id", "seq", cfg).collect())) == sorted(map(tuple, P.periodogram(df, "id", "seq", cfg).collect()))
