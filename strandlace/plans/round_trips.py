@@ -16,7 +16,7 @@ from ..operators.peaks import PeaksConfig, find_bin_peaks
 from ..operators.tiled_periodogram import cells_of_records, tiled_periodogram
 from ..operators.spectrum import rank_peaks, spectrum
 from ..session import options, scratch
-from ..sources.fasta import fasta_text, read_fasta
+from ..sources.fasta import fasta_text, read_fasta_records
 from ..sources.fasta_chunks import read_fasta_chunks, whole_records
 from ..sources.images import DotFile, image_files, image_pixels, png, read_dot, read_png
 from ..sources.tables import check_dense, periodogram_fields, read_tsv, spectrum_fields, write_tsv
@@ -38,7 +38,7 @@ def _(spark, d):
     path = scratch(spark)
     rows = _read(spark, d, "documents").select("doc_id", "lang", Q.protein_view(F.col("text")).alias("seq")).where("length(seq) > 0")
     rows.select(fasta_text(F.col("doc_id").cast("string"), F.col("lang"), F.col("seq")).alias("value")).write.text(path)
-    return read_fasta(spark, path).select("record_id", "description", "sequence")
+    return read_fasta_records(spark, path).select("record_id", "description", "sequence")
 
 
 @query("fasta_chunks", f"SELECT CAST(doc_id AS VARCHAR) AS record_id, lang AS description, CAST(length(seq) AS BIGINT) AS length, sha256(seq) AS sha FROM (SELECT doc_id, lang, {PROTEIN_SQL} AS seq FROM documents) WHERE length(seq) > 0")

@@ -49,6 +49,21 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"path string, {RECORD}")
 
 
+def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """``path, record_id, description, sequence`` of all files under ``path``, plain or ending in ``.gz``.
+
+    Spark's text reader splits plain files between records wherever the bytes allow, so a
+    task holds one record at a time, whatever the size of a file.  Files begin with a header; a record without residues is an error.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != "")
+    # Only a file's first record still has its mark.
+    text = rows.select("path", F.regexp_replace("value", "^>", "").alias("_t"), F.regexp_extract("value", r"^>?[\t ]*([^\r\n]*)", 1).alias("_h"))
+    body = F.upper(F.regexp_replace(F.substr("_t", F.length(F.substring_index("_t", "\n", 1)) + 1, F.length("_t")), r"\s", ""))
+    out = text.select("path", F.regexp_extract("_h", r"^(\S*)", 1).alias("record_id"), F.nullif(F.trim(F.regexp_extract("_h", r"^\S*\s?(.*)$", 1)), F.lit("")).alias("description"), body.alias("sequence"))
+    bare = F.assert_true(F.col("sequence") != "", F.concat(F.lit("a record without residues: "), "record_id"))
+    return out.where(bare.isNull())
+
+
 def split_records(text: Column) -> Column:
     """Array of record structs of a FASTA text column, by SQL functions only."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), text), "\n>"), lambda p: F.length(F.trim(p)) > 0)
