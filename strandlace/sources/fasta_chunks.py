@@ -22,6 +22,8 @@ from .fasta import _UPPER, FastaError
 
 #: Letters of one chunk at most.
 CHUNK = 1 << 20
+#: Tasks of one pass at most, or four for each core: blocks beyond that are dealt out over them.
+MOST_TASKS = 256
 _BLANK = bytes([*range(9, 14), *range(28, 33)])
 _PIECES = "path string, block long, local long, at long, head boolean, record_id string, description string, letters string"
 _FACTS = "path string, block long, heads long, letters long, before_first long, before_last long"
@@ -134,6 +136,8 @@ def _pieces(chunk: int):
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "\n").text(path)
+    # Small blocks share tasks; a task streams its blocks one after the other.
+    raw = raw.coalesce(max(MOST_TASKS, 4 * spark.sparkContext.defaultParallelism))
     return raw.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
 
 

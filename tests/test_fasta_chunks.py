@@ -86,3 +86,30 @@ def test_errors(spark, tmp_path, text, says, block):
     (tmp_path / "bad.fa").write_text(text)
     with pytest.raises(Exception, match=says):
         read(spark, str(tmp_path), block, 100)
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    from strandlace.sources import fasta_chunks
+
+    text = "".join(f">r{i} d{i}\n{'ACGTN' * 12}\n{'GATTACA' * 3}\n" for i in range(900))
+    (tmp_path / "a.fa").write_text(text)
+    with options(spark, **{"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1"}):
+        assert fasta_chunks._lines(spark, str(tmp_path)).rdd.getNumPartitions() <= max(fasta_chunks.MOST_TASKS, 4 * spark.sparkContext.defaultParallelism)
+        found = fasta_chunks.whole_records(fasta_chunks.read_fasta_chunks(spark, str(tmp_path), 50)).collect()
+    assert {(r["record_idx"], r["record_id"], r["description"], r["sequence"]) for r in found} == {(i, f"r{i}", f"d{i}", "ACGTN" * 12 + "GATTACA" * 3) for i in range(900)}
+
+
+def test_records_of_split_files(spark, tmp_path):
+    from strandlace.sources.fasta import read_fasta, read_fasta_records
+
+    text = "".join(f">r{i}{f' d {i}' if i % 3 else ''}\n{'acgtn' * (i % 40 + 1)}\nGAT TACA\n" for i in range(300))
+    (tmp_path / "a.fa").write_text(text)
+    (tmp_path / "b.fa").write_bytes(b"> x  y z \r\nAC\r\n\r\nGT\r\n>\nTT")
+    (tmp_path / "c.fa.gz").write_bytes(gzip.compress(text.encode()))
+    names = ["path", "record_id", "description", "sequence"]
+    with options(spark, **{"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}):
+        out = read_fasta_records(spark, str(tmp_path))
+        assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in out.select(*names).collect()]
+    tail = lambda rows: sorted((r[0].rsplit("/", 1)[1], *(x or "" for x in r[1:])) for r in rows)
+    assert tail(got) == tail(tuple(r) for r in read_fasta(spark, str(tmp_path)).select(*names).collect())
