@@ -241,10 +241,60 @@ def spread(df: DataFrame, key: list[str]) -> DataFrame:
     return df.repartition(tasks, *key)
 
 
+#: Pixels that are gathered into one Arrow batch.
+_BATCH = 1 << 16
+
+
+def _strands(forward, reverse, width: int):
+    """(px, py, forward, reverse) of the pixels that either strand lights; 0 where one doesn't."""
+    parts = [[np.concatenate(x) for x in zip(*strand, strict=True)] if strand else [np.zeros(0, np.int64)] * 3 for strand in (list(forward), list(reverse))]
+    code = [py.astype(np.int64) * width + px for px, py, _ in parts]
+    at, where = np.unique(np.concatenate(code), return_inverse=True)
+    out = [np.zeros(len(at), np.int64) for _ in parts]
+    cut = len(code[0])
+    out[0][where[:cut]], out[1][where[cut:]] = parts[0][2], parts[1][2]
+    return at % width, at // width, *out
+
+
+def block_strands(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, self_plot: bool = False, band_cells: int = BAND_CELLS) -> DataFrame:
+    """``key, px, py, forward, reverse``: both strands' values of the pixels that either lights, 0 where one doesn't.
+
+    A task scores both strands of some pixel rows and merges them there, so no pixel is shuffled.
+    """
+
+    def pixels(q, s, sizes, rows):
+        step = max(1, _BAND // len(q) // zoom)
+        for low in range(*rows, step):
+            part = (low, min(low + step, rows[1]))
+            both = (block_pixels(q, s, scoring, sizes[0], zoom, sizes[1], reverse, self_plot, part) for reverse in (False, True))
+            out = _strands(*both, -(-len(q) // zoom))
+            if len(out[0]):
+                yield out
+
+    return _banded(pairs, key, query, subject, scoring, window, zoom, factor, pixels, ["forward", "reverse"], band_cells)
+
+
 def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False, band_cells: int = BAND_CELLS) -> DataFrame:
     """``key, px, py, value`` by the block plan.  ``key`` columns are whole numbers or strings."""
 
+    def pixels(q, s, sizes, rows):
+        return block_pixels(q, s, scoring, sizes[0], zoom, sizes[1], reverse, self_plot, rows)
+
+    return _banded(pairs, key, query, subject, scoring, window, zoom, factor, pixels, ["value"], band_cells)
+
+
+def _banded(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, pixels, values: list[str], band_cells: int) -> DataFrame:
+    """``key, px, py`` and ``values``: what ``pixels`` yields for each band, small plots gathered into larger batches."""
+    numbers = ["px", "py", *values]
+
     def run(batches):
+        held, size = [], 0
+
+        def told():
+            keys = [pa.concat_arrays([pa.repeat(k[j], n) for k, n, _ in held]) for j in range(len(key))]
+            cols = [pa.array(np.concatenate([x[j] for _, _, x in held]), pa.int64()) for j in range(len(numbers))]
+            return pa.RecordBatch.from_arrays([*keys, *cols], names=[*key, *numbers])
+
         for batch in batches:
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
@@ -252,13 +302,19 @@ def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, sc
                 if not len(q) or not len(s) or (sizes := resolve(q, s, scoring, window, factor)) is None:
                     continue
                 height, part, parts = -(-len(s) // zoom), cols["_band"][i].as_py(), cols["_bands"][i].as_py()
-                rows = (height * part // parts, height * (part + 1) // parts)
-                for px, py, value in block_pixels(q, s, scoring, sizes[0], zoom, sizes[1], reverse, self_plot, rows):
-                    names = [pa.repeat(cols[k][i], len(px)) for k in key]
-                    yield pa.RecordBatch.from_arrays([*names, *(pa.array(x, pa.int64()) for x in (px, py, value))], names=[*key, "px", "py", "value"])
+                for found in pixels(q, s, sizes, (height * part // parts, height * (part + 1) // parts)):
+                    if len(found[0]) == 0:
+                        continue
+                    held.append(([cols[k][i] for k in key], len(found[0]), found))
+                    size += len(found[0])
+                    if size >= _BATCH:
+                        yield told()
+                        held, size = [], 0
+        if held:
+            yield told()
 
     types = dict(pairs.select(*key).dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", px long, py long, value long"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + "".join(f", {c} long" for c in numbers)
     size = F.length(query).cast("double") * F.length(subject)
     bands = F.greatest(F.lit(1), F.least(F.ceil(F.coalesce(size, F.lit(0.0)) / band_cells), F.ceil(F.length(subject) / zoom))).cast("int")
     rows = pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s"), F.coalesce(bands, F.lit(1)).alias("_bands"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement, translate_frame
-from ..operators.kernel import Scoring, block_dotplot, lit_pixels, relational_hits
+from ..operators.kernel import Scoring, block_dotplot, block_strands, lit_pixels, relational_hits
 from ..operators.ridges import merge_channels, mirror
 
 
@@ -73,8 +73,8 @@ def _channel(pairs: DataFrame, key: list[str], cfg: PlotConfig, reverse: bool) -
 def dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig = PlotConfig(), separate: bool = False) -> DataFrame:
     """Lit pixels of each pair (``key, query, subject``): ``key, px, py, value``, and ``channel`` with ``separate``.
 
-    Pairs are independent; the block plan deals out bands of them, and
-    nothing is shuffled but the merge of strands.  Empty sequences have no pixels; self plots of unequal
+    Pairs are independent; the block plan deals out bands of them, whose strands
+    are merged where they are scored.  Empty sequences have no pixels; self plots of unequal
     lengths and images beyond the memory limit raise an error.
     """
     cfg.check()
@@ -82,6 +82,9 @@ def dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig = PlotConfig(), se
     if len(cfg.scoring.alphabet) == 4:
         flip = {c: reverse_complement(F.col(c)) for c, on in (("query", cfg.reverse_query), ("subject", cfg.reverse_subject)) if on}
         pairs = pairs.withColumns(flip) if flip else pairs
+    if cfg.strand == "both" and cfg.plan == "block" and not cfg.self_plot and not separate:
+        both = block_strands(pairs, key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor)
+        return both.select(*key, "px", "py", F.greatest("forward", "reverse").alias("value"))
     channels = {s: _channel(pairs, key, cfg, s == "reverse") for s in (("forward", "reverse") if cfg.strand == "both" else (cfg.strand,))}
     if cfg.self_plot and not cfg.disable_mirror:
         channels = {s: mirror(x, key, cfg.triangle) for s, x in channels.items()}
@@ -96,6 +99,14 @@ def dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig = PlotConfig(), se
     return next(iter(channels.values()))
 
 
+def two_strands(pairs: DataFrame, key: list[str], cfg: PlotConfig) -> DataFrame:
+    """``key, px, py, forward, reverse``: the pixels that either strand of a plot lights, 0 where one doesn't."""
+    cfg.check()
+    if cfg.strand != "both" or cfg.plan != "block" or cfg.self_plot or cfg.reverse_query or cfg.reverse_subject:
+        raise PlotError("two strands are those of a plain block plot of both")
+    return block_strands(_refused(pairs, cfg, True), key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor)
+
+
 def translated_dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig) -> DataFrame:
     """A DNA query in its three forward frames against a protein subject; the image is as wide as ``qlen div 3``.
 

@@ -59,3 +59,26 @@ def test_relational_periodogram_keeps_rows_of_one_key_apart(spark):
     df = spark.createDataFrame([(1, "ACGTACGTACGTACGTACGTAC"), (1, "AAAAAAAAAAAAAAAAAAAAA"), (2, None), (3, "AC"), (4, "acgNacgNacgNacgNacgNacgN")], "id int, seq string")
     cfg = P.PeriodogramConfig(max_offset=12)
     assert sorted(map(tuple, P.periodogram_relational(df, "id", "seq", cfg).collect())) == sorted(map(tuple, P.periodogram(df, "id", "seq", cfg).collect()))
+
+
+def test_strands_are_merged_where_they_are_scored(spark):
+    import random
+
+    from strandlace.operators.kernel import block_strands
+    from strandlace.plans.dotplot import PlotConfig, dotplot
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("ACGTN" if n % 2 else "ACGT", k=n))
+    rows = [(i, word(n), word(m)) for i, (n, m) in enumerate([(60, 45), (61, 80), (9, 200), (4, 4), (150, 150)])] + [(9, None, "ACGT")]
+    df = spark.createDataFrame(rows, "id int, query string, subject string")
+    for zoom in (1, 3):
+        cfg = PlotConfig(strand="both", zoom=zoom)
+        apart = {"forward": {}, "reverse": {}}
+        for r in dotplot(df, ["id"], cfg, separate=True).collect():
+            apart[r["channel"]][r["id"], r["px"], r["py"]] = r["value"]
+        due = {k: tuple(apart[c].get(k, 0) for c in apart) for k in apart["forward"] | apart["reverse"]}
+        out = block_strands(df, ["id"], "query", "subject", cfg.scoring, 8, zoom, 12, band_cells=2000)
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in out.collect()} == due and out.count() == len(due)
+        merged = dotplot(df, ["id"], cfg)
+        assert {tuple(r)[:3]: r["value"] for r in merged.collect()} == {k: max(v) for k, v in due.items()}
+        assert "HashAggregate" not in plan(merged)
