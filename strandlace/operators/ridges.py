@@ -50,15 +50,16 @@ def dark_runs(pixels: DataFrame, key: list[str], limit: int, threshold: int = 1)
     return long.groupBy(*key, "py").agg(F.count("*").alias("runs"))
 
 
-def resize_nearest(pixels: DataFrame, sizes: DataFrame, key: list[str], width: int) -> DataFrame:
-    """Sparse nearest resample to ``width`` columns; ``sizes`` has ``key, width, height``."""
-    placed = pixels.join(sizes, key)
-    out_h = F.greatest(F.lit(1), div(width * F.col("height"), F.col("width")))
-    # Target cells whose floor(target * source / size) is the pixel: a range on each axis.
-    first = lambda p, src, dst: F.ceil(p * dst / src).cast("long")
-    rng = lambda p, src, dst: F.filter(F.sequence(first(p, src, dst), F.greatest(first(p, src, dst), first(p + 1, src, dst))), lambda t: (t < dst) & (F.floor(t * src / dst) == p))
-    x = placed.withColumn("_h", out_h).withColumn("_x", F.explode(rng(F.col("px"), F.col("width"), F.lit(width).cast("long"))))
-    return x.withColumn("_y", F.explode(rng(F.col("py"), F.col("height"), F.col("_h")))).select(*key, F.col("_x").alias("px"), F.col("_y").alias("py"), "value")
+def resize_nearest(pixels: DataFrame, sizes: DataFrame | None, key: list[str], width: int) -> DataFrame:
+    """Sparse nearest resample to ``width`` columns; ``sizes`` has ``key, width, height``, or the pixels have them where it is None."""
+    placed = pixels if sizes is None else pixels.join(sizes, key)
+    # Target cells whose floor(target * source / size) is the pixel: a range on each axis, empty for most pixels of a larger plot.
+    first = lambda p, src, dst: div(p * dst + src - 1, src)
+    x, y, w, h = F.col("px"), F.col("py"), F.col("width"), F.col("height")
+    sized = placed.withColumns({"_w": F.lit(width).cast("long"), "_h": F.greatest(F.lit(1).cast("long"), div(width * h, w))})
+    ranged = sized.withColumns({"_x0": first(x, w, F.col("_w")), "_x1": F.least(first(x + 1, w, F.col("_w")), F.col("_w")), "_y0": first(y, h, F.col("_h")), "_y1": F.least(first(y + 1, h, F.col("_h")), F.col("_h"))})
+    hit = ranged.where("_x0 < _x1 AND _y0 < _y1").withColumn("_x", F.explode(F.sequence("_x0", F.col("_x1") - 1)))
+    return hit.withColumn("_y", F.explode(F.sequence("_y0", F.col("_y1") - 1))).select(*key, F.col("_x").alias("px"), F.col("_y").alias("py"), "value")
 
 
 def snap(pixels: DataFrame, crosshairs: DataFrame, key: list[str], radius: int = 64) -> DataFrame:

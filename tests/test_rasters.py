@@ -82,3 +82,17 @@ def test_strands_are_merged_where_they_are_scored(spark):
         merged = dotplot(df, ["id"], cfg)
         assert {tuple(r)[:3]: r["value"] for r in merged.collect()} == {k: max(v) for k, v in due.items()}
         assert "HashAggregate" not in plan(merged)
+
+
+def test_resize_places_each_target(spark):
+    """Every target shows the pixel at floor(target * source / size); larger and smaller plots, and no join in the query."""
+    sizes = [(1, 7, 5), (2, 50, 3), (3, 123, 200), (4, 1, 1)]
+    rows = [(i, x, y, 1 + (x * 31 + y) % 250, w, h) for i, w, h in sizes for x in range(w) for y in range(h)]
+    df = spark.createDataFrame(rows, "id int, px long, py long, value long, width long, height long")
+    due = {}
+    for i, w, h in sizes:
+        oh = max(1, 50 * h // w)
+        due |= {(i, x, y): 1 + (x * w // 50 * 31 + y * h // oh) % 250 for x in range(50) for y in range(oh)}
+    got = ridges.resize_nearest(df, None, ["id"], 50).collect()
+    assert {tuple(r)[:3]: r["value"] for r in got} == due and len(got) == len(due)
+    assert "Join" not in plan(QUERIES["resize_nearest"](spark, "/root/testdata/sf0.001"))
