@@ -168,21 +168,40 @@ def peaks_of_bins(candidates: list[tuple[float, float]], cfg: PeaksConfig = Peak
 PEAK_FIELDS = "period double, score double, kind string, parent double, harmonic_n int, divisor_n int, n_harmonics int, harmonics array<int>"
 
 
-def _batch(key: str, owner, kind: pa.DataType, peaks: list[Peak]) -> pa.RecordBatch:
-    cols = zip(*((p.period, p.score, p.kind, p.parent, p.n, p.divisor, len(p.ladder) if p.kind == "fundamental" else None, sorted(p.ladder)) for p in peaks), strict=True)
+#: Peaks that are gathered into one Arrow batch.
+_BATCH = 1 << 14
+
+
+def _batches(key: str, kind: pa.DataType, found):
+    """Arrow batches of (key, peaks) pairs; those of many keys share one."""
     types = (pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array([owner] * len(peaks), kind), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[key, *(f.split()[0] for f in PEAK_FIELDS.split(", "))])
+
+    def told():
+        cols = zip(*((p.period, p.score, p.kind, p.parent, p.n, p.divisor, len(p.ladder) if p.kind == "fundamental" else None, sorted(p.ladder)) for _, p in held), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([owner for owner, _ in held], kind), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[key, *(f.split()[0] for f in PEAK_FIELDS.split(", "))])
+
+    held: list = []
+    for owner, peaks in found:
+        held += ((owner, p) for p in peaks)
+        if len(held) >= _BATCH:
+            yield told()
+            held = []
+    if held:
+        yield told()
 
 
 def find_peaks(profiles: DataFrame, key: str, values: str, base: str, cfg: PeaksConfig = PeaksConfig(), floor: str | None = None) -> DataFrame:
     """Peaks of each row: ``values`` is the dense score array from offset ``base`` on; the column ``floor`` stands for the smallest score."""
 
+    def found(b):
+        for i in range(b.num_rows):
+            own = replace(cfg, min_score=b.column(3)[i].as_py()) if floor else cfg
+            scores = b.column(1)[i].values
+            yield b.column(0)[i].as_py(), peaks_of_scores([] if scores is None else scores.to_numpy(zero_copy_only=False), int(b.column(2)[i].as_py() or 0), own)
+
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                own = replace(cfg, min_score=b.column(3)[i].as_py()) if floor else cfg
-                if peaks := peaks_of_scores(np.array(b.column(1)[i].as_py() or [], float), int(b.column(2)[i].as_py() or 0), own):
-                    yield _batch(key, b.column(0)[i].as_py(), b.column(0).type, peaks)
+            yield from _batches(key, b.column(0).type, found(b))
 
     kind = dict(profiles.dtypes)[key]
     return profiles.select(key, F.col(values).cast("array<double>").alias("_v"), F.col(base).cast("long").alias("_b"), *([F.col(floor).cast("double")] if floor else [])).mapInArrow(run, f"`{key}` {kind}, {PEAK_FIELDS}")
@@ -193,9 +212,7 @@ def find_bin_peaks(ranked: DataFrame, key: str, cfg: PeaksConfig = PeaksConfig()
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                if peaks := peaks_of_bins([(p["period"], p["amplitude"]) for p in b.column(1)[i].as_py()], cfg):
-                    yield _batch(key, b.column(0)[i].as_py(), b.column(0).type, peaks)
+            yield from _batches(key, b.column(0).type, ((b.column(0)[i].as_py(), peaks_of_bins([(p["period"], p["amplitude"]) for p in b.column(1)[i].as_py()], cfg)) for i in range(b.num_rows)))
 
     kind = dict(ranked.dtypes)[key]
     lists = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("peak_rank", "period", "amplitude"))).alias("_p"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +38,20 @@ def settled(codes: np.ndarray, cfg: PeriodogramConfig) -> PeriodogramConfig | No
     return found and replace(cfg, window=found[0], factor=found[1])
 
 
-def scorer(cfg: PeriodogramConfig, plain: bool) -> Callable[[np.ndarray, np.ndarray], tuple[int, int]]:
-    """(raw sum, signal sum) over all windows of two equally long stretches of codes; ``plain`` where no unknown letter is among them."""
+@lru_cache(maxsize=64)
+def _levels(cfg: PeriodogramConfig) -> tuple[np.ndarray, np.ndarray]:
+    """The pixel level of a window by its number of matches, and the signal by level."""
     w, levels = cfg.window, np.arange(256)
     lut = np.where(levels <= cfg.white, 0, np.where(levels >= cfg.black, 255, (levels - cfg.white) * 255 // max(1, cfg.black - cfg.white)))
+    return np.clip(np.maximum(0, (cfg.scoring.match - cfg.scoring.mismatch) * np.arange(w + 1) + cfg.scoring.mismatch * w) * cfg.factor // w, 0, 255), lut
+
+
+def scorer(cfg: PeriodogramConfig, plain: bool) -> Callable[[np.ndarray, np.ndarray], tuple[int, int]]:
+    """(raw sum, signal sum) over all windows of two equally long stretches of codes; ``plain`` where no unknown letter is among them."""
+    w = cfg.window
+    level, lut = _levels(cfg)
     if plain and cfg.scoring.table is None and w < 256:
         # A window's score follows from its number of matches: windows are counted by matches, in bytes.
-        level = np.clip(np.maximum(0, (cfg.scoring.match - cfg.scoring.mismatch) * np.arange(w + 1) + cfg.scoring.mismatch * w) * cfg.factor // w, 0, 255)
         lit = np.flatnonzero(level)
         seen, ramped, each = level[lit], lut[level[lit]], lit.tolist()
 
@@ -62,6 +71,54 @@ def scorer(cfg: PeriodogramConfig, plain: bool) -> Callable[[np.ndarray, np.ndar
     return by_table
 
 
+#: Widest window that ``_bit_sums`` reads from 16 letters, bytes of mismatches that it holds at a time, and letters up to which a sum fits half of its 64 bits.
+_BIT_WINDOW, _BIT_BYTES, _BIT_LETTERS = 9, 1 << 16, 1 << 23
+
+
+@lru_cache(maxsize=64)
+def _bit_table(cfg: PeriodogramConfig) -> np.ndarray:
+    """By the mismatches of 16 letters (the first one highest): the sums of the windows that start at the first 8, raw sums below bit 32 and signal sums above."""
+    level, lut = _levels(cfg)
+    both = level.astype(np.int64) + (lut[level].astype(np.int64) << 32)
+    hit = 1 - np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8)).reshape(-1, 16).astype(np.int64)
+    total = np.concatenate((np.zeros((1 << 16, 1), np.int64), hit.cumsum(axis=1)), axis=1)
+    return sum(both[total[:, i + cfg.window] - total[:, i]] for i in range(8))
+
+
+def _bit_sums(x: np.ndarray, ks: np.ndarray, cfg: PeriodogramConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(raw sums, signal sums) of all windows of known letters against those ``ks`` (ascending, each leaving a window) places on.
+
+    Letters are planes of bits, packed at each of the eight places in a byte, so that a
+    diagonal is a run of bytes; many diagonals are compared at a time, and a table scores eight windows at once.
+    """
+    n, w, table = len(x), cfg.window, _bit_table(cfg)
+    bits = max(1, (len(cfg.scoring.alphabet) - 1).bit_length())
+    # Letters beyond the end match none.
+    size = (n + int(ks[-1] - ks[0])) // 8 + 8
+    planes = np.zeros((bits + 1, 8 * size + 8), np.uint8)
+    planes[:bits, :n] = x >> np.arange(bits, dtype=np.uint8)[:, None] & 1
+    planes[bits, n:] = 1
+    packed = np.packbits(as_strided(planes, (bits + 1, 8, 8 * size), (planes.shape[1], 1, 1)), axis=2)
+    sums = np.empty(len(ks), np.int64)
+    at = 0
+    while at < len(ks):
+        wide = (n - int(ks[at]) + 7) // 8 + 1
+        k = ks[at : at + max(1, _BIT_BYTES // wide)]
+        beside = as_strided(packed, (bits + 1, 8, size - wide + 1, wide), (*packed.strides, 1))[:, k % 8, k // 8]
+        miss = beside[bits]
+        for b in range(bits):
+            miss |= beside[b] ^ packed[b, 0, :wide]
+        sums[at : at + len(k)] = table[miss[:, :-1].astype(np.uint16) << 8 | miss[:, 1:]].sum(axis=1)
+        at += len(k)
+    if w > 1:
+        # Windows that hang over the end.
+        last = np.arange(n - 1, n - w, -1)
+        level, lut = _levels(cfg)
+        over = level[np.cumsum(x[last - ks[:, None]] == x[last], axis=1)]
+        return (sums & 0xFFFFFFFF) - over.sum(axis=1), (sums >> 32) - lut[over].sum(axis=1)
+    return sums & 0xFFFFFFFF, sums >> 32
+
+
 def known(codes: np.ndarray, cfg: PeriodogramConfig) -> bool:
     return len(codes) == 0 or codes.max() < len(cfg.scoring.alphabet)
 
@@ -74,6 +131,11 @@ def diagonal_sums(codes: np.ndarray, cfg: PeriodogramConfig, part: tuple[int, in
     ks = np.arange(cfg.min_offset + wide * part[0] // part[1], cfg.min_offset + wide * (part[0] + 1) // part[1])
     raw, signal = np.zeros(len(ks), np.int64), np.zeros(len(ks), np.int64)
     plain = known(codes, cfg)
+    if plain and cfg.scoring.table is None and w <= _BIT_WINDOW and n < _BIT_LETTERS and not _levels(cfg)[0][0]:
+        fit = int(np.count_nonzero(ks < n - w))
+        if fit:
+            raw[:fit], signal[:fit] = _bit_sums(codes[1:].astype(np.uint8), ks[:fit], cfg)
+        return ks, raw, signal, np.maximum(0, n - w - ks)
     score, codes = scorer(cfg, plain), codes.astype(np.uint8) if plain else codes
     for i, k in enumerate(ks):
         if n - w - k <= 0:
@@ -102,28 +164,42 @@ def _sums(x: np.ndarray, w: int) -> np.ndarray:
 PART_CELLS = 1 << 28
 
 
+#: Rows that are gathered into one Arrow batch.
+_BATCH = 1 << 16
+
+
 def periodogram(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig = PeriodogramConfig(), keep: list[str] | None = None, part_cells: int = PART_CELLS, told: bool = False) -> DataFrame:
     """``key, k, raw_sum, signal_sum, n_pairs``, and with ``told`` the ``window`` and ``factor`` used: dense over offsets; records without an offset in range give none.
 
     One row of input is a record; long ones are cut into ranges of offsets, dealt out over tasks.
     ``keep`` columns of the record are passed on to its rows.
     """
-    keep = keep or []
+    keep, used = keep or [], told
     numbers = ["k", "raw_sum", "signal_sum", "n_pairs", *(["window", "factor"] if told else [])]
 
     def run(batches):
         for b in batches:
-            ids, seqs = b.column(0), b.column(1)
+            seqs, held, size = b.column(1), [], 0
+
+            def told():
+                row = pa.array(np.repeat([i for i, _ in held], [len(x[0]) for _, x in held]))
+                cols = [pa.array(np.concatenate([x[j] for _, x in held]), pa.int64()) for j in range(len(numbers))]
+                return pa.RecordBatch.from_arrays([b.column(0).take(row), *cols, *(b.column(4 + j).take(row) for j in range(len(keep)))], names=[key, *numbers, *keep])
+
             for i in range(b.num_rows):
                 codes = cfg.scoring.codes(seqs[i].as_py() or "")
                 own = settled(codes, cfg)
                 if own is None:
                     continue
-                k, raw, signal, n = diagonal_sums(codes, own, (b.column(2)[i].as_py(), b.column(3)[i].as_py()))
-                if len(k):
-                    row = pa.array(np.full(len(k), i))
-                    used = [np.full(len(k), own.window), np.full(len(k), own.factor)] if told else []
-                    yield pa.RecordBatch.from_arrays([ids.take(row), *(pa.array(x, pa.int64()) for x in (k, raw, signal, n, *used)), *(b.column(4 + j).take(row) for j in range(len(keep)))], names=[key, *numbers, *keep])
+                found = diagonal_sums(codes, own, (b.column(2)[i].as_py(), b.column(3)[i].as_py()))
+                if len(found[0]):
+                    held.append((i, (*found, *([np.full(len(found[0]), x) for x in (own.window, own.factor)] if used else []))))
+                    size += len(found[0])
+                if size >= _BATCH:
+                    yield told()
+                    held, size = [], 0
+            if held:
+                yield told()
 
     kinds = dict(records.dtypes)
     size = F.coalesce(F.length(seq), F.lit(0)).cast("double")
@@ -172,6 +248,13 @@ def score_arrays(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig
 
     def run(batches):
         for b in batches:
+            held, size = [], 0
+
+            def told():
+                ends = np.cumsum([0, *(len(v) for _, _, v in held)]).astype(np.int32)
+                means = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([v for _, _, v in held])))
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _, _ in held])), pa.array([k for _, k, _ in held], pa.int64()), means], names=[key, "base", "v"])
+
             for i in range(b.num_rows):
                 codes = cfg.scoring.codes(b.column(1)[i].as_py())
                 own = settled(codes, cfg)
@@ -179,8 +262,13 @@ def score_arrays(records: DataFrame, key: str, seq: str, cfg: PeriodogramConfig
                     continue
                 k, _, signal, n = diagonal_sums(codes, own, (b.column(2)[i].as_py(), b.column(3)[i].as_py()))
                 if len(k):
-                    mean = np.where(n > 0, signal / np.maximum(n, 1), 0.0)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array(k[:1]), pa.array([mean], pa.list_(pa.float64()))], names=[key, "base", "v"])
+                    held.append((i, int(k[0]), np.where(n > 0, signal / np.maximum(n, 1), 0.0)))
+                    size += len(k)
+                if size >= _BATCH:
+                    yield told()
+                    held, size = [], 0
+            if held:
+                yield told()
 
     kind = dict(records.dtypes)[key]
     text = F.coalesce(F.col(seq), F.lit(""))
