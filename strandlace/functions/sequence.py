@@ -111,6 +111,18 @@ def _letter(text: Column, pos: Column) -> Column:
     return F.when((pos >= 0) & (pos < F.length(text)), F.substr(text, (pos + 1).cast("int"), F.lit(1)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _excerpt(text: Column, mid: Column, window: int) -> Column:
+    """struct (text, mid): the letters around a place, so that reading one doesn't walk the whole text; places outside the text stay outside."""
+    low = F.greatest(F.lit(0), mid - window).cast("int")
+    near = F.when(mid.isNotNull(), F.substr(text, low + 1, F.greatest(F.lit(0), mid + (window + 1) - low).cast("int")))
+    return F.struct(near.alias("text"), (mid - low).alias("mid"))
+
+
 def window_score(q: Column, s: Column, q_mid: Column, s_mid: Column, window: int, scoring, strand: str = "forward") -> Column:
     """Score of the window around a place of a plot; letters outside the sequences or the alphabet score 0.
 
@@ -140,17 +152,24 @@ def alignment_columns(q: Column, s: Column, q_mid: Column, s_mid: Column, window
     """
     half = window // 2
 
-    def cell(k):
+    def cell(k, near):
+        q, q_mid, s, s_mid = near["q"]["text"], near["q"]["mid"], near["s"]["text"], near["s"]["mid"]
         off = k - half
         a, raw = _letter(q, q_mid + off), _letter(s, s_mid - off if reverse else s_mid + off)
-        b = complement(raw) if reverse else raw
+        code = lambda c: (F.lit(None).cast("int") if scoring is None else encode_letter(c, scoring.alphabet))
+        pair = F.struct(a.alias("a"), (complement(raw) if reverse else raw).alias("b"))
+        return _let(pair, lambda x: _let(F.struct(x["a"].alias("a"), x["b"].alias("b"), code(x["a"]).alias("i"), code(x["b"]).alias("j")), shown))
+
+    def shown(x):
+        a, b = x["a"], x["b"]
         out = a.isNull() | b.isNull()
-        score = F.lit(0) if scoring is None else F.coalesce(scoring.column(encode_letter(a, scoring.alphabet), encode_letter(b, scoring.alphabet)), F.lit(0))
+        score = F.lit(0) if scoring is None else F.coalesce(scoring.column(x["i"], x["j"]), F.lit(0))
         same = (ascii_upper(a) == ascii_upper(b)) & a.rlike("^[A-Za-z]$")
         kind = F.when(out, "OutOfBounds").when(same, "Identical").when(score > 0, "Positive").otherwise("Other")
         return F.struct(F.coalesce(a, F.lit("-")).alias("q"), F.coalesce(b, F.lit("-")).alias("s"), kind.alias("class"), F.when(out, 0).otherwise(score).cast("int").alias("score"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(window - 1)), cell)
+    both = F.struct(_excerpt(q, q_mid, window).alias("q"), _excerpt(s, s_mid, window).alias("s"))
+    return _let(both, lambda near: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: cell(k, near)))
 
 
 def clipboard_text(q: Column, s: Column, q_mid: Column, s_mid: Column, window: int, scoring, both: bool = False) -> Column:
@@ -163,11 +182,14 @@ def clipboard_text(q: Column, s: Column, q_mid: Column, s_mid: Column, window: i
     line = lambda name, first, text, last: F.concat(F.format_string(f"{name:<9}5' %8d ", first), text, F.lit(" "), F.rpad(last.cast("string"), 8, " "), F.lit(" 3'\n"))
 
     def block(reverse: bool) -> Column:
-        cells = alignment_columns(q, s, q_mid, s_mid, window, scoring, reverse)
-        shown = lambda c: F.array_join(F.transform(cells, lambda x: F.when(x[c].rlike("^[!-~]$"), x[c]).otherwise("?")), "")
-        marks = F.array_join(F.transform(cells, lambda x: F.when(x["class"] == "Identical", "|").when(x["class"] == "Positive", ":").otherwise(" ")), "")
         s0, s1 = (s_mid + (half + 1), s_mid + (half - window + 2)) if reverse else (s_mid - (half - 1), s_mid - (half - window))
-        return F.concat(line("query", q_mid - (half - 1), shown("q"), q_mid - (half - window)), F.lit(" " * 20), marks, F.lit("\n"), line("subject", s0, shown("s"), s1))
+
+        def lines(cells: Column) -> Column:
+            shown = lambda c: F.array_join(F.transform(cells, lambda x: F.when(x[c].rlike("^[!-~]$"), x[c]).otherwise("?")), "")
+            marks = F.array_join(F.transform(cells, lambda x: F.when(x["class"] == "Identical", "|").when(x["class"] == "Positive", ":").otherwise(" ")), "")
+            return F.concat(line("query", q_mid - (half - 1), shown("q"), q_mid - (half - window)), F.lit(" " * 20), marks, F.lit("\n"), line("subject", s0, shown("s"), s1))
+
+        return _let(alignment_columns(q, s, q_mid, s_mid, window, scoring, reverse), lines)
 
     head = F.concat(F.format_string(f"q = %d   s = %d   window = {window}\n\n+/+\n", q_mid + 1, s_mid + 1), block(False))
     return F.concat(head, F.lit("\n+/-\n"), block(True)) if both else head
