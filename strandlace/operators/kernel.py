@@ -274,16 +274,16 @@ def block_strands(pairs: DataFrame, key: list[str], query: str, subject: str, sc
     return _banded(pairs, key, query, subject, scoring, window, zoom, factor, pixels, ["forward", "reverse"], band_cells)
 
 
-def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False, band_cells: int = BAND_CELLS) -> DataFrame:
-    """``key, px, py, value`` by the block plan.  ``key`` columns are whole numbers or strings."""
+def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False, band_cells: int = BAND_CELLS, ordered: bool = False) -> DataFrame:
+    """``key, px, py, value`` by the block plan; ``ordered`` by key and band within a task.  ``key`` columns are whole numbers or strings."""
 
     def pixels(q, s, sizes, rows):
         return block_pixels(q, s, scoring, sizes[0], zoom, sizes[1], reverse, self_plot, rows)
 
-    return _banded(pairs, key, query, subject, scoring, window, zoom, factor, pixels, ["value"], band_cells)
+    return _banded(pairs, key, query, subject, scoring, window, zoom, factor, pixels, ["value"], band_cells, ordered)
 
 
-def _banded(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, pixels, values: list[str], band_cells: int) -> DataFrame:
+def _banded(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, pixels, values: list[str], band_cells: int, ordered: bool = False) -> DataFrame:
     """``key, px, py`` and ``values``: what ``pixels`` yields for each band, small plots gathered into larger batches."""
     numbers = ["px", "py", *values]
 
@@ -319,4 +319,5 @@ def _banded(pairs: DataFrame, key: list[str], query: str, subject: str, scoring:
     bands = F.greatest(F.lit(1), F.least(F.ceil(F.coalesce(size, F.lit(0.0)) / band_cells), F.ceil(F.length(subject) / zoom))).cast("int")
     rows = pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s"), F.coalesce(bands, F.lit(1)).alias("_bands"))
     rows = rows.withColumn("_band", F.explode(F.sequence(F.lit(0), F.col("_bands") - 1)))
-    return spread(rows, [*key, "_band"]).mapInArrow(run, schema)
+    dealt = spread(rows, [*key, "_band"])
+    return (dealt.sortWithinPartitions(*key, "_band") if ordered else dealt).mapInArrow(run, schema)

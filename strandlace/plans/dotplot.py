@@ -63,19 +63,20 @@ def _refused(pairs: DataFrame, cfg: PlotConfig, separate: bool) -> DataFrame:
     return pairs
 
 
-def _channel(pairs: DataFrame, key: list[str], cfg: PlotConfig, reverse: bool) -> DataFrame:
+def _channel(pairs: DataFrame, key: list[str], cfg: PlotConfig, reverse: bool, ordered: bool = False) -> DataFrame:
     if cfg.plan == "block":
-        return block_dotplot(pairs, key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor, reverse, cfg.self_plot)
+        return block_dotplot(pairs, key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor, reverse, cfg.self_plot, ordered=ordered)
     hits = relational_hits(pairs, key, "query", "subject", cfg.scoring, cfg.window, reverse, cfg.self_plot)
     return lit_pixels(hits, None, key, cfg.window, cfg.zoom, cfg.factor, reverse)
 
 
-def dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig = PlotConfig(), separate: bool = False) -> DataFrame:
+def dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig = PlotConfig(), separate: bool = False, ordered: bool = False) -> DataFrame:
     """Lit pixels of each pair (``key, query, subject``): ``key, px, py, value``, and ``channel`` with ``separate``.
 
     Pairs are independent; the block plan deals out bands of them, whose strands
     are merged where they are scored.  Empty sequences have no pixels; self plots of unequal
-    lengths and images beyond the memory limit raise an error.
+    lengths and images beyond the memory limit raise an error.  ``ordered``: a task of
+    the block plan gives its pairs in the order of their keys.
     """
     cfg.check()
     pairs = _refused(pairs, cfg, separate)
@@ -85,7 +86,7 @@ def dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig = PlotConfig(), se
     if cfg.strand == "both" and cfg.plan == "block" and not cfg.self_plot and not separate:
         both = block_strands(pairs, key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor)
         return both.select(*key, "px", "py", F.greatest("forward", "reverse").alias("value"))
-    channels = {s: _channel(pairs, key, cfg, s == "reverse") for s in (("forward", "reverse") if cfg.strand == "both" else (cfg.strand,))}
+    channels = {s: _channel(pairs, key, cfg, s == "reverse", ordered) for s in (("forward", "reverse") if cfg.strand == "both" else (cfg.strand,))}
     if cfg.self_plot and not cfg.disable_mirror:
         channels = {s: mirror(x, key, cfg.triangle) for s, x in channels.items()}
     if separate:

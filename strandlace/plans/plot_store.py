@@ -1,7 +1,7 @@
 """A store of plots that views are cut from: nothing is scored twice, and a view reads only the tiles it meets.
 
 A plot is named by the SHA-256 of its sequences and of what its scores depend on.
-Its lit cells at full resolution lie in Parquet, sorted by plot and tile, so that
+Its lit cells at full resolution lie in Parquet, each file's by plot and tile, so that
 row groups outside a view are skipped by their statistics.  Any zoom of any
 slice follows from them exactly: which cell may light a zoomed pixel depends on
 where the slice begins, so coarser levels are taken from the cells, not from
@@ -14,6 +14,9 @@ import hashlib
 import uuid
 from dataclasses import asdict, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import div
 from .dotplot import PlotConfig, PlotError, dotplot
 
-#: Cells of a tile's side.
+#: Cells of a tile's side; a packed cell has ten bits for its place on each axis and eight for its value.
 TILE = 1 << 10
 PLOTS = "plot string, run string, qlen long, slen long"
 CELLS = "plot string, tx long, ty long, px long, py long, value long, run string"
@@ -60,6 +63,37 @@ def rect_zoom(x0: Column, x1: Column, y0: Column, y1: Column, view: Column, qlen
     return F.when(q_ok & s_ok, F.struct(*(c.alias(k) for k, c in out.items())))
 
 
+def _turns(columns: list[pa.Array]) -> np.ndarray:
+    """For each row, whether one of the columns differs from the row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _tiled(batches):
+    """Cells with their tiles, each batch's in the order of plots as they come and of their tiles."""
+    for b in batches:
+        if b.num_rows:
+            px, py = (b.column(j).to_numpy() for j in (1, 2))
+            tx, ty = px // TILE, py // TILE
+            row = pa.array(np.lexsort((tx, ty, np.cumsum(_turns([b.column(0)])))))
+            c = [b.column(0), pa.array(tx), pa.array(ty), *b.columns[1:]]
+            yield pa.RecordBatch.from_arrays([x.take(row) for x in c], names=["plot", "tx", "ty", "px", "py", "value"])
+
+
+def _packed(batches):
+    """Cells of the same tile that follow each other as one row: ``plot, run, tx, ty, cells``, a number for each cell."""
+    for b in batches:
+        if b.num_rows:
+            c = dict(zip(b.schema.names, b.columns, strict=True))
+            px, py, value = (c[n].to_numpy(zero_copy_only=False) for n in ("px", "py", "value"))
+            first = np.flatnonzero(_turns([c[n] for n in ("plot", "run", "tx", "ty")]))
+            cells = pa.ListArray.from_arrays(pa.array(np.append(first, b.num_rows).astype(np.int32)), pa.array(((px % TILE) << 18 | (py % TILE) << 8 | value).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(c[n].take(pa.array(first)) for n in ("plot", "run", "tx", "ty")), cells], names=["plot", "run", "tx", "ty", "cells"])
+
+
 class PlotStore:
     """Plots under one folder, made with one configuration; it may lie on any path that Spark writes to.
 
@@ -94,9 +128,9 @@ class PlotStore:
         text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
         fresh = self.named(pairs.select(text("query"), text("subject"))).dropDuplicates(["plot"]).join(self.plots().select("plot"), "plot", "left_anti")
         run = uuid.uuid4().hex
-        cells = dotplot(fresh, ["plot"], self.cfg).select("plot", div(F.col("px"), F.lit(TILE)).alias("tx"), div(F.col("py"), F.lit(TILE)).alias("ty"), F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), F.col("value").cast("long").alias("value"))
-        # Ranges of (plot, tile): a large plot's cells are spread over files, and small plots share them.
-        cells.repartitionByRange("plot", "ty", "tx").sortWithinPartitions("plot", "ty", "tx").write.parquet(f"{self.path}/cells/run={run}")
+        # Cells stay where they are scored: a task takes its plots in order, and a large plot's bands are dealt out over files.
+        cells = dotplot(fresh, ["plot"], self.cfg, ordered=True).mapInArrow(_tiled, "plot string, tx long, ty long, px long, py long, value long")
+        cells.write.parquet(f"{self.path}/cells/run={run}")
         size = lambda c: F.length(c).cast("long")
         fresh.select("plot", F.lit(run).alias("run"), size("query").alias("qlen"), size("subject").alias("slen")).coalesce(8).write.mode("append").parquet(f"{self.path}/plots")
         return self._read("plots", PLOTS).where(F.col("run") == run).count()
@@ -108,7 +142,11 @@ class PlotStore:
         known = views.join(self.plots().select("plot", "run"), "plot")
         met = known.withColumn("tx", F.explode(F.sequence(div(F.col("q_start"), F.lit(TILE)), div(F.greatest("q_start", F.col("q_stop") - 1), F.lit(TILE)))))
         met = met.withColumn("ty", F.explode(F.sequence(div(F.col("s_start"), F.lit(TILE)), div(F.greatest("s_start", F.col("s_stop") - 1), F.lit(TILE)))))
-        hit = self._met(views).join(met, ["plot", "run", "tx", "ty"])
+        # Whole tiles are shuffled; Spark can't foresee how many cells they hold, and must not broadcast them.
+        tiles = self._met(views).mapInArrow(_packed, "plot string, run string, tx long, ty long, cells array<int>").hint("merge")
+        hit = tiles.join(met, ["plot", "run", "tx", "ty"]).withColumn("_c", F.explode("cells"))
+        place = lambda t, bits: F.col(t) * TILE + F.shiftright("_c", bits).bitwiseAND(F.lit(TILE - 1))
+        hit = hit.select("plot", *extra, place("tx", 18).alias("px"), place("ty", 8).alias("py"), F.col("_c").bitwiseAND(F.lit(255)).cast("long").alias("value"))
         back = self.cfg.strand == "reverse"
         cq, cs, n, m = F.col("px") - F.col("q_start"), F.col("py") - F.col("s_start"), F.col("q_stop") - F.col("q_start"), F.col("s_stop") - F.col("s_start")
         # A window must lie inside the slice, as it must in a plot of its own; the first of each diagonal is left out.
