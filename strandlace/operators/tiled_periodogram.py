@@ -48,6 +48,12 @@ def cells_of_chunks(chunks: DataFrame, key: str, cfg: PeriodogramConfig, size: i
     return joined.where(F.col("cell") * size < F.col("n")).select(key, "n", "cell", "start", "letters")
 
 
+def _offsets(cfg: PeriodogramConfig, n: int, cell: int, size: int) -> np.ndarray:
+    """The offsets of a record of ``n`` letters that lie in a cell of offsets; vectors have an entry for each."""
+    top = n // 2 if cfg.max_offset is None else cfg.max_offset
+    return np.arange(max(cfg.min_offset, cell * size), min(top, (cell + 1) * size - 1) + 1)
+
+
 def _tiles(cfg: PeriodogramConfig, size: int, key: str):
     w = cfg.window
 
@@ -58,7 +64,7 @@ def _tiles(cfg: PeriodogramConfig, size: int, key: str):
 
         def told():
             at = sorted(sums)
-            rows = [pa.array([now[0]] * len(at), kind), pa.array([now[3]] * len(at), pa.int64()), pa.array(at, pa.int64()), *(pa.array([sums[c][x] for c in at], pa.list_(pa.int64())) for x in (0, 1))]
+            rows = [pa.array([now[0]] * len(at), kind), pa.array([now[3]] * len(at), pa.int64()), pa.array(at, pa.int64()), *(pa.array([sums[c][x][_offsets(cfg, now[3], c, size) - c * size] for c in at], pa.list_(pa.int64())) for x in (0, 1))]
             sums.clear()
             return pa.RecordBatch.from_arrays(rows, names=[key, "n", "k_cell", "raw", "signal"])
 
@@ -106,11 +112,10 @@ def _added(cfg: PeriodogramConfig, size: int, key: str):
 
         def told():
             owner, n, cell = now
-            top = n // 2 if cfg.max_offset is None else cfg.max_offset
-            ks = np.arange(max(cfg.min_offset, cell * size), min(top, (cell + 1) * size - 1) + 1)
+            ks = _offsets(cfg, n, cell, size)
             if not len(ks):
                 return None
-            fields = [np.zeros(len(ks), np.int64) if h is None else h[ks - cell * size] for h in held]
+            fields = [np.zeros(len(ks), np.int64) if h is None else h for h in held]
             return pa.RecordBatch.from_arrays([pa.array([owner] * len(ks), kind), *(pa.array(x, pa.int64()) for x in (ks, *fields, np.maximum(0, n - cfg.window - ks)))], names=[key, "k", "raw_sum", "signal_sum", "n_pairs"])
 
         for b in batches:
