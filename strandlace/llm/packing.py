@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Characters from here on take the tokenizer's whole way.
 LATIN_END = "\u0250"
+#: ASCII symbols; one or more at a word's end after a letter are a piece of their own.
+PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 def byte_chars() -> dict[int, int]:
@@ -55,19 +58,23 @@ class WordIds(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def merged(self, letters: str) -> bytes:
+        found = self.merges(letters)
+        return pack_ids(f"<{len(found)}I", *[t.id for t in found])
+
     def __missing__(self, word: bytes) -> bytes:
-        # A lower-case ASCII word, or one before a stop or comma, has the same ids by itself.
-        if word.isascii() and (low := word.lower()) != word:
+        # A lower-case ASCII word, or letters before punctuation, have the same ids by themselves.
+        if word.isascii() and word.isalpha():
+            low = word.lower()
+            ids = self.merged(low.decode()) if low == word else self[low]
+        elif (stem := word.rstrip(PUNCTUATION)) != word and (last := stem.decode("utf-8", "replace")[-1:]).lower().isalpha() and last < LATIN_END:
+            ids = self[stem] + self[word[len(stem) :]]
+        elif word.isascii() and (low := word.lower()) != word:
             ids = self[low]
-        elif len(word) > 1 and word[-1:] in (b".", b",") and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1:]]
         else:
             text = word.decode("utf-8", "replace")
             low = unicodedata.normalize("NFC", text).lower()
-            if low.isalpha() and max(low) < LATIN_END:
-                ids = np.array([t.id for t in self.merges(low.encode().decode("latin-1").translate(BYTE_CHARS))], "<u4").tobytes()
-            else:
-                ids = self.encode(text)
+            ids = self.merged(low.encode().decode("latin-1").translate(BYTE_CHARS)) if low.isalpha() and max(low) < LATIN_END else self.encode(text)
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -77,7 +84,10 @@ class WordIds(dict):
     def text(self, text: bytes) -> bytes:
         if b"<|" in text:  # may hold a special token's string, which matches before words are cut
             return self.encode(text.decode("utf-8", "replace"))
-        return b"".join([self[w] for w in text.split()])
+        # Small ASCII letters stand for large ones, so fewer words are kept; before a combining mark (U+0300 to U+037F) they may compose where large ones don't.
+        if b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _loaded: dict[str, WordIds] = {}

@@ -439,6 +439,18 @@ def test_word_ids_equal_the_tokenizer():
         assert ids.text(t.encode()) == ids.encode(t)
 
 
+def test_word_ids_need_no_whole_way_for_letters_and_symbols():
+    """Small and large letters share an entry, and symbols after letters are cut off; marks that compose with small letters only keep the large ones."""
+    ids, plain = packing.WordIds(PATH), packing.WordIds(PATH)
+    for t in ("Boar BOAR boar", "boar&&& été$$$ don't", "H\u0331a \u1e96a h\u0331a", "\u0130&& \u0130a,. I\u0307a"):
+        assert ids.text(t.encode()) == plain.encode(t)
+    ids.clear()
+    whole = []
+    ids.encode = lambda text: whole.append(text) or plain.encode(text)
+    ids.text("Boar BOAR boar boar&&& Été%%%".encode())
+    assert {b"boar", b"boar&&&"} < set(ids) and b"Boar" not in ids and whole == ["&&&", "%%%"]
+
+
 def test_plan_is_as_good_as_item_by_item():
     rng = random.Random(8)
     for _ in range(20):
