@@ -18,12 +18,12 @@ def ascii_upper(s: Column) -> Column:
 
 def dna_view(text: Column) -> Column:
     """The ACGT letters of a text, upper case."""
-    return F.upper(F.regexp_replace(text, "[^ACGTacgt]", ""))
+    return F.upper(F.regexp_replace(text, "[^ACGTacgt]+", ""))
 
 
 def protein_view(text: Column) -> Column:
     """The ASCII letters of a text, upper case."""
-    return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
+    return F.upper(F.regexp_replace(text, "[^A-Za-z]+", ""))
 
 
 def encode_letter(letter: Column, alphabet: str) -> Column:

@@ -221,12 +221,15 @@ def _zoomed(cells: np.ndarray, subject: np.ndarray, window: int, zoom: int, brig
                 a, b = max(py * zoom + half, window), min((py + 1) * zoom + half, m)
                 lines, at_s = slice(a - window + 1, b), np.arange(a, b)
                 kept = keep[a - half - py * zoom : b - half - py * zoom]
-            if a >= b or self_plot and first > at_s.max():
+            # A self plot has no cells beyond the diagonal.
+            stop = min(last, b) if self_plot else last
+            if a >= b or first >= stop:
                 continue
-            v = window_sums(part[subject[lines]], window) & kept
-            if self_plot and last - 1 > at_s.min():
-                v[np.arange(first, last)[None] > at_s[:, None]] = 0
-            most = np.maximum.reduceat(v.max(axis=0), starts)
+            v = window_sums(part[:, : stop - first + window - 1][subject[lines]], window) & kept[:, : stop - first]
+            if self_plot and stop > a + 1:
+                near = max(first, a + 1)
+                v[:, near - first :][np.arange(near, stop)[None] > at_s[:, None]] = 0
+            most = np.maximum.reduceat(v.max(axis=0), starts[: np.searchsorted(starts, stop - first)])
             lit = np.flatnonzero(most >= least)
             if len(lit):
                 out.append((px[starts[lit]], np.full(len(lit), py), bright[most[lit]]))

@@ -29,12 +29,16 @@ def ridges(pixels: DataFrame, key: list[str], threshold: int = 40, min_length: i
 
 
 def mirror(pixels: DataFrame, key: list[str], triangle: str = "both") -> DataFrame:
-    """Self plots hold the lower triangle (px <= py): copied up, moved up or left as it is."""
+    """Self plots hold the lower triangle (px <= py): copied up, moved up or left as it is.
+
+    A copy is made beside its pixel, so the pixels are computed once.
+    """
     swap = {"px": "py", "py": "px"}
-    turned = pixels.select(*(F.col(swap.get(c, c)).alias(c) for c in pixels.columns))
     if triangle == "both":
-        return pixels.unionByName(turned.where("px <> py"))
-    return turned if triangle == "upper" else pixels
+        own, turned = F.struct("px", "py"), F.struct(F.col("py").alias("px"), F.col("px").alias("py"))
+        places = F.when(F.col("px") != F.col("py"), F.array(own, turned)).otherwise(F.array(own))
+        return pixels.select(*(c for c in pixels.columns if c not in swap), F.inline(places)).select(*pixels.columns)
+    return pixels.select(*(F.col(swap.get(c, c)).alias(c) for c in pixels.columns)) if triangle == "upper" else pixels
 
 
 def merge_channels(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:

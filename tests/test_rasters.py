@@ -96,3 +96,25 @@ def test_resize_places_each_target(spark):
     got = ridges.resize_nearest(df, None, ["id"], 50).collect()
     assert {tuple(r)[:3]: r["value"] for r in got} == due and len(got) == len(due)
     assert "Join" not in plan(QUERIES["resize_nearest"](spark, "/root/testdata/sf0.001"))
+
+
+def test_self_plots_are_scored_once_and_up_to_the_diagonal(spark, monkeypatch):
+    from strandlace.operators import kernel
+
+    seqs = [(1, "ACGTTGCA" * 60), (2, "ACCA" * 5), (3, "")]
+    df = spark.createDataFrame([(i, s, s) for i, s in seqs], "id int, query string, subject string")
+    from strandlace.plans.dotplot import PlotConfig, dotplot
+
+    both = dotplot(df, ["id"], PlotConfig(zoom=7, self_plot=True))
+    assert plan(both).count("MapInArrow") == 1
+    lower = {tuple(r) for r in dotplot(df, ["id"], PlotConfig(zoom=7, self_plot=True, triangle="lower")).collect()}
+    assert sorted(map(tuple, both.collect())) == sorted(lower | {(i, y, x, v) for i, x, y, v in lower})
+
+    q, cells, sums = kernel.Scoring().codes(seqs[0][1]), [], kernel.window_sums
+    monkeypatch.setattr(kernel, "window_sums", lambda m, w: cells.append(m.size) or sums(m, w))
+    triangle, square = (list(kernel.block_pixels(q, q, kernel.Scoring(), 8, 40, 12, False, own)) for own in (True, False))
+    points = lambda parts: {p for x, y, v in parts for p in zip(x.tolist(), y.tolist(), v.tolist(), strict=True)}
+    # Off the diagonal, half of the square.
+    assert {p for p in points(triangle) if p[0] != p[1]} == {p for p in points(square) if p[0] < p[1]}
+    rows = -(-len(q) // 40)
+    assert sum(cells[:rows]) < 0.7 * sum(cells[rows:])
