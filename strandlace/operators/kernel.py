@@ -277,16 +277,40 @@ def block_strands(pairs: DataFrame, key: list[str], query: str, subject: str, sc
     return _banded(pairs, key, query, subject, scoring, window, zoom, factor, pixels, ["forward", "reverse"], band_cells)
 
 
-def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False, band_cells: int = BAND_CELLS, ordered: bool = False) -> DataFrame:
-    """``key, px, py, value`` by the block plan; ``ordered`` by key and band within a task.  ``key`` columns are whole numbers or strings."""
+#: Columns that hold the records of a pair's axes, and their type: residues that a record starts and stops at, sampled cells before it; ascending, apart from each other.
+AXES, AXIS = ("x_axis", "y_axis"), "array<struct<start:bigint,stop:bigint,offset:bigint>>"
+
+
+def onto_cells(found: tuple[np.ndarray, np.ndarray, np.ndarray], axes: list[pa.StructArray], zoom: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(px, py, value) of pixels moved to the sampled cells of their records, the brightest of each cell; pixels beyond all records go."""
+    value, ok, cells = found[2], np.ones(len(found[2]), bool), []
+    for at, axis in zip(found, axes, strict=False):
+        if len(axis) == 0:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        start, stop, offset = (axis.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+        r = np.maximum(np.searchsorted(start, at, side="right") - 1, 0)
+        ok &= (at >= start[r]) & (at < stop[r])
+        cells.append(offset[r] + (at - start[r]) // zoom)
+    (px, py), value = (c[ok] for c in cells), value[ok]
+    order = np.lexsort((value, px, py))
+    px, py, value = px[order], py[order], value[order]
+    end = np.append((px[1:] != px[:-1]) | (py[1:] != py[:-1]), True)[: len(px)]
+    return px[end], py[end], value[end]
+
+
+def block_dotplot(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, reverse: bool = False, self_plot: bool = False, band_cells: int = BAND_CELLS, ordered: bool = False, onto: int | None = None) -> DataFrame:
+    """``key, px, py, value`` by the block plan; ``ordered`` by key and band within a task.  ``key`` columns are whole numbers or strings.
+
+    ``onto`` (a zoom) moves pixels to the sampled cells of the records in ``AXES``, where they are scored; a cell may come more than once.
+    """
 
     def pixels(q, s, sizes, rows):
         return block_pixels(q, s, scoring, sizes[0], zoom, sizes[1], reverse, self_plot, rows)
 
-    return _banded(pairs, key, query, subject, scoring, window, zoom, factor, pixels, ["value"], band_cells, ordered)
+    return _banded(pairs, key, query, subject, scoring, window, zoom, factor, pixels, ["value"], band_cells, ordered, onto)
 
 
-def _banded(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, pixels, values: list[str], band_cells: int, ordered: bool = False) -> DataFrame:
+def _banded(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, pixels, values: list[str], band_cells: int, ordered: bool = False, onto: int | None = None) -> DataFrame:
     """``key, px, py`` and ``values``: what ``pixels`` yields for each band, small plots gathered into larger batches."""
     numbers = ["px", "py", *values]
 
@@ -306,6 +330,8 @@ def _banded(pairs: DataFrame, key: list[str], query: str, subject: str, scoring:
                     continue
                 height, part, parts = -(-len(s) // zoom), cols["_band"][i].as_py(), cols["_bands"][i].as_py()
                 for found in pixels(q, s, sizes, (height * part // parts, height * (part + 1) // parts)):
+                    if onto is not None:
+                        found = onto_cells(found, [cols[c][i].values if cols[c][i].is_valid else [] for c in AXES], onto)
                     if len(found[0]) == 0:
                         continue
                     held.append(([cols[k][i] for k in key], len(found[0]), found))
@@ -320,7 +346,8 @@ def _banded(pairs: DataFrame, key: list[str], query: str, subject: str, scoring:
     schema = ", ".join(f"`{k}` {types[k]}" for k in key) + "".join(f", {c} long" for c in numbers)
     size = F.length(query).cast("double") * F.length(subject)
     bands = F.greatest(F.lit(1), F.least(F.ceil(F.coalesce(size, F.lit(0.0)) / band_cells), F.ceil(F.length(subject) / zoom))).cast("int")
-    rows = pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s"), F.coalesce(bands, F.lit(1)).alias("_bands"))
+    axes = [] if onto is None else [F.col(c).cast(AXIS) for c in AXES]
+    rows = pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s"), F.coalesce(bands, F.lit(1)).alias("_bands"), *axes)
     rows = rows.withColumn("_band", F.explode(F.sequence(F.lit(0), F.col("_bands") - 1)))
     dealt = spread(rows, [*key, "_band"])
     return (dealt.sortWithinPartitions(*key, "_band") if ordered else dealt).mapInArrow(run, schema)

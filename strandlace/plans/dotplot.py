@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement, translate_frame
-from ..operators.kernel import Scoring, block_dotplot, block_strands, lit_pixels, relational_hits
+from ..operators.kernel import AXES, Scoring, block_dotplot, block_strands, lit_pixels, relational_hits
 from ..operators.ridges import merge_channels, mirror
+from ..operators.tiles import record_axis
 
 
 class PlotError(ValueError):
@@ -63,9 +64,9 @@ def _refused(pairs: DataFrame, cfg: PlotConfig, separate: bool) -> DataFrame:
     return pairs
 
 
-def _channel(pairs: DataFrame, key: list[str], cfg: PlotConfig, reverse: bool, ordered: bool = False) -> DataFrame:
+def _channel(pairs: DataFrame, key: list[str], cfg: PlotConfig, reverse: bool, ordered: bool = False, onto: int | None = None) -> DataFrame:
     if cfg.plan == "block":
-        return block_dotplot(pairs, key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor, reverse, cfg.self_plot, ordered=ordered)
+        return block_dotplot(pairs, key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor, reverse, cfg.self_plot, ordered=ordered, onto=onto)
     hits = relational_hits(pairs, key, "query", "subject", cfg.scoring, cfg.window, reverse, cfg.self_plot)
     return lit_pixels(hits, None, key, cfg.window, cfg.zoom, cfg.factor, reverse)
 
@@ -108,6 +109,23 @@ def two_strands(pairs: DataFrame, key: list[str], cfg: PlotConfig) -> DataFrame:
     return block_strands(_refused(pairs, cfg, True), key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor)
 
 
+def tiled_dotplot(pairs: DataFrame, x_spans: DataFrame, y_spans: DataFrame, key: list[str], zoom: int, cfg: PlotConfig = PlotConfig()) -> DataFrame:
+    """``record_tiles`` of the forward or reverse plots of the pairs, one a key, of records that don't overlap: ``key, px, py, value``.
+
+    Pixels are moved to their cells where they are scored, beside the records of
+    their axes, so only the brightest of each task's cells are shuffled and no pixel is.
+    """
+    cfg.check()
+    if zoom < 1:
+        raise ValueError("zoom must be 1 or more")
+    if cfg.plan != "block" or cfg.self_plot or cfg.zoom != 1 or cfg.strand == "both" or cfg.reverse_query or cfg.reverse_subject:
+        raise PlotError("record tiles are those of one strand of a plain block plot of single residues")
+    for name, spans in zip(AXES, (x_spans, y_spans), strict=True):
+        laid = record_axis(spans, key, zoom).where("stop > start")
+        pairs = pairs.join(laid.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "offset"))).alias(name)), key)
+    return _channel(_refused(pairs, cfg, False), key, cfg, cfg.strand == "reverse", onto=zoom).groupBy(*key, "px", "py").agg(F.max("value").alias("value"))
+
+
 def translated_dotplot(pairs: DataFrame, key: list[str], cfg: PlotConfig) -> DataFrame:
     """A DNA query in its three forward frames against a protein subject; the image is as wide as ``qlen div 3``.
 

@@ -118,3 +118,30 @@ def test_self_plots_are_scored_once_and_up_to_the_diagonal(spark, monkeypatch):
     assert {p for p in points(triangle) if p[0] != p[1]} == {p for p in points(square) if p[0] < p[1]}
     rows = -(-len(q) // 40)
     assert sum(cells[:rows]) < 0.7 * sum(cells[rows:])
+
+
+def test_record_tiles_are_sampled_where_they_are_scored(spark):
+    """As record_tiles of the pixels; the only shuffle after the kernel is that of sampled cells."""
+    import random
+
+    from strandlace.operators import kernel
+    from strandlace.operators.tiles import record_tiles
+    from strandlace.plans import dotplot as D
+
+    rng = random.Random(8)
+    x_spans, y_spans, pairs = [], [], []
+    for i, (xs, ys) in enumerate([((40, 0, 33, 71), (52,)), ((9,), (30, 1, 14)), ((25, 12), ()), ((0, 64), (44, 21))]):
+        text = lambda n: "".join(rng.choices("ACGT", k=n))
+        pairs.append((i, text(sum(xs) + 5), text(sum(ys) + 15)))
+        for out, sizes in ((x_spans, xs), (y_spans, ys)):
+            out += [(i, sum(sizes[:j]), sum(sizes[: j + 1])) for j in range(len(sizes))]
+    df = spark.createDataFrame([*pairs, (9, "ACGT" * 9, "ACGT" * 9), (10, None, "ACGT")], "id int, query string, subject string")
+    xs, ys = (spark.createDataFrame(x, "id int, start long, stop long") for x in (x_spans, y_spans))
+    for strand in ("forward", "reverse"):
+        cfg = D.PlotConfig(window=4, strand=strand)
+        due = sorted(map(tuple, record_tiles(D.dotplot(df, ["id"], cfg), xs, ys, ["id"], 7).collect()))
+        out = D.tiled_dotplot(df, xs, ys, ["id"], 7, cfg)
+        assert sorted(map(tuple, out.collect())) == due and due
+    assert kernel.onto_cells(tuple(np.zeros(1, np.int64) for _ in range(3)), [[], []], 7)[0].size == 0
+    text = plan(QUERIES["tile_records"](spark, "/root/testdata/sf0.001"))
+    assert "Join" not in text[: text.index("MapInArrow")]
