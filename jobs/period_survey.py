@@ -57,8 +57,10 @@ def annotated(profile: DataFrame, mads: float, floor: float) -> DataFrame:
 
 def survey(rows: DataFrame, cfg: dict) -> DataFrame:
     scan = PeriodogramConfig(**{k: cfg[k] for k in ("window", "factor", "min_offset", "max_offset", "white", "black")})
-    null = analytical_null(*(letter_count(F.col("seq"), x) for x in "ACGT"))
-    ready = rows.withColumn("_null", null).select("name", "seq", "record", "lang", "n_rows", F.length("seq").cast("long").alias("length"), "_null.*")
+    # Letters are counted once, in columns of their own; the null model names each count dozens of times.
+    counted = rows.withColumns({f"_{x}": letter_count(F.col("seq"), x) for x in "ACGT"})
+    null = analytical_null(*(F.col(f"_{x}") for x in "ACGT"))
+    ready = counted.withColumn("_null", null).select("name", "seq", "record", "lang", "n_rows", F.length("seq").cast("long").alias("length"), "_null.*")
     profile = periodogram(ready, "name", "seq", scan, ["record", "lang", "n_rows", "length", "mean", "variance"])
     scored = profile.withColumns({"signal_mean": signal_mean(), "z_score": analytical_z(F.col("mean"), F.col("variance"), scan.factor)})
     six = lambda c: F.round(c, 6).alias(c)

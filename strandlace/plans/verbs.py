@@ -36,8 +36,10 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
     """The records of FASTA files with ``rec``, a key whose order is that of their first appearance, and their letters' share."""
     rows = whole_records(read_fasta_chunks(spark, path)).withColumn("rec", F.concat_ws(":", "path", F.lpad(F.col("record_idx").cast("string"), 12, "0")))
     n = F.length("sequence")
-    share = {f"freq_{x}": letter_count(F.col("sequence"), x) / n for x in "ACGT"}
-    null = analytical_null(*(letter_count(F.col("sequence"), x) for x in "ACGT"))
+    # Letters are counted once, in columns of their own; the null model names each count dozens of times.
+    rows = rows.withColumns({f"_{x}": letter_count(F.col("sequence"), x) for x in "ACGT"})
+    share = {f"freq_{x}": F.col(f"_{x}") / n for x in "ACGT"}
+    null = analytical_null(*(F.col(f"_{x}") for x in "ACGT"))
     return rows.select("rec", "record_id", "sequence", n.cast("long").alias("length"), *(c.alias(k) for k, c in share.items()), null.alias("null"))
 
 

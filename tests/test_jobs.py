@@ -201,3 +201,14 @@ def test_command_line(spark, tmp_path, job):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "wrote" in done.stderr
     assert {"period_survey": period_survey, "sequence_register": sequence_register}[job].output(spark, out).count() > 0
+
+
+def test_letters_are_counted_once_for_each_record(spark, tmp_path):
+    """The null model names each count dozens of times; the plan has each one once."""
+    from jobs import period_survey
+    from strandlace.plans.verbs import sequences
+
+    (tmp_path / "a.fasta").write_text(">a\nACGTACGTAACC\n>b\nGGGTTTACAC\n")
+    rows = spark.createDataFrame([("x", 1, "en", "a", "ACGTACGTAACCGGTA")], "record string, n_rows long, lang string, name string, seq string")
+    for df in (period_survey.survey(rows, period_survey.DEFAULTS), sequences(spark, str(tmp_path / "a.fasta"))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 4
