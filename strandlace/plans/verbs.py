@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,17 +86,21 @@ def _threshold(arrays: DataFrame, floor: float, mads: float | None) -> DataFrame
 
 def _peaks(arrays: DataFrame, path: str, cfg: PeaksConfig, mads: float | None, top: int | None, harmonics: bool) -> int:
     """Peaks of each record as TSV, after a line with its threshold, which a record without peaks has too; the number of peaks."""
-    ready = _threshold(arrays, cfg.min_score, mads)
-    found = find_peaks(ready, "rec", "v", "base", cfg, "threshold")
-    shown = display_order(found, "rec", top, harmonics).withColumnRenamed("row", "_row")
+    # Three outputs stand on these rows, which are on disk until then, so the table is read and searched once.
+    ready = _threshold(arrays, cfg.min_score, mads).persist(StorageLevel.DISK_ONLY)
+    shown = display_order(find_peaks(ready, "rec", "v", "base", cfg, "threshold"), "rec", top, harmonics).withColumnRenamed("row", "_row").persist(StorageLevel.DISK_ONLY)
     mode = "fixed" if mads is None else "mad"
     line = F.concat_ws(" ", F.concat(F.lit("diag record_id="), "record_id"), F.concat(F.lit("length="), F.size("v").cast("string")), F.concat(F.lit("threshold="), F.format_string("%.4f", "threshold")), F.lit(f"threshold_mode={mode} floor={cfg.min_score}"))
     told = ready.select("rec", "record_id", line.alias("_line"))
-    fields = peak_fields(told.join(shown, "rec"), "rec", "_row", F.when(F.col("_row") == 1, F.col("_line")).alias("_lead"))
-    _text(fields, path, ["rec", "_row"], [f"min_score={cfg.min_score} min_harmonics={cfg.min_harmonics}"], "_lead")
-    # Records without peaks have no row to stand before.
-    told.join(shown.select("rec"), "rec", "left_anti").select(F.concat(F.lit("# "), "_line").alias("value")).coalesce(1).write.mode("append").text(path)
-    return shown.count()
+    try:
+        fields = peak_fields(told.join(shown, "rec"), "rec", "_row", F.when(F.col("_row") == 1, F.col("_line")).alias("_lead"))
+        _text(fields, path, ["rec", "_row"], [f"min_score={cfg.min_score} min_harmonics={cfg.min_harmonics}"], "_lead")
+        # Records without peaks have no row to stand before.
+        told.join(shown.select("rec"), "rec", "left_anti").select(F.concat(F.lit("# "), "_line").alias("value")).coalesce(1).write.mode("append").text(path)
+        return shown.count()
+    finally:
+        shown.unpersist()
+        ready.unpersist()
 
 
 def run_periodogram(spark: SparkSession, fasta: str, out: str, cfg: PeriodogramConfig = PeriodogramConfig(window=None, factor=0), z: str = "off", shuffles: int = 200, seed: int = 0, fft_top: int | None = None, peaks: PeaksConfig | None = None) -> dict:

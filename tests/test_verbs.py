@@ -145,3 +145,17 @@ def test_tables_with_headers_of_their_own(spark, tmp_path):
     (tmp_path / "none" / "a.tsv").write_text("# only\n")
     with pytest.raises(ValueError, match="no header"):
         read_tsv(spark, str(tmp_path / "none"))
+
+
+def test_peaks_are_found_once_for_all_outputs(spark, tmp_path, monkeypatch):
+    from strandlace.operators.peaks import PeaksConfig
+    from strandlace.plans import verbs
+
+    rows = [(f"r{i}", f"r{i}", 3, [0.0, 9.0 * i, 0.0, 4.0, 0.0]) for i in range(4)]
+    arrays = spark.createDataFrame(rows, "rec string, record_id string, base long, v array<double>")
+    plans, text = [], verbs._text
+    monkeypatch.setattr(verbs, "_text", lambda df, *a: plans.append(df._jdf.queryExecution().withCachedData().toString()) or text(df, *a))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert verbs._peaks(arrays, str(tmp_path / "p"), PeaksConfig(min_score=5.0, min_harmonics=0, boundary_fraction=1.0), None, None, True) == 3
+    assert plans[0].count("InMemoryRelation") >= 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
