@@ -342,12 +342,68 @@ def _banded(pairs: DataFrame, key: list[str], query: str, subject: str, scoring:
         if held:
             yield told()
 
+    dealt = _dealt(pairs, key, query, subject, zoom, band_cells, [] if onto is None else [F.col(c).cast(AXIS) for c in AXES])
+    return (dealt.sortWithinPartitions(*key, "_band") if ordered else dealt).mapInArrow(run, _schema(pairs, key, dict.fromkeys(numbers, "long")))
+
+
+def _schema(pairs: DataFrame, key: list[str], fields: dict[str, str]) -> str:
     types = dict(pairs.select(*key).dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + "".join(f", {c} long" for c in numbers)
+    return ", ".join(f"`{c}` {kind}" for c, kind in ({k: types[k] for k in key} | fields).items())
+
+
+def _dealt(pairs: DataFrame, key: list[str], query: str, subject: str, zoom: int, band_cells: int | None, more: list[Column] = ()) -> DataFrame:
+    """``key, _q, _s, _bands, more, _band``: the pairs' bands (one each where ``band_cells`` is None), dealt out over tasks."""
     size = F.length(query).cast("double") * F.length(subject)
-    bands = F.greatest(F.lit(1), F.least(F.ceil(F.coalesce(size, F.lit(0.0)) / band_cells), F.ceil(F.length(subject) / zoom))).cast("int")
-    axes = [] if onto is None else [F.col(c).cast(AXIS) for c in AXES]
-    rows = pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s"), F.coalesce(bands, F.lit(1)).alias("_bands"), *axes)
+    bands = F.lit(1) if band_cells is None else F.greatest(F.lit(1), F.least(F.ceil(F.coalesce(size, F.lit(0.0)) / band_cells), F.ceil(F.length(subject) / zoom))).cast("int")
+    rows = pairs.select(*key, F.col(query).alias("_q"), F.col(subject).alias("_s"), F.coalesce(bands, F.lit(1)).alias("_bands"), *more)
     rows = rows.withColumn("_band", F.explode(F.sequence(F.lit(0), F.col("_bands") - 1)))
-    dealt = spread(rows, [*key, "_band"])
-    return (dealt.sortWithinPartitions(*key, "_band") if ordered else dealt).mapInArrow(run, schema)
+    return spread(rows, [*key, "_band"])
+
+
+#: Pixels whose drawings are gathered into one Arrow batch.
+_DRAWN = 1 << 20
+
+
+def block_images(pairs: DataFrame, key: list[str], query: str, subject: str, scoring: Scoring, window: int | None, zoom: int, factor: int, strands: tuple[bool, ...], draw, fields: dict[str, str], whole: bool = False, band_cells: int = BAND_CELLS) -> DataFrame:
+    """``key`` and ``fields`` (names and types): what ``draw`` makes of the plots' images, dark pixels included.
+
+    ``draw`` gets a strip of whole pixel rows (a byte for each pixel, the brighter of the
+    ``strands``, True for reverse) and the first one's place; it gives the columns of
+    ``fields``.  Strips are filled in where they are scored, so no pixel is shuffled, and
+    each pixel row is in one.  ``whole``: each plot is one strip, one task's work and bounded by
+    its size, and so are plots of empty sequences.  Null sequences have no image.
+    """
+
+    def run(batches):
+        held, size = [], 0
+
+        def told():
+            keys = [pa.concat_arrays([pa.repeat(k[j], len(x[0])) for k, x in held]) for j in range(len(key))]
+            return pa.RecordBatch.from_arrays([*keys, *(pa.concat_arrays([x[j] for _, x in held]) for j in range(len(fields)))], names=[*key, *fields])
+
+        for batch in batches:
+            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                letters = [cols[c][i].as_py() for c in ("_q", "_s")]
+                if any(x is None or not (x or whole) for x in letters):
+                    continue
+                q, s = (scoring.codes(x) for x in letters)
+                sizes = resolve(q, s, scoring, window, factor) if len(q) and len(s) else None
+                width, height, part, parts = -(-len(q) // zoom), -(-len(s) // zoom), cols["_band"][i].as_py(), cols["_bands"][i].as_py()
+                low, high = height * part // parts, height * (part + 1) // parts
+                step = max(1, height if whole else _BAND // len(q) // zoom)
+                for top in [0] if whole else range(low, high, step):
+                    rows = (top, min(top + step, high))
+                    image = np.zeros((rows[1] - top, width), np.uint8)
+                    for reverse in strands if sizes else ():
+                        for px, py, value in block_pixels(q, s, scoring, sizes[0], zoom, sizes[1], reverse, False, rows):
+                            image[py - top, px] = np.maximum(image[py - top, px], value)
+                    held.append(([cols[k][i] for k in key], draw(image, top)))
+                    size += image.size
+                    if size >= _DRAWN:
+                        yield told()
+                        held, size = [], 0
+        if held:
+            yield told()
+
+    return _dealt(pairs, key, query, subject, zoom, None if whole else band_cells).mapInArrow(run, _schema(pairs, key, fields))

@@ -114,13 +114,33 @@ def each_image(batches, keys: int):
 _RENDERED = 1 << 16
 
 
+def _ramp(white: int, black: int) -> np.ndarray:
+    """The grey of each value."""
+    level = np.arange(256)
+    return np.where(level <= white, 255, np.where(level >= black, 0, np.floor(255.5 - (level - white) * 255.0 / max(black - white, 1)))).astype(np.uint8)
+
+
+#: Columns of ``grey_rows``.
+GREY_ROWS = {"py": "long", "n": "long", "grey": "long"}
+
+
+def grey_rows(white: int, black: int):
+    """A drawing of ``block_images``: ``py, n, grey``, the pixels of each image row and the sum of their greys on the ramp."""
+    ramp = _ramp(white, black)
+
+    def draw(image: np.ndarray, top: int) -> list[pa.Array]:
+        height, width = image.shape
+        return [pa.array(np.arange(top, top + height)), pa.array(np.full(height, width)), pa.array(ramp[image].sum(axis=1, dtype=np.int64))]
+
+    return draw
+
+
 def render(pixels: DataFrame, sizes: DataFrame, key: list[str], white: int, black: int) -> DataFrame:
     """``key, px, py, grey`` of every pixel of each image (``sizes`` has ``key, width, height``) through the grey ramp.
 
-    Only lit pixels are shuffled; a task fills in one image at a time.
+    Only lit pixels are shuffled; a task fills in one image at a time.  Plots that are yet to be scored are drawn without a shuffle by ``block_images``.
     """
-    level = np.arange(256)
-    grey = np.where(level <= white, 255, np.where(level >= black, 0, np.floor(255.5 - (level - white) * 255.0 / max(black - white, 1)))).astype(np.int32)
+    grey = _ramp(white, black).astype(np.int32)
 
     def run(batches):
         for own, image in each_image(batches, len(key)):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement, translate_frame
-from ..operators.kernel import AXES, Scoring, block_dotplot, block_strands, lit_pixels, relational_hits
+from ..operators.kernel import AXES, Scoring, block_dotplot, block_images, block_strands, lit_pixels, relational_hits
 from ..operators.ridges import merge_channels, mirror
 from ..operators.tiles import record_axis
 
@@ -109,6 +109,18 @@ def two_strands(pairs: DataFrame, key: list[str], cfg: PlotConfig) -> DataFrame:
     return block_strands(_refused(pairs, cfg, True), key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor)
 
 
+def drawn_dotplot(pairs: DataFrame, key: list[str], draw, fields: dict[str, str], cfg: PlotConfig = PlotConfig(), whole: bool = False) -> DataFrame:
+    """``key`` and ``fields``: what ``draw`` makes of every pixel of the plots, where they are scored (see ``block_images``); no pixel is shuffled.
+
+    ``ridges.grey_rows`` and ``images.image_file`` are such drawings; the second needs ``whole`` plots.
+    """
+    cfg.check()
+    if cfg.plan != "block" or cfg.self_plot or cfg.reverse_query or cfg.reverse_subject:
+        raise PlotError("images are drawn of plain block plots")
+    strands = {"forward": (False,), "reverse": (True,), "both": (False, True)}[cfg.strand]
+    return block_images(_refused(pairs, cfg, False), key, "query", "subject", cfg.scoring, cfg.window, cfg.zoom, cfg.factor, strands, draw, fields, whole)
+
+
 def tiled_dotplot(pairs: DataFrame, x_spans: DataFrame, y_spans: DataFrame, key: list[str], zoom: int, cfg: PlotConfig = PlotConfig()) -> DataFrame:
     """``record_tiles`` of the forward or reverse plots of the pairs, one a key, of records that don't overlap: ``key, px, py, value``.
 

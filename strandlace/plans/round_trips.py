@@ -23,7 +23,7 @@ from ..sources.tables import check_dense, periodogram_fields, read_tsv, spectrum
 from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, MAX_SQL, NULL_SQL, ORACLES, PAIRS_SQL, PART_PAIRS_SQL, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _plot_sql, _read, _turn_pairs, query, adjacent, part_pairs, SPANS_SQL, _spans
 from . import verbs as V
 from .axes import axis_marks
-from .dotplot import PlotConfig, dotplot
+from .dotplot import PlotConfig, dotplot, drawn_dotplot
 from .plot_store import PlotStore, rect_zoom
 
 PROTEIN_SQL = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
@@ -330,9 +330,7 @@ g AS (SELECT conv_id, turn, CAST(px AS BIGINT) AS px, CAST(unnest(range(0, h)) A
 SELECT conv_id, turn, py, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN coalesce(value, 0) <= 10 THEN 255 WHEN value >= 60 THEN 0 ELSE floor(255.5 - (value - 10) * 255.0 / 50) END) AS BIGINT) AS grey FROM g LEFT JOIN px USING (conv_id, turn, px, py) GROUP BY ALL""")
 def _(spark, d):
     """Every pixel of every image through the grey ramp, summed by image row."""
-    pairs = _turn_pairs(spark, d)
-    dense = R.render(dotplot(pairs, KEY), _sizes(pairs), KEY, 10, 60)
-    return dense.groupBy(*KEY, "py").agg(F.count("*").alias("n"), F.sum("grey").cast("long").alias("grey"))
+    return drawn_dotplot(_turn_pairs(spark, d), KEY, R.grey_rows(10, 60), R.GREY_ROWS)
 
 
 # --- views of stored plots ---------------------------------------------------------------------

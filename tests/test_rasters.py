@@ -145,3 +145,35 @@ def test_record_tiles_are_sampled_where_they_are_scored(spark):
     assert kernel.onto_cells(tuple(np.zeros(1, np.int64) for _ in range(3)), [[], []], 7)[0].size == 0
     text = plan(QUERIES["tile_records"](spark, "/root/testdata/sf0.001"))
     assert "Join" not in text[: text.index("MapInArrow")]
+
+
+def drawable(spark):
+    """Pairs of plots of one strip and of several, with unknown letters, shorter than a window, empty and null."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda n, letters="ACGT": "".join(rng.choices(letters, k=n))
+    pairs = [(1, word(60), word(45)), (2, word(61, "ACGTN"), word(80)), (3, word(9), word(200)), (4, "ACGT", "AC"), (5, "", "ACGTA"), (6, "ACGTA", ""), (7, None, "ACGT"), (8, "ACGT", None), (9, word(3000), word(1500))]
+    df = spark.createDataFrame(pairs, "id int, query string, subject string")
+    return df, df.selectExpr("id", "length(query) AS width", "length(subject) AS height")
+
+
+def test_every_pixel_is_drawn_where_it_is_scored(spark):
+    """As rendered from shuffled pixels; each image row comes once, and the query shuffles pairs only."""
+    from strandlace.operators.kernel import Scoring, block_images
+    from strandlace.plans.dotplot import PlotConfig, dotplot, drawn_dotplot
+
+    df, sizes = drawable(spark)
+    draw = ridges.grey_rows(10, 60)
+    for strand, zoom in (("forward", 1), ("reverse", 1), ("both", 3)):
+        cfg = PlotConfig(strand=strand, zoom=zoom)
+        zoomed = sizes.selectExpr("id", f"ceil(width / {zoom}) AS width", f"ceil(height / {zoom}) AS height")
+        dense = ridges.render(dotplot(df, ["id"], cfg), zoomed, ["id"], 10, 60)
+        due = sorted(map(tuple, dense.groupBy("id", "py").agg({"px": "count", "grey": "sum"}).select("id", "py", "count(px)", "sum(grey)").collect()))
+        out = drawn_dotplot(df, ["id"], draw, ridges.GREY_ROWS, cfg)
+        assert sorted(map(tuple, out.collect())) == due and {r[0] for r in due} == {1, 2, 3, 4, 9}
+        sides = {"forward": (False,), "reverse": (True,), "both": (False, True)}[strand]
+        banded = block_images(df, ["id"], "query", "subject", Scoring(), 8, zoom, 12, sides, draw, ridges.GREY_ROWS, band_cells=2000)
+        assert sorted(map(tuple, banded.collect())) == due
+    text = plan(QUERIES["render_dense"](spark, "/root/testdata/sf0.001"))
+    assert text.count("MapInArrow") == 1 and text.count("Exchange") == 2, text
