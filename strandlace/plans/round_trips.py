@@ -18,7 +18,7 @@ from ..operators.spectrum import rank_peaks, spectrum
 from ..session import options, scratch
 from ..sources.fasta import fasta_text, read_fasta_records
 from ..sources.fasta_chunks import read_fasta_chunks, whole_records
-from ..sources.images import DotFile, image_files, image_pixels, png, read_dot, read_png
+from ..sources.images import IMAGE_FILES, DotFile, image_file, image_pixels, png, read_dot, read_png
 from ..sources.tables import check_dense, periodogram_fields, read_tsv, spectrum_fields, write_tsv
 from .catalogue import DNA_SQL, FORWARD_SQL, HOURLY_SQL, KEY, MAX_SQL, NULL_SQL, ORACLES, PAIRS_SQL, PART_PAIRS_SQL, PG, PG_SQL, TURN_SQL, _classified, _dft_sql, _dna, _hourly, _matrix_values, _pg, _plot_sql, _read, _turn_pairs, query, adjacent, part_pairs, SPANS_SQL, _spans
 from . import verbs as V
@@ -70,16 +70,16 @@ def _sizes(pairs):
 @query("dot_file_roundtrip", FORWARD_SQL)
 def _(spark, d):
     """Plots written as binary plot files and read back."""
-    pairs = _turn_pairs(spark, d)
-    files = image_files(dotplot(pairs, KEY), _sizes(pairs), KEY, lambda image: DotFile(1.0, image, 12, 8, "DNA").to_bytes())
+    draw = image_file(lambda image: DotFile(1.0, image, 12, 8, "DNA").to_bytes())
+    files = drawn_dotplot(_turn_pairs(spark, d), KEY, draw, IMAGE_FILES, whole=True)
     return image_pixels(files, KEY, lambda data: read_dot(data).image)
 
 
 @query("png_roundtrip", FORWARD_SQL)
 def _(spark, d):
     """Plots written as PNG images and read back."""
-    pairs = _turn_pairs(spark, d)
-    files = image_files(dotplot(pairs, KEY), _sizes(pairs).where("width > 0 and height > 0"), KEY, lambda image: png(image, text={"window": "8"}))
+    pairs = _turn_pairs(spark, d).where("length(query) > 0 and length(subject) > 0")
+    files = drawn_dotplot(pairs, KEY, image_file(lambda image: png(image, text={"window": "8"})), IMAGE_FILES, whole=True)
     return image_pixels(files, KEY, lambda data: read_png(data)[0])
 
 

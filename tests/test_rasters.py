@@ -177,3 +177,20 @@ def test_every_pixel_is_drawn_where_it_is_scored(spark):
         assert sorted(map(tuple, banded.collect())) == due
     text = plan(QUERIES["render_dense"](spark, "/root/testdata/sf0.001"))
     assert text.count("MapInArrow") == 1 and text.count("Exchange") == 2, text
+
+
+def test_image_files_are_drawn_where_they_are_scored(spark):
+    """The same files as those of shuffled pixels, empty plots included, and the queries shuffle pairs only."""
+    from strandlace.plans.dotplot import PlotConfig, dotplot, drawn_dotplot
+    from strandlace.sources.images import IMAGE_FILES, image_file
+
+    df, sizes = drawable(spark)
+    encode = lambda image: DotFile(1.0, image, 12, 8, "DNA").to_bytes()
+    for strand in ("forward", "both"):
+        cfg = PlotConfig(strand=strand)
+        due = {r["id"]: bytes(r["data"]) for r in image_files(dotplot(df, ["id"], cfg), sizes.dropna(), ["id"], encode).collect()}
+        got = drawn_dotplot(df, ["id"], image_file(encode), IMAGE_FILES, cfg, whole=True).collect()
+        assert {r["id"]: bytes(r["data"]) for r in got} == due and len(got) == len(due) == 7
+    for name in ("dot_file_roundtrip", "png_roundtrip"):
+        text = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert text.count("MapInArrow") == 2 and text.count("Exchange") == 2, text
