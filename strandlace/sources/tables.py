@@ -59,8 +59,12 @@ def check_dense(df: DataFrame, key: str, k: str) -> DataFrame:
 
 
 def fixed(c: str, digits: int):
-    """Fixed-point text; ties go to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(c, digits))
+    """Fixed-point text of the number's exact value, as ``printf`` writes it; exact ties go to the even digit, null stays null.
+
+    Rounding functions and ``format_string`` round the shortest decimal digits, for which 0.8390625 is a tie; its double lies above one.
+    """
+    text = F.call_function("format_number", F.col(c), F.lit("0." + "0" * digits))
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.col(c).cast("string")).otherwise(text)
 
 
 def periodogram_fields(df: DataFrame, *keep: str) -> DataFrame:

@@ -353,6 +353,18 @@ def test_tables(spark, tmp_path):
         tables.sniff(["a"])
 
 
+def test_fixed_point_texts_round_the_exact_value(spark):
+    rng = random.Random(4)
+    values = [s / n for n in (128, 640, 3200, 16000) for s in range(-2000, 2000)] + [m / 10**7 for m in range(5, 40_000, 10)]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 4, 6):
+        wrong = [tuple(r) for r in df.select("v", tables.fixed("v", digits).alias("t")).collect() if r["t"] != f"{r['v']:.{digits}f}"]
+        assert wrong == []
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "v double")
+    assert [r[0] for r in odd.coalesce(1).select(tables.fixed("v", 4)).collect()] == [None, "NaN", "Infinity", "-Infinity"]
+
+
 def test_images(spark):
     image = np.arange(12, dtype=np.uint8).reshape(3, 4)
     back, notes = images.read_png(images.png(image, text={"Software": "test"}))
